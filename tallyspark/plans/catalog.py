@@ -30,3 +30,42 @@ def q_normalize_customers(spark, sf_dir):
 @query
 def q_normalize_vendors(spark, sf_dir):
     return N.normalize_party(D.remote_vendors(spark, sf_dir), keep=["tenant_id", "pos"])
+
+
+# ---------------------------------------------------------------------------
+# Entity sync (flagship): U11 -> U2 -> J3/J1/J2 -> U1/U3/U10
+# ---------------------------------------------------------------------------
+
+def _sync(spark, sf_dir):
+    from tallyspark.operators.upsert import combine_batches, upsert_entities
+    batch = combine_batches(D.customer_batch(spark, sf_dir), D.vendor_batch(spark, sf_dir))
+    return upsert_entities(D.local_entities(spark, sf_dir), batch, D.entity_types(spark), D.branches(spark, sf_dir),
+                           assignments=D.local_assignments(spark, sf_dir))
+
+
+@query
+def q_entity_upsert(spark, sf_dir):
+    return _sync(spark, sf_dir).entities
+
+
+@query
+def q_entity_links(spark, sf_dir):
+    r = _sync(spark, sf_dir)
+    inserted = r.inserted.select(F.col("id").alias("entity_id"), "tenant_id")
+    types = r.assignments.select(F.lit("type").alias("link_kind"), F.col("id").alias("link_id"),
+                                 F.col("entity").alias("entity_id"), F.col("type").cast("long").alias("ref_id"),
+                                 "tenant_id")
+    branches = r.branch_links.join(inserted, "entity_id").select(
+        F.lit("branch").alias("link_kind"), F.lit(None).cast("long").alias("link_id"), "entity_id",
+        F.col("branch_id").cast("long").alias("ref_id"), "tenant_id")
+    return types.unionByName(branches)
+
+
+@query
+def q_entity_rejects(spark, sf_dir):
+    return _sync(spark, sf_dir).rejects
+
+
+@query
+def q_sync_summary(spark, sf_dir):
+    return _sync(spark, sf_dir).stats

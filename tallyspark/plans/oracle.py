@@ -34,3 +34,93 @@ ORACLE: dict[str, str] = {
     "normalize_customers": _NORMALIZE.format(src=RC),
     "normalize_vendors": _NORMALIZE.format(src=RV),
 }
+
+# Entity sync: batch = customers (batch 0) + vendors (batch 1); target = local
+# entities; rules from plans/demo.py and operators/upsert.py docs.
+_TYPES = "SELECT * FROM (VALUES (1, 'Customer'), (2, 'Vendor'), (3, 'Bank'), (4, 'Shareholder'), (5, 'Tax'), " \
+         "(6, 'Internal'), (7, 'Fixed Asset')) v(type_id, type)"
+_NORM_ROW = """tenant_id, pos, display_name AS name, coalesce(email, '') AS email, coalesce(phone, '') AS phone,
+       CASE WHEN has_addr THEN concat_ws(', ', nullif(line1, ''), nullif(city, ''), nullif(region_code, ''))
+            ELSE '' END AS address, '' AS note, nullif(id, '') AS qb_id, pos % 7 + 1 AS branch_id"""
+SYNC_CTES = f"""
+WITH rc AS ({RC}), rv AS ({RV}),
+b AS (
+  SELECT 0 AS batch_no, {_NORM_ROW}, CASE WHEN pos % 13 = 0 THEN 'Client' ELSE 'Customer' END AS type FROM rc
+  UNION ALL
+  SELECT 1 AS batch_no, {_NORM_ROW}, 'Vendor' AS type FROM rv),
+t AS (
+  SELECT c_custkey * 2 + 1 AS id, c_name AS name, '' AS email, '' AS phone, 'keep' AS note,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Customer' END AS type,
+         CASE WHEN c_custkey % 10 <> 9 THEN CAST(c_custkey AS VARCHAR) END AS qb_id,
+         c_nationkey % 4 AS tenant_id, false AS is_intrinsic, CAST(NULL AS INTEGER) AS ntn, '' AS address
+  FROM customer WHERE c_custkey % 10 <> 0
+  UNION ALL
+  SELECT s_suppkey * 2 + 2, s_name, '', '', 'keep', 'Vendor',
+         CASE WHEN s_suppkey % 10 <> 9 THEN 'S' || CAST(s_suppkey AS VARCHAR) END,
+         s_nationkey % 4, false, CAST(NULL AS INTEGER), ''
+  FROM supplier WHERE s_suppkey % 10 <> 0),
+br AS (SELECT DISTINCT n_regionkey + 1 AS branch_id, n_nationkey % 4 AS tenant_id FROM nation),
+ty AS ({_TYPES}),
+m AS (SELECT DISTINCT tenant_id, qb_id FROM t WHERE qb_id IS NOT NULL),
+v AS (
+  SELECT b.*, m.qb_id IS NOT NULL AS matched, ty.type_id, br.branch_id IS NOT NULL AS branch_ok,
+         br.branch_id IS NOT NULL AND ty.type_id IS NOT NULL AS ok
+  FROM b LEFT JOIN m ON b.tenant_id = m.tenant_id AND b.qb_id = m.qb_id
+         LEFT JOIN br ON b.branch_id = br.branch_id AND b.tenant_id = br.tenant_id
+         LEFT JOIN ty ON b.type = ty.type),
+upd AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, qb_id ORDER BY batch_no DESC, pos DESC) AS rn
+                 FROM v WHERE matched) WHERE rn = 1),
+fg AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, qb_id ORDER BY batch_no, pos) AS rn
+                 FROM v WHERE NOT matched AND qb_id IS NOT NULL AND ok) WHERE rn = 1),
+lu AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, qb_id ORDER BY batch_no DESC, pos DESC) AS rn
+                 FROM v WHERE NOT matched AND qb_id IS NOT NULL) WHERE rn = 1),
+ins AS (
+  SELECT fg.batch_no, fg.tenant_id, fg.pos, fg.qb_id, lu.name, lu.email, lu.phone, lu.address, lu.note,
+         fg.type, fg.type_id, fg.branch_id
+  FROM fg JOIN lu ON fg.tenant_id = lu.tenant_id AND fg.qb_id = lu.qb_id
+  UNION ALL
+  SELECT batch_no, tenant_id, pos, qb_id, name, email, phone, address, note, type, type_id, branch_id
+  FROM v WHERE qb_id IS NULL AND ok),
+insid AS (
+  SELECT *, (SELECT max(id) FROM t) + row_number() OVER (ORDER BY batch_no, tenant_id, pos, qb_id) AS id FROM ins),
+rej AS (
+  SELECT v.batch_no, v.tenant_id, v.pos, v.name, v.email, v.phone, v.address, v.note, v.qb_id, v.type, v.branch_id,
+         CASE WHEN NOT v.branch_ok
+              THEN 'Branch ID ' || CAST(v.branch_id AS VARCHAR) || ' does not exist for tenant ' || CAST(v.tenant_id AS VARCHAR)
+              ELSE 'Entity type "' || v.type || '" not found in entity_types' END AS reason
+  FROM v LEFT JOIN fg ON v.tenant_id = fg.tenant_id AND v.qb_id = fg.qb_id
+  WHERE NOT v.matched AND NOT v.ok
+    AND (fg.pos IS NULL OR v.batch_no < fg.batch_no OR (v.batch_no = fg.batch_no AND v.pos < fg.pos)))
+"""
+
+ORACLE["entity_upsert"] = SYNC_CTES + """
+SELECT t.id,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.name ELSE t.name END AS name,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.email ELSE t.email END AS email,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.phone ELSE t.phone END AS phone,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.note ELSE t.note END AS note,
+       t.type, t.qb_id, t.tenant_id, t.is_intrinsic, t.ntn,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.address ELSE t.address END AS address
+FROM t LEFT JOIN upd u ON t.tenant_id = u.tenant_id AND t.qb_id = u.qb_id
+UNION ALL
+SELECT id, name, email, phone, note, CAST(NULL AS VARCHAR), qb_id, tenant_id, false, CAST(NULL AS INTEGER), address
+FROM insid"""
+
+ORACLE["entity_links"] = SYNC_CTES + """
+SELECT 'type' AS link_kind, id AS link_id, id AS entity_id, CAST(type_id AS BIGINT) AS ref_id, tenant_id FROM insid
+UNION ALL
+SELECT 'branch', CAST(NULL AS BIGINT), id, CAST(branch_id AS BIGINT), tenant_id FROM insid"""
+
+ORACLE["entity_rejects"] = SYNC_CTES + "SELECT * FROM rej"
+
+ORACLE["sync_summary"] = SYNC_CTES + """,
+f AS (SELECT tenant_id, type, count(*) AS fetched FROM b GROUP BY ALL),
+i AS (SELECT tenant_id, type, count(*) AS inserted FROM ins GROUP BY ALL),
+r AS (SELECT tenant_id, type, count(*) AS rejected FROM rej GROUP BY ALL)
+SELECT f.tenant_id, f.type, f.fetched, coalesce(i.inserted, 0) AS inserted,
+       f.fetched - coalesce(i.inserted, 0) - coalesce(r.rejected, 0) AS updated, coalesce(r.rejected, 0) AS rejected
+FROM f LEFT JOIN i ON f.tenant_id = i.tenant_id AND f.type = i.type
+       LEFT JOIN r ON f.tenant_id = r.tenant_id AND f.type = r.type"""
