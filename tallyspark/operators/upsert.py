@@ -73,8 +73,8 @@ def prepare_batch(batch: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(c).cast("string") if c in cols else F.lit(None).cast("string"), F.lit("")).alias(c)
           for c in TEXT_COLS],
         F.nullif(F.col("qb_id").cast("string"), F.lit("")).alias("qb_id"),
-        F.col("type").cast("string").alias("type"),
-        F.col("branch_id").cast("int").alias("branch_id"),
+        (F.col("type") if "type" in cols else F.lit(None)).cast("string").alias("type"),
+        (F.col("branch_id") if "branch_id" in cols else F.lit(None)).cast("int").alias("branch_id"),
     )
 
 
@@ -84,7 +84,7 @@ def collapse_batch(batch: DataFrame) -> DataFrame:
 
     A partial aggregation (max/min of structs), so a hot id is combined
     map-side instead of landing in one task."""
-    b = prepare_batch(batch) if "branch_id" in batch.columns else batch
+    b = prepare_batch(batch)
     keyed = (b.where(F.col("qb_id").isNotNull())
              .groupBy(*KEYS)
              .agg(F.max(F.struct("batch_no", "pos", *TEXT_COLS)).alias("_last"),

@@ -69,3 +69,51 @@ def q_entity_rejects(spark, sf_dir):
 @query
 def q_sync_summary(spark, sf_dir):
     return _sync(spark, sf_dir).stats
+
+
+# ---------------------------------------------------------------------------
+# Sources: landed pages (S1-S3, A1) and serialised batches
+# ---------------------------------------------------------------------------
+
+@query
+def q_explode_pages(spark, sf_dir):
+    from tallyspark.sources.pages import explode_pages
+    items = explode_pages(D.item_pages(spark, sf_dir), "Item")
+    return items.select("source", "pos", "Id", "SyncToken", "Name", "Type", "UnitPrice", "QtyOnHand", "Sku",
+                        "Description", F.col("IncomeAccountRef.value").alias("income_ref"),
+                        F.col("AssetAccountRef.value").alias("asset_ref"))
+
+
+@query
+def q_count_records(spark, sf_dir):
+    from tallyspark.sources.pages import count_records
+    return count_records(D.item_pages(spark, sf_dir), "Item")
+
+
+@query
+def q_page_audit(spark, sf_dir):
+    from tallyspark.sources.pages import audit_pages
+    pages = D.item_pages(spark, sf_dir).where(F.col("requested_start") != 1001)
+    return audit_pages(pages, "Item")
+
+
+@query
+def q_fault_split(spark, sf_dir):
+    from tallyspark.sources.pages import split_faults
+    good, faults = split_faults(D.item_pages_with_faults(spark, sf_dir), "Item", mode="reject")
+    ok = good.select("source", "requested_start", F.lit("ok").alias("status"),
+                     F.coalesce(F.size("page.QueryResponse.Item"), F.lit(0)).cast("long").alias("n_records"),
+                     F.lit(None).cast("string").alias("fault_message"))
+    bad = faults.select("source", "requested_start", F.lit("fault").alias("status"), F.lit(0).cast("long").alias("n_records"),
+                        F.get_json_object("fault", "$.Error[0].Message").alias("fault_message"))
+    return ok.unionByName(bad)
+
+
+@query
+def q_parse_sync_batch(spark, sf_dir):
+    from tallyspark.operators.upsert import collapse_batch
+    from tallyspark.sources.batch import batch_length, parse_sync_batch
+    batches = D.event_batches(spark, sf_dir)
+    rows = parse_sync_batch(batches.where(batch_length(F.col("json_data")) > 0), "json_data",
+                            keep=["tenant_id", "batch_no"])
+    return collapse_batch(rows)

@@ -278,3 +278,48 @@ def company_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 != 0, F.concat(F.col("s_name"), F.lit(" LLC"))).alias("LegalName"),
         addr.alias("CompanyAddr"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Landed pages and serialised batches
+# ---------------------------------------------------------------------------
+
+def item_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item documents packed into 1000-record response pages (position =
+    p_partkey), plus the empty terminating page when the last one is full."""
+    from tallyspark.sources.pages import pack_pages
+    docs = remote_items(spark, sf_dir).drop("tenant_id")
+    return pack_pages(docs, "Item", order_col="pos")
+
+
+def item_pages_with_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third page (page index % 3 == 1) comes back as a Fault."""
+    from tallyspark.sources.pages import fault_body
+    pages = item_pages(spark, sf_dir)
+    page_no = F.floor((F.col("requested_start") - 1) / 1000)
+    return pages.withColumn("body", F.when(page_no % 3 == 1, fault_body("Service unavailable"))
+                            .otherwise(F.col("body")))
+
+
+def event_sync_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sync-entity rows from events: tenant user_id % 4, batch event_id div 500,
+    external id = user id ('' when event_id % 50 == 0, absent when == 1)."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    k = F.col("event_id")
+    return e.select(
+        (F.col("user_id") % 4).cast("int").alias("tenant_id"),
+        F.floor(k / 500).cast("int").alias("batch_no"),
+        k.alias("event_id"),
+        F.concat(F.col("event_type"), F.lit("#"), k.cast("string")).alias("name"),
+        F.when(k % 5 != 0, F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(k % 2 != 0, F.concat(F.lit("555-"), F.col("user_id").cast("string"))).alias("phone"),
+        F.col("props").alias("address"),
+        F.lit(None).cast("string").alias("note"),
+        F.when(k % 50 == 0, F.lit("")).when(k % 50 != 1, F.col("user_id").cast("string")).alias("qb_id"),
+    )
+
+
+def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One serialised JSON array per (tenant, batch): at most 500 elements."""
+    from tallyspark.sources.batch import to_sync_batch
+    return to_sync_batch(event_sync_rows(spark, sf_dir), ["tenant_id", "batch_no"], "event_id")

@@ -124,3 +124,59 @@ SELECT f.tenant_id, f.type, f.fetched, coalesce(i.inserted, 0) AS inserted,
        f.fetched - coalesce(i.inserted, 0) - coalesce(r.rejected, 0) AS updated, coalesce(r.rejected, 0) AS rejected
 FROM f LEFT JOIN i ON f.tenant_id = i.tenant_id AND f.type = i.type
        LEFT JOIN r ON f.tenant_id = r.tenant_id AND f.type = r.type"""
+
+# Items (rule: plans/demo.py remote_items), paged 1000 per page by p_partkey.
+_ITEM_POS = "(p_partkey // 1000) * 1000 + row_number() OVER (PARTITION BY p_partkey // 1000 ORDER BY p_partkey)"
+ORACLE["explode_pages"] = f"""
+SELECT 'Item' AS source, {_ITEM_POS} AS pos, CAST(p_partkey AS VARCHAR) AS "Id",
+       CAST(p_partkey % 4 AS VARCHAR) AS "SyncToken", p_name || ' ' || CAST(p_partkey AS VARCHAR) AS "Name",
+       CASE p_partkey % 3 WHEN 0 THEN 'Inventory' WHEN 1 THEN 'Service' ELSE 'NonInventory' END AS "Type",
+       p_retailprice AS "UnitPrice", CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS "QtyOnHand",
+       CASE WHEN p_partkey % 7 = 0 THEN 'ITM-' || CAST(p_partkey AS VARCHAR) END AS "Sku",
+       CASE WHEN p_partkey % 5 <> 0 THEN p_type || ' ' || p_brand END AS "Description",
+       '79' AS income_ref, CASE WHEN p_partkey % 3 = 0 THEN '81' END AS asset_ref
+FROM part"""
+
+ORACLE["count_records"] = "SELECT 'Item' AS source, count(*) AS n_records FROM part"
+
+_ITEM_PAGES = """
+pg AS (SELECT p_partkey // 1000 AS page, count(*) AS n FROM part GROUP BY 1),
+allp AS (SELECT page, n FROM pg
+         UNION ALL SELECT max(page) + 1, 0 FROM pg HAVING arg_max(n, page) >= 1000)"""
+
+ORACLE["page_audit"] = f"""
+WITH {_ITEM_PAGES},
+p AS (SELECT 'Item' AS source, page * 1000 + 1 AS st, n FROM allp WHERE page * 1000 + 1 <> 1001)
+SELECT source, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_records, min(st) AS first_start,
+       max(st) AS last_start, min(st) = 1 AS starts_at_one,
+       CAST(greatest((max(st) - 1) // 1000 + 1 - count(DISTINCT st), 0) AS BIGINT) AS n_gaps,
+       count(*) - count(DISTINCT st) AS n_overlaps,
+       arg_max(n, st) < 1000 AS terminated,
+       count(*) FILTER (WHERE n < 1000) - CASE WHEN arg_max(n, st) < 1000 THEN 1 ELSE 0 END AS n_early_short
+FROM p GROUP BY source"""
+
+ORACLE["fault_split"] = f"""
+WITH {_ITEM_PAGES}
+SELECT 'Item' AS source, page * 1000 + 1 AS requested_start,
+       CASE WHEN page % 3 = 1 THEN 'fault' ELSE 'ok' END AS status,
+       CASE WHEN page % 3 = 1 THEN 0 ELSE n END AS n_records,
+       CASE WHEN page % 3 = 1 THEN 'Service unavailable' END AS fault_message
+FROM allp"""
+
+ORACLE["parse_sync_batch"] = """
+WITH e AS (
+  SELECT CAST(user_id % 4 AS INTEGER) AS tenant_id, CAST(event_id // 500 AS INTEGER) AS batch_no, event_id,
+         row_number() OVER (PARTITION BY user_id % 4, event_id // 500 ORDER BY event_id) - 1 AS pos,
+         event_type || '#' || CAST(event_id AS VARCHAR) AS name,
+         CASE WHEN event_id % 5 <> 0 THEN 'u' || CAST(user_id AS VARCHAR) || '@example.com' ELSE '' END AS email,
+         CASE WHEN event_id % 2 <> 0 THEN '555-' || CAST(user_id AS VARCHAR) ELSE '' END AS phone,
+         coalesce(props, '') AS address, '' AS note,
+         CASE WHEN event_id % 50 IN (0, 1) THEN NULL ELSE CAST(user_id AS VARCHAR) END AS qb_id
+  FROM events)
+SELECT tenant_id, qb_id, arg_max(name, event_id) AS name, arg_max(email, event_id) AS email,
+       arg_max(phone, event_id) AS phone, arg_max(address, event_id) AS address, arg_max(note, event_id) AS note,
+       arg_min(batch_no, event_id) AS batch_no, arg_min(pos, event_id) AS first_pos,
+       arg_max(pos, event_id) AS last_pos, count(*) AS n_rows
+FROM e WHERE qb_id IS NOT NULL GROUP BY tenant_id, qb_id
+UNION ALL
+SELECT tenant_id, qb_id, name, email, phone, address, note, batch_no, pos, pos, 1 FROM e WHERE qb_id IS NULL"""
