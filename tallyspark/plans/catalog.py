@@ -117,3 +117,77 @@ def q_parse_sync_batch(spark, sf_dir):
     rows = parse_sync_batch(batches.where(batch_length(F.col("json_data")) > 0), "json_data",
                             keep=["tenant_id", "batch_no"])
     return collapse_batch(rows)
+
+
+# ---------------------------------------------------------------------------
+# Search (F1-F4, W2) and result rows
+# ---------------------------------------------------------------------------
+
+def _search(df, field, term, **kw):
+    from tallyspark.operators.search import search
+    return search(df, field, term, by=["tenant_id"], **kw)
+
+
+@query
+def q_search_customers(spark, sf_dir):
+    hits = _search(D.remote_customers(spark, sf_dir), "DisplayName", "er#00000")
+    return N.customer_search_row(hits, keep=["tenant_id"])
+
+
+@query
+def q_search_accounts(spark, sf_dir):
+    hits = _search(D.remote_accounts(spark, sf_dir), "Name", " urgent ")
+    return N.account_row(hits, keep=["tenant_id"])
+
+
+@query
+def q_search_payment_methods(spark, sf_dir):
+    hits = _search(D.remote_payment_methods(spark, sf_dir), "Name", "high")
+    return N.payment_method_row(hits, keep=["tenant_id"])
+
+
+@query
+def q_search_service_items(spark, sf_dir):
+    hits = _search(D.remote_items(spark, sf_dir), "Name", "bolt", where=F.col("Type") == "Service")
+    return N.service_item_row(hits, keep=["tenant_id"])
+
+
+@query
+def q_search_vendors(spark, sf_dir):
+    hits = _search(D.remote_vendors(spark, sf_dir), "DisplayName", "v2", trim=False)
+    return N.mapping_row(hits).select("tenant_id", "Id", "DisplayName", "map_id", "map_display_name",
+                                      "map_company_name")
+
+
+@query
+def q_search_items(spark, sf_dir):
+    hits = _search(D.remote_items(spark, sf_dir), "Name", "RING", trim=False)
+    return N.mapping_row(hits).select("tenant_id", "Id", "Name", "FullyQualifiedName", "map_id",
+                                      "map_display_name", "map_company_name")
+
+
+@query
+def q_tax_codes_first_rate(spark, sf_dir):
+    return N.tax_code_row(D.remote_tax_codes(spark, sf_dir))
+
+
+@query
+def q_result_labels(spark, sf_dir):
+    items = N.service_item_row(D.remote_items(spark, sf_dir).where(F.col("Type") == "Service"))
+    items = items.select(F.lit("service_item").alias("kind"), "id", F.lit(None).cast("string").alias("display_name"),
+                         "name", F.lit(None).cast("string").alias("company_name"), "account_type",
+                         F.lit(None).cast("string").alias("tax_rate_ref_id"),
+                         F.lit(None).cast("string").alias("payment_type"))
+    taxes = N.tax_code_row(D.remote_tax_codes(spark, sf_dir)).select(
+        F.lit("tax_code").alias("kind"), "id", F.lit(None).cast("string").alias("display_name"), "name",
+        F.lit(None).cast("string").alias("company_name"), F.lit(None).cast("string").alias("account_type"),
+        "tax_rate_ref_id", F.lit(None).cast("string").alias("payment_type"))
+    rows = items.unionByName(taxes)
+    return rows.select("kind", "id", N.result_label(F.col("display_name"), F.col("name")).alias("label"),
+                       N.result_meta(F.col("company_name"), F.col("account_type"), F.col("tax_rate_ref_id"),
+                                     F.col("payment_type")).alias("meta"))
+
+
+@query
+def q_company_profile(spark, sf_dir):
+    return N.company_profile(D.company_infos(spark, sf_dir), keep=["tenant_id"])

@@ -180,3 +180,68 @@ SELECT tenant_id, qb_id, arg_max(name, event_id) AS name, arg_max(email, event_i
 FROM e WHERE qb_id IS NOT NULL GROUP BY tenant_id, qb_id
 UNION ALL
 SELECT tenant_id, qb_id, name, email, phone, address, note, batch_no, pos, pos, 1 FROM e WHERE qb_id IS NULL"""
+
+def _top50(src: str, where: str, cols: str, order: str = "id") -> str:
+    return f"""
+WITH r AS ({src})
+SELECT {cols} FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {order}) AS rn FROM r WHERE {where}) WHERE rn <= 50"""
+
+
+_ACCOUNTS = """SELECT CAST(o_custkey % 4 AS INTEGER) AS tenant_id, CAST(o_orderkey AS VARCHAR) AS id,
+  CASE WHEN o_orderkey % 9 <> 0 THEN 'Account ' || o_orderpriority || ' ' || CAST(o_orderkey AS VARCHAR) END AS name,
+  CASE o_orderstatus WHEN 'F' THEN 'Expense' WHEN 'O' THEN 'Income' END AS account_type FROM orders"""
+_PAYMENTS = """SELECT CAST(o_custkey % 4 AS INTEGER) AS tenant_id, CAST(o_orderkey AS VARCHAR) AS id,
+  'Pay ' || o_orderpriority || ' ' || CAST(o_custkey AS VARCHAR) AS name,
+  CASE o_orderkey % 3 WHEN 0 THEN 'CREDIT_CARD' WHEN 1 THEN 'NON_CREDIT_CARD' END AS payment_type FROM orders"""
+_ITEMS = """SELECT CAST(p_partkey % 4 AS INTEGER) AS tenant_id, p_partkey AS k, CAST(p_partkey AS VARCHAR) AS id,
+  p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name,
+  p_brand || ':' || p_name || ' ' || CAST(p_partkey AS VARCHAR) AS fqn,
+  CASE p_partkey % 3 WHEN 0 THEN 'Inventory' WHEN 1 THEN 'Service' ELSE 'NonInventory' END AS type,
+  CAST(p_partkey % 4 AS VARCHAR) AS sync_token FROM part"""
+_TAXES = """SELECT CAST(n_nationkey AS VARCHAR) AS id, 'Tax ' || n_name AS name,
+  CASE WHEN n_nationkey % 7 = 6 OR n_nationkey % 4 = 0 OR n_nationkey % 5 = 3 THEN NULL
+       ELSE 'TR' || CAST(n_nationkey AS VARCHAR) END AS tax_rate_ref_id FROM nation"""
+
+ORACLE["search_customers"] = _top50(RC, "display_name ILIKE '%er#00000%'",
+                                    "tenant_id, id, coalesce(display_name, given_name, '') AS display_name, "
+                                    "coalesce(company_name, '') AS company_name")
+ORACLE["search_accounts"] = _top50(_ACCOUNTS, "name ILIKE '%urgent%'",
+                                   "tenant_id, id, coalesce(name, '') AS name, coalesce(account_type, '') AS account_type")
+ORACLE["search_payment_methods"] = _top50(_PAYMENTS, "name ILIKE '%high%'",
+                                          "tenant_id, id, name, coalesce(payment_type, '') AS payment_type")
+ORACLE["search_service_items"] = _top50(_ITEMS, "type = 'Service' AND name ILIKE '%bolt%'",
+                                        "tenant_id, id, name, type AS account_type")
+ORACLE["search_vendors"] = _top50(RV, "display_name ILIKE '%v2%'",
+                                  'tenant_id, id AS "Id", display_name AS "DisplayName", id AS map_id, '
+                                  "display_name AS map_display_name, "
+                                  "coalesce(nullif(company_name, ''), NULL) AS map_company_name")
+ORACLE["search_items"] = _top50(_ITEMS, "name ILIKE '%RING%'",
+                                'tenant_id, id AS "Id", name AS "Name", fqn AS "FullyQualifiedName", id AS map_id, '
+                                "name AS map_display_name, fqn AS map_company_name")
+ORACLE["tax_codes_first_rate"] = _TAXES
+ORACLE["result_labels"] = f"""
+WITH i AS ({_ITEMS}), t AS ({_TAXES})
+SELECT 'service_item' AS kind, id, name AS label, type AS meta FROM i WHERE type = 'Service'
+UNION ALL
+SELECT 'tax_code', id, name, coalesce('Tax Rate Ref: ' || nullif(tax_rate_ref_id, ''), '') FROM t"""
+ORACLE["company_profile"] = """
+WITH s AS (
+  SELECT s_suppkey AS k, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  JOIN region ON n_regionkey = r_regionkey),
+c AS (
+  SELECT k, CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN NULL ELSE s_name END AS company,
+         CASE WHEN k % 3 <> 0 THEN s_name || ' LLC' END AS legal,
+         CASE WHEN k % 8 <> 0 THEN CAST(k AS VARCHAR) END AS id,
+         k % 10 <> 7 AS has_addr, 'No ' || CAST(k AS VARCHAR) AS line1,
+         CASE WHEN k % 3 = 0 THEN 'Suite 1' WHEN k % 3 = 1 THEN '' END AS line2,
+         CASE WHEN k % 4 <> 1 THEN n_name END AS city, CASE WHEN k % 5 <> 2 THEN r_name END AS region,
+         lpad(CAST(k % 100000 AS VARCHAR), 5, '0') AS postal, CASE WHEN k % 6 <> 5 THEN 'US' END AS country
+  FROM s)
+SELECT k AS tenant_id, coalesce(nullif(company, ''), nullif(legal, ''), 'Unknown Company') AS company_name,
+       coalesce(nullif(id, ''), 'Unavailable') AS realm_id,
+       CASE WHEN NOT has_addr THEN 'Address unavailable'
+            ELSE concat_ws(', ', nullif(line1, ''), nullif(line2, ''),
+                           nullif(concat_ws(', ', nullif(city, ''), nullif(region, '')), ''),
+                           nullif(postal, ''), nullif(country, '')) END AS company_address
+FROM c"""
