@@ -191,3 +191,42 @@ def q_result_labels(spark, sf_dir):
 @query
 def q_company_profile(spark, sf_dir):
     return N.company_profile(D.company_infos(spark, sf_dir), keep=["tenant_id"])
+
+
+# ---------------------------------------------------------------------------
+# Matching and mapping
+# ---------------------------------------------------------------------------
+
+def _match_inputs(spark, sf_dir):
+    return D.unmapped_item_terms(spark, sf_dir), D.remote_items(spark, sf_dir).select("tenant_id", "Id", "Name")
+
+
+@query
+def q_match_candidates(spark, sf_dir):
+    from tallyspark.operators.matching import match_candidates
+    terms, records = _match_inputs(spark, sf_dir)
+    return match_candidates(terms, records, group_cols=["tenant_id"])
+
+
+@query
+def q_match_candidates_nested_loop(spark, sf_dir):
+    from tallyspark.operators.matching import match_candidates_nested
+    terms, records = _match_inputs(spark, sf_dir)
+    return match_candidates_nested(terms, records, group_cols=["tenant_id"])
+
+
+@query
+def q_apply_mappings(spark, sf_dir):
+    from tallyspark.operators.mapping import apply_mappings
+    r = apply_mappings(D.local_entities(spark, sf_dir), D.local_skus(spark, sf_dir), D.mapping_instructions(spark, sf_dir),
+                       assignments=D.local_assignments(spark, sf_dir), types=D.entity_types(spark))
+    action, display = N.mapping_action(F.col("old_qb_id"))
+    return r.applied.select("*", action.alias("action"), display.alias("display"))
+
+
+@query
+def q_required_split(spark, sf_dir):
+    from tallyspark.operators.search import term_ok_col
+    from tallyspark.operators.validate import require
+    req = D.mapping_requests(spark, sf_dir)
+    return require(req, ["internal_id", "quickbooks_id", "type"]).withColumn("term_ok", term_ok_col(F.col("term")))

@@ -323,3 +323,70 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One serialised JSON array per (tenant, batch): at most 500 elements."""
     from tallyspark.sources.batch import to_sync_batch
     return to_sync_batch(event_sync_rows(spark, sf_dir), ["tenant_id", "batch_no"], "event_id")
+
+
+# ---------------------------------------------------------------------------
+# Mapping: local skus, unmapped rows as search terms, mapping instructions
+# ---------------------------------------------------------------------------
+
+def local_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """skus from part: unmapped (qb_id NULL) when p_partkey % 5 == 0."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("id"), F.floor(k / 2).cast("long").alias("menu_item_id"),
+        F.when(k % 5 != 0, k.cast("string")).alias("qb_id"),
+        (k % 4).cast("int").alias("tenant_id"),
+        F.concat(F.lit("SKU-"), k.cast("string")).alias("sku"),
+        F.lit(1.0).alias("ratio"), F.lit(5.0).alias("alert_threshold"))
+
+
+def unmapped_item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unmapped local items (p_partkey % 5 == 0) with the text to search for:
+    the part name; with '%' for the space when % 35 == 0, '_' for 'o' when
+    % 55 == 0, and a one-letter term (too short) when % 45 == 0."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").where(F.col("p_partkey") % 5 == 0)
+    k = F.col("p_partkey")
+    term = (F.when(k % 45 == 0, F.substring("p_name", 1, 1))
+            .when(k % 35 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit("%")))
+            .when(k % 55 == 0, F.replace(F.col("p_name"), F.lit("o"), F.lit("_")))
+            .otherwise(F.col("p_name")))
+    return p.select(k.alias("term_id"), (k % 4).cast("int").alias("tenant_id"), term.alias("term"))
+
+
+def mapping_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed mapping rows: unmapped customers (key % 10 == 9; a second,
+    later instruction when % 20 == 19; type Vendor -- a miss -- when % 3 == 0),
+    unmapped skus (Item / MenuItem; Bank when % 25 == 5 -- ignored), and
+    instructions with a blank external id when p_partkey % 15 == 0."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").where(F.col("c_custkey") % 10 == 9)
+    k = F.col("c_custkey")
+    first = c.select((k * 2 + 1).alias("internal_id"), F.concat(F.lit("Q"), k.cast("string")).alias("quickbooks_id"),
+                     F.when(k % 3 == 0, F.lit("Vendor")).otherwise(F.lit("Customer")).alias("type"),
+                     (F.col("c_nationkey") % 4).cast("int").alias("tenant_id"), (k * 2).alias("seq"))
+    second = c.where(k % 20 == 19).select(
+        (k * 2 + 1).alias("internal_id"), F.concat(F.lit("R"), k.cast("string")).alias("quickbooks_id"),
+        F.lit("Customer").alias("type"), (F.col("c_nationkey") % 4).cast("int").alias("tenant_id"),
+        (k * 2 + 1).alias("seq"))
+    p = table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") % 5 == 0)
+    q = F.col("p_partkey")
+    items = p.select(q.alias("internal_id"), F.concat(F.lit("I"), q.cast("string")).alias("quickbooks_id"),
+                     F.when(q % 25 == 5, F.lit("Bank")).when(q % 10 == 0, F.lit("Item")).otherwise(F.lit("MenuItem"))
+                     .alias("type"), (q % 4).cast("int").alias("tenant_id"), (q * 2).alias("seq"))
+    blank = p.where(q % 15 == 0).select(q.alias("internal_id"), F.lit("").alias("quickbooks_id"),
+                                        F.lit("Item").alias("type"), (q % 4).cast("int").alias("tenant_id"),
+                                        (q * 2 + 1).alias("seq"))
+    return first.unionByName(second).unionByName(items).unionByName(blank)
+
+
+def mapping_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw mapping requests from customer, some with missing fields, and the
+    search term typed before each."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    return c.select(
+        F.when(k % 17 != 0, k * 2 + 1).alias("internal_id"),
+        F.when(k % 19 != 0, F.concat(F.lit("Q"), k.cast("string"))).otherwise(F.lit("")).alias("quickbooks_id"),
+        F.when(k % 23 != 0, F.lit("Customer")).alias("type"),
+        F.when(k % 4 == 0, F.lit(" a ")).when(k % 4 == 1, F.lit("ab")).when(k % 4 == 2, F.col("c_name"))
+        .otherwise(F.lit("")).alias("term"))

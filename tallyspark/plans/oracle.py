@@ -245,3 +245,59 @@ SELECT k AS tenant_id, coalesce(nullif(company, ''), nullif(legal, ''), 'Unknown
                            nullif(concat_ws(', ', nullif(city, ''), nullif(region, '')), ''),
                            nullif(postal, ''), nullif(country, '')) END AS company_address
 FROM c"""
+
+_TERMS = """SELECT p_partkey AS term_id, CAST(p_partkey % 4 AS INTEGER) AS tenant_id,
+  CASE WHEN p_partkey % 45 = 0 THEN substring(p_name, 1, 1)
+       WHEN p_partkey % 35 = 0 THEN replace(p_name, ' ', '%')
+       WHEN p_partkey % 55 = 0 THEN replace(p_name, 'o', '_') ELSE p_name END AS term
+FROM part WHERE p_partkey % 5 = 0"""
+ORACLE["match_candidates"] = f"""
+WITH t AS ({_TERMS}), r AS ({_ITEMS}),
+m AS (SELECT t.term_id, t.tenant_id, t.term, r.id AS candidate_id, r.name AS candidate_name,
+             row_number() OVER (PARTITION BY t.term_id ORDER BY r.id) AS rank
+      FROM t JOIN r ON t.tenant_id = r.tenant_id AND r.name ILIKE '%' || t.term || '%'
+      WHERE length(trim(t.term)) >= 2)
+SELECT * FROM m WHERE rank <= 50"""
+ORACLE["match_candidates_nested_loop"] = ORACLE["match_candidates"]
+
+ORACLE["apply_mappings"] = """
+WITH ent AS (
+  SELECT c_custkey * 2 + 1 AS id, c_nationkey % 4 AS tenant_id,
+         CASE WHEN c_custkey % 10 <> 9 THEN CAST(c_custkey AS VARCHAR) END AS qb_id, 'Customer' AS atype
+  FROM customer WHERE c_custkey % 10 <> 0),
+ins AS (
+  SELECT c_custkey * 2 + 1 AS internal_id, 'Q' || CAST(c_custkey AS VARCHAR) AS qbid,
+         CASE WHEN c_custkey % 3 = 0 THEN 'Vendor' ELSE 'Customer' END AS type,
+         c_nationkey % 4 AS tenant_id, c_custkey * 2 AS seq FROM customer WHERE c_custkey % 10 = 9
+  UNION ALL
+  SELECT c_custkey * 2 + 1, 'R' || CAST(c_custkey AS VARCHAR), 'Customer', c_nationkey % 4, c_custkey * 2 + 1
+  FROM customer WHERE c_custkey % 20 = 19),
+eh AS (
+  SELECT ent.id, ent.tenant_id, ent.qb_id AS old_qb_id, arg_max(ins.qbid, ins.seq) AS new_qb_id
+  FROM ins JOIN ent ON ins.internal_id = ent.id AND ins.tenant_id = ent.tenant_id AND ins.type = ent.atype
+  GROUP BY ALL),
+sh AS (
+  SELECT p_partkey AS id, CAST(p_partkey % 4 AS INTEGER) AS tenant_id, CAST(NULL AS VARCHAR) AS old_qb_id,
+         'I' || CAST(p_partkey AS VARCHAR) AS new_qb_id
+  FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 25 <> 5 AND p_partkey <> 0)
+SELECT 'entities' AS target_table, id, tenant_id, old_qb_id, new_qb_id,
+       CASE WHEN coalesce(old_qb_id, '') <> '' THEN 'Remap ID' ELSE 'Map ID' END AS action,
+       CASE WHEN coalesce(old_qb_id, '') <> '' THEN old_qb_id ELSE 'Unmapped' END AS display FROM eh
+UNION ALL
+SELECT 'skus', id, tenant_id, old_qb_id, new_qb_id, 'Map ID', 'Unmapped' FROM sh"""
+
+ORACLE["required_split"] = """
+WITH r AS (
+  SELECT CASE WHEN c_custkey % 17 <> 0 THEN c_custkey * 2 + 1 END AS internal_id,
+         CASE WHEN c_custkey % 19 <> 0 THEN 'Q' || CAST(c_custkey AS VARCHAR) ELSE '' END AS quickbooks_id,
+         CASE WHEN c_custkey % 23 <> 0 THEN 'Customer' END AS type,
+         CASE c_custkey % 4 WHEN 0 THEN ' a ' WHEN 1 THEN 'ab' WHEN 2 THEN c_name ELSE '' END AS term
+  FROM customer),
+f AS (SELECT *, coalesce(internal_id, 0) = 0 AS m1, coalesce(quickbooks_id, '') = '' AS m2,
+             coalesce(type, '') = '' AS m3 FROM r)
+SELECT internal_id, quickbooks_id, type, term, NOT (m1 OR m2 OR m3) AS accepted,
+       CASE WHEN m1 OR m2 OR m3 THEN 'Missing required fields: ' ||
+            concat_ws(', ', CASE WHEN m1 THEN 'internal_id' END, CASE WHEN m2 THEN 'quickbooks_id' END,
+                      CASE WHEN m3 THEN 'type' END) END AS reason,
+       length(trim(term)) >= 2 AS term_ok
+FROM f"""
