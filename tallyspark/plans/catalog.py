@@ -230,3 +230,211 @@ def q_required_split(spark, sf_dir):
     from tallyspark.operators.validate import require
     req = D.mapping_requests(spark, sf_dir)
     return require(req, ["internal_id", "quickbooks_id", "type"]).withColumn("term_ok", term_ok_col(F.col("term")))
+
+
+# ---------------------------------------------------------------------------
+# Settings (U4, U5, U8, U9, J6)
+# ---------------------------------------------------------------------------
+
+def _defaults_after_saves(spark, sf_dir):
+    from tallyspark.operators.settings import fan_out_tax_rate, save_defaults, sync_markers
+    saves = fan_out_tax_rate(D.default_saves(spark, sf_dir))
+    markers = sync_markers(D.synced_tenants(spark, sf_dir), "customers_synced", seq=10 ** 12)
+    return save_defaults(D.saved_defaults(spark, sf_dir), saves.unionByName(markers), by=["tenant_id"])
+
+
+@query
+def q_upsert_defaults(spark, sf_dir):
+    return _defaults_after_saves(spark, sf_dir)
+
+
+@query
+def q_defaults_coverage(spark, sf_dir):
+    from tallyspark.operators.settings import defaults_coverage
+    return defaults_coverage(D.setting_scopes(spark, sf_dir), _defaults_after_saves(spark, sf_dir), by=["tenant_id"])
+
+
+@query
+def q_insert_ignore(spark, sf_dir):
+    from tallyspark.operators.upsert import insert_ignore
+    c = D.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    src = c.select((F.col("c_custkey") % 9 + 1).cast("int").alias("id"),
+                   (F.col("c_nationkey") % 4).cast("int").alias("tenant_id"), F.col("c_name").alias("name"),
+                   F.col("c_custkey").alias("seq"))
+    return insert_ignore(D.branches(spark, sf_dir), src, ["id", "tenant_id"], order_col="seq")
+
+
+# ---------------------------------------------------------------------------
+# Credentials
+# ---------------------------------------------------------------------------
+
+SECRET = "demo-secret"
+NOW_MS = D.BASE_MS + 30 * 86400 * 1000
+
+
+@query
+def q_token_records(spark, sf_dir):
+    from tallyspark.operators.credentials import to_token_record
+    from tallyspark.operators.validate import require
+    rec = to_token_record(D.token_payloads(spark, sf_dir), keep=["tenant_id", "realm_id", "seq"])
+    return require(rec, ["access_token", "refresh_token"])
+
+
+@query
+def q_encrypt_roundtrip(spark, sf_dir):
+    from tallyspark.operators.credentials import SECRET_COLUMNS, decrypt_cols, encrypt_cols
+    t = D.token_table(spark, sf_dir).select("tenant_id", "realm_id", *SECRET_COLUMNS)
+    t = t.select("*", *[F.col(c).alias("_plain_" + c) for c in SECRET_COLUMNS])
+    enc = encrypt_cols(t, SECRET_COLUMNS, SECRET)
+    enc = enc.withColumn("cipher_len", F.octet_length("access_token"))
+    dec = decrypt_cols(enc, SECRET_COLUMNS, SECRET)
+    same = F.lit(True)
+    for c in SECRET_COLUMNS:
+        same = same & F.col(c).eqNullSafe(F.col("_plain_" + c))
+    return dec.select("tenant_id", "realm_id", *SECRET_COLUMNS, "cipher_len", same.alias("roundtrip_ok"))
+
+
+@query
+def q_latest_by(spark, sf_dir):
+    from tallyspark.operators.credentials import latest_by
+    t = D.token_table(spark, sf_dir)
+    return latest_by(t, ["tenant_id"], ["updated_at", "realm_id"]).select("tenant_id", "realm_id", "updated_at",
+                                                                        "created_at", "state")
+
+
+@query
+def q_connection_status(spark, sf_dir):
+    from tallyspark.operators.credentials import connection_status
+    tenants = D.table(spark, sf_dir, "customer").select((F.col("c_custkey") % 120).cast("int").alias("tenant_id"))
+    return connection_status(tenants, D.token_table(spark, sf_dir), NOW_MS)
+
+
+@query
+def q_auto_touch(spark, sf_dir):
+    from tallyspark.operators.upsert import auto_touch
+    old = D.token_table(spark, sf_dir)
+    new = old.withColumn("access_token", F.when(F.col("tenant_id") % 3 == 0, F.concat(F.lit("new-"), F.col("access_token")))
+                         .otherwise(F.col("access_token"))).drop("updated_at")
+    compare = [c for c in new.columns if c not in ("tenant_id", "realm_id")]
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    out = auto_touch(old, new, ["tenant_id", "realm_id"], compare, "updated_at", now)
+    return out.select("tenant_id", "realm_id", "access_token", "updated_at", (F.col("updated_at") == now).alias("touched"))
+
+
+# ---------------------------------------------------------------------------
+# Item payloads (P17, J4) and number parsing
+# ---------------------------------------------------------------------------
+
+@query
+def q_item_payload(spark, sf_dir):
+    from tallyspark.operators.payloads import build_item_payload
+    r = build_item_payload(D.local_items(spark, sf_dir), D.remote_items(spark, sf_dir), "2024-06-01",
+                           tenant_cols=["item_id"])
+    ok = r.payloads.select("item_id", F.lit("ok").alias("status"), "body.Name", "body.Type", "body.UnitPrice",
+                           "body.QtyOnHand", "body.TrackQtyOnHand", "body.InvStartDate", "body.Id", "body.SyncToken",
+                           F.col("body.IncomeAccountRef.value").alias("income_ref"),
+                           F.col("body.ExpenseAccountRef.value").alias("expense_ref"),
+                           F.col("body.AssetAccountRef.value").alias("asset_ref"))
+    bad = r.rejects.select("item_id", F.lit("rejected").alias("status"), F.col("name").alias("Name"),
+                           F.col("type").alias("Type"), F.col("price").alias("UnitPrice"),
+                           F.lit(None).cast("double").alias("QtyOnHand"), F.lit(None).cast("boolean").alias("TrackQtyOnHand"),
+                           F.lit(None).cast("string").alias("InvStartDate"), F.col("qb_item_id").cast("string").alias("Id"),
+                           F.lit(None).cast("string").alias("SyncToken"), F.lit(None).cast("string").alias("income_ref"),
+                           F.lit(None).cast("string").alias("expense_ref"), F.lit(None).cast("string").alias("asset_ref"))
+    return ok.unionByName(bad)
+
+
+@query
+def q_parse_number(spark, sf_dir):
+    from tallyspark.functions.exprs import parse_number
+    e = D.table(spark, sf_dir, "events").select("event_id", "props")
+    k = F.col("event_id")
+    raw = (F.when(k % 10 == 0, F.lit(" 12 ")).when(k % 10 == 1, F.lit("1e3")).when(k % 10 == 2, F.lit("12x"))
+           .when(k % 10 == 3, F.lit("1d")).when(k % 10 == 4, F.lit("NaN")).when(k % 10 == 5, F.lit("Infinity"))
+           .when(k % 10 == 6, F.lit("")).when(k % 10 == 7, F.lit(None).cast("string"))
+           .when(k % 10 == 8, F.get_json_object("props", "$.k")).otherwise(F.lit("-.5")))
+    return e.select("event_id", raw.alias("raw")).select(
+        "event_id", "raw", parse_number(F.col("raw")).alias("num"),
+        parse_number(F.col("raw"), blank_as_zero=True).alias("num_blank_zero"))
+
+
+# ---------------------------------------------------------------------------
+# Audits (Q1-Q7)
+# ---------------------------------------------------------------------------
+
+@query
+def q_audit_unique(spark, sf_dir):
+    from tallyspark.operators.validate import audit_unique
+    return audit_unique(D.part_menu_items(spark, sf_dir), ["name", "tenant_id"], "menu_items")
+
+
+@query
+def q_audit_primary_key(spark, sf_dir):
+    from tallyspark.operators.validate import audit_primary_key
+    return audit_primary_key(D.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
+
+
+@query
+def q_audit_not_null(spark, sf_dir):
+    from tallyspark.operators.validate import audit_not_null
+    from tallyspark.schemas import RULES
+    df = D.order_entities(spark, sf_dir)
+    cols = [c for c in RULES["entities"].not_null if c in df.columns]
+    return audit_not_null(df, cols, ["id"], "entities")
+
+
+@query
+def q_audit_length(spark, sf_dir):
+    from tallyspark.operators.validate import audit_length
+    from tallyspark.schemas import RULES
+    df = D.order_entities(spark, sf_dir)
+    return audit_length(df, {c: n for c, n in RULES["entities"].lengths.items() if c in df.columns}, ["id"], "entities")
+
+
+@query
+def q_audit_domain(spark, sf_dir):
+    from tallyspark.operators.validate import audit_domain
+    from tallyspark.schemas import RULES
+    df = D.order_entities(spark, sf_dir).select("id", F.col("type").alias("name"))
+    return audit_domain(df, RULES["entity_types"].domains, ["id"], "entity_types")
+
+
+@query
+def q_audit_reference(spark, sf_dir):
+    from tallyspark.operators.validate import audit_reference
+    return audit_reference(D.lineitem_skus(spark, sf_dir), ["menu_item_id", "tenant_id"],
+                           D.part_menu_items(spark, sf_dir), ["id", "tenant_id"], ["l_orderkey", "l_linenumber"],
+                           "skus", "menu_items")
+
+
+@query
+def q_default_fill(spark, sf_dir):
+    from tallyspark.operators.validate import default_fill
+    from tallyspark.schemas import RULES, SKUS
+    return default_fill(D.lineitem_skus(spark, sf_dir), RULES["skus"], SKUS)
+
+
+# ---------------------------------------------------------------------------
+# Sinks (S4, S6, S7, F6)
+# ---------------------------------------------------------------------------
+
+@query
+def q_snapshot_roundtrip(spark, sf_dir):
+    from tallyspark import schemas as S
+    from tallyspark.session import shared_path
+    from tallyspark.sources.tables import scan, write_snapshot
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+    path = shared_path(spark, "snapshots", "items")
+    write_snapshot(D.remote_items(spark, sf_dir), path)
+    schema = StructType([StructField("tenant_id", IntegerType()), StructField("pos", LongType()), *S.ITEM_DOC.fields])
+    return scan(spark, path, ["tenant_id", "Id", "Name", "UnitPrice", "Type", "QtyOnHand"], fmt="json", schema=schema)
+
+
+@query
+def q_commit_table_roundtrip(spark, sf_dir):
+    from tallyspark.session import shared_path
+    from tallyspark.sources.tables import commit_table, read_table
+    root = shared_path(spark, "tables", "entities")
+    commit_table(D.local_entities(spark, sf_dir), root)
+    from tallyspark import schemas as S
+    return read_table(spark, root).where(F.col("tenant_id") == 2).select(*S.ENTITY_COLUMNS)

@@ -390,3 +390,130 @@ def mapping_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 23 != 0, F.lit("Customer")).alias("type"),
         F.when(k % 4 == 0, F.lit(" a ")).when(k % 4 == 1, F.lit("ab")).when(k % 4 == 2, F.col("c_name"))
         .otherwise(F.lit("")).alias("term"))
+
+
+# ---------------------------------------------------------------------------
+# Settings (per tenant), tokens, local items
+# ---------------------------------------------------------------------------
+
+def _setting_key(idx):
+    return F.element_at(F.array(*[F.lit(k) for k in S.SETTING_KEYS]), (idx % 9 + 1).cast("int"))
+
+
+def saved_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings already saved: customers 0..449 (not % 4 == 0), tenant = key
+    div 9, setting = key % 9."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    c = c.where((k < 450) & (k % 4 != 0))
+    return c.select(F.floor(k / 9).cast("int").alias("tenant_id"), _setting_key(k).alias("name"),
+                    F.concat(F.lit("c"), k.cast("string")).alias("qb_id"), F.col("c_name").alias("qb_name"))
+
+
+def default_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setting saves from orders (tenant o_custkey % 50, setting o_orderkey % 9,
+    in o_orderkey order); a tax_code save carries tax-rate ref 'TR' + key % 13."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    k = F.col("o_orderkey")
+    return o.select((F.col("o_custkey") % 50).cast("int").alias("tenant_id"), _setting_key(k).alias("name"),
+                    k.cast("string").alias("qb_id"), F.concat(F.lit("Account "), k.cast("string")).alias("qb_name"),
+                    F.concat(F.lit("TR"), (k % 13).cast("string")).alias("tax_rate_ref_id"), k.alias("seq"))
+
+
+def synced_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants whose customer sync succeeded: customers with key % 7 == 0."""
+    c = table(spark, sf_dir, "customer").select("c_custkey").where(F.col("c_custkey") % 7 == 0)
+    return c.select((F.col("c_custkey") % 50).cast("int").alias("tenant_id")).distinct()
+
+
+def setting_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    return c.select((F.col("c_custkey") % 60).cast("int").alias("tenant_id"))
+
+
+BASE_MS = 1704067200000  # 2024-01-01T00:00:00Z
+
+
+def token_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming token payloads (strings, as the auth service returns them), one
+    per customer: tenant key % 100, realm key % 3."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    return c.select(
+        (k % 100).cast("int").alias("tenant_id"),
+        F.concat(F.lit("realm-"), (k % 3).cast("string")).alias("realm_id"),
+        k.alias("seq"),
+        F.concat(F.lit("st-"), k.cast("string")).alias("state"),
+        F.when(k % 50 == 7, F.lit("n/a")).otherwise((k % 500).cast("string")).alias("latency"),
+        F.concat(F.lit("idt-"), k.cast("string")).alias("id_token"),
+        (F.lit(BASE_MS) + k * 60000).cast("string").alias("createdAt"),
+        F.lit("3600").alias("expires_in"),
+        F.lit("bearer").alias("token_type"),
+        F.when(k % 97 != 5, F.concat(F.lit("at-"), k.cast("string"))).alias("access_token"),
+        F.concat(F.lit("rt-"), k.cast("string")).alias("refresh_token"),
+        (F.lit(86400) * (k % 120 + 1)).cast("string").alias("x_refresh_token_expires_in"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=(k % 1000).cast("int")))
+        .alias("updated_at"),
+    )
+
+
+def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qbo_tokens: accepted payloads upserted on (tenant, realm), last wins."""
+    from tallyspark.operators.credentials import to_token_record
+    from tallyspark.operators.upsert import dedupe_last
+    from tallyspark.operators.validate import require
+    p = token_payloads(spark, sf_dir)
+    rec = to_token_record(p, keep=["tenant_id", "realm_id", "seq", "updated_at"])
+    ok = require(rec, ["access_token", "refresh_token"]).where("accepted").drop("accepted", "reason")
+    return dedupe_last(ok, ["tenant_id", "realm_id"], "seq").drop("seq")
+
+
+def local_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local items to push: type by key % 4 (NULL when 3), price NULL when
+    % 9 == 0, update of remote item k when even (of a missing one when
+    % 10 == 4)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_retailprice")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("item_id"),
+        F.concat(F.col("p_name"), F.lit(" "), k.cast("string")).alias("name"),
+        F.concat(F.lit("SKU-"), k.cast("string")).alias("sku"),
+        F.col("p_type").alias("description"),
+        F.when(k % 9 != 0, F.col("p_retailprice")).alias("price"),
+        F.when(k % 4 == 0, F.lit("Inventory")).when(k % 4 == 1, F.lit("Service"))
+        .when(k % 4 == 2, F.lit("NonInventory")).alias("type"),
+        F.when(k % 3 == 0, F.col("p_size")).alias("qty_on_hand"),
+        F.when(k % 10 == 4, k + 1000000000).when(k % 2 == 0, k).alias("qb_item_id"),
+    )
+
+
+def order_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entities-shaped table from orders with rule breaks: NULL tenant when
+    key % 11 == 0, long phones (key % 60 chars) and addresses (key % 600)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("id"), F.concat(F.lit("Order "), F.col("o_orderpriority")).alias("name"),
+        F.repeat(F.lit("9"), (k % 60).cast("int")).alias("phone"),
+        F.repeat(F.lit("x"), (k % 600).cast("int")).alias("address"),
+        F.when(k % 11 != 0, (F.col("o_custkey") % 4).cast("int")).alias("tenant_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("Customer"))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("Vendor"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("Bank"))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("Client")).alias("type"),
+    )
+
+
+def lineitem_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """skus from lineitem (no ratio / alert columns: the defaults apply)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("menu_item_id"),
+                     (F.col("l_suppkey") % 4).cast("int").alias("tenant_id"),
+                     F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string"), F.lit("-"),
+                              F.col("l_suppkey").cast("string")).alias("sku"))
+
+
+def part_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+                    F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 4).cast("int").alias("tenant_id"))

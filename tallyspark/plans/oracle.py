@@ -301,3 +301,177 @@ SELECT internal_id, quickbooks_id, type, term, NOT (m1 OR m2 OR m3) AS accepted,
                       CASE WHEN m3 THEN 'type' END) END AS reason,
        length(trim(term)) >= 2 AS term_ok
 FROM f"""
+
+_KEYS = ("['walk_in_customer', 'payable_account', 'receivable_account', 'tax_code', 'card_control_account', "
+         "'cash_account', 'cash_payment_method', 'card_payment_method', 'delivery_fee']")
+_DEFAULTS = f"""
+keys AS (SELECT {_KEYS} AS k),
+t AS (SELECT CAST(c_custkey // 9 AS INTEGER) AS tenant_id, k[c_custkey % 9 + 1] AS name,
+             'c' || CAST(c_custkey AS VARCHAR) AS qb_id, c_name AS qb_name
+      FROM customer, keys WHERE c_custkey < 450 AND c_custkey % 4 <> 0),
+s0 AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS tenant_id, k[o_orderkey % 9 + 1] AS name,
+              CAST(o_orderkey AS VARCHAR) AS qb_id, 'Account ' || CAST(o_orderkey AS VARCHAR) AS qb_name,
+              'TR' || CAST(o_orderkey % 13 AS VARCHAR) AS tr, o_orderkey AS seq FROM orders, keys),
+s AS (SELECT tenant_id, name, qb_id, qb_name, seq * 2 AS o FROM s0
+      UNION ALL SELECT tenant_id, 'tax_rate_ref', tr, 'Tax Rate Ref', seq * 2 + 1 FROM s0 WHERE name = 'tax_code'
+      UNION ALL SELECT DISTINCT CAST(c_custkey % 50 AS INTEGER), 'customers_synced', '1', 'Synced',
+                CAST(2000000000000 AS BIGINT) FROM customer WHERE c_custkey % 7 = 0),
+w AS (SELECT tenant_id, name, arg_max(qb_id, o) AS qb_id, arg_max(qb_name, o) AS qb_name FROM s GROUP BY tenant_id, name),
+d AS (SELECT * FROM w UNION ALL
+      SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.tenant_id = t.tenant_id AND w.name = t.name))"""
+ORACLE["upsert_defaults"] = f"WITH {_DEFAULTS} SELECT * FROM d"
+ORACLE["defaults_coverage"] = f"""
+WITH {_DEFAULTS},
+sc AS (SELECT DISTINCT CAST(c_custkey % 60 AS INTEGER) AS tenant_id FROM customer),
+ek AS (SELECT * FROM (VALUES ('walk_in_customer', 'setting'), ('payable_account', 'setting'),
+       ('receivable_account', 'setting'), ('tax_code', 'setting'), ('card_control_account', 'setting'),
+       ('cash_account', 'setting'), ('cash_payment_method', 'setting'), ('card_payment_method', 'setting'),
+       ('delivery_fee', 'setting'), ('customers_synced', 'marker'), ('vendors_synced', 'marker')) v(name, kind))
+SELECT sc.tenant_id, ek.name, ek.kind,
+       CASE WHEN ek.kind = 'marker' THEN CASE WHEN d.qb_id = '1' THEN 'Synced' ELSE 'Not synced' END
+            WHEN d.qb_id IS NOT NULL OR d.qb_name IS NOT NULL THEN 'assigned' ELSE 'Unassigned' END AS status,
+       d.qb_id, d.qb_name
+FROM sc CROSS JOIN ek LEFT JOIN d ON d.tenant_id = sc.tenant_id AND d.name = ek.name"""
+
+ORACLE["insert_ignore"] = """
+WITH br AS (SELECT CAST(n_regionkey + 1 AS INTEGER) AS id, CAST(n_nationkey % 4 AS INTEGER) AS tenant_id,
+                   arg_min(n_name, n_nationkey) AS name FROM nation GROUP BY 1, 2),
+src AS (SELECT CAST(c_custkey % 9 + 1 AS INTEGER) AS id, CAST(c_nationkey % 4 AS INTEGER) AS tenant_id,
+               arg_min(c_name, c_custkey) AS name FROM customer GROUP BY 1, 2)
+SELECT * FROM br
+UNION ALL SELECT * FROM src WHERE NOT EXISTS (SELECT 1 FROM br WHERE br.id = src.id AND br.tenant_id = src.tenant_id)"""
+
+_BASE_MS = 1704067200000
+_TOKENS = f"""
+p AS (SELECT c_custkey AS k, CAST(c_custkey % 100 AS INTEGER) AS tenant_id,
+             'realm-' || CAST(c_custkey % 3 AS VARCHAR) AS realm_id FROM customer),
+tt AS (SELECT tenant_id, realm_id, max(k) AS k FROM p WHERE k % 97 <> 5 GROUP BY tenant_id, realm_id),
+tok AS (SELECT tenant_id, realm_id, k, 'st-' || CAST(k AS VARCHAR) AS state,
+               CAST({_BASE_MS} + k * 60000 AS BIGINT) AS created_at, 3600 AS expires_in,
+               CAST(86400 * (k % 120 + 1) AS INTEGER) AS x_refresh,
+               TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(k % 1000 AS BIGINT)) AS updated_at,
+               'at-' || CAST(k AS VARCHAR) AS access_token FROM tt),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY updated_at DESC, realm_id DESC) AS rn
+                      FROM tok) WHERE rn = 1)"""
+
+ORACLE["token_records"] = f"""
+WITH {_TOKENS}
+SELECT tenant_id, realm_id, k AS seq, 'st-' || CAST(k AS VARCHAR) AS state,
+       CASE WHEN k % 50 = 7 THEN NULL ELSE CAST(k % 500 AS INTEGER) END AS latency,
+       'idt-' || CAST(k AS VARCHAR) AS id_token, CAST({_BASE_MS} + k * 60000 AS BIGINT) AS created_at,
+       3600 AS expires_in, 'bearer' AS token_type,
+       CASE WHEN k % 97 <> 5 THEN 'at-' || CAST(k AS VARCHAR) END AS access_token,
+       'rt-' || CAST(k AS VARCHAR) AS refresh_token, CAST(86400 * (k % 120 + 1) AS INTEGER) AS x_refresh_token_expires_in,
+       k % 97 <> 5 AS accepted,
+       CASE WHEN k % 97 = 5 THEN 'Missing required fields: access_token' END AS reason
+FROM p"""
+
+ORACLE["encrypt_roundtrip"] = f"""
+WITH {_TOKENS}
+SELECT tenant_id, realm_id, 'idt-' || CAST(k AS VARCHAR) AS id_token, 'at-' || CAST(k AS VARCHAR) AS access_token,
+       'rt-' || CAST(k AS VARCHAR) AS refresh_token, CAST(28 + length('at-' || CAST(k AS VARCHAR)) AS INTEGER) AS cipher_len,
+       true AS roundtrip_ok
+FROM tt"""
+
+ORACLE["latest_by"] = f"WITH {_TOKENS} SELECT tenant_id, realm_id, updated_at, created_at, state FROM lt"
+
+_NOW_MS = _BASE_MS + 30 * 86400 * 1000
+ORACLE["connection_status"] = f"""
+WITH {_TOKENS}, sc AS (SELECT DISTINCT CAST(c_custkey % 120 AS INTEGER) AS tenant_id FROM customer)
+SELECT sc.tenant_id,
+       CASE WHEN lt.realm_id IS NULL THEN 'not_connected'
+            WHEN {_NOW_MS} < lt.created_at + lt.expires_in * 1000 OR {_NOW_MS} < lt.created_at + CAST(lt.x_refresh AS BIGINT) * 1000
+            THEN 'connected' ELSE 'needs_reconnect' END AS status,
+       lt.realm_id
+FROM sc LEFT JOIN lt ON sc.tenant_id = lt.tenant_id"""
+
+ORACLE["auto_touch"] = f"""
+WITH {_TOKENS}
+SELECT tenant_id, realm_id,
+       CASE WHEN tenant_id % 3 = 0 THEN 'new-' || access_token ELSE access_token END AS access_token,
+       CASE WHEN tenant_id % 3 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE updated_at END AS updated_at,
+       tenant_id % 3 = 0 AS touched
+FROM tok"""
+
+ORACLE["item_payload"] = """
+WITH li AS (
+  SELECT p_partkey AS item_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name,
+         CASE p_partkey % 4 WHEN 1 THEN 'Service' WHEN 2 THEN 'NonInventory' ELSE 'Inventory' END AS type,
+         CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice ELSE 0.0 END AS price,
+         CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS qty,
+         CASE WHEN p_partkey % 10 = 4 THEN p_partkey + 1000000000 WHEN p_partkey % 2 = 0 THEN p_partkey END AS qb_item_id
+  FROM part)
+SELECT item_id, CASE WHEN qb_item_id IS NOT NULL AND qb_item_id >= 1000000000 THEN 'rejected' ELSE 'ok' END AS status,
+       name AS "Name", type AS "Type", price AS "UnitPrice",
+       CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN qty END AS "QtyOnHand",
+       CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN true END AS "TrackQtyOnHand",
+       CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '2024-06-01' END AS "InvStartDate",
+       CAST(qb_item_id AS VARCHAR) AS "Id",
+       CASE WHEN qb_item_id IS NOT NULL AND qb_item_id < 1000000000 THEN CAST(qb_item_id % 4 AS VARCHAR) END AS "SyncToken",
+       CASE WHEN NOT coalesce(qb_item_id >= 1000000000, false) THEN '79' END AS income_ref,
+       CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '80' END AS expense_ref,
+       CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '81' END AS asset_ref
+FROM li"""
+
+_NUM_RE = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+ORACLE["parse_number"] = f"""
+WITH r AS (
+  SELECT event_id, CASE event_id % 10 WHEN 0 THEN ' 12 ' WHEN 1 THEN '1e3' WHEN 2 THEN '12x' WHEN 3 THEN '1d'
+                     WHEN 4 THEN 'NaN' WHEN 5 THEN 'Infinity' WHEN 6 THEN '' WHEN 7 THEN NULL
+                     WHEN 8 THEN json_extract_string(props, '$.k') ELSE '-.5' END AS raw
+  FROM events),
+n AS (SELECT event_id, raw,
+             CASE WHEN regexp_full_match(trim(raw), '{_NUM_RE}') AND isfinite(TRY_CAST(trim(raw) AS DOUBLE))
+                  THEN TRY_CAST(trim(raw) AS DOUBLE) END AS num FROM r)
+SELECT event_id, raw, num, CASE WHEN raw IS NULL OR trim(raw) = '' THEN 0.0 ELSE num END AS num_blank_zero FROM n"""
+
+ORACLE["audit_unique"] = """
+SELECT 'menu_items' AS table_name, 'unique' AS rule, p_name || '|' || CAST(p_partkey % 4 AS VARCHAR) AS key,
+       count(*) AS n
+FROM part GROUP BY p_name, p_partkey % 4 HAVING count(*) > 1"""
+
+ORACLE["audit_primary_key"] = """
+SELECT 'lineitem' AS table_name, 'primary_key' AS rule,
+       CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, count(*) AS n
+FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
+UNION ALL
+SELECT 'lineitem', 'not_null', coalesce(CAST(l_orderkey AS VARCHAR), 'NULL') || '|' ||
+       coalesce(CAST(l_linenumber AS VARCHAR), 'NULL'), count(*)
+FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL GROUP BY 3"""
+
+ORACLE["audit_not_null"] = """
+SELECT 'entities' AS table_name, 'not_null' AS rule, CAST(o_orderkey AS VARCHAR) AS key, 'tenant_id' AS column_name
+FROM orders WHERE o_orderkey % 11 = 0"""
+
+ORACLE["audit_length"] = """
+SELECT 'entities' AS table_name, 'length' AS rule, CAST(o_orderkey AS VARCHAR) AS key, 'phone' AS column_name
+FROM orders WHERE o_orderkey % 60 > 50
+UNION ALL
+SELECT 'entities', 'length', CAST(o_orderkey AS VARCHAR), 'address' FROM orders WHERE o_orderkey % 600 > 500"""
+
+ORACLE["audit_domain"] = """
+SELECT 'entity_types' AS table_name, 'domain' AS rule, CAST(o_orderkey AS VARCHAR) AS key, 'name' AS column_name
+FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'"""
+
+ORACLE["audit_reference"] = """
+SELECT 'skus' AS table_name, 'reference' AS rule,
+       CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) AS key, 'menu_items' AS parent,
+       CAST(l_partkey AS VARCHAR) || '|' || CAST(l_suppkey % 4 AS VARCHAR) AS ref
+FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_partkey % 4 = l.l_suppkey % 4)"""
+
+ORACLE["default_fill"] = """
+SELECT l_orderkey, l_linenumber, l_partkey AS menu_item_id, CAST(l_suppkey % 4 AS INTEGER) AS tenant_id,
+       'SKU-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS sku, 1.0 AS ratio,
+       5.0 AS alert_threshold
+FROM lineitem"""
+
+ORACLE["snapshot_roundtrip"] = """
+SELECT CAST(p_partkey % 4 AS INTEGER) AS tenant_id, CAST(p_partkey AS VARCHAR) AS "Id",
+       p_name || ' ' || CAST(p_partkey AS VARCHAR) AS "Name", p_retailprice AS "UnitPrice",
+       CASE p_partkey % 3 WHEN 0 THEN 'Inventory' WHEN 1 THEN 'Service' ELSE 'NonInventory' END AS "Type",
+       CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS "QtyOnHand"
+FROM part"""
+
+ORACLE["commit_table_roundtrip"] = SYNC_CTES + "SELECT * FROM t WHERE tenant_id = 2"
