@@ -135,26 +135,38 @@ def _name_key(c: Column, collation: str | None) -> Column:
 
 
 def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: DataFrame):
+    """rows: the prepared batch (checkpointed).  Returns (updates, inserts,
+    rejects)."""
     seq = F.struct("batch_no", "pos")
     keyed = rows.where(F.col("qb_id").isNotNull())
     nulls = rows.where(F.col("qb_id").isNull())
 
     # Which batch keys exist in the target.  The batch keys side is the
     # small one in an incremental sync (AQE broadcasts it, the target is not
-    # shuffled); NULL target ids are filtered before any keyed work.
+    # shuffled); NULL ids never enter a keyed join (they would all hash to one
+    # task).
     tkeys = target.where(F.col("qb_id").isNotNull()).select(*KEYS)
     bkeys = keyed.select(*KEYS).distinct()
     matched_keys = tkeys.join(bkeys, KEYS, "left_semi").distinct().withColumn("_m", F.lit(True))
     km = keyed.join(matched_keys, KEYS, "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
+    # J1/J2 only for insert candidates; one resolved frame, materialised once
+    # so the several outputs below share it (and a lost executor never
+    # re-derives it differently).
+    checked = check_inserts(km.where(~F.col("_m")).unionByName(nulls.withColumn("_m", F.lit(False))),
+                            types, branches)
+    matched = km.where("_m").select("*", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("string").alias("reason"),
+                                    F.lit(True).alias("_ok"))
+    resolved = checked.unionByName(matched).checkpoint(eager=True)
 
     # Updates: last row of each matched group.
-    updates = (km.where("_m").groupBy(*KEYS)
+    updates = (resolved.where("_m").groupBy(*KEYS)
                .agg(F.max(F.struct("batch_no", "pos", *TEXT_COLS)).alias("_last"), F.count(F.lit(1)).alias("n_rows")))
     updates = updates.select(*KEYS, *[F.col("_last")[c].alias(c) for c in TEXT_COLS],
                              F.col("_last.batch_no").alias("batch_no"), F.col("_last.pos").alias("pos"), "n_rows")
 
-    # Insert candidates: unmatched keyed rows and NULL-id rows, checked.
-    ku = check_inserts(km.where(~F.col("_m")).drop("_m"), types, branches)
+    # Inserts: per unmatched key, the first valid row inserts and the last
+    # row's text wins.
+    ku = resolved.where(~F.col("_m") & F.col("qb_id").isNotNull())
     groups = (ku.groupBy(*KEYS)
               .agg(F.min(F.when(F.col("_ok"), F.struct("batch_no", "pos", "type", "type_id", "branch_id")))
                    .alias("_first"),
@@ -172,7 +184,7 @@ def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: Dat
                      .where(F.col("_fb").isNull() | (seq < F.struct(F.col("_fb"), F.col("_fp"))))
                      .drop("_fb", "_fp"))
 
-    nu = check_inserts(nulls, types, branches)
+    nu = resolved.where(F.col("qb_id").isNull())
     null_inserts = nu.where("_ok").select("batch_no", "tenant_id", "pos", "qb_id", *TEXT_COLS, "type", "type_id",
                                           "branch_id")
     rejects = keyed_rejects.select(*BATCH_COLS, "reason").unionByName(nu.where(~F.col("_ok")).select(*BATCH_COLS, "reason"))
@@ -204,12 +216,15 @@ def _apply(target: DataFrame, updates: DataFrame, inserted: DataFrame) -> DataFr
     return upd.unionByName(keep).unionByName(new)
 
 
-def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame:
+def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame | None:
     """Changes that break (name, tenant_id) uniqueness -> their source keys
-    (tenant_id, qb_id, batch_no, pos) to reject.
+    (tenant_id, qb_id, batch_no, pos) to reject; None when there is none.
 
     Within a clash group: an unchanged holder of the name keeps it and every
-    change is rejected; otherwise the earliest change wins."""
+    change is rejected; otherwise the earliest change wins.  Only rows whose
+    (tenant, name) a change touches are looked at; they are materialised once
+    and grouped with a partial aggregation (a hot blank name never lands in
+    one task)."""
     key = _name_key(F.col("name"), collation)
     changed = F.col("_hit") & (F.col("_old_name").isNull() |
                                (key != _name_key(F.col("_old_name"), collation)))
@@ -217,10 +232,18 @@ def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame:
     touched = t.where("_chg").select("tenant_id", "_nk").distinct()
     cand = t.join(touched, ["tenant_id", "_nk"], "left_semi")
     seq = F.struct("_src_batch", "_src_pos")
-    groups = (cand.groupBy("tenant_id", "_nk")
-              .agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_chg")).alias("_n_keep"),
-                   F.min(F.when(F.col("_chg"), seq)).alias("_win"))
-              .where(F.col("_n") > 1))
+
+    def clash_groups(frame):
+        return (frame.groupBy("tenant_id", "_nk")
+                .agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_chg")).alias("_n_keep"),
+                     F.min(F.when(F.col("_chg"), seq)).alias("_win"))
+                .where(F.col("_n") > 1))
+
+    # Common case first: one aggregate job finds no clash at all.
+    if clash_groups(cand).select(F.count(F.lit(1))).first()[0] == 0:
+        return None
+    cand = cand.checkpoint(eager=True)
+    groups = clash_groups(cand)
     c = cand.where("_chg").join(groups, ["tenant_id", "_nk"])
     win_rows = c.where(seq == F.col("_win")).groupBy("tenant_id", "_nk").agg(F.count(F.lit(1)).alias("_n_win"))
     c = c.join(win_rows, ["tenant_id", "_nk"], "left")
@@ -240,20 +263,21 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error must be 'reject' or 'fail'")
-    rows = prepare_batch(batch)
-    spark = rows.sparkSession
+    # The batch feeds several joins and aggregations: materialise it once.
+    rows = prepare_batch(batch).checkpoint(eager=True)
     clash_rejects = None
+    e_start = next_id(target)
     while True:
-        live = rows if clash_rejects is None else _drop_groups(rows, clash_rejects)
+        live = rows if clash_rejects is None else _drop_groups(rows, clash_rejects).checkpoint(eager=True)
         updates, inserts, rejects = _resolve(target, live, types, branches)
         if on_error == "fail":
             first = rejects.select("reason").first()
             if first is not None:
                 raise UpsertError(first["reason"])
-        inserted = assign_ids(inserts, ["batch_no", "tenant_id", "pos", "qb_id"], start=next_id(target))
+        inserted = assign_ids(inserts, ["batch_no", "tenant_id", "pos", "qb_id"], start=e_start)
         table = _apply(target, updates, inserted)
-        clashes = _name_clashes(table, collation).checkpoint(eager=True)
-        if clashes.isEmpty():
+        clashes = _name_clashes(table, collation)
+        if clashes is None:
             break
         if on_error == "fail":
             raise UpsertError("Duplicate entry for key (name, tenant_id)")
@@ -267,11 +291,10 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
         rejects = rejects.unionByName(dup.select(*BATCH_COLS, "reason"))
 
     entities = table.select(*S.ENTITY_COLUMNS)
+    # Assignment ids follow the same dense order as the new entity ids.
     a_start = next_id(assignments) if assignments is not None else 1
-    new_assign = assign_ids(inserted.select("id", "type_id", "tenant_id", "batch_no", "pos", "qb_id"),
-                            ["batch_no", "tenant_id", "pos", "qb_id"], start=a_start, id_col="_aid")
-    assignments_out = new_assign.select(F.col("_aid").alias("id"), F.col("id").alias("entity"),
-                                        F.col("type_id").alias("type"), "tenant_id")
+    assignments_out = inserted.select((F.col("id") - F.lit(e_start) + F.lit(a_start)).alias("id"),
+                                      F.col("id").alias("entity"), F.col("type_id").alias("type"), "tenant_id")
     branch_links = inserted.select(F.col("id").alias("entity_id"), "branch_id")
     stats = sync_stats(rows, inserted, rejects)
     return UpsertResult(entities, assignments_out, branch_links, rejects, inserted, stats)

@@ -438,3 +438,29 @@ def q_commit_table_roundtrip(spark, sf_dir):
     commit_table(D.local_entities(spark, sf_dir), root)
     from tallyspark import schemas as S
     return read_table(spark, root).where(F.col("tenant_id") == 2).select(*S.ENTITY_COLUMNS)
+
+
+# ---------------------------------------------------------------------------
+# Streaming
+# ---------------------------------------------------------------------------
+
+@query
+def q_incremental_sync(spark, sf_dir):
+    """Land one file of customer pages per tenant, stream them in (one file
+    per micro-batch) onto a committed copy of the local entities table, and
+    return the final table version."""
+    from tallyspark.session import shared_path
+    from tallyspark.sources.tables import commit_table, read_table
+    from tallyspark.streaming.incremental import start_sync
+    root = shared_path(spark, "tables", "stream_entities")
+    commit_table(D.local_entities(spark, sf_dir), root)
+    landing = shared_path(spark, "landing", "customers")
+    pages = D.customer_pages(spark, sf_dir).persist()
+    tenant = F.element_at(F.split("source", "/"), 2).cast("int")
+    for (t,) in pages.select(tenant.alias("t")).distinct().orderBy("t").collect():
+        pages.where(tenant == t).coalesce(1).write.mode("append").json(landing)
+    pages.unpersist()
+    q = start_sync(spark, landing, root, shared_path(spark, "stream_checkpoints"), D.entity_types(spark),
+                   D.branches(spark, sf_dir), files_per_batch=1)
+    q.awaitTermination()
+    return read_table(spark, root)

@@ -517,3 +517,14 @@ def part_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
                     F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 4).cast("int").alias("tenant_id"))
+
+
+def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer documents as landed pages, one source per tenant
+    ('Customer/<tenant>/<branch>', branch = tenant + 1), 1000 per page by
+    position."""
+    from tallyspark.sources.pages import pack_pages
+    from tallyspark.streaming.incremental import source_path
+    docs = remote_customers(spark, sf_dir)
+    docs = docs.withColumn("_source", source_path("Customer", F.col("tenant_id"), F.col("tenant_id") + 1))
+    return pack_pages(docs.drop("tenant_id"), "Customer", order_col="pos", source=F.col("_source"))

@@ -475,3 +475,33 @@ SELECT CAST(p_partkey % 4 AS INTEGER) AS tenant_id, CAST(p_partkey AS VARCHAR) A
 FROM part"""
 
 ORACLE["commit_table_roundtrip"] = SYNC_CTES + "SELECT * FROM t WHERE tenant_id = 2"
+
+ORACLE["incremental_sync"] = f"""
+WITH rc AS ({RC}),
+t AS (
+  SELECT c_custkey * 2 + 1 AS id, c_name AS name, '' AS email, '' AS phone, 'keep' AS note,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Customer' END AS type,
+         CASE WHEN c_custkey % 10 <> 9 THEN CAST(c_custkey AS VARCHAR) END AS qb_id,
+         c_nationkey % 4 AS tenant_id, false AS is_intrinsic, CAST(NULL AS INTEGER) AS ntn, '' AS address
+  FROM customer WHERE c_custkey % 10 <> 0
+  UNION ALL
+  SELECT s_suppkey * 2 + 2, s_name, '', '', 'keep', 'Vendor',
+         CASE WHEN s_suppkey % 10 <> 9 THEN 'S' || CAST(s_suppkey AS VARCHAR) END,
+         s_nationkey % 4, false, CAST(NULL AS INTEGER), ''
+  FROM supplier WHERE s_suppkey % 10 <> 0),
+b AS (SELECT {_NORM_ROW} FROM rc),
+m AS (SELECT DISTINCT tenant_id, qb_id FROM t WHERE qb_id IS NOT NULL),
+upd AS (SELECT b.* FROM b JOIN m ON b.tenant_id = m.tenant_id AND b.qb_id = m.qb_id),
+ins AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tenant_id = b.tenant_id AND m.qb_id = b.qb_id)),
+insid AS (SELECT *, (SELECT max(id) FROM t) + row_number() OVER (ORDER BY tenant_id, pos) AS id FROM ins)
+SELECT t.id,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.name ELSE t.name END AS name,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.email ELSE t.email END AS email,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.phone ELSE t.phone END AS phone,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.note ELSE t.note END AS note,
+       t.type, t.qb_id, t.tenant_id, t.is_intrinsic, t.ntn,
+       CASE WHEN u.qb_id IS NOT NULL THEN u.address ELSE t.address END AS address
+FROM t LEFT JOIN upd u ON t.tenant_id = u.tenant_id AND t.qb_id = u.qb_id
+UNION ALL
+SELECT id, name, email, phone, note, CAST(NULL AS VARCHAR), qb_id, tenant_id, false, CAST(NULL AS INTEGER), address
+FROM insid"""
