@@ -107,3 +107,39 @@ def test_driver_contract(spark):
     assert set(o) <= set(q) and len(q) >= 40
     df = E.entry(spark)
     assert df.count() > 0 and "qb_id" in df.columns
+
+
+def test_token_record_roundtrip_and_status_class(spark):
+    from tallyspark.operators.credentials import from_token_record, to_token_record
+    from tallyspark.sources.pages import status_ok
+    p = spark.createDataFrame([(1, "r", "s", "12.5", None, "1700000000000", "3600", "bearer", "a", "b", "x")],
+                              "tenant_id int, realm_id string, state string, latency string, id_token string, "
+                              "createdAt string, expires_in string, token_type string, access_token string, "
+                              "refresh_token string, x_refresh_token_expires_in string")
+    rec = to_token_record(p).first()
+    assert (rec["latency"], rec["created_at"], rec["expires_in"], rec["x_refresh_token_expires_in"]) == \
+        (13, 1700000000000, 3600, None)
+    back = from_token_record(to_token_record(p).withColumn("access_token", F.col("access_token").cast("binary"))).first()
+    assert back["access_token"] == "a" and back["realmId"] == "r"
+    st = spark.createDataFrame([(200,), (201,), (404,), (500,)], "s int")
+    assert [r[0] for r in st.select(status_ok(F.col("s"))).collect()] == [True, True, False, False]
+
+
+def test_upsert_twice_equals_once(spark):
+    """Re-applying a batch without NULL ids (and no rejects) changes nothing."""
+    from tallyspark.operators.upsert import upsert_entities
+    t = spark.createDataFrame([(1, "A", "", "", "keep", None, "7", 0, False, None, "")], S.ENTITIES)
+    b = spark.createDataFrame([(0, 0, 0, "A2", "e", None, None, None, "7", "Customer", 1),
+                               (0, 0, 1, "B", None, None, None, None, "8", "Vendor", 1)],
+                              "batch_no int, tenant_id int, pos long, name string, email string, phone string, "
+                              "address string, note string, qb_id string, type string, branch_id int")
+    types = spark.createDataFrame([(i + 1, n) for i, n in enumerate(S.ENTITY_TYPE_NAMES)], S.ENTITY_TYPES)
+    br = spark.createDataFrame([(1, 0, "Main")], S.BRANCHES)
+    once = upsert_entities(t, b, types, br).entities.checkpoint()
+    twice = upsert_entities(once, b, types, br).entities
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    from tallyspark.operators.upsert import check_inserts, prepare_batch
+    checked = check_inserts(prepare_batch(b), types, br)
+    checked.collect()
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # the type lookup is broadcast
