@@ -254,19 +254,24 @@ def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame | None:
 
 def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branches: DataFrame,
                     assignments: DataFrame | None = None, on_error: str = "reject",
-                    collation: str | None = "UNICODE_CI_AI") -> UpsertResult:
+                    collation: str | None = "UNICODE_CI_AI", first_new_id: int | None = None,
+                    first_new_assignment_id: int | None = None) -> UpsertResult:
     """U1 over a whole (possibly multi-tenant, multi-type) batch.
 
     batch: batch_no, tenant_id, pos, name, email, phone, address, note, qb_id,
     type, branch_id.  target: the entities table.  Returns the new table and
     its side outputs; nothing is written.
+
+    ``target`` may be only the tenants the batch touches (matching and name
+    uniqueness are per tenant); then pass ``first_new_id`` (the table-wide
+    max id + 1) so new ids stay unique.
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error must be 'reject' or 'fail'")
     # The batch feeds several joins and aggregations: materialise it once.
     rows = prepare_batch(batch).checkpoint(eager=True)
     clash_rejects = None
-    e_start = next_id(target)
+    e_start = first_new_id if first_new_id is not None else next_id(target)
     while True:
         live = rows if clash_rejects is None else _drop_groups(rows, clash_rejects).checkpoint(eager=True)
         updates, inserts, rejects = _resolve(target, live, types, branches)
@@ -292,7 +297,8 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
 
     entities = table.select(*S.ENTITY_COLUMNS)
     # Assignment ids follow the same dense order as the new entity ids.
-    a_start = next_id(assignments) if assignments is not None else 1
+    a_start = (first_new_assignment_id if first_new_assignment_id is not None
+               else next_id(assignments) if assignments is not None else 1)
     assignments_out = inserted.select((F.col("id") - F.lit(e_start) + F.lit(a_start)).alias("id"),
                                       F.col("id").alias("entity"), F.col("type_id").alias("type"), "tenant_id")
     branch_links = inserted.select(F.col("id").alias("entity_id"), "branch_id")
@@ -354,11 +360,14 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update_cols: l
     t_keyed, t_null = target.where(~null_key), target.where(null_key)
     s_keyed, s_null = src.where(~null_key), src.where(null_key)
     u = s_keyed.select(*keys, *[F.col(c).alias("_u_" + c) for c in update_cols], F.lit(True).alias("_hit"))
+    # The (deduplicated) source is usually the small side: AQE broadcasts it
+    # and the target is never shuffled.  Matched keys come out of that same
+    # join, so finding the inserts needs no pass over all target keys.
     j = t_keyed.join(u, keys, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     updated = j.select(*[F.when(hit, F.col("_u_" + c)).otherwise(F.col(c)).alias(c) if c in update_cols else F.col(c)
                          for c in target.columns])
-    matched = t_keyed.select(*keys).distinct()
+    matched = j.where(hit).select(*keys).distinct()
     new_rows = s_keyed.join(matched, keys, "left_anti").unionByName(s_null, allowMissingColumns=True)
     defaults = defaults or {}
     ins = new_rows.select(*[(F.col(c) if c in new_rows.columns else F.lit(defaults.get(c))).cast(target.schema[c].dataType)
@@ -374,7 +383,10 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order_c
         other = [c for c in source.columns if c not in keys]
         src = (source.groupBy(*keys).agg(F.min(F.struct(order_col, *[c for c in other if c != order_col])).alias("_w"))
                .select(*keys, *[F.col("_w")[c].alias(c) for c in other]))
-    new = src.join(target.select(*keys).distinct(), keys, "left_anti")
+    # Probe the target only for the source's keys (a semi join the source
+    # side of which AQE can broadcast), not a distinct over all target keys.
+    existing = target.select(*keys).join(src.select(*keys).distinct(), keys, "left_semi").distinct()
+    new = src.join(existing, keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 
 

@@ -449,11 +449,12 @@ def q_incremental_sync(spark, sf_dir):
     """Land one file of customer pages per tenant, stream them in (one file
     per micro-batch) onto a committed copy of the local entities table, and
     return the final table version."""
+    from tallyspark import schemas as S
     from tallyspark.session import shared_path
-    from tallyspark.sources.tables import commit_table, read_table
+    from tallyspark.sources.tables import init_partitioned, read_partitions
     from tallyspark.streaming.incremental import start_sync
     root = shared_path(spark, "tables", "stream_entities")
-    commit_table(D.local_entities(spark, sf_dir), root)
+    init_partitioned(D.local_entities(spark, sf_dir), root)
     landing = shared_path(spark, "landing", "customers")
     pages = D.customer_pages(spark, sf_dir).persist()
     tenant = F.element_at(F.split("source", "/"), 2).cast("int")
@@ -463,4 +464,4 @@ def q_incremental_sync(spark, sf_dir):
     q = start_sync(spark, landing, root, shared_path(spark, "stream_checkpoints"), D.entity_types(spark),
                    D.branches(spark, sf_dir), files_per_batch=1)
     q.awaitTermination()
-    return read_table(spark, root)
+    return read_partitions(spark, root).select(*S.ENTITY_COLUMNS)

@@ -66,3 +66,60 @@ def commit_table(df: DataFrame, root: str, partition_by: list[str] | None = None
     (spark.createDataFrame([(version, last_batch)], POINTER).coalesce(1)
      .write.mode("overwrite").json(_pointer_path(root)))
     return version
+
+
+# ---------------------------------------------------------------------------
+# Partition-scoped table (for incremental upserts): rows live in <root>/data,
+# partitioned by tenant; a change rewrites only the tenants it touches.
+# ---------------------------------------------------------------------------
+
+STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType())])
+
+
+def _state_path(root: str) -> str:
+    return root.rstrip("/") + "/_state"
+
+
+def data_path(root: str) -> str:
+    return root.rstrip("/") + "/data"
+
+
+def read_state(spark: SparkSession, root: str) -> tuple[int, int]:
+    """(last applied batch id, largest id in the table)."""
+    row = spark.read.schema(STATE).json(_state_path(root)).first()
+    return (-1 if row["batch_id"] is None else int(row["batch_id"]), 0 if row["max_id"] is None else int(row["max_id"]))
+
+
+def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int) -> None:
+    spark.createDataFrame([(batch_id, max_id)], STATE).coalesce(1).write.mode("overwrite").json(_state_path(root))
+
+
+def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id", id_col: str = "id") -> None:
+    """Create the table from ``df`` (one full write)."""
+    df.write.mode("errorifexists").partitionBy(partition_by).parquet(data_path(root))
+    mx = df.agg(F.max(id_col)).first()[0]
+    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx))
+
+
+def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame | None = None,
+                    partition_by: str = "tenant_id", max_literals: int = 10000) -> DataFrame:
+    """Current rows, optionally only for some tenants.  A list (or a small
+    frame of ids) becomes an IN filter on the partition column, which Spark
+    prunes at file listing; a larger set falls back to a semi join."""
+    df = spark.read.parquet(data_path(root))
+    if tenants is None:
+        return df
+    if isinstance(tenants, DataFrame):
+        ids = [r[0] for r in tenants.select(partition_by).distinct().limit(max_literals + 1).collect()]
+        if len(ids) > max_literals:
+            return df.join(tenants.select(partition_by).distinct(), partition_by, "left_semi")
+        tenants = ids
+    return df.where(F.col(partition_by).isin(list(tenants)))
+
+
+def replace_partitions(staged: DataFrame, root: str, partition_by: str = "tenant_id") -> None:
+    """Replace exactly the partitions present in ``staged`` (dynamic partition
+    overwrite).  ``staged`` must not read from the table itself (write it to a
+    staging folder first): the job never overwrites what it reads."""
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(partition_by).parquet(data_path(root)))

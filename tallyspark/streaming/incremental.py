@@ -2,14 +2,22 @@
 
 In place of a queued background job (own process, retries), a Structured
 Streaming query reads new landed-page files and applies each micro-batch with
-``foreachBatch``: fault split -> explode -> normalise -> upsert -> commit a
-new table version.  The table is the state, so no state store is needed.
-
-Replays are harmless: the table pointer records the last applied batch id and
-a micro-batch at or below it is skipped; side outputs (links, rejects,
-faults) go to per-batch folders written with overwrite, and the pointer moves
-last.  A landed page's ``source`` is ``<Entity>/<tenant_id>/<branch_id>``
-(the job payload of the source system).
+``foreachBatch``: fault split -> explode -> normalise -> upsert -> replace the
+touched partitions.  The table is the state, so no state store is needed.
+
+Each micro-batch touches only its own tenants: their partitions are read
+(pruned at file listing), the upsert result is staged once under
+``_staging/batch_id=<n>``, and exactly those tenant partitions are replaced
+(dynamic partition overwrite); the rest of the table is not rewritten.  The
+table state records the last applied batch id and the largest id, so new ids
+stay unique without scanning the table.
+
+Replays are harmless: a batch at or below the recorded id is skipped; a batch
+whose result was already staged is re-committed from the stage, never
+recomputed (re-running the upsert on a half-committed table could insert
+NULL-id rows twice); side outputs go to per-batch folders written with
+overwrite; the state moves last.  A landed page's ``source`` is
+``<Entity>/<tenant_id>/<branch_id>`` (the job payload of the source system).
 """
 
 from __future__ import annotations
@@ -20,20 +28,21 @@ from pyspark.sql import functions as F
 from tallyspark.operators.normalize import normalize_party
 from tallyspark.operators.upsert import upsert_entities
 from tallyspark.sources.pages import LANDED_PAGE, explode_pages, split_faults
-from tallyspark.sources.tables import commit_table, current_pointer, read_table
+from tallyspark.sources.tables import read_partitions, read_state, replace_partitions, write_state
 
 
 def source_path(entity: str, tenant_id, branch_id):
     return F.concat_ws("/", F.lit(entity), tenant_id.cast("string"), branch_id.cast("string"))
 
 
-def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, table_root: str, types: DataFrame,
-                       branches: DataFrame, entity: str = "Customer") -> bool:
-    """Apply one batch of landed pages to the table at ``table_root``.
-    Returns False when the batch was already applied."""
-    ptr = current_pointer(spark, table_root)
-    if ptr is not None and ptr[1] >= batch_id:
-        return False
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def landed_rows(pages: DataFrame, batch_id: int, entity: str = "Customer") -> tuple[DataFrame, DataFrame]:
+    """Landed pages -> (sync batch rows, fault pages)."""
     good, faults = split_faults(pages, entity, mode="reject")
     parts = F.split(F.col("source"), "/")
     recs = explode_pages(good.withColumn("tenant_id", F.element_at(parts, 2).cast("int"))
@@ -41,14 +50,36 @@ def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, tab
                          entity, keep=["tenant_id", "branch_id"])
     rows = (normalize_party(recs, keep=["tenant_id", "branch_id", "pos"])
             .withColumn("batch_no", F.lit(batch_id).cast("int")).withColumn("type", F.lit(entity)))
-    target = read_table(spark, table_root)
-    result = upsert_entities(target, rows, types, branches)
-    side = table_root.rstrip("/") + "_side"
-    result.assignments.write.mode("overwrite").parquet(f"{side}/assignments/batch_id={batch_id}")
-    result.branch_links.write.mode("overwrite").parquet(f"{side}/branch_links/batch_id={batch_id}")
-    result.rejects.write.mode("overwrite").parquet(f"{side}/rejects/batch_id={batch_id}")
-    faults.write.mode("overwrite").parquet(f"{side}/faults/batch_id={batch_id}")
-    commit_table(result.entities, table_root, batch_id=batch_id)
+    return rows, faults
+
+
+def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, table_root: str, types: DataFrame,
+                       branches: DataFrame, entity: str = "Customer") -> bool:
+    """Apply one batch of landed pages to the partitioned table at
+    ``table_root``.  Returns False when the batch was already applied."""
+    last_batch, max_id = read_state(spark, table_root)
+    if last_batch >= batch_id:
+        return False
+    root = table_root.rstrip("/")
+    stage = f"{root}/_staging/batch_id={batch_id}"
+    meta = f"{root}/_staging/done_batch_id={batch_id}"
+    if not _exists(spark, meta + "/_state/_SUCCESS"):  # written last: the stage is complete
+        rows, faults = landed_rows(pages, batch_id, entity)
+        tenants = rows.select("tenant_id").distinct()
+        target = read_partitions(spark, root, tenants)
+        result = upsert_entities(target, rows, types, branches, first_new_id=max_id + 1,
+                                 first_new_assignment_id=max_id + 1)
+        result.entities.write.mode("overwrite").partitionBy("tenant_id").parquet(stage)
+        side = f"{root}/_side"
+        result.assignments.write.mode("overwrite").parquet(f"{side}/assignments/batch_id={batch_id}")
+        result.branch_links.write.mode("overwrite").parquet(f"{side}/branch_links/batch_id={batch_id}")
+        result.rejects.write.mode("overwrite").parquet(f"{side}/rejects/batch_id={batch_id}")
+        faults.write.mode("overwrite").parquet(f"{side}/faults/batch_id={batch_id}")
+        new_max = result.inserted.agg(F.max("id")).first()[0]
+        write_state(spark, meta, batch_id, max_id if new_max is None else int(new_max))
+    staged_batch, new_max = read_state(spark, meta)
+    replace_partitions(spark.read.parquet(stage), root)
+    write_state(spark, root, batch_id, new_max)
     return True
 
 

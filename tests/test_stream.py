@@ -6,14 +6,14 @@ import json
 
 from tallyspark import schemas as S
 from tallyspark.sources.pages import LANDED_PAGE
-from tallyspark.sources.tables import commit_table, current_pointer, read_table
+from tallyspark.sources.tables import init_partitioned, read_partitions, read_state
 from tallyspark.streaming.incremental import apply_landed_batch, start_sync
 
 
 def _setup(spark, tmp_path):
     root = str(tmp_path / "ent")
     target = spark.createDataFrame([(1, "A", "", "", "keep", None, "7", 0, False, None, "")], S.ENTITIES)
-    commit_table(target, root)
+    init_partitioned(target, root)
     types = spark.createDataFrame([(i + 1, n) for i, n in enumerate(S.ENTITY_TYPE_NAMES)], S.ENTITY_TYPES)
     branches = spark.createDataFrame([(1, 0, "Main")], S.BRANCHES)
     return root, types, branches
@@ -30,8 +30,21 @@ def test_replayed_batch_is_skipped(spark, tmp_path):
                                   LANDED_PAGE)
     assert apply_landed_batch(spark, pages, 0, root, types, branches) is True
     assert apply_landed_batch(spark, pages, 0, root, types, branches) is False
-    assert current_pointer(spark, root) == (1, 0)
-    assert sorted((r["id"], r["name"]) for r in read_table(spark, root).collect()) == [(1, "A2"), (2, "B")]
+    assert read_state(spark, root) == (0, 2)
+    assert sorted((r["id"], r["name"]) for r in read_partitions(spark, root).collect()) == [(1, "A2"), (2, "B")]
+
+
+def test_only_touched_tenants_rewritten(spark, tmp_path):
+    root, types, branches = _setup(spark, tmp_path)
+    other = spark.createDataFrame([(5, "Z", "", "", "keep", None, "z", 3, False, None, "")], S.ENTITIES)
+    other.write.mode("append").partitionBy("tenant_id").parquet(root + "/data")
+    import glob
+    before = sorted(glob.glob(root + "/data/tenant_id=3/*.parquet"))
+    pages = spark.createDataFrame([_page([{"Id": "7", "DisplayName": "A9"}])], LANDED_PAGE)
+    assert apply_landed_batch(spark, pages, 0, root, types, branches)
+    assert sorted(glob.glob(root + "/data/tenant_id=3/*.parquet")) == before
+    got = sorted((r["tenant_id"], r["name"]) for r in read_partitions(spark, root).collect())
+    assert got == [(0, "A9"), (3, "Z")]
 
 
 def test_stream_available_now(spark, tmp_path):
@@ -41,8 +54,8 @@ def test_stream_available_now(spark, tmp_path):
         spark.createDataFrame([_page(recs)], LANDED_PAGE).coalesce(1).write.mode("append").json(landing)
     ckpt = str(tmp_path / "ckpt")
     start_sync(spark, landing, root, ckpt, types, branches, files_per_batch=1).awaitTermination()
-    got = sorted((r["id"], r["name"]) for r in read_table(spark, root).collect())
+    got = sorted((r["id"], r["name"]) for r in read_partitions(spark, root).collect())
     assert got == [(1, "A3"), (2, "C")]
     # Restart on the same checkpoint: nothing new, nothing changes.
     start_sync(spark, landing, root, ckpt, types, branches, files_per_batch=1).awaitTermination()
-    assert sorted((r["id"], r["name"]) for r in read_table(spark, root).collect()) == got
+    assert sorted((r["id"], r["name"]) for r in read_partitions(spark, root).collect()) == got
