@@ -234,11 +234,11 @@ def remote_payment_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remote_tax_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TaxCode documents from nation: no rate list when key % 7 == 6, an empty
-    detail array when key % 4 == 0, else one or two rate refs (the first ref
-    NULL when key % 5 == 3)."""
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    k = F.col("n_nationkey")
+    """TaxCode documents, one per supplier (tenant s_nationkey % 4): no rate
+    list when key % 7 == 6, an empty detail array when key % 4 == 0, else one
+    (even key) or two (odd key) rate refs, the first NULL when key % 5 == 3."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    k = F.col("s_suppkey")
 
     def detail(v):
         return F.struct(F.struct(v.alias("value")).alias("TaxRateRef"))
@@ -248,10 +248,10 @@ def remote_tax_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     arr = (F.when(k % 4 == 0, F.array().cast("array<struct<TaxRateRef:struct<value:string>>>"))
            .when(k % 2 == 1, F.array(first, second))
            .otherwise(F.array(first)))
-    return n.select(
-        F.lit(0).alias("tenant_id"),
+    return s.select(
+        (F.col("s_nationkey") % 4).cast("int").alias("tenant_id"),
         k.cast("string").alias("Id"),
-        F.concat(F.lit("Tax "), F.col("n_name")).alias("Name"),
+        F.concat(F.lit("Tax "), F.col("s_name")).alias("Name"),
         F.when(k % 7 != 6, F.struct(arr.alias("TaxRateDetail"))).alias("SalesTaxRateList"),
     )
 
@@ -342,10 +342,10 @@ def local_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmapped_item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unmapped local items (p_partkey % 5 == 0) with the text to search for:
-    the part name; with '%' for the space when % 35 == 0, '_' for 'o' when
-    % 55 == 0, and a one-letter term (too short) when % 45 == 0."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name").where(F.col("p_partkey") % 5 == 0)
+    """Every local item with the text to search for: the part name; with '%'
+    for the space when key % 35 == 0, '_' for 'o' when % 55 == 0, and a
+    one-letter term (too short) when % 45 == 0."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     k = F.col("p_partkey")
     term = (F.when(k % 45 == 0, F.substring("p_name", 1, 1))
             .when(k % 35 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit("%")))
@@ -401,21 +401,21 @@ def _setting_key(idx):
 
 
 def saved_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings already saved: customers 0..449 (not % 4 == 0), tenant = key
-    div 9, setting = key % 9."""
+    """Settings already saved: one per customer (none when key % 4 == 0),
+    tenant = key div 9, setting = key % 9 (so (tenant, setting) is unique)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("c_custkey")
-    c = c.where((k < 450) & (k % 4 != 0))
+    c = c.where(k % 4 != 0)
     return c.select(F.floor(k / 9).cast("int").alias("tenant_id"), _setting_key(k).alias("name"),
                     F.concat(F.lit("c"), k.cast("string")).alias("qb_id"), F.col("c_name").alias("qb_name"))
 
 
 def default_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Setting saves from orders (tenant o_custkey % 50, setting o_orderkey % 9,
+    """Setting saves from orders (tenant o_custkey div 9, setting o_orderkey % 9,
     in o_orderkey order); a tax_code save carries tax-rate ref 'TR' + key % 13."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
-    return o.select((F.col("o_custkey") % 50).cast("int").alias("tenant_id"), _setting_key(k).alias("name"),
+    return o.select(F.floor(F.col("o_custkey") / 9).cast("int").alias("tenant_id"), _setting_key(k).alias("name"),
                     k.cast("string").alias("qb_id"), F.concat(F.lit("Account "), k.cast("string")).alias("qb_name"),
                     F.concat(F.lit("TR"), (k % 13).cast("string")).alias("tax_rate_ref_id"), k.alias("seq"))
 
@@ -423,12 +423,13 @@ def default_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synced_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tenants whose customer sync succeeded: customers with key % 7 == 0."""
     c = table(spark, sf_dir, "customer").select("c_custkey").where(F.col("c_custkey") % 7 == 0)
-    return c.select((F.col("c_custkey") % 50).cast("int").alias("tenant_id")).distinct()
+    return c.select(F.floor(F.col("c_custkey") / 9).cast("int").alias("tenant_id")).distinct()
 
 
 def setting_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenants to report on: customer key div 8 (more than hold settings)."""
     c = table(spark, sf_dir, "customer").select("c_custkey")
-    return c.select((F.col("c_custkey") % 60).cast("int").alias("tenant_id"))
+    return c.select(F.floor(F.col("c_custkey") / 8).cast("int").alias("tenant_id"))
 
 
 BASE_MS = 1704067200000  # 2024-01-01T00:00:00Z

@@ -41,7 +41,7 @@ _TYPES = "SELECT * FROM (VALUES (1, 'Customer'), (2, 'Vendor'), (3, 'Bank'), (4,
          "(6, 'Internal'), (7, 'Fixed Asset')) v(type_id, type)"
 _NORM_ROW = """tenant_id, pos, display_name AS name, coalesce(email, '') AS email, coalesce(phone, '') AS phone,
        CASE WHEN has_addr THEN concat_ws(', ', nullif(line1, ''), nullif(city, ''), nullif(region_code, ''))
-            ELSE '' END AS address, '' AS note, nullif(id, '') AS qb_id, pos % 7 + 1 AS branch_id"""
+            ELSE '' END AS address, '' AS note, nullif(id, '') AS qb_id, CAST(pos % 7 + 1 AS INTEGER) AS branch_id"""
 SYNC_CTES = f"""
 WITH rc AS ({RC}), rv AS ({RV}),
 b AS (
@@ -199,9 +199,9 @@ _ITEMS = """SELECT CAST(p_partkey % 4 AS INTEGER) AS tenant_id, p_partkey AS k,
   p_brand || ':' || p_name || ' ' || CAST(p_partkey AS VARCHAR) AS fqn,
   CASE p_partkey % 3 WHEN 0 THEN 'Inventory' WHEN 1 THEN 'Service' ELSE 'NonInventory' END AS type,
   CAST(p_partkey % 4 AS VARCHAR) AS sync_token FROM part"""
-_TAXES = """SELECT CAST(n_nationkey AS VARCHAR) AS id, 'Tax ' || n_name AS name,
-  CASE WHEN n_nationkey % 7 = 6 OR n_nationkey % 4 = 0 OR n_nationkey % 5 = 3 THEN NULL
-       ELSE 'TR' || CAST(n_nationkey AS VARCHAR) END AS tax_rate_ref_id FROM nation"""
+_TAXES = """SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Tax ' || s_name AS name,
+  CASE WHEN s_suppkey % 7 = 6 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 3 THEN NULL
+       ELSE 'TR' || CAST(s_suppkey AS VARCHAR) END AS tax_rate_ref_id FROM supplier"""
 
 ORACLE["search_customers"] = _top50(RC, "display_name ILIKE '%er#00000%'",
                                     "tenant_id, id, coalesce(display_name, given_name, '') AS display_name, "
@@ -250,7 +250,7 @@ _TERMS = """SELECT p_partkey AS term_id, CAST(p_partkey % 4 AS INTEGER) AS tenan
   CASE WHEN p_partkey % 45 = 0 THEN substring(p_name, 1, 1)
        WHEN p_partkey % 35 = 0 THEN replace(p_name, ' ', '%')
        WHEN p_partkey % 55 = 0 THEN replace(p_name, 'o', '_') ELSE p_name END AS term
-FROM part WHERE p_partkey % 5 = 0"""
+FROM part"""
 ORACLE["match_candidates"] = f"""
 WITH t AS ({_TERMS}), r AS ({_ITEMS}),
 m AS (SELECT t.term_id, t.tenant_id, t.term, r.id AS candidate_id, r.name AS candidate_name,
@@ -308,13 +308,13 @@ _DEFAULTS = f"""
 keys AS (SELECT {_KEYS} AS k),
 t AS (SELECT CAST(c_custkey // 9 AS INTEGER) AS tenant_id, k[c_custkey % 9 + 1] AS name,
              'c' || CAST(c_custkey AS VARCHAR) AS qb_id, c_name AS qb_name
-      FROM customer, keys WHERE c_custkey < 450 AND c_custkey % 4 <> 0),
-s0 AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS tenant_id, k[o_orderkey % 9 + 1] AS name,
+      FROM customer, keys WHERE c_custkey % 4 <> 0),
+s0 AS (SELECT CAST(o_custkey // 9 AS INTEGER) AS tenant_id, k[o_orderkey % 9 + 1] AS name,
               CAST(o_orderkey AS VARCHAR) AS qb_id, 'Account ' || CAST(o_orderkey AS VARCHAR) AS qb_name,
               'TR' || CAST(o_orderkey % 13 AS VARCHAR) AS tr, o_orderkey AS seq FROM orders, keys),
 s AS (SELECT tenant_id, name, qb_id, qb_name, seq * 2 AS o FROM s0
       UNION ALL SELECT tenant_id, 'tax_rate_ref', tr, 'Tax Rate Ref', seq * 2 + 1 FROM s0 WHERE name = 'tax_code'
-      UNION ALL SELECT DISTINCT CAST(c_custkey % 50 AS INTEGER), 'customers_synced', '1', 'Synced',
+      UNION ALL SELECT DISTINCT CAST(c_custkey // 9 AS INTEGER), 'customers_synced', '1', 'Synced',
                 CAST(2000000000000 AS BIGINT) FROM customer WHERE c_custkey % 7 = 0),
 w AS (SELECT tenant_id, name, arg_max(qb_id, o) AS qb_id, arg_max(qb_name, o) AS qb_name FROM s GROUP BY tenant_id, name),
 d AS (SELECT * FROM w UNION ALL
@@ -322,7 +322,7 @@ d AS (SELECT * FROM w UNION ALL
 ORACLE["upsert_defaults"] = f"WITH {_DEFAULTS} SELECT * FROM d"
 ORACLE["defaults_coverage"] = f"""
 WITH {_DEFAULTS},
-sc AS (SELECT DISTINCT CAST(c_custkey % 60 AS INTEGER) AS tenant_id FROM customer),
+sc AS (SELECT DISTINCT CAST(c_custkey // 8 AS INTEGER) AS tenant_id FROM customer),
 ek AS (SELECT * FROM (VALUES ('walk_in_customer', 'setting'), ('payable_account', 'setting'),
        ('receivable_account', 'setting'), ('tax_code', 'setting'), ('card_control_account', 'setting'),
        ('cash_account', 'setting'), ('cash_payment_method', 'setting'), ('card_payment_method', 'setting'),
@@ -463,8 +463,8 @@ WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_p
 
 ORACLE["default_fill"] = """
 SELECT l_orderkey, l_linenumber, l_partkey AS menu_item_id, CAST(l_suppkey % 4 AS INTEGER) AS tenant_id,
-       'SKU-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS sku, 1.0 AS ratio,
-       5.0 AS alert_threshold
+       'SKU-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS sku,
+       CAST(1.0 AS DOUBLE) AS ratio, CAST(5.0 AS DOUBLE) AS alert_threshold
 FROM lineitem"""
 
 ORACLE["snapshot_roundtrip"] = """
