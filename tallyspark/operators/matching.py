@@ -19,9 +19,8 @@ O(terms x records).  The exact replacement used here:
    (WindowGroupLimit), so a hot term never ships more than k rows per task.
 
 Terms made only of wildcards ('%%', '__') have no literal gram; they match
-every name at least as long as their '_' count, so they are answered from the
-top k records per distinct length threshold (at most one threshold per term
-length: a bounded broadcast).
+every name at least as long as their '_' count, so they are joined to records
+on (group, length >= threshold): one threshold per distinct '_' count.
 """
 
 from __future__ import annotations
@@ -93,10 +92,15 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
     wild_only = texts.where(F.size("_grams") == 0).select(
         *g, "_lt", (F.char_length("_lt") - F.char_length(F.regexp_replace("_lt", "_", ""))).alias("_min_len"))
     thresholds = wild_only.select(*g, "_min_len").distinct()
-    w_hits = (recs.join(F.broadcast(thresholds), [*(recs[c] == thresholds[c] for c in g),
-                                                    F.char_length(recs["_name"]) >= thresholds["_min_len"]]
-                        if g else F.char_length(recs["_name"]) >= thresholds["_min_len"])
-              .select(*[recs[c] for c in g], "_min_len", "_id", "_name"))
+    if g:
+        # Per group the thresholds grow with the groups: a plain equi join on
+        # the group (AQE decides), the length test as its condition.
+        cond = [recs[c] == thresholds[c] for c in g] + [F.char_length(recs["_name"]) >= thresholds["_min_len"]]
+        w_hits = recs.join(thresholds, cond)
+    else:
+        # One threshold per distinct '_' count: bounded by the longest term.
+        w_hits = recs.join(F.broadcast(thresholds), F.char_length(recs["_name"]) >= thresholds["_min_len"])
+    w_hits = w_hits.select(*[recs[c] for c in g], "_min_len", "_id", "_name")
     w_hits = w_hits.join(wild_only, [*g, "_min_len"]).select(*g, "_lt", "_id", "_name")
 
     allhits = hits.unionByName(w_hits)

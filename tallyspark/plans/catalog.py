@@ -316,7 +316,7 @@ def q_auto_touch(spark, sf_dir):
     new = old.withColumn("access_token", F.when(F.col("tenant_id") % 3 == 0, F.concat(F.lit("new-"), F.col("access_token")))
                          .otherwise(F.col("access_token"))).drop("updated_at")
     compare = [c for c in new.columns if c not in ("tenant_id", "realm_id")]
-    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     out = auto_touch(old, new, ["tenant_id", "realm_id"], compare, "updated_at", now)
     return out.select("tenant_id", "realm_id", "access_token", "updated_at", (F.col("updated_at") == now).alias("touched"))
 

@@ -453,7 +453,8 @@ def token_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 97 != 5, F.concat(F.lit("at-"), k.cast("string"))).alias("access_token"),
         F.concat(F.lit("rt-"), k.cast("string")).alias("refresh_token"),
         (F.lit(86400) * (k % 120 + 1)).cast("string").alias("x_refresh_token_expires_in"),
-        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(mins=(k % 1000).cast("int")))
+        # Wall-clock (NTZ) timestamps: the same instant under any session time zone.
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(mins=(k % 1000).cast("int")))
         .alias("updated_at"),
     )
 
