@@ -20,10 +20,6 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
-
-
 def nz(*cols) -> Column:
     """``a ?? b ?? ...``: first non-NULL.  Columns pass through, plain Python
     values become literals."""

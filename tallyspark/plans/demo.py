@@ -23,10 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _mod(c, n):
-    return F.col(c) % F.lit(n)
-
-
 # ---------------------------------------------------------------------------
 # Customers / vendors
 # ---------------------------------------------------------------------------
