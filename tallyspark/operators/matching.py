@@ -48,15 +48,19 @@ def _pattern(term: Column) -> Column:
     return F.concat(F.lit("%"), F.replace(term, F.lit("\\"), F.lit("\\\\")), F.lit("%"))
 
 
+def _term_key(term: Column, trim: bool) -> Column:
+    return F.lower(F.trim(term) if trim else term)
+
+
 def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "term", record_id: str = "Id",
                      record_field: str = "Name", group_cols: list[str] | None = None, k: int = S.SEARCH_LIMIT,
-                     min_length: int = 2, salt: int = 8) -> DataFrame:
+                     min_length: int = 2, salt: int = 8, trim: bool = True) -> DataFrame:
     """Returns every column of ``terms`` plus candidate_id, candidate_name and
-    rank (1..k, by candidate id).  Terms shorter than ``min_length`` after
-    trimming (the UI's rule) get no candidates."""
+    rank (1..k, by candidate id).  Terms are trimmed (the dialog sends the
+    trimmed text) and shorter than ``min_length`` get no candidates."""
     g = list(group_cols or [])
     t_ok = terms.where(term_ok_col(F.col(term_col), min_length))
-    texts = t_ok.select(*g, F.lower(F.col(term_col)).alias("_lt")).distinct()
+    texts = t_ok.select(*g, _term_key(F.col(term_col), trim).alias("_lt")).distinct()
     texts = texts.select(*g, "_lt", F.col("_lt").rlike("[%_]").alias("_wild"), _bigrams("_lt").alias("_bi"),
                          _unigrams("_lt").alias("_uni"))
     texts = texts.select(*g, "_lt", "_wild", F.when(F.size("_bi") > 0, F.col("_bi")).otherwise(F.col("_uni")).alias("_grams"))
@@ -106,7 +110,7 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
     allhits = hits.unionByName(w_hits)
     w = Window.partitionBy(*g, "_lt").orderBy("_id")
     top = allhits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    keyed_terms = t_ok.withColumn("_lt", F.lower(F.col(term_col)))
+    keyed_terms = t_ok.withColumn("_lt", _term_key(F.col(term_col), trim))
     out = keyed_terms.join(top, [*g, "_lt"])
     return out.select(*terms.columns, F.col("_id").alias("candidate_id"), F.col("_name").alias("candidate_name"),
                       F.col("rank").cast("long").alias("rank"))
@@ -114,12 +118,34 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
 
 def match_candidates_nested(terms: DataFrame, records: DataFrame, *, term_col: str = "term", record_id: str = "Id",
                             record_field: str = "Name", group_cols: list[str] | None = None,
-                            k: int = S.SEARCH_LIMIT, min_length: int = 2) -> DataFrame:
+                            k: int = S.SEARCH_LIMIT, min_length: int = 2, trim: bool = True) -> DataFrame:
     """The plain theta-join form (reference for tests and the benchmark)."""
     g = list(group_cols or [])
-    t = terms.where(term_ok_col(F.col(term_col), min_length)).withColumn("_pat", _pattern(F.col(term_col)))
+    t = (terms.where(term_ok_col(F.col(term_col), min_length))
+         .withColumn("_pat", _pattern(F.trim(F.col(term_col)) if trim else F.col(term_col))))
     r = records.select(*g, F.col(record_id).alias("candidate_id"), F.col(record_field).alias("candidate_name"))
     cond = [t[c] == r[c] for c in g] + [F.expr("candidate_name ILIKE _pat")]
     j = t.join(r, cond).select(*[t[c] for c in terms.columns], "candidate_id", "candidate_name")
     w = Window.partitionBy(*[F.col(c) for c in terms.columns]).orderBy("candidate_id")
     return (j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k))
+
+
+# Search route per internal type, as the mapping dialog chooses it.
+ROUTES = {"Customer": "DisplayName", "Vendor": "DisplayName", "MenuItem": "Name"}
+
+
+def match_routed(internal: DataFrame, sources: dict, *, type_col: str = "type", **kw) -> tuple[DataFrame, DataFrame]:
+    """J5 for internal rows of several types: Customer and Vendor rows search
+    their remote records by DisplayName, MenuItem rows by Name (``sources``
+    maps type -> records frame).  Rows of any other type are returned as
+    errors 'Invalid entity type provided: <type>'.  Returns (candidates,
+    errors)."""
+    out = None
+    for typ, field in ROUTES.items():
+        if typ not in sources:
+            continue
+        part = match_candidates(internal.where(F.col(type_col) == typ), sources[typ], record_field=field, **kw)
+        out = part if out is None else out.unionByName(part)
+    errors = internal.where(~F.col(type_col).isin(list(ROUTES)) | F.col(type_col).isNull()).withColumn(
+        "error", F.concat(F.lit("Invalid entity type provided: "), F.coalesce(F.col(type_col), F.lit(""))))
+    return out, errors

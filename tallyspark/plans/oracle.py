@@ -255,7 +255,7 @@ ORACLE["match_candidates"] = f"""
 WITH t AS ({_TERMS}), r AS ({_ITEMS}),
 m AS (SELECT t.term_id, t.tenant_id, t.term, r.id AS candidate_id, r.name AS candidate_name,
              row_number() OVER (PARTITION BY t.term_id ORDER BY r.id) AS rank
-      FROM t JOIN r ON t.tenant_id = r.tenant_id AND r.name ILIKE '%' || t.term || '%'
+      FROM t JOIN r ON t.tenant_id = r.tenant_id AND r.name ILIKE '%' || trim(t.term) || '%'
       WHERE length(trim(t.term)) >= 2)
 SELECT * FROM m WHERE rank <= 50"""
 ORACLE["match_candidates_nested_loop"] = ORACLE["match_candidates"]

@@ -52,3 +52,15 @@ def test_blocked_equals_nested_loop(spark):
     assert "CartesianProduct" not in plan
     # the only nested-loop join allowed is the bounded wildcard-threshold one
     assert plan.count("BroadcastNestedLoopJoin") <= 1
+
+
+def test_match_routed(spark):
+    from tallyspark.operators.matching import match_routed
+    internal = spark.createDataFrame([(1, "Customer", " ali "), (5, "Vendor", "tech"), (1001, "MenuItem", "brew"),
+                                      (7, "Bank", "x1")], "id int, type string, term string")
+    cust = spark.createDataFrame([("c1", "Ali Traders", None)], "Id string, DisplayName string, Name string")
+    vend = spark.createDataFrame([("v1", "Tech Supply Co.", "Tech")], "Id string, DisplayName string, Name string")
+    item = spark.createDataFrame([("i1", "Cold Brew Coffee")], "Id string, Name string")
+    cands, errors = match_routed(internal, {"Customer": cust, "Vendor": vend, "MenuItem": item})
+    assert sorted((r["id"], r["candidate_id"]) for r in cands.collect()) == [(1, "c1"), (5, "v1"), (1001, "i1")]
+    assert [r["error"] for r in errors.collect()] == ["Invalid entity type provided: Bank"]
