@@ -34,7 +34,7 @@ def assign_ids(df: DataFrame, order_cols: list, start: int | Column = 1, id_col:
     tagged = ranged.select("*", F.spark_partition_id().alias("_pid"),
                            (F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))).alias("_row"))
     counts = dict(tagged.groupBy("_pid").count().collect())
-    n_parts = ranged.rdd.getNumPartitions()
+    n_parts = max(counts) + 1 if counts else 0  # empty trailing partitions need no offset
     offsets, acc = [], 0
     for p in range(n_parts):
         offsets.append(acc)

@@ -46,15 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The folder named in ``spark.checkpoint.dir`` is used as is.  Only when the
     session has none (local tests) is a private folder created and set.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return _parent_of_checkpoint(current)
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no SparkContext, the server owns the setting
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return _parent_of_checkpoint(current)
+        configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured) if _settable(spark) else None
-    sc.setCheckpointDir(configured)
+        if _settable(spark):
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is not None:
+        sc.setCheckpointDir(configured)
     return configured
 
 

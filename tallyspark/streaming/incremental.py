@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from tallyspark.operators.normalize import normalize_party
 from tallyspark.operators.upsert import upsert_entities
@@ -35,10 +36,13 @@ def source_path(entity: str, tenant_id, branch_id):
     return F.concat_ws("/", F.lit(entity), tenant_id.cast("string"), branch_id.cast("string"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _stage_done(spark: SparkSession, meta: str) -> bool:
+    """The stage's marker (written last) is readable."""
+    try:
+        read_state(spark, meta)
+        return True
+    except AnalysisException:
+        return False
 
 
 def landed_rows(pages: DataFrame, batch_id: int, entity: str = "Customer") -> tuple[DataFrame, DataFrame]:
@@ -63,7 +67,7 @@ def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, tab
     root = table_root.rstrip("/")
     stage = f"{root}/_staging/batch_id={batch_id}"
     meta = f"{root}/_staging/done_batch_id={batch_id}"
-    if not _exists(spark, meta + "/_state/_SUCCESS"):  # written last: the stage is complete
+    if not _stage_done(spark, meta):
         rows, faults = landed_rows(pages, batch_id, entity)
         tenants = rows.select("tenant_id").distinct()
         target = read_partitions(spark, root, tenants)

@@ -221,3 +221,18 @@ def test_generic_upsert_and_insert_ignore(spark):
     ig = insert_ignore(tgt.drop("extra"), src.drop("seq").union(spark.createDataFrame([("k3", "4", "four")], "name string, qb_id string, qb_name string")).withColumn("seq", F.col("qb_id").cast("int")),
                        ["name"], order_col="seq")
     assert sorted(tuple(r) for r in ig.collect()) == [("k1", "1", "one"), ("k2", "2", "two"), ("k3", "3", "three")]
+
+
+def test_hot_key_collapses_map_side(spark):
+    """A third of the batch on one external id: the collapse is a partial
+    aggregation (no window, no per-group collect) and keeps the last row."""
+    n = 3000
+    b = spark.range(n).select(
+        F.lit(0).alias("batch_no"), F.lit(1).alias("tenant_id"), F.col("id").alias("pos"),
+        F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("qb_id"))
+    out = collapse_batch(b)
+    hot = out.where(F.col("qb_id") == "HOT").first()
+    assert (hot["name"], hot["n_rows"], hot["first_pos"]) == (f"n{n - 3}", n // 3, 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan and "Window" not in plan and "collect_list" not in plan
