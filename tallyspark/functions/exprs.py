@@ -84,6 +84,12 @@ def parse_number(c: ColumnOrName, blank_as_zero: bool = False) -> Column:
     return out
 
 
+def utc_date(ts_text: ColumnOrName) -> Column:
+    """Calendar date in UTC of an ISO-8601 timestamp with offset (the offset
+    is honoured; with the session pinned to UTC the date is the UTC date)."""
+    return F.to_date(F.to_timestamp(_c(ts_text)))
+
+
 def clean_term(c: ColumnOrName, trim: bool = True) -> Column:
     """Search term clean-up: NULL gives '', optionally trimmed."""
     t = F.coalesce(_c(c).cast("string"), F.lit(""))

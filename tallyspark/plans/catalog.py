@@ -446,9 +446,9 @@ def q_commit_table_roundtrip(spark, sf_dir):
 
 @query
 def q_incremental_sync(spark, sf_dir):
-    """Land one file of customer pages per tenant, stream them in (one file
-    per micro-batch) onto a committed copy of the local entities table, and
-    return the final table version."""
+    """Land one file of customer pages per tenant, stream them in (two files
+    per micro-batch) onto a partitioned copy of the local entities table, and
+    return the final table."""
     from tallyspark import schemas as S
     from tallyspark.session import shared_path
     from tallyspark.sources.tables import init_partitioned, read_partitions
@@ -462,6 +462,6 @@ def q_incremental_sync(spark, sf_dir):
         pages.where(tenant == t).coalesce(1).write.mode("append").json(landing)
     pages.unpersist()
     q = start_sync(spark, landing, root, shared_path(spark, "stream_checkpoints"), D.entity_types(spark),
-                   D.branches(spark, sf_dir), files_per_batch=1)
+                   D.branches(spark, sf_dir), files_per_batch=2)
     q.awaitTermination()
     return read_partitions(spark, root).select(*S.ENTITY_COLUMNS)

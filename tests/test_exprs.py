@@ -63,3 +63,9 @@ def test_mapping_action(spark):
     a, d = mapping_action(F.col("q"))
     assert [tuple(r) for r in df.select(a, d).collect()] == [("Remap ID", "105"), ("Map ID", "Unmapped"),
                                                             ("Map ID", "Unmapped")]
+
+
+def test_utc_date_of_offset_timestamp(spark):
+    from tallyspark.functions.exprs import utc_date
+    df = spark.createDataFrame([("2026-05-10T22:57:13-07:00",), ("2026-05-10T10:00:00+09:00",)], "t string")
+    assert [str(r[0]) for r in df.select(utc_date("t")).collect()] == ["2026-05-11", "2026-05-10"]
