@@ -99,10 +99,10 @@ def q_page_audit(spark, sf_dir):
 
 @query
 def q_fault_split(spark, sf_dir):
-    from tallyspark.sources.pages import split_faults
+    from tallyspark.sources.pages import array_size, split_faults
     good, faults = split_faults(D.item_pages_with_faults(spark, sf_dir), "Item", mode="reject")
     ok = good.select("source", "requested_start", F.lit("ok").alias("status"),
-                     F.coalesce(F.size("page.QueryResponse.Item"), F.lit(0)).cast("long").alias("n_records"),
+                     array_size(F.col("page.QueryResponse.Item")).cast("long").alias("n_records"),
                      F.lit(None).cast("string").alias("fault_message"))
     bad = faults.select("source", "requested_start", F.lit("fault").alias("status"), F.lit(0).cast("long").alias("n_records"),
                         F.get_json_object("fault", "$.Error[0].Message").alias("fault_message"))

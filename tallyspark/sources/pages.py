@@ -53,13 +53,18 @@ def explode_pages(pages: DataFrame, entity: str, record=None, keep: list[str] |
     return ex.select(*keep, (F.col("requested_start") + F.col("_idx")).alias("pos"), "_rec.*")
 
 
+def array_size(arr: Column) -> Column:
+    """Elements in an array, 0 for NULL -- independent of ANSI mode (with ANSI
+    off, ``size(NULL)`` is -1)."""
+    return F.when(arr.isNull(), F.lit(0)).otherwise(F.size(arr))
+
+
 def count_records(pages: DataFrame, entity: str, by: list[str] | None = None) -> DataFrame:
-    """A1: records per source; a missing array counts 0 (``size(NULL)`` is
-    NULL under ANSI, so it is guarded)."""
+    """A1: records per source; a missing array counts 0."""
     by = by or ["source"]
     parsed = parse_pages(pages, entity) if "page" not in pages.columns else pages
     return parsed.groupBy(*by).agg(
-        F.sum(F.coalesce(F.size(_records(entity)), F.lit(0))).cast("long").alias("n_records"))
+        F.sum(array_size(_records(entity))).cast("long").alias("n_records"))
 
 
 def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=None) -> tuple[DataFrame, DataFrame]:
@@ -93,7 +98,7 @@ def audit_pages(pages: DataFrame, entity: str, page_size: int = S.PAGE_SIZE) ->
     gaps = expected - distinct aligned starts.
     """
     parsed = parse_pages(pages, entity) if "page" not in pages.columns else pages
-    size = F.coalesce(F.size(_records(entity)), F.lit(0))
+    size = array_size(_records(entity))
     st = F.col("requested_start")
     aligned = ((st - 1) % page_size == 0) & (st >= 1)
     g = parsed.select("source", st.alias("st"), size.alias("n"), aligned.alias("aligned")).groupBy("source").agg(
