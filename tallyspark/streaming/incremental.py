@@ -57,10 +57,12 @@ def landed_rows(pages: DataFrame, batch_id: int, entity: str = "Customer") -> tu
     return rows, faults
 
 
-def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, table_root: str, types: DataFrame,
-                       branches: DataFrame, entity: str = "Customer") -> bool:
-    """Apply one batch of landed pages to the partitioned table at
-    ``table_root``.  Returns False when the batch was already applied."""
+def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_root: str, types: DataFrame,
+                    branches: DataFrame, faults: DataFrame | None = None, **upsert_kw) -> bool:
+    """Upsert sync rows (batch_no, tenant_id, pos, text..., qb_id, type,
+    branch_id) into the tenant-partitioned table at ``table_root``, touching
+    only the tenants present in ``rows``.  Used by the stream below and by
+    batch jobs alike.  Returns False when ``batch_id`` was already applied."""
     last_batch, max_id = read_state(spark, table_root)
     if last_batch >= batch_id:
         return False
@@ -68,25 +70,36 @@ def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, tab
     stage = f"{root}/_staging/batch_id={batch_id}"
     meta = f"{root}/_staging/done_batch_id={batch_id}"
     if not _stage_done(spark, meta):
-        rows, faults = landed_rows(pages, batch_id, entity)
         tenants = rows.select("tenant_id").distinct()
         target = read_partitions(spark, root, tenants)
         result = upsert_entities(target, rows, types, branches, first_new_id=max_id + 1,
-                                 first_new_assignment_id=max_id + 1)
+                                 first_new_assignment_id=max_id + 1, **upsert_kw)
         result.entities.write.mode("overwrite").partitionBy("tenant_id").parquet(stage)
         side = f"{root}/_side"
         result.assignments.write.mode("overwrite").parquet(f"{side}/assignments/batch_id={batch_id}")
         result.branch_links.write.mode("overwrite").parquet(f"{side}/branch_links/batch_id={batch_id}")
         result.rejects.write.mode("overwrite").parquet(f"{side}/rejects/batch_id={batch_id}")
-        faults.write.mode("overwrite").parquet(f"{side}/faults/batch_id={batch_id}")
+        if faults is not None:
+            faults.write.mode("overwrite").parquet(f"{side}/faults/batch_id={batch_id}")
         new_max = result.inserted.agg(F.max("id")).first()[0]
         write_state(spark, meta, batch_id, max_id if new_max is None else int(new_max))
-    staged_batch, new_max = read_state(spark, meta)
+    _, new_max = read_state(spark, meta)
     replace_partitions(spark.read.parquet(stage), root)
     write_state(spark, root, batch_id, new_max)
     return True
 
 
+def apply_landed_batch(spark: SparkSession, pages: DataFrame, batch_id: int, table_root: str, types: DataFrame,
+                       branches: DataFrame, entity: str = "Customer") -> bool:
+    """Apply one batch of landed pages to the partitioned table at
+    ``table_root``.  Returns False when the batch was already applied."""
+    last_batch, _ = read_state(spark, table_root)
+    if last_batch >= batch_id:
+        return False
+    rows, faults = landed_rows(pages, batch_id, entity)
+    return sync_into_table(spark, rows, batch_id, table_root, types, branches, faults=faults)
+
+
 def start_sync(spark: SparkSession, landing_dir: str, table_root: str, checkpoint: str, types: DataFrame,
                branches: DataFrame, entity: str = "Customer", files_per_batch: int | None = None,
                available_now: bool = True):
