@@ -216,7 +216,7 @@ def _apply(target: DataFrame, updates: DataFrame, inserted: DataFrame) -> DataFr
     return upd.unionByName(keep).unionByName(new)
 
 
-def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame | None:
+def _name_clashes(table: DataFrame, collation: str | None, others: DataFrame | None = None) -> DataFrame | None:
     """Changes that break (name, tenant_id) uniqueness -> their source keys
     (tenant_id, qb_id, batch_no, pos) to reject; None when there is none.
 
@@ -229,6 +229,11 @@ def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame | None:
     changed = F.col("_hit") & (F.col("_old_name").isNull() |
                                (key != _name_key(F.col("_old_name"), collation)))
     t = table.select("tenant_id", "qb_id", "_src_batch", "_src_pos", key.alias("_nk"), changed.alias("_chg"))
+    if others is not None:
+        # Rows of the same tenants outside ``table`` (not rewritten): unchanged holders.
+        t = t.unionByName(others.select("tenant_id", "qb_id", F.lit(None).cast("int").alias("_src_batch"),
+                                        F.lit(None).cast("long").alias("_src_pos"), key.alias("_nk"),
+                                        F.lit(False).alias("_chg")))
     touched = t.where("_chg").select("tenant_id", "_nk").distinct()
     cand = t.join(touched, ["tenant_id", "_nk"], "left_semi")
     seq = F.struct("_src_batch", "_src_pos")
@@ -255,7 +260,8 @@ def _name_clashes(table: DataFrame, collation: str | None) -> DataFrame | None:
 def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branches: DataFrame,
                     assignments: DataFrame | None = None, on_error: str = "reject",
                     collation: str | None = "UNICODE_CI_AI", first_new_id: int | None = None,
-                    first_new_assignment_id: int | None = None) -> UpsertResult:
+                    first_new_assignment_id: int | None = None,
+                    name_scope: DataFrame | None = None) -> UpsertResult:
     """U1 over a whole (possibly multi-tenant, multi-type) batch.
 
     batch: batch_no, tenant_id, pos, name, email, phone, address, note, qb_id,
@@ -264,7 +270,9 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
 
     ``target`` may be only the tenants the batch touches (matching and name
     uniqueness are per tenant); then pass ``first_new_id`` (the table-wide
-    max id + 1) so new ids stay unique.
+    max id + 1) so new ids stay unique.  ``name_scope`` (tenant_id, qb_id,
+    name) adds rows of the batch's tenants that are not in ``target`` (other
+    buckets), so name uniqueness still covers the whole tenant.
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error must be 'reject' or 'fail'")
@@ -281,7 +289,7 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
                 raise UpsertError(first["reason"])
         inserted = assign_ids(inserts, ["batch_no", "tenant_id", "pos", "qb_id"], start=e_start)
         table = _apply(target, updates, inserted)
-        clashes = _name_clashes(table, collation)
+        clashes = _name_clashes(table, collation, name_scope)
         if clashes is None:
             break
         if on_error == "fail":

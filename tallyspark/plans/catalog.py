@@ -447,14 +447,14 @@ def q_commit_table_roundtrip(spark, sf_dir):
 @query
 def q_incremental_sync(spark, sf_dir):
     """Land one file of customer pages per tenant, stream them in (two files
-    per micro-batch) onto a partitioned copy of the local entities table, and
-    return the final table."""
+    per micro-batch) onto a copy of the local entities table partitioned by
+    tenant and 16 hashed-id buckets, and return the final table."""
     from tallyspark import schemas as S
     from tallyspark.session import shared_path
     from tallyspark.sources.tables import init_partitioned, read_partitions
     from tallyspark.streaming.incremental import start_sync
     root = shared_path(spark, "tables", "stream_entities")
-    init_partitioned(D.local_entities(spark, sf_dir), root)
+    init_partitioned(D.local_entities(spark, sf_dir), root, buckets=16)
     landing = shared_path(spark, "landing", "customers")
     pages = D.customer_pages(spark, sf_dir).persist()
     tenant = F.element_at(F.split("source", "/"), 2).cast("int")

@@ -8,7 +8,7 @@ the last applied stream batch, which makes replays harmless (streaming T1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -73,7 +73,8 @@ def commit_table(df: DataFrame, root: str, partition_by: list[str] | None = None
 # partitioned by tenant; a change rewrites only the tenants it touches.
 # ---------------------------------------------------------------------------
 
-STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType())])
+STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType()),
+                    StructField("buckets", LongType())])
 
 
 def _state_path(root: str) -> str:
@@ -90,15 +91,38 @@ def read_state(spark: SparkSession, root: str) -> tuple[int, int]:
     return (-1 if row["batch_id"] is None else int(row["batch_id"]), 0 if row["max_id"] is None else int(row["max_id"]))
 
 
-def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int) -> None:
-    spark.createDataFrame([(batch_id, max_id)], STATE).coalesce(1).write.mode("overwrite").json(_state_path(root))
+def read_buckets(spark: SparkSession, root: str) -> int | None:
+    """Buckets per tenant of the table (None: partitioned by tenant only)."""
+    row = spark.read.schema(STATE).json(_state_path(root)).first()
+    return None if row["buckets"] is None else int(row["buckets"])
+
+
+def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int, buckets: int | None = None) -> None:
+    (spark.createDataFrame([(batch_id, max_id, buckets)], STATE).coalesce(1)
+     .write.mode("overwrite").json(_state_path(root)))
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id", id_col: str = "id") -> None:
-    """Create the table from ``df`` (one full write)."""
-    df.write.mode("errorifexists").partitionBy(partition_by).parquet(data_path(root))
+def entity_bucket(buckets: int) -> Column:
+    """Second partition level: hash of the external id (of the row id for rows
+    without one), so a change rewrites only the buckets of its keys."""
+    return bucket_of(F.coalesce(F.col("qb_id"), F.concat(F.lit("#"), F.col("id").cast("string"))), buckets)
+
+
+def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id", id_col: str = "id",
+                     buckets: int | None = None) -> None:
+    """Create the table from ``df`` (one full write), partitioned by tenant and,
+    with ``buckets``, by hashed external id inside each tenant."""
+    parts = [partition_by]
+    if buckets:
+        df = df.withColumn("bucket", entity_bucket(buckets))
+        parts.append("bucket")
+    df.write.mode("errorifexists").partitionBy(*parts).parquet(data_path(root))
     mx = df.agg(F.max(id_col)).first()[0]
-    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx))
+    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx), buckets)
 
 
 def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame | None = None,
@@ -117,9 +141,26 @@ def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame |
     return df.where(F.col(partition_by).isin(list(tenants)))
 
 
-def replace_partitions(staged: DataFrame, root: str, partition_by: str = "tenant_id") -> None:
+def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate: bool = False,
+                        max_literals: int = 10000) -> DataFrame:
+    """Rows of ``df`` in (or, with ``negate``, not in) the partitions listed in
+    ``parts``.  Up to ``max_literals`` partitions become a multi-column IN on
+    the partition columns, pruned at file listing; more fall back to a
+    semi / anti join."""
+    keys = [tuple(r) for r in parts.select(*cols).distinct().limit(max_literals + 1).collect()]
+    if len(keys) > max_literals:
+        return df.join(parts.select(*cols).distinct(), cols, "left_anti" if negate else "left_semi")
+    if not keys:
+        return df if negate else df.limit(0)
+    lits = ", ".join("(" + ", ".join(repr(v) for v in k) + ")" for k in keys)
+    cond = F.expr(f"({', '.join(cols)}) IN ({lits})")
+    return df.where(~cond if negate else cond)
+
+
+def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id") -> None:
     """Replace exactly the partitions present in ``staged`` (dynamic partition
     overwrite).  ``staged`` must not read from the table itself (write it to a
     staging folder first): the job never overwrites what it reads."""
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_by).parquet(data_path(root)))
+     .partitionBy(*parts).parquet(data_path(root)))

@@ -29,7 +29,8 @@ from pyspark.errors import AnalysisException
 from tallyspark.operators.normalize import normalize_party
 from tallyspark.operators.upsert import upsert_entities
 from tallyspark.sources.pages import LANDED_PAGE, explode_pages, split_faults
-from tallyspark.sources.tables import read_partitions, read_state, replace_partitions, write_state
+from tallyspark.sources.tables import (bucket_of, data_path, entity_bucket, read_buckets, read_partitions, read_state,
+                                       replace_partitions, restrict_partitions, write_state)
 
 
 def source_path(entity: str, tenant_id, branch_id):
@@ -60,21 +61,44 @@ def landed_rows(pages: DataFrame, batch_id: int, entity: str = "Customer") -> tu
 def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_root: str, types: DataFrame,
                     branches: DataFrame, faults: DataFrame | None = None, **upsert_kw) -> bool:
     """Upsert sync rows (batch_no, tenant_id, pos, text..., qb_id, type,
-    branch_id) into the tenant-partitioned table at ``table_root``, touching
-    only the tenants present in ``rows``.  Used by the stream below and by
-    batch jobs alike.  Returns False when ``batch_id`` was already applied."""
+    branch_id) into the partitioned table at ``table_root``, touching only the
+    tenants present in ``rows`` -- and, when the table is bucketed, only the
+    buckets of their external ids.  Used by the stream below and by batch jobs
+    alike.  Returns False when ``batch_id`` was already applied."""
     last_batch, max_id = read_state(spark, table_root)
     if last_batch >= batch_id:
         return False
+    nb = read_buckets(spark, table_root)
+    parts = ["tenant_id"] + (["bucket"] if nb else [])
     root = table_root.rstrip("/")
     stage = f"{root}/_staging/batch_id={batch_id}"
     meta = f"{root}/_staging/done_batch_id={batch_id}"
     if not _stage_done(spark, meta):
         tenants = rows.select("tenant_id").distinct()
-        target = read_partitions(spark, root, tenants)
+        if nb:
+            data = spark.read.parquet(data_path(root))
+            qb = F.nullif(F.col("qb_id"), F.lit(""))
+            keyed = (rows.where(qb.isNotNull()).select("tenant_id", bucket_of(qb, nb).alias("bucket"))
+                     .distinct().checkpoint(eager=True))
+            in_tenants = restrict_partitions(data, tenants, ["tenant_id"])
+            target = restrict_partitions(data, keyed, parts)
+            # The rest of these tenants is only read for name uniqueness.
+            others = restrict_partitions(in_tenants, keyed, parts, negate=True).select("tenant_id", "qb_id", "name")
+            upsert_kw = {**upsert_kw, "name_scope": others}
+        else:
+            target = read_partitions(spark, root, tenants)
         result = upsert_entities(target, rows, types, branches, first_new_id=max_id + 1,
                                  first_new_assignment_id=max_id + 1, **upsert_kw)
-        result.entities.write.mode("overwrite").partitionBy("tenant_id").parquet(stage)
+        out = result.entities
+        if nb:
+            out = out.withColumn("bucket", entity_bucket(nb))
+            # New rows without an external id land in buckets by id; keep the
+            # existing rows of any such bucket the keys did not bring in.
+            new_parts = result.inserted.where(F.col("qb_id").isNull()).select(
+                "tenant_id", entity_bucket(nb).alias("bucket")).distinct()
+            extra_parts = new_parts.join(keyed, parts, "left_anti")
+            out = out.unionByName(restrict_partitions(data, extra_parts, parts).select(*out.columns))
+        out.write.mode("overwrite").partitionBy(*parts).parquet(stage)
         side = f"{root}/_side"
         result.assignments.write.mode("overwrite").parquet(f"{side}/assignments/batch_id={batch_id}")
         result.branch_links.write.mode("overwrite").parquet(f"{side}/branch_links/batch_id={batch_id}")
@@ -84,8 +108,8 @@ def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_r
         new_max = result.inserted.agg(F.max("id")).first()[0]
         write_state(spark, meta, batch_id, max_id if new_max is None else int(new_max))
     _, new_max = read_state(spark, meta)
-    replace_partitions(spark.read.parquet(stage), root)
-    write_state(spark, root, batch_id, new_max)
+    replace_partitions(spark.read.parquet(stage), root, parts)
+    write_state(spark, root, batch_id, new_max, nb)
     return True
 
 

@@ -59,3 +59,50 @@ def test_stream_available_now(spark, tmp_path):
     # Restart on the same checkpoint: nothing new, nothing changes.
     start_sync(spark, landing, root, ckpt, types, branches, files_per_batch=1).awaitTermination()
     assert sorted((r["id"], r["name"]) for r in read_partitions(spark, root).collect()) == got
+
+
+def _bucketed(spark, tmp_path, rows, buckets=8):
+    root = str(tmp_path / "bent")
+    target = spark.createDataFrame(rows, S.ENTITIES)
+    init_partitioned(target, root, buckets=buckets)
+    types = spark.createDataFrame([(i + 1, n) for i, n in enumerate(S.ENTITY_TYPE_NAMES)], S.ENTITY_TYPES)
+    branches = spark.createDataFrame([(1, 0, "Main")], S.BRANCHES)
+    return root, types, branches
+
+
+def _files(root):
+    import glob
+    return {p: __import__("os").path.getmtime(p) for p in glob.glob(root + "/data/*/*/*.parquet")}
+
+
+def test_bucketed_rewrites_only_touched_buckets(spark, tmp_path):
+    rows = [(i, f"E{i}", "", "", "keep", None, str(i), 0, False, None, "") for i in range(1, 41)]
+    root, types, branches = _bucketed(spark, tmp_path, rows)
+    before = _files(root)
+    pages = spark.createDataFrame([_page([{"Id": "7", "DisplayName": "Seven"}])], LANDED_PAGE)
+    assert apply_landed_batch(spark, pages, 0, root, types, branches)
+    after = _files(root)
+    changed_dirs = {p.rsplit("/", 1)[0] for p in set(before) ^ set(after)}
+    assert len(changed_dirs) == 1  # one bucket of one tenant
+    got = {r["id"]: r["name"] for r in read_partitions(spark, root).collect()}
+    assert len(got) == 40 and got[7] == "Seven" and got[8] == "E8"
+
+
+def test_bucketed_name_check_sees_other_buckets(spark, tmp_path):
+    rows = [(i, f"E{i}", "", "", "keep", None, str(i), 0, False, None, "") for i in range(1, 41)]
+    root, types, branches = _bucketed(spark, tmp_path, rows)
+    # Rename 7 to the name held by 8 (almost surely another bucket): rejected.
+    pages = spark.createDataFrame([_page([{"Id": "7", "DisplayName": "e8"}])], LANDED_PAGE)
+    assert apply_landed_batch(spark, pages, 0, root, types, branches)
+    got = {r["id"]: r["name"] for r in read_partitions(spark, root).collect()}
+    assert got[7] == "E7"
+
+
+def test_bucketed_null_id_insert_keeps_its_bucket(spark, tmp_path):
+    rows = [(i, f"E{i}", "", "", "keep", None, None if i % 2 else str(i), 0, False, None, "") for i in range(1, 41)]
+    root, types, branches = _bucketed(spark, tmp_path, rows, buckets=4)
+    pages = spark.createDataFrame([_page([{"DisplayName": "NoId"}])], LANDED_PAGE)
+    assert apply_landed_batch(spark, pages, 0, root, types, branches)
+    got = {r["id"]: r["name"] for r in read_partitions(spark, root).collect()}
+    assert len(got) == 41 and got[41] == "NoId"
+    assert read_state(spark, root) == (0, 41)
