@@ -1,6 +1,6 @@
 """Bulk mapping-id update (U7, J7) with the mapping action label.
 
-Instructions (internal_id, quickbooks_id, type, tenant_id, seq) are checked
+Instructions (internal_id, external_id, type, tenant_id, seq) are checked
 for required fields (F5), routed by type -- Customer/Vendor to entities,
 MenuItem/Item to skus, anything else changes nothing -- deduplicated (last
 ``seq`` wins per target row) and applied with a left join.
@@ -24,7 +24,7 @@ from tallyspark.operators.validate import require
 
 ENTITY_TYPES_ROUTED = ["Customer", "Vendor"]
 SKU_TYPES_ROUTED = ["MenuItem", "Item"]
-REQUIRED = ["internal_id", "quickbooks_id", "type"]
+REQUIRED = ["internal_id", "external_id", "type"]
 
 
 @dataclass
@@ -37,8 +37,8 @@ class MappingResult:
 
 
 def _last(df: DataFrame, keys: list[str]) -> DataFrame:
-    w = df.groupBy(*keys).agg(F.max(F.struct("seq", "quickbooks_id")).alias("_w"))
-    return w.select(*keys, F.col("_w.quickbooks_id").alias("new_qb_id"))
+    w = df.groupBy(*keys).agg(F.max(F.struct("seq", "external_id")).alias("_w"))
+    return w.select(*keys, F.col("_w.external_id").alias("new_qb_id"))
 
 
 def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,

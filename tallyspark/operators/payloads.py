@@ -32,13 +32,13 @@ def _ref(v):
 
 def attach_version(updates: DataFrame, current: DataFrame, id_col: str = "qb_item_id") -> tuple[DataFrame, DataFrame]:
     """SyncToken of the current record for every update; no current record
-    -> reject 'Unable to fetch existing QBO Item for SyncToken.'"""
+    -> reject 'Unable to fetch the existing remote item for its SyncToken.'"""
     cur = current.select(F.col("Id").alias("_cid"), F.col("SyncToken").alias("sync_token"), F.lit(True).alias("_found"))
     cur = cur.dropDuplicates(["_cid"])
     j = updates.join(cur, updates[id_col].cast("string") == cur["_cid"], "left").drop("_cid")
     ok = j.where(F.col("_found").isNotNull()).drop("_found")
     bad = j.where(F.col("_found").isNull()).drop("_found", "sync_token").withColumn(
-        "reason", F.lit("Unable to fetch existing QBO Item for SyncToken."))
+        "reason", F.lit("Unable to fetch the existing remote item for its SyncToken."))
     return ok, bad
 
 

@@ -229,7 +229,7 @@ def q_required_split(spark, sf_dir):
     from tallyspark.operators.search import term_ok_col
     from tallyspark.operators.validate import require
     req = D.mapping_requests(spark, sf_dir)
-    return require(req, ["internal_id", "quickbooks_id", "type"]).withColumn("term_ok", term_ok_col(F.col("term")))
+    return require(req, ["internal_id", "external_id", "type"]).withColumn("term_ok", term_ok_col(F.col("term")))
 
 
 # ---------------------------------------------------------------------------

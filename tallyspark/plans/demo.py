@@ -196,7 +196,7 @@ def remote_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(inv, F.col("p_size").cast("long")).alias("QtyOnHand"),
         F.when(inv, F.lit("2024-01-01")).alias("InvStartDate"),
         F.when(k % 7 == 0, F.concat(F.lit("ITM-"), k.cast("string"))).alias("Sku"),
-        F.lit("QBO").alias("domain"),
+        F.lit("remote").alias("domain"),
         F.lit(True).alias("sparse"),
         F.struct(F.lit("2024-01-01T00:00:00-07:00").alias("CreateTime"),
                  F.lit("2024-01-02T00:00:00-07:00").alias("LastUpdatedTime")).alias("MetaData"),
@@ -357,19 +357,19 @@ def mapping_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     instructions with a blank external id when p_partkey % 15 == 0."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").where(F.col("c_custkey") % 10 == 9)
     k = F.col("c_custkey")
-    first = c.select((k * 2 + 1).alias("internal_id"), F.concat(F.lit("Q"), k.cast("string")).alias("quickbooks_id"),
+    first = c.select((k * 2 + 1).alias("internal_id"), F.concat(F.lit("Q"), k.cast("string")).alias("external_id"),
                      F.when(k % 3 == 0, F.lit("Vendor")).otherwise(F.lit("Customer")).alias("type"),
                      (F.col("c_nationkey") % 4).cast("int").alias("tenant_id"), (k * 2).alias("seq"))
     second = c.where(k % 20 == 19).select(
-        (k * 2 + 1).alias("internal_id"), F.concat(F.lit("R"), k.cast("string")).alias("quickbooks_id"),
+        (k * 2 + 1).alias("internal_id"), F.concat(F.lit("R"), k.cast("string")).alias("external_id"),
         F.lit("Customer").alias("type"), (F.col("c_nationkey") % 4).cast("int").alias("tenant_id"),
         (k * 2 + 1).alias("seq"))
     p = table(spark, sf_dir, "part").select("p_partkey").where(F.col("p_partkey") % 5 == 0)
     q = F.col("p_partkey")
-    items = p.select(q.alias("internal_id"), F.concat(F.lit("I"), q.cast("string")).alias("quickbooks_id"),
+    items = p.select(q.alias("internal_id"), F.concat(F.lit("I"), q.cast("string")).alias("external_id"),
                      F.when(q % 25 == 5, F.lit("Bank")).when(q % 10 == 0, F.lit("Item")).otherwise(F.lit("MenuItem"))
                      .alias("type"), (q % 4).cast("int").alias("tenant_id"), (q * 2).alias("seq"))
-    blank = p.where(q % 15 == 0).select(q.alias("internal_id"), F.lit("").alias("quickbooks_id"),
+    blank = p.where(q % 15 == 0).select(q.alias("internal_id"), F.lit("").alias("external_id"),
                                         F.lit("Item").alias("type"), (q % 4).cast("int").alias("tenant_id"),
                                         (q * 2 + 1).alias("seq"))
     return first.unionByName(second).unionByName(items).unionByName(blank)
@@ -382,7 +382,7 @@ def mapping_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     return c.select(
         F.when(k % 17 != 0, k * 2 + 1).alias("internal_id"),
-        F.when(k % 19 != 0, F.concat(F.lit("Q"), k.cast("string"))).otherwise(F.lit("")).alias("quickbooks_id"),
+        F.when(k % 19 != 0, F.concat(F.lit("Q"), k.cast("string"))).otherwise(F.lit("")).alias("external_id"),
         F.when(k % 23 != 0, F.lit("Customer")).alias("type"),
         F.when(k % 4 == 0, F.lit(" a ")).when(k % 4 == 1, F.lit("ab")).when(k % 4 == 2, F.col("c_name"))
         .otherwise(F.lit("")).alias("term"))
@@ -456,7 +456,7 @@ def token_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qbo_tokens: accepted payloads upserted on (tenant, realm), last wins."""
+    """tokens: accepted payloads upserted on (tenant, realm), last wins."""
     from tallyspark.operators.credentials import to_token_record
     from tallyspark.operators.upsert import dedupe_last
     from tallyspark.operators.validate import require

@@ -289,15 +289,15 @@ SELECT 'skus', id, tenant_id, old_qb_id, new_qb_id, 'Map ID', 'Unmapped' FROM sh
 ORACLE["required_split"] = """
 WITH r AS (
   SELECT CASE WHEN c_custkey % 17 <> 0 THEN c_custkey * 2 + 1 END AS internal_id,
-         CASE WHEN c_custkey % 19 <> 0 THEN 'Q' || CAST(c_custkey AS VARCHAR) ELSE '' END AS quickbooks_id,
+         CASE WHEN c_custkey % 19 <> 0 THEN 'Q' || CAST(c_custkey AS VARCHAR) ELSE '' END AS external_id,
          CASE WHEN c_custkey % 23 <> 0 THEN 'Customer' END AS type,
          CASE c_custkey % 4 WHEN 0 THEN ' a ' WHEN 1 THEN 'ab' WHEN 2 THEN c_name ELSE '' END AS term
   FROM customer),
-f AS (SELECT *, coalesce(internal_id, 0) = 0 AS m1, coalesce(quickbooks_id, '') = '' AS m2,
+f AS (SELECT *, coalesce(internal_id, 0) = 0 AS m1, coalesce(external_id, '') = '' AS m2,
              coalesce(type, '') = '' AS m3 FROM r)
-SELECT internal_id, quickbooks_id, type, term, NOT (m1 OR m2 OR m3) AS accepted,
+SELECT internal_id, external_id, type, term, NOT (m1 OR m2 OR m3) AS accepted,
        CASE WHEN m1 OR m2 OR m3 THEN 'Missing required fields: ' ||
-            concat_ws(', ', CASE WHEN m1 THEN 'internal_id' END, CASE WHEN m2 THEN 'quickbooks_id' END,
+            concat_ws(', ', CASE WHEN m1 THEN 'internal_id' END, CASE WHEN m2 THEN 'external_id' END,
                       CASE WHEN m3 THEN 'type' END) END AS reason,
        length(trim(term)) >= 2 AS term_ok
 FROM f"""

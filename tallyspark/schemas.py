@@ -232,7 +232,7 @@ SKUS = StructType([
     StructField("tenant_id", IntegerType()), StructField("sku", StringType()),
     StructField("ratio", DoubleType()), StructField("alert_threshold", DoubleType()),
 ])
-QBO_TOKENS = StructType([
+TOKENS = StructType([
     StructField("tenant_id", IntegerType()),
     StructField("realm_id", StringType()),
     StructField("state", StringType()),
@@ -264,8 +264,8 @@ class TableRules:
 
 
 RULES = {
-    "qbo_tokens": TableRules(
-        "qbo_tokens", primary_key=("tenant_id", "realm_id"),
+    "tokens": TableRules(
+        "tokens", primary_key=("tenant_id", "realm_id"),
         not_null=("tenant_id", "realm_id", "access_token", "refresh_token", "updated_at"),
         lengths={"realm_id": 64, "state": 255, "token_type": 50}),
     "qb_defaults": TableRules(

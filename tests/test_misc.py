@@ -32,7 +32,7 @@ def test_apply_mappings(spark):
     m = spark.createDataFrame([(1, "Q1", "Customer", 0, 1), (1, "Q2", "Customer", 0, 2), (1, "QX", "Vendor", 0, 3),
                                (10, "I10", "MenuItem", 0, 1), (2, "", "Vendor", 0, 1), (2, "Z", "Bank", 0, 1),
                                (1, "T1", "Customer", 1, 1)],
-                              "internal_id long, quickbooks_id string, type string, tenant_id int, seq long")
+                              "internal_id long, external_id string, type string, tenant_id int, seq long")
     r = apply_mappings(ents, skus, m, assignments=assigns, types=types)
     got = sorted((x["id"], x["tenant_id"], x["qb_id"]) for x in r.entities.collect())
     assert got == [(1, 0, "Q2"), (1, 1, "T1"), (2, 0, None)]  # same id, other tenant: its own mapping
