@@ -12,8 +12,9 @@ O(terms x records).  The exact replacement used here:
    contains the term contains every literal gram of it, so no candidate is
    lost.  Gram frequencies come from a partial aggregation restricted to
    grams that some term uses.
-3. The equi join on (group, gram) is salted: a gram held by a third of all
-   records is spread over ``salt`` tasks instead of one.
+3. The equi join on (group, gram) is salted by gram size (known from step 2):
+   a gram held by a third of all records is spread over many tasks, a rare
+   gram stays in one.
 4. Candidates are verified with the real predicate and cut to ``k`` per term
    with a row_number filter, which Spark applies map-side too
    (WindowGroupLimit), so a hot term never ships more than k rows per task.
@@ -54,10 +55,15 @@ def _term_key(term: Column, trim: bool) -> Column:
 
 def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "term", record_id: str = "Id",
                      record_field: str = "Name", group_cols: list[str] | None = None, k: int = S.SEARCH_LIMIT,
-                     min_length: int = 2, salt: int = 8, trim: bool = True) -> DataFrame:
+                     min_length: int = 2, max_salt: int = 256, rows_per_salt: int = 50000,
+                     trim: bool = True) -> DataFrame:
     """Returns every column of ``terms`` plus candidate_id, candidate_name and
     rank (1..k, by candidate id).  Terms are trimmed (the dialog sends the
-    trimmed text) and shorter than ``min_length`` get no candidates."""
+    trimmed text) and shorter than ``min_length`` get no candidates.
+
+    Each blocking gram is split into ceil(records holding it / rows_per_salt)
+    salts (at most ``max_salt``): a cold gram stays one task, a gram held by a
+    third of all records is spread over many."""
     g = list(group_cols or [])
     t_ok = terms.where(term_ok_col(F.col(term_col), min_length))
     texts = t_ok.select(*g, _term_key(F.col(term_col), trim).alias("_lt")).distinct()
@@ -77,15 +83,17 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
     chosen = (term_grams.join(freq, [*g, "_gram"], "left")
               .withColumn("_n", F.coalesce("_n", F.lit(0)))
               .groupBy(*g, "_lt").agg(F.min(F.struct("_n", "_gram")).alias("_best"))
-              .select(*g, "_lt", F.col("_best._gram").alias("_gram")))
-    chosen = chosen.join(texts.select(*g, "_lt", "_wild"), [*g, "_lt"])
-
-    # Salted equi join on (group, gram).
-    salts = F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt")
-    probe = chosen.select(*g, "_lt", "_wild", "_gram", salts)
-    used = chosen.select(*g, "_gram").distinct()
-    build = (rec_grams.join(used, [*g, "_gram"], "left_semi")
-             .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salt)).cast("int")))
+              .select(*g, "_lt", F.col("_best._gram").alias("_gram"), F.col("_best._n").alias("_n")))
+    chosen = (chosen.join(texts.select(*g, "_lt", "_wild"), [*g, "_lt"])
+              .withColumn("_salts", F.least(F.lit(max_salt), F.greatest(
+                  F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_salt)))).cast("int")))
+
+    # Equi join on (group, gram, salt); the salt count follows the gram's size.
+    probe = chosen.select(*g, "_lt", "_wild", "_gram",
+                          F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+    used = chosen.select(*g, "_gram", "_salts").distinct()
+    build = (rec_grams.join(used, [*g, "_gram"])
+             .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int")).drop("_salts"))
     cand = probe.join(build, [*g, "_gram", "_salt"])
     cand = cand.withColumn("_pat", _pattern(F.col("_lt"))).withColumn("_lname", F.lower("_name"))
     cand = cand.where(F.when(F.col("_wild"), F.expr("_lname LIKE _pat"))

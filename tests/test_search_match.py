@@ -43,7 +43,7 @@ def test_blocked_equals_nested_loop(spark):
     tdf = spark.createDataFrame(trows, "term_id int, tenant_id int, term string")
     rdf = spark.createDataFrame(recs, "tenant_id int, Id string, Name string")
     cols = ["term_id", "tenant_id", "term", "candidate_id", "candidate_name", "rank"]
-    blocked = match_candidates(tdf, rdf, group_cols=["tenant_id"], k=7, salt=3)
+    blocked = match_candidates(tdf, rdf, group_cols=["tenant_id"], k=7, rows_per_salt=40)
     nested = match_candidates_nested(tdf, rdf, group_cols=["tenant_id"], k=7)
     b = sorted(tuple(r[c] for c in cols) for r in blocked.collect())
     n = sorted(tuple(r[c] for c in cols) for r in nested.collect())
