@@ -25,12 +25,11 @@ def assign_ids(df: DataFrame, order_cols: list, start: int | Column = 1, id_col:
     constant over the frame (e.g. a literal).  Order columns must give a total
     order for the ids to be reproducible.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .checkpoint(eager=True))
+    ensure_checkpoint_dir(df.sparkSession)
+    # Without an explicit count AQE may merge neighbouring ranges (order is
+    # kept), so a small insert set is not spread over hundreds of partitions.
+    ranged = df.repartitionByRange(num_partitions, *order_cols) if num_partitions else df.repartitionByRange(*order_cols)
+    ranged = ranged.sortWithinPartitions(*order_cols).checkpoint(eager=True)
     tagged = ranged.select("*", F.spark_partition_id().alias("_pid"),
                            (F.monotonically_increasing_id().bitwiseAND(F.lit(_LOW_BITS))).alias("_row"))
     counts = dict(tagged.groupBy("_pid").count().collect())

@@ -16,7 +16,7 @@ from tallyspark.operators.validate import audit_unique, default_fill, require
 
 def test_assign_ids_dense_any_partitioning(spark):
     df = spark.range(0, 5000, 3).select((F.col("id") * 7 % 5000).alias("k")).repartition(13)
-    for n in (1, 4, 9):
+    for n in (None, 1, 4, 9):
         out = assign_ids(df, ["k"], start=100, num_partitions=n)
         got = sorted((r["k"], r["id"]) for r in out.collect())
         assert [i for _, i in got] == list(range(100, 100 + len(got)))
