@@ -103,20 +103,25 @@ def collapse_batch(batch: DataFrame) -> DataFrame:
 # Checks (J1, J2)
 # ---------------------------------------------------------------------------
 
-def _type_lookup(types: DataFrame) -> DataFrame:
+def _type_lookup(types: DataFrame, collation: str | None) -> DataFrame:
     # entity_types holds an ENUM of seven names, so the lookup is bounded by
     # the domain and is broadcast.  Duplicate names: lowest id (made-determin-
-    # istic form of the procedure's LIMIT 1).
-    return F.broadcast(types.groupBy(F.col("name").alias("type")).agg(F.min("id").cast("int").alias("type_id")))
+    # istic form of the procedure's LIMIT 1).  Names compare under the
+    # collation (the source database's default is case-insensitive).
+    return F.broadcast(types.groupBy(_name_key(F.col("name"), collation).alias("_tk"))
+                       .agg(F.min("id").cast("int").alias("type_id")))
 
 
-def check_inserts(rows: DataFrame, types: DataFrame, branches: DataFrame) -> DataFrame:
+def check_inserts(rows: DataFrame, types: DataFrame, branches: DataFrame,
+                  collation: str | None = "UNICODE_CI_AI") -> DataFrame:
     """Add type_id, _ok and reason (branch checked first, then type)."""
     br = (branches.select(F.col("id").cast("int").alias("branch_id"), F.col("tenant_id").cast("int").alias("tenant_id"))
           .dropDuplicates(["branch_id", "tenant_id"]).withColumn("_branch_ok", F.lit(True)))
     # branches is not bounded by a domain: a plain join, so AQE broadcasts it
     # only after measuring it, and falls back to a sort-merge join otherwise.
-    out = rows.join(br, ["branch_id", "tenant_id"], "left").join(_type_lookup(types), ["type"], "left")
+    out = (rows.join(br, ["branch_id", "tenant_id"], "left")
+           .withColumn("_tk", _name_key(F.col("type"), collation))
+           .join(_type_lookup(types, collation), ["_tk"], "left").drop("_tk"))
     branch_ok = F.coalesce(F.col("_branch_ok"), F.lit(False))
     reason = (F.when(~branch_ok, F.concat(F.lit("Branch ID "), F.coalesce(F.col("branch_id").cast("string"), F.lit("NULL")),
                                           F.lit(" does not exist for tenant "),
@@ -134,7 +139,8 @@ def _name_key(c: Column, collation: str | None) -> Column:
     return F.collate(c, collation) if collation else c
 
 
-def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: DataFrame):
+def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: DataFrame,
+             collation: str | None = "UNICODE_CI_AI"):
     """rows: the prepared batch (checkpointed).  Returns (updates, inserts,
     rejects)."""
     seq = F.struct("batch_no", "pos")
@@ -153,7 +159,7 @@ def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: Dat
     # so the several outputs below share it (and a lost executor never
     # re-derives it differently).
     checked = check_inserts(km.where(~F.col("_m")).unionByName(nulls.withColumn("_m", F.lit(False))),
-                            types, branches)
+                            types, branches, collation)
     matched = km.where("_m").select("*", F.lit(None).cast("int").alias("type_id"), F.lit(None).cast("string").alias("reason"),
                                     F.lit(True).alias("_ok"))
     resolved = checked.unionByName(matched).checkpoint(eager=True)
@@ -282,7 +288,7 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
     e_start = first_new_id if first_new_id is not None else next_id(target)
     while True:
         live = rows if clash_rejects is None else _drop_groups(rows, clash_rejects).checkpoint(eager=True)
-        updates, inserts, rejects = _resolve(target, live, types, branches)
+        updates, inserts, rejects = _resolve(target, live, types, branches, collation)
         if on_error == "fail":
             first = rejects.select("reason").first()
             if first is not None:

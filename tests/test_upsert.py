@@ -236,3 +236,10 @@ def test_hot_key_collapses_map_side(spark):
     assert (hot["name"], hot["n_rows"], hot["first_pos"]) == (f"n{n - 3}", n // 3, 0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_max" in plan and "Window" not in plan and "collect_list" not in plan
+
+
+def test_type_lookup_follows_collation(spark):
+    res = _simple(spark, [_ent(1, "A", "1")], [_row(0, "B", "2", type_="customer")])
+    assert [r["type"] for r in res.assignments.collect()] == [1]
+    res2 = _simple(spark, [_ent(1, "A", "1")], [_row(0, "B", "2", type_="customer")], collation=None)
+    assert [r["reason"] for r in res2.rejects.collect()] == ['Entity type "customer" not found in entity_types']
