@@ -199,8 +199,9 @@ def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: Dat
 
 
 def _apply(target: DataFrame, updates: DataFrame, inserted: DataFrame) -> DataFrame:
-    """New entities table: updated target rows, untouched rows, new rows.
-    Returned with helper columns _changed, _src_* for the name check."""
+    """New entities table: updated target rows, untouched rows, new rows,
+    with helper columns _old_name, _hit, _src_batch, _src_pos for the name
+    check (callers select ENTITY_COLUMNS)."""
     t_null = target.where(F.col("qb_id").isNull())
     t_keyed = target.where(F.col("qb_id").isNotNull())
     u = updates.select(*KEYS, *[F.col(c).alias("_u_" + c) for c in TEXT_COLS],
