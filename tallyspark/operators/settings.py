@@ -50,16 +50,16 @@ def save_defaults(target: DataFrame, saves: DataFrame, by: list[str] | None = No
 
 def defaults_coverage(scopes: DataFrame, saved: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Every expected setting key (and sync marker) per scope row, joined to
-    the saved value: status 'assigned' / 'Unassigned' for settings, 'Synced' /
-    'Not synced' for markers (QB_ID = '1').  Keys are generated per scope with
+    the saved row: status 'assigned' (a row exists) / 'Unassigned' for
+    settings, 'Synced' / 'Not synced' for markers (QB_ID = '1').  Keys are generated per scope with
     ``explode`` (no cross join); the saved table is joined on (by..., name)."""
     by = by or []
     keys = F.array(*[F.struct(F.lit(k).alias("name"), F.lit("setting").alias("kind")) for k in S.SETTING_KEYS],
                    *[F.struct(F.lit(k).alias("name"), F.lit("marker").alias("kind")) for k in S.SYNC_MARKER_KEYS])
     expected = scopes.select(*by).distinct().select(*by, F.explode(keys).alias("_k")).select(*by, "_k.*")
-    j = expected.join(saved.select(*by, "name", "qb_id", "qb_name"), [*by, "name"], "left")
-    setting_status = F.when(F.col("qb_id").isNotNull() | F.col("qb_name").isNotNull(), F.lit("assigned")) \
-        .otherwise(F.lit("Unassigned"))
+    j = expected.join(saved.select(*by, "name", "qb_id", "qb_name", F.lit(True).alias("_saved")), [*by, "name"], "left")
+    # A saved row makes the setting assigned, whatever its values.
+    setting_status = F.when(F.col("_saved"), F.lit("assigned")).otherwise(F.lit("Unassigned"))
     marker_status = F.when(F.col("qb_id") == F.lit(S.SYNCED_VALUE), F.lit("Synced")).otherwise(F.lit("Not synced"))
     status = F.when(F.col("kind") == "marker", marker_status).otherwise(setting_status)
     return j.select(*by, "name", "kind", status.alias("status"), "qb_id", "qb_name")

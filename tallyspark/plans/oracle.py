@@ -329,7 +329,7 @@ ek AS (SELECT * FROM (VALUES ('walk_in_customer', 'setting'), ('payable_account'
        ('delivery_fee', 'setting'), ('customers_synced', 'marker'), ('vendors_synced', 'marker')) v(name, kind))
 SELECT sc.tenant_id, ek.name, ek.kind,
        CASE WHEN ek.kind = 'marker' THEN CASE WHEN d.qb_id = '1' THEN 'Synced' ELSE 'Not synced' END
-            WHEN d.qb_id IS NOT NULL OR d.qb_name IS NOT NULL THEN 'assigned' ELSE 'Unassigned' END AS status,
+            WHEN d.name IS NOT NULL THEN 'assigned' ELSE 'Unassigned' END AS status,
        d.qb_id, d.qb_name
 FROM sc CROSS JOIN ek LEFT JOIN d ON d.tenant_id = sc.tenant_id AND d.name = ek.name"""
 

@@ -66,10 +66,11 @@ def test_settings_fan_out_and_coverage(spark):
                                   "name string, qb_id string, qb_name string, tax_rate_ref_id string, seq long")
     fo = sorted((r["name"], r["qb_id"], r["qb_name"]) for r in fan_out_tax_rate(saves).collect())
     assert fo == [("cash_account", "C", "Cash"), ("tax_code", "T1", "GST"), ("tax_rate_ref", "R9", "Tax Rate Ref")]
-    saved = spark.createDataFrame([("tax_code", "T1", "GST"), ("customers_synced", "1", "Synced")],
-                                  "name string, qb_id string, qb_name string")
+    saved = spark.createDataFrame([("tax_code", "T1", "GST"), ("customers_synced", "1", "Synced"),
+                                   ("cash_account", None, None)], "name string, qb_id string, qb_name string")
     cov = {r["name"]: r["status"] for r in defaults_coverage(spark.range(1), saved).collect()}
     assert len(cov) == 11 and cov["tax_code"] == "assigned" and cov["walk_in_customer"] == "Unassigned"
+    assert cov["cash_account"] == "assigned"  # a saved row counts, even with NULL values
     assert cov["customers_synced"] == "Synced" and cov["vendors_synced"] == "Not synced"
 
 
