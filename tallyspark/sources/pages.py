@@ -67,11 +67,17 @@ def count_records(pages: DataFrame, entity: str, by: list[str] | None = None) ->
         F.sum(array_size(_records(entity))).cast("long").alias("n_records"))
 
 
-def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=None) -> tuple[DataFrame, DataFrame]:
+def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=None,
+                 status_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: pages carrying ``Fault`` go to the error side ('reject'), or make the
-    job fail when the good side is evaluated ('fail')."""
+    job fail when the good side is evaluated ('fail').  With ``status_col``
+    (the HTTP status of the landed response) a status outside 2xx is a fault
+    too; its fault text is then the whole body."""
     parsed = parse_pages(pages, entity, record) if "page" not in pages.columns else pages
     fault = F.col("page.Fault")
+    if status_col is not None:
+        fault = F.when(~F.coalesce(status_ok(F.col(status_col)), F.lit(False)), F.coalesce(fault, F.col("body"))) \
+            .otherwise(fault)
     faults = parsed.where(fault.isNotNull()).select("source", "requested_start", fault.alias("fault"))
     if mode == "reject":
         good = parsed.where(fault.isNull())

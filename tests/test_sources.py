@@ -88,3 +88,12 @@ def test_versioned_table(spark, tmp_path):
     # filter on the partition column is pruned at the scan
     plan = read_table(spark, root).where(F.col("tenant_id") == 0)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "tenant_id" in plan
+
+
+def test_fault_by_status_class(spark):
+    rows = [("C", 1, _body("Customer", [{"Id": "1"}], 1), 200), ("C", 1001, '{"error": "busy"}', 503),
+            ("C", 2001, _body("Customer", [{"Id": "3"}], 2001), 204)]
+    pages = spark.createDataFrame(rows, "source string, requested_start long, body string, status int")
+    good, faults = split_faults(pages, "Customer", status_col="status")
+    assert sorted(r["requested_start"] for r in good.collect()) == [1, 2001]
+    assert [r["fault"] for r in faults.collect()] == ['{"error": "busy"}']
