@@ -20,6 +20,9 @@ BASE_CONF = {
     "spark.ui.showConsoleProgress": "false",
     # MIN/MAX/COUNT over a plain parquet scan read from file footers.
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Reliable checkpoints are deleted once their DataFrame is unreachable, so
+    # a long-running session does not fill the shared folder.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
