@@ -243,3 +243,11 @@ def test_type_lookup_follows_collation(spark):
     assert [r["type"] for r in res.assignments.collect()] == [1]
     res2 = _simple(spark, [_ent(1, "A", "1")], [_row(0, "B", "2", type_="customer")], collation=None)
     assert [r["reason"] for r in res2.rejects.collect()] == ['Entity type "customer" not found in entity_types']
+
+
+def test_rename_swap_succeeds(spark):
+    """Rule 8: A<->B renames in one batch fail row by row in the source
+    system but succeed set-based (accepted divergence)."""
+    res = _simple(spark, [_ent(1, "A", "1"), _ent(2, "B", "2")], [_row(0, "B", "1"), _row(1, "A", "2")])
+    assert sorted((r["qb_id"], r["name"]) for r in res.entities.collect()) == [("1", "B"), ("2", "A")]
+    assert res.rejects.count() == 0
