@@ -62,7 +62,9 @@ def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,
                      .select(F.col("entity").alias("internal_id"), "tenant_id", F.col("_tn").alias("type")))
     else:
         raise ValueError("type_source must be 'assignment' or 'column'")
-    ent_hit = ent_ins.join(ent_types.distinct(), ["internal_id", "tenant_id", "type"], "left_semi")
+    # A semi join needs no distinct right side (that would shuffle the whole
+    # assignments table); the small instruction side can be broadcast by AQE.
+    ent_hit = ent_ins.join(ent_types, ["internal_id", "tenant_id", "type"], "left_semi")
     ent_new = _last(ent_hit, ["internal_id", "tenant_id"])
     e = entities.join(ent_new.withColumnRenamed("internal_id", "id"), ["id", "tenant_id"], "left")
     entities_out = e.select(*[F.coalesce(F.col("new_qb_id"), F.col("qb_id")).alias("qb_id") if c == "qb_id"
@@ -72,7 +74,7 @@ def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,
 
     # Skus: match on (id, tenant).
     sku_ins = good.where(F.col("type").isin(SKU_TYPES_ROUTED))
-    sku_hit = sku_ins.join(skus.select(F.col("id").alias("internal_id"), "tenant_id").distinct(),
+    sku_hit = sku_ins.join(skus.select(F.col("id").alias("internal_id"), "tenant_id"),
                            ["internal_id", "tenant_id"], "left_semi")
     sku_new = _last(sku_hit, ["internal_id", "tenant_id"])
     s = skus.join(sku_new.withColumnRenamed("internal_id", "id"), ["id", "tenant_id"], "left")

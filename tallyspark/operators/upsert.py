@@ -329,7 +329,7 @@ def _drop_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def _rows_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Batch rows belonging to the given sources: a keyed source is its whole
     (tenant_id, qb_id) group, a NULL-id source is one row."""
-    keyed = rows.join(groups.where(F.col("qb_id").isNotNull()).select(*KEYS).distinct(), KEYS, "left_semi")
+    keyed = rows.join(groups.where(F.col("qb_id").isNotNull()).select(*KEYS), KEYS, "left_semi")
     nulls = rows.where(F.col("qb_id").isNull()).join(
         groups.where(F.col("qb_id").isNull()).select("batch_no", "tenant_id", "pos"),
         ["batch_no", "tenant_id", "pos"], "left_semi")
@@ -400,7 +400,7 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], order_c
                .select(*keys, *[F.col("_w")[c].alias(c) for c in other]))
     # Probe the target only for the source's keys (a semi join the source
     # side of which AQE can broadcast), not a distinct over all target keys.
-    existing = target.select(*keys).join(src.select(*keys).distinct(), keys, "left_semi").distinct()
+    existing = target.select(*keys).join(src.select(*keys).distinct(), keys, "left_semi")
     new = src.join(existing, keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 

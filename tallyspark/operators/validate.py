@@ -96,8 +96,9 @@ def audit_domain(df: DataFrame, domains: dict, key_cols: list[str], table: str =
 def audit_reference(child: DataFrame, cols: list[str], parent: DataFrame, parent_cols: list[str],
                     key_cols: list[str], table: str = "", parent_name: str = "") -> DataFrame:
     """Q6: child rows whose (non-NULL) reference has no parent row.  A left
-    anti join against the parent's distinct keys."""
-    pk = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, cols)]).distinct()
+    anti join against the parent's keys (no distinct needed: an anti join
+    only tests existence)."""
+    pk = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_cols, cols)])
     not_null = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
     orphans = child.where(not_null).join(pk, cols, "left_anti")
     return orphans.select(F.lit(table).alias("table_name"), F.lit("reference").alias("rule"),
