@@ -93,3 +93,44 @@ def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,
              .agg(F.count(F.lit(1)).alias("instructions"), F.count_if(F.col("_hit").isNotNull()).alias("matched"))
              .withColumn("unmatched", F.col("instructions") - F.col("matched")))
     return MappingResult(entities_out, skus_out, ent_applied.unionByName(sku_applied), rejects, stats)
+
+
+def apply_mappings_into_table(spark, mappings: DataFrame, table_root: str, skus: DataFrame, **kw) -> MappingResult:
+    """U7 against the tenant-partitioned entities table (sources.tables):
+    only the partitions holding a mapped entity -- and, on a bucketed table,
+    the buckets its new external id moves it to -- are read and rewritten.
+    Returns the reports materialised and ``entities`` as the new table.
+
+    An entity's bucket follows its external id, which the instruction does
+    not carry, so the (tenant, bucket, id) columns of the touched tenants are
+    scanned to find it (column-pruned, no other column is read)."""
+    from tallyspark.sources.tables import (data_path, entity_bucket, read_buckets, replace_partitions,
+                                           restrict_partitions)
+    nb = read_buckets(spark, table_root)
+    parts = ["tenant_id"] + (["bucket"] if nb else [])
+    data = spark.read.parquet(data_path(table_root))
+    ids = mappings.select(F.col("internal_id").cast("long").alias("id"), "tenant_id").distinct()
+    tenants = mappings.select("tenant_id").distinct()
+    if nb:
+        located = (restrict_partitions(data, tenants, ["tenant_id"]).select("tenant_id", "bucket", "id")
+                   .join(ids, ["id", "tenant_id"], "left_semi"))
+        src_parts = located.select(*parts).distinct().checkpoint(eager=True)
+    else:
+        src_parts = tenants
+    current = restrict_partitions(data, src_parts, parts)
+    result = apply_mappings(current.drop("bucket"), skus, mappings, **kw)
+    out = result.entities
+    if nb:
+        out = out.withColumn("bucket", entity_bucket(nb))
+        # Rows moving to a bucket not read yet bring that bucket's rows along.
+        dest = out.select(*parts).distinct().join(src_parts, parts, "left_anti")
+        out = out.unionByName(restrict_partitions(data, dest, parts).select(*out.columns))
+    stage = table_root.rstrip("/") + "/_staging/mapping"
+    out.write.mode("overwrite").partitionBy(*parts).parquet(stage)
+    # Reports are materialised before the swap: afterwards the old files are gone.
+    applied = result.applied.checkpoint(eager=True)
+    rejects = result.rejects.checkpoint(eager=True)
+    stats = result.stats.checkpoint(eager=True)
+    skus_out = result.skus.checkpoint(eager=True)
+    replace_partitions(spark.read.parquet(stage), table_root, parts)
+    return MappingResult(spark.read.parquet(data_path(table_root)), skus_out, applied, rejects, stats)

@@ -106,3 +106,25 @@ def test_bucketed_null_id_insert_keeps_its_bucket(spark, tmp_path):
     got = {r["id"]: r["name"] for r in read_partitions(spark, root).collect()}
     assert len(got) == 41 and got[41] == "NoId"
     assert read_state(spark, root) == (0, 41)
+
+
+def test_mapping_moves_rows_between_buckets(spark, tmp_path):
+    from tallyspark.operators.mapping import apply_mappings_into_table
+    rows = [(i, f"E{i}", "", "", "keep", "Customer", None if i % 2 else str(i), 0, False, None, "")
+            for i in range(1, 41)]
+    root, _, _ = _bucketed(spark, tmp_path, rows, buckets=4)
+    skus = spark.createDataFrame([], S.SKUS)
+    m = spark.createDataFrame([(3, "Q3", "Customer", 0, 1), (4, "Q4", "Customer", 0, 1)],
+                              "internal_id long, external_id string, type string, tenant_id int, seq long")
+    r = apply_mappings_into_table(spark, m, root, skus, type_source="column")
+    assert r.applied.count() == 2
+    got = {x["id"]: x["qb_id"] for x in read_partitions(spark, root).collect()}
+    assert len(got) == 40 and got[3] == "Q3" and got[4] == "Q4" and got[5] is None and got[6] == "6"
+    import glob
+    for d in glob.glob(root + "/data/tenant_id=0/bucket=*"):
+        b = int(d.rsplit("=", 1)[1])
+        ids = [x["id"] for x in spark.read.parquet(d).collect()]
+        # every row sits in the bucket of its (new) external id
+        exp = spark.createDataFrame([(i, got[i]) for i in ids], "id long, qb_id string").select(
+            __import__("tallyspark.sources.tables", fromlist=["x"]).entity_bucket(4).alias("b")).collect()
+        assert all(e["b"] == b for e in exp)
