@@ -152,7 +152,10 @@ def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate
         return df.join(parts.select(*cols).distinct(), cols, "left_anti" if negate else "left_semi")
     if not keys:
         return df if negate else df.limit(0)
-    lits = ", ".join("(" + ", ".join(repr(v) for v in k) + ")" for k in keys)
+    def lit(v):
+        return "NULL" if v is None else repr(v)
+
+    lits = ", ".join("(" + ", ".join(lit(v) for v in k) + ")" for k in keys)
     cond = F.expr(f"({', '.join(cols)}) IN ({lits})")
     return df.where(~cond if negate else cond)
 
