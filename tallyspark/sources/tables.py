@@ -150,14 +150,14 @@ def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate
     keys = [tuple(r) for r in parts.select(*cols).distinct().limit(max_literals + 1).collect()]
     if len(keys) > max_literals:
         return df.join(parts.select(*cols).distinct(), cols, "left_anti" if negate else "left_semi")
+    # A key with a NULL part equals nothing (as in a join); keeping it out of
+    # the list also keeps the negated test two-valued.
+    keys = [k for k in keys if None not in k]
     if not keys:
         return df if negate else df.limit(0)
-    def lit(v):
-        return "NULL" if v is None else repr(v)
-
-    lits = ", ".join("(" + ", ".join(lit(v) for v in k) + ")" for k in keys)
+    lits = ", ".join("(" + ", ".join(repr(v) for v in k) + ")" for k in keys)
     cond = F.expr(f"({', '.join(cols)}) IN ({lits})")
-    return df.where(~cond if negate else cond)
+    return df.where(~F.coalesce(cond, F.lit(False)) if negate else cond)
 
 
 def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id") -> None:
