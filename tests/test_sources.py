@@ -97,3 +97,15 @@ def test_fault_by_status_class(spark):
     good, faults = split_faults(pages, "Customer", status_col="status")
     assert sorted(r["requested_start"] for r in good.collect()) == [1, 2001]
     assert [r["fault"] for r in faults.collect()] == ['{"error": "busy"}']
+
+
+def test_restrict_partitions_null_keys(spark):
+    from tallyspark.sources.tables import restrict_partitions
+    df = spark.createDataFrame([(1, 1), (None, 2), (2, 3)], "tenant_id int, v int")
+    parts = spark.createDataFrame([(1,), (None,)], "tenant_id int")
+    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"]).collect()) == [1]
+    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], negate=True).collect()) == [2, 3]
+    # the join fallback (more keys than literals allowed) agrees
+    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], max_literals=0).collect()) == [1]
+    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], negate=True,
+                                                      max_literals=0).collect()) == [2, 3]

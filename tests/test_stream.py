@@ -128,3 +128,23 @@ def test_mapping_moves_rows_between_buckets(spark, tmp_path):
         exp = spark.createDataFrame([(i, got[i]) for i in ids], "id long, qb_id string").select(
             __import__("tallyspark.sources.tables", fromlist=["x"]).entity_bucket(4).alias("b")).collect()
         assert all(e["b"] == b for e in exp)
+
+
+def test_sync_into_table_as_batch_job(spark, tmp_path):
+    """The tenant-scoped commit used directly by a batch job: only tenant 0's
+    partition changes; tenant 1 keeps its files."""
+    from tallyspark.streaming.incremental import sync_into_table
+    root, types, branches = _setup(spark, tmp_path)
+    other = spark.createDataFrame([(5, "Z", "", "", "keep", None, "z", 1, False, None, "")], S.ENTITIES)
+    other.write.mode("append").partitionBy("tenant_id").parquet(root + "/data")
+    import glob
+    before = sorted(glob.glob(root + "/data/tenant_id=1/*.parquet"))
+    rows = spark.createDataFrame([(3, 0, 0, "A5", None, None, None, None, "7", "Customer", 1),
+                                  (3, 0, 1, "New", None, None, None, None, "9", "Vendor", 1)],
+                                 "batch_no int, tenant_id int, pos long, name string, email string, phone string, "
+                                 "address string, note string, qb_id string, type string, branch_id int")
+    assert sync_into_table(spark, rows, 3, root, types, branches)
+    assert not sync_into_table(spark, rows, 3, root, types, branches)  # replay: skipped
+    assert sorted(glob.glob(root + "/data/tenant_id=1/*.parquet")) == before
+    got = sorted((r["tenant_id"], r["id"], r["name"]) for r in read_partitions(spark, root).collect())
+    assert got == [(0, 1, "A5"), (0, 2, "New"), (1, 5, "Z")]
