@@ -465,3 +465,18 @@ def q_incremental_sync(spark, sf_dir):
                    D.branches(spark, sf_dir), files_per_batch=2)
     q.awaitTermination()
     return read_partitions(spark, root).select(*S.ENTITY_COLUMNS)
+
+
+@query
+def q_search_items_tenant_table(spark, sf_dir):
+    """F1 + F6 on a stored table: items committed partitioned by tenant, then a
+    case-sensitive search for one tenant.  The tenant filter prunes
+    partitions and LIKE '%ring%' reaches the parquet scan (StringContains)."""
+    from tallyspark.operators.search import search
+    from tallyspark.session import shared_path
+    from tallyspark.sources.tables import commit_table, read_table
+    root = shared_path(spark, "tables", "items")
+    items = D.remote_items(spark, sf_dir).select("tenant_id", "Id", "Name", "Type", "UnitPrice")
+    commit_table(items, root)
+    table = read_table(spark, root).where(F.col("tenant_id") == 1)
+    return search(table, "Name", "ring", case_sensitive=True).select("tenant_id", "Id", "Name", "Type", "UnitPrice")

@@ -505,3 +505,10 @@ FROM t LEFT JOIN upd u ON t.tenant_id = u.tenant_id AND t.qb_id = u.qb_id
 UNION ALL
 SELECT id, name, email, phone, note, CAST(NULL AS VARCHAR), qb_id, tenant_id, false, CAST(NULL AS INTEGER), address
 FROM insid"""
+
+ORACLE["search_items_tenant_table"] = f"""
+WITH i AS ({_ITEMS})
+SELECT tenant_id, id AS "Id", name AS "Name", type AS "Type", p.p_retailprice AS "UnitPrice"
+FROM i JOIN part p ON p.p_partkey = i.k
+WHERE tenant_id = 1 AND name LIKE '%ring%'
+ORDER BY id LIMIT 50"""

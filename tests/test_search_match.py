@@ -64,3 +64,14 @@ def test_match_routed(spark):
     cands, errors = match_routed(internal, {"Customer": cust, "Vendor": vend, "MenuItem": item})
     assert sorted((r["id"], r["candidate_id"]) for r in cands.collect()) == [(1, "c1"), (5, "v1"), (1001, "i1")]
     assert [r["error"] for r in errors.collect()] == ["Invalid entity type provided: Bank"]
+
+
+def test_stored_table_search_pushes_down(spark):
+    import __spark_entry__ as E
+    from conftest import SF001
+    df = E.queries()["search_items_tenant_table"](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(Name,ring)" in plan
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id" in plan
+    assert "TakeOrderedAndProject" in plan
