@@ -136,11 +136,11 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         a = starts[i]
         j = int(np.searchsorted(ends, a + _SPAN, "right"))
         if j <= i:  # a word longer than the table: piece by piece
-            h = U64(0)
+            h = np.zeros(1, U64)
             for k in range(int(a), int(ends[i]), _SPAN):
                 v = byte[data[k:min(k + _SPAN, int(ends[i]))]]
-                h = mix(np.array([h * _MULT[0] + (v * _POW[:len(v)]).sum(dtype=U64)], U64))[0]
-            out[i], i = h, i + 1
+                h = mix(h * _MULT[0] + (v * _POW[:len(v)]).sum(dtype=U64))
+            out[i], i = h[0], i + 1
             continue
         b = ends[j - 1]
         s = np.zeros(b - a + 1, U64)
@@ -148,8 +148,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         x, y = starts[i:j] - a, ends[i:j] - a
         out[i:j] = (s[y] - s[x]) * _INV[x]
         i = j
-    with np.errstate(over="ignore"):
-        return mix(out + (ends - starts).astype(U64) * _MULT[1])
+    return mix(out + (ends - starts).astype(U64) * _MULT[1])
 
 
 def hash_grams(words: np.ndarray, k: int) -> np.ndarray:

@@ -27,7 +27,7 @@ SHARD_PIECES = 2048
 #: Chunks whose ids a task remembers before it starts anew.
 CACHE = 300_000
 #: Unicode White_Space, which the tokenizer drops and no token crosses (fixed values).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("ids", pa.binary())])

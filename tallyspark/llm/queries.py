@@ -14,5 +14,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing,)}
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.ngram_join import ngram_jaccard_components
+
+    return ngram_jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
