@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import table
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.packing import pack_documents
 
@@ -20,5 +26,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_best_fit_packing, op7_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
