@@ -8,6 +8,8 @@ hold a bounded number of pieces, so nothing grows with the corpus but the number
 
 from __future__ import annotations
 
+import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, rows_of, single
+from tallyspark.llm.common import Scratch, rows_of, single, slices, text_buffers
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 2048
@@ -25,7 +27,8 @@ END_ID = 1
 #: Pieces that one shard packs, on average.
 SHARD_PIECES = 2048
 #: Chunks whose ids a task remembers before it starts anew.
-CACHE = 300_000
+CACHE = 500_000
+BYTES = 1 << 20
 #: Unicode White_Space, which the tokenizer drops and no token crosses (fixed values).
 WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -88,26 +91,61 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _encoder(path: str):
-    """text -> ids as little-endian uint32 bytes; equal chunks between white space are tokenised once."""
+    """Texts -> ids of each as little-endian uint32 bytes.
+
+    No token crosses white space, so equal chunks between white space are tokenised once.  A chunk of Latin letters,
+    with or without full stops and commas at its end, is one or two words to the tokenizer and goes straight to its
+    merges; any other chunk goes through the whole tokenizer.
+    """
+    import os
     import re
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    find, known = re.compile(f"[^{WHITE}]+").findall, {}
-
-    def encode(text: str) -> bytes:
-        parts = find(text)
-        new = [c for c in dict.fromkeys(parts) if c not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(parts))
-            for i in range(0, len(new), 4096):
-                for c, e in zip(new[i:i + 4096], tok.encode_batch(new[i:i + 4096], add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+    find, letters = re.compile(f"[^{WHITE}]+").findall, re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    merges, known, words = tok.model.tokenize, {}, {}
+    # The byte-level alphabet: the characters that stand for the bytes of a Latin letter.
+    as_chars = {chr(c): "".join(tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))}
+
+    def as_bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def word(core: str) -> bytes:
+        core = core.lower()
+        ids = words.get(core)
+        if ids is None:
+            ids = words[core] = as_bytes([t.id for t in merges(core if core.isascii() else "".join(map(as_chars.__getitem__, core)))])
+        return ids
+
+    def whole(chunks: list[str]) -> list[bytes]:
+        return [as_bytes(e.ids) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        parts = [find(t) for t in texts]
+        seen = dict.fromkeys(itertools.chain.from_iterable(parts))
+        new = [c for c in seen if c not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            words.clear()
+            new = list(seen)
+        rest = []
+        for c in new:
+            core = c.rstrip(".,")
+            if not letters(core):
+                rest.append(c)
+            elif len(core) == len(c):
+                known[c] = word(c)
+            else:
+                tail = c[len(core):]
+                if tail not in words:
+                    words[tail] = whole([tail])[0]
+                known[c] = word(core) + words[tail]
+        for i in range(0, len(rest), 4096):
+            known.update(zip(rest[i:i + 4096], whole(rest[i:i + 4096]), strict=True))
+        return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     return encode
 
@@ -119,8 +157,10 @@ def _cut(path: str, window: int, end_id: int, keep_ids: bool):
         encode = _encoder(path)
         for b in batches:
             out: list[list] = [[] for _ in PIECE]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            off = text_buffers(b.column(1))[1]
+            texts = itertools.chain.from_iterable(encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()]) for i, j in slices(off, BYTES))
+            for doc, ids in zip(b.column(0).to_pylist(), texts, strict=True):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, window):
                     part = ids[4 * s:4 * (s + window)]

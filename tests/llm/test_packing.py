@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm.packing import best_fit_decreasing, pack_documents
+from tallyspark.llm.packing import _encoder, best_fit_decreasing, pack_documents
 
 
 def plain_best_fit(lengths, window):
@@ -34,6 +34,18 @@ def test_segment_tree_is_best_fit():
             assert [x for x, _ in o] == list(np.cumsum([0, *[n for _, n in o]])[:-1])
 
 
+def test_encoder_is_the_tokenizer():
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    encode = _encoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = np.random.default_rng(0)
+    alphabet = list("abcdeABCÀÉéßñøÿ÷×þÞ .,.,'st!3ªµºſKİς\u0301\u00a0\u2003\x1c\n<|>中😀")
+    texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 40)))) for _ in range(3000)]
+    texts += ["e\u0301 E\u0301.", "we'll don't it's. 's, 'S", "a.b a..b, ..a", "<|endoftext|>x <|startoftext|>", "ÀÉÎ, Straße. ÿ"]
+    for t, ids in zip(texts, encode(texts), strict=True):
+        assert ids == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 def test_pack_documents(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     tok.encode_special_tokens = True
