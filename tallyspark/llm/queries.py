@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import table
 
 
+def op3_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.suffix_dedup import repeated_passages
 
@@ -26,5 +32,5 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_nb_ngram_toxicity, op4_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {}
