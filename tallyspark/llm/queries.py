@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import table
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.cotraining import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_nb_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.toxicity import toxicity_scores
 
@@ -20,6 +26,12 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.topk import exact_topk
+
+    return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.packing import pack_documents
 
@@ -32,5 +44,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_nb_ngram_toxicity, op4_suffix_array_dedup, op6_best_fit_packing, op7_ngram_jaccard_join)}
+def op8_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cotrained_quality, op3_nb_ngram_toxicity, op4_suffix_array_dedup, op5_exact_topk, op6_best_fit_packing,
+                                   op7_ngram_jaccard_join, op8_block_matrix_ann)}
 ORACLE: dict[str, str] = {}
