@@ -8,7 +8,6 @@ hold a bounded number of pieces, so nothing grows with the corpus but the number
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, rows_of, single, slices, text_buffers
+from tallyspark.llm.common import Scratch, row_words, rows_of, single, slices, text_buffers
 
 TOKENIZER = "word_bpe_49k.json"
 WINDOW = 2048
@@ -27,10 +26,9 @@ END_ID = 1
 #: Pieces that one shard packs, on average.
 SHARD_PIECES = 2048
 #: Chunks whose ids a task remembers before it starts anew.
-CACHE = 500_000
-BYTES = 1 << 20
-#: Unicode White_Space, which the tokenizer drops and no token crosses (fixed values).
-WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+CACHE = 800_000
+BYTES = 1 << 23
+ASCII_WHITE = "\t\n\x0b\x0c\r "
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                    ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -91,9 +89,9 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def _encoder(path: str):
-    """Texts -> ids of each as little-endian uint32 bytes.
+    """Rows of text -> ids as little-endian uint32 bytes.
 
-    No token crosses white space, so equal chunks between white space are tokenised once.  A chunk of Latin letters,
+    No token crosses white space, so equal chunks between ASCII white space are tokenised once.  A chunk of Latin letters,
     with or without full stops and commas at its end, is one or two words to the tokenizer and goes straight to its
     merges; any other chunk goes through the whole tokenizer.
     """
@@ -105,7 +103,7 @@ def _encoder(path: str):
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    find, letters = re.compile(f"[^{WHITE}]+").findall, re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
     merges, known, words = tok.model.tokenize, {}, {}
     # The byte-level alphabet: the characters that stand for the bytes of a Latin letter.
     as_chars = {chr(c): "".join(tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))}
@@ -123,29 +121,43 @@ def _encoder(path: str):
     def whole(chunks: list[str]) -> list[bytes]:
         return [as_bytes(e.ids) for e in tok.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = [find(t) for t in texts]
-        seen = dict.fromkeys(itertools.chain.from_iterable(parts))
-        new = [c for c in seen if c not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            words.clear()
-            new = list(seen)
+    def learn(new: list[str]) -> None:
         rest = []
         for c in new:
-            core = c.rstrip(".,")
+            text = c.rstrip(ASCII_WHITE)
+            core = text.rstrip(".,")
             if not letters(core):
                 rest.append(c)
-            elif len(core) == len(c):
-                known[c] = word(c)
+            elif len(core) == len(text):
+                known[c] = word(text)
             else:
-                tail = c[len(core):]
+                tail = text[len(core):]
                 if tail not in words:
                     words[tail] = whole([tail])[0]
                 known[c] = word(core) + words[tail]
         for i in range(0, len(rest), 4096):
             known.update(zip(rest[i:i + 4096], whole(rest[i:i + 4096]), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def encode(data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids of all rows, and where each row's begin."""
+        starts, _, first = row_words(data, off)
+        if not len(starts):
+            return b"", np.zeros(len(off), np.int64)
+        # A chunk and the white space after it, up to the next chunk; the tokenizer drops the white space.
+        chunks = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = chunks.dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = [c for c in names if c not in known]
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            words.clear()
+            new = names
+        learn(new)
+        ids = list(map(known.__getitem__, names))
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        lists = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32)), pa.py_buffer(b"".join(ids))])
+        ends = np.append(0, np.cumsum(size[at]))
+        return lists.take(coded.indices).buffers()[2].to_pybytes()[:ends[-1]], ends[first] // 4
 
     return encode
 
@@ -157,15 +169,17 @@ def _cut(path: str, window: int, end_id: int, keep_ids: bool):
         encode = _encoder(path)
         for b in batches:
             out: list[list] = [[] for _ in PIECE]
-            off = text_buffers(b.column(1))[1]
-            texts = itertools.chain.from_iterable(encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()]) for i, j in slices(off, BYTES))
-            for doc, ids in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids += end
-                n = len(ids) // 4
-                for s in range(0, n, window):
-                    part = ids[4 * s:4 * (s + window)]
-                    for col, v in zip(out, (doc, s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None), strict=True):
-                        col.append(v)
+            data, off = text_buffers(b.column(1))
+            docs = b.column(0).to_pylist()
+            for i, j in slices(off, BYTES):
+                coded, at = encode(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                for k in range(j - i):
+                    ids = coded[4 * at[k]:4 * at[k + 1]] + end
+                    n = len(ids) // 4
+                    for s in range(0, n, window):
+                        part = ids[4 * s:4 * (s + window)]
+                        for col, v in zip(out, (docs[i + k], s, len(part) // 4, zlib.crc32(part), n, part if keep_ids else None), strict=True):
+                            col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECE, strict=True)], schema=PIECE)
 
     return run
