@@ -50,6 +50,20 @@ def op8_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.bpe import decode, encode
+
+    coded = decode(encode(table(spark, sf_dir, "documents")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {f.__name__: f for f in (op1_cotrained_quality, op3_nb_ngram_toxicity, op4_suffix_array_dedup, op5_exact_topk, op6_best_fit_packing,
-                                   op7_ngram_jaccard_join, op8_block_matrix_ann)}
+                                   op7_ngram_jaccard_join, op8_block_matrix_ann, op9_byte_bpe, op10_warc_round_trip)}
 ORACLE: dict[str, str] = {}
