@@ -276,8 +276,14 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """documents (doc_id, text, ...) with the cuts of ``found`` taken out; a document left without words goes."""
+    """documents (doc_id, text, ...) with the cuts of ``found`` taken out, and n_chars, if there, set anew for those cut.
+
+    A document left without words goes.
+    """
     cuts = found.where("cut_words > 0").select("doc_id", F.col("cuts").alias("_cuts"))
     both = docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts")
     done = both.mapInArrow(_remove, both.schema)
-    return done.where(F.col("_cuts").isNull() | (F.col("text") != "")).drop("_cuts")
+    done = done.where(F.col("_cuts").isNull() | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return done.drop("_cuts")
