@@ -23,7 +23,7 @@ from tallyspark.llm.linear import Sparse, fit_logistic, sigmoid
 GRAMS = {3: 18, 4: 20, 5: 20}
 SIZE = sum(1 << b for b in GRAMS.values())
 #: Bounds of the sample that is learned from: the rows with the least hash of their id.
-FIT_ROWS, FIT_BYTES = 16_384, 96 << 20
+FIT_ROWS, FIT_BYTES = 8192, 96 << 20
 #: A feature stays if its log-count ratio is so many standard errors from 0 and it is in so many sample texts.
 LEAST_Z, LEAST_ROWS = 4.0, 4
 L2, BYTES = 1.0, 1 << 20
