@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now (it does so when their plans are collected)."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for n in names:
@@ -71,6 +77,12 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]] if len(off) else data[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
+def one_by_one(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of large values, only one of them as Python objects at a time."""
+    for i in range(len(b)):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def slices(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each (a longer row stands alone)."""
     n, i = len(off) - 1, 0

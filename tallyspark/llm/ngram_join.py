@@ -7,7 +7,9 @@ of the hash), and each fragment counts the overlap of its own part of every set;
 1. Candidates.  Two sets whose Jaccard similarity reaches the threshold share at least k shingles among the first
    ``n - ceil(t * n) + k`` of each, in the global order.  Only those prefixes travel.  A fragment counts common
    prefix shingles per pair for short lists (at most ``SHORT`` classes that hold one shingle).
-2. Long lists (one shingle in many prefixes, that is, many near copies) never give all their pairs.  They are
+2. Long lists (one shingle in many prefixes, that is, many near copies) never give all their pairs.  A class that is
+   in fewer of them than k cannot reach k there alone; its pairs are candidates if their count in the short lists
+   and the number of long lists that both are in reach k together.  The other classes of the long lists are
    resolved in rounds: each class outside its list's largest component is compared with a few probes, four times as
    many in each round, until every list is one component or all its pairs across components were compared.
 3. Verification.  The whole sets of the candidate classes go to the fragments, each counts its part of every
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _MULT, U64, Scratch, hash_grams, hash_words, mix, row_words, single, slices, text_buffers
+from tallyspark.llm.common import _MULT, U64, Scratch, hash_grams, hash_words, mix, one_by_one, row_words, single, slices, text_buffers
 from tallyspark.llm.components import merge
 
 WORDS = 5
-#: A shared-prefix count below this is too small for a pair of large sets (see step 1).
-SHARED = 16
+#: k of step 1 as a share of the smaller set: a pair that shares less of its prefixes is no candidate.
+SHARED = 10
 #: Longest list whose pairs are counted directly.
 SHORT = 24
 #: Shingles that stand last in the global order: the most frequent ones, at most so many (bounds the broadcast).
@@ -104,8 +106,12 @@ def needed(n, top: int):
     return -((-top * n) // 100)
 
 
-def shared(n, top: int):
-    return np.minimum(SHARED, needed(n, top))
+def shared(n: int, top: int) -> int:
+    return max(1, min(n // SHARED, needed(n, top)))
+
+
+def shared_sql(n, top: int):
+    return F.greatest(F.lit(1), F.least(F.floor(n / F.lit(SHARED)), F.ceil(n * top / F.lit(100))))
 
 
 PACKED = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()),
@@ -160,7 +166,7 @@ def _prefixes(k: int, top: int, frags: int, hot: np.ndarray, rank: np.ndarray):
                             s = np.concatenate([s[~is_hot], late[np.argsort(rank[at[is_hot]])]])
                     keys.append(key)
                     sizes.append(n)
-                    parts.append(s[:n - needed(n, top) + int(shared(n, top))])
+                    parts.append(s[:n - needed(n, top) + shared(n, top)])
                 if keys:
                     yield packed(keys, parts, sizes, frags)
 
@@ -171,7 +177,7 @@ def by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[d
     """Rows sorted by frag, one fragment at a time."""
     at, rows = None, []
     for b in batches:
-        for r in b.to_pylist():
+        for r in one_by_one(b):
             if rows and r["frag"] != at:
                 yield at, rows
                 rows = []
@@ -331,18 +337,26 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     order = np.argsort(hot)
     hot, rank = hot[order], -order  # the least frequent first
     total = rows.agg(F.sum("n")).first()[0] or 0
-    frags = max(8, -(-int(total * (1 - threshold / 100) + SHARED * 1000) // FRAGMENT))
+    frags = max(8, -(-int(total * (1 - threshold / 100 + 1 / SHARED)) // FRAGMENT))
     prefixes = src.where("doc_id is not null").mapInArrow(_prefixes(k, threshold, frags, hot, rank), PACKED_DDL)
     found = scratch.save(_dealt(prefixes, frags).mapInArrow(_candidates(threshold), COUNTED_DDL), "found")
-    least = F.least(F.col("na"), F.col("nb"))
-    pairs = scratch.save(found.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-                         .where(F.col("c") >= F.least(F.lit(SHARED), F.ceil(least * threshold / F.lit(100)))).drop("c"), "pairs")
-    lists = scratch.save(found.where("c < 0").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n")), "lists")
+    scratch.release()
+    long = found.where("c < 0").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
+    in_long = scratch.save(long.groupBy("key", "n").agg(F.count(F.lit(1)).alias("m")), "in-long")
+    counted = found.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    for side in ("a", "b"):
+        counted = counted.join(in_long.select(F.col("key").alias(side), F.col("m").alias(f"m{side}")), side, "left")
+    most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
+    pairs = scratch.save(counted.where(most >= shared_sql(F.least("na", "nb"), threshold)).select("a", "b", "na", "nb"), "pairs")
+    # The smallest set that a class can link to is ceil(threshold * n / 100) large.
+    able = in_long.where(F.col("m") >= shared_sql(F.ceil(F.col("n") * threshold / F.lit(100)), threshold)).select("key")
+    lists = scratch.save(long.join(able, "key", "left_semi"), "lists")
     names = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(lists.select("key")).distinct()
     wanted = scratch.save(names.join(classes, "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), "wanted")
     sets = scratch.save(src.join(wanted, "doc_id").select("doc_id", "text", "want")
                         .mapInArrow(_whole_sets(k), "key long, n int, hashes binary"), "sets")
     scratch.drop("found")
+    scratch.release()
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
@@ -354,7 +368,9 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         c = _dealt(parts.unionByName(asked), cut).mapInArrow(_overlaps, COUNTED_DDL)
         c = c.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
         ok = F.lit(100) * F.col("c") >= F.lit(threshold) * (F.col("na").cast("long") + F.col("nb") - F.col("c"))
-        return scratch.save(c.where(ok).select("a", "b"), f"{tag}-links")
+        links = scratch.save(c.where(ok).select("a", "b"), f"{tag}-links")
+        scratch.release()
+        return links
 
     labels = scratch.save(wanted.select(F.col("want").alias("key"), F.col("want").alias("label")), "labels")
     if not pairs.isEmpty():

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import U64, Scratch, hash_grams, hash_words, row_words, single, slices, text_buffers
+from tallyspark.llm.common import U64, Scratch, hash_grams, hash_words, one_by_one, row_words, single, slices, text_buffers
 from tallyspark.llm.ngram_join import fragment_of
 
 MIN_WORDS, GRAM = 50, 16
-BYTES, POOL, FRAGMENT = 1 << 20, 1 << 20, 1 << 20
+BYTES, POOL, FRAGMENT = 1 << 20, 1 << 18, 1 << 18
 
 ENTRY = pa.schema([("frag", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("ats", pa.binary()), ("flags", pa.binary())])
 ENTRY_DDL = "frag int, hashes binary, docs binary, ats binary, flags binary"
@@ -135,7 +135,7 @@ def _windows(frags: int, min_words: int, gram: int):
 def _by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     at, held = None, []
     for b in batches:
-        for r in b.to_pylist():
+        for r in one_by_one(b):
             if held and r["frag"] != at:
                 yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
                 held = []
@@ -172,7 +172,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for r in b.to_pylist():
+        for r in one_by_one(b):
             yield from runs(*unpacked(r)[1:])
 
 
