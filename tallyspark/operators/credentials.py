@@ -14,8 +14,9 @@ SECRET_COLUMNS = ["id_token", "access_token", "refresh_token"]
 
 
 def _int(c: Column) -> Column:
-    # Stored in INT columns: a fractional value rounds (half away from zero).
-    return F.round(parse_number(c)).cast("int")
+    # Stored in INT columns: a fractional value rounds (half away from zero); one that does not fit is NULL, so a
+    # single odd payload does not end the job (overflowing_tokens finds it).
+    return F.round(parse_number(c)).try_cast("int")
 
 
 def to_token_record(payload: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -25,13 +26,21 @@ def to_token_record(payload: DataFrame, keep: list[str] | None = None) -> DataFr
     return payload.select(
         *keep,
         F.col("state"), _int(F.col("latency")).alias("latency"), F.col("id_token"),
-        F.round(parse_number(F.col("createdAt"))).cast("long").alias("created_at"),
+        F.round(parse_number(F.col("createdAt"))).try_cast("long").alias("created_at"),
         _int(F.col("expires_in")).alias("expires_in"), F.col("token_type"),
         F.col("access_token"), F.col("refresh_token"),
         _int(F.col("x_refresh_token_expires_in")).alias("x_refresh_token_expires_in"),
     )
 
 
+def overflowing_tokens(payload: DataFrame) -> DataFrame:
+    """Payloads with a number that does not fit its column, to be rejected."""
+    def over(c: str, kind: str) -> Column:
+        n = F.round(parse_number(F.col(c)))
+        return n.isNotNull() & n.try_cast(kind).isNull()
+    return payload.where(over("latency", "int") | over("expires_in", "int") | over("x_refresh_token_expires_in", "int") | over("createdAt", "long"))
+
+
 def from_token_record(rows: DataFrame) -> DataFrame:
     """P15 reverse: table row -> payload names (binary decoded as UTF-8)."""
     def dec(c):

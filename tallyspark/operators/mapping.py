@@ -56,9 +56,8 @@ def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,
     elif type_source == "assignment":
         if assignments is None or types is None:
             raise ValueError("type_source='assignment' needs assignments and types")
-        # entity_types is the 7-value ENUM lookup: bounded, broadcast.
-        ent_types = (assignments.join(F.broadcast(types.select(F.col("id").alias("type"), F.col("name").alias("_tn"))),
-                                      "type")
+        # A plain join: AQE broadcasts the caller's types after measuring them.
+        ent_types = (assignments.join(types.select(F.col("id").alias("type"), F.col("name").alias("_tn")), "type")
                      .select(F.col("entity").alias("internal_id"), "tenant_id", F.col("_tn").alias("type")))
     else:
         raise ValueError("type_source must be 'assignment' or 'column'")
@@ -104,7 +103,7 @@ def apply_mappings_into_table(spark, mappings: DataFrame, table_root: str, skus:
     An entity's bucket follows its external id, which the instruction does
     not carry, so the (tenant, bucket, id) columns of the touched tenants are
     scanned to find it (column-pruned, no other column is read)."""
-    from tallyspark.sources.tables import (data_path, entity_bucket, read_buckets, replace_partitions,
+    from tallyspark.sources.tables import (data_path, entity_bucket, gathered, read_buckets, replace_partitions,
                                            restrict_partitions)
     nb = read_buckets(spark, table_root)
     parts = ["tenant_id"] + (["bucket"] if nb else [])
@@ -126,11 +125,13 @@ def apply_mappings_into_table(spark, mappings: DataFrame, table_root: str, skus:
         dest = out.select(*parts).distinct().join(src_parts, parts, "left_anti")
         out = out.unionByName(restrict_partitions(data, dest, parts).select(*out.columns))
     stage = table_root.rstrip("/") + "/_staging/mapping"
-    out.write.mode("overwrite").partitionBy(*parts).parquet(stage)
+    gathered(out, parts).write.mode("overwrite").partitionBy(*parts).parquet(stage)
     # Reports are materialised before the swap: afterwards the old files are gone.
     applied = result.applied.checkpoint(eager=True)
     rejects = result.rejects.checkpoint(eager=True)
     stats = result.stats.checkpoint(eager=True)
     skus_out = result.skus.checkpoint(eager=True)
-    replace_partitions(spark.read.parquet(stage), table_root, parts)
+    # A bucket whose rows have all moved is in the stage no more: its old files go with the swap.
+    read = [tuple(r) for r in src_parts.select(*parts).distinct().collect()] if nb else None
+    replace_partitions(spark.read.schema(out.schema).parquet(stage), table_root, parts, read)
     return MappingResult(spark.read.parquet(data_path(table_root)), skus_out, applied, rejects, stats)

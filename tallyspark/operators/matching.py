@@ -55,15 +55,15 @@ def _term_key(term: Column, trim: bool) -> Column:
 
 def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "term", record_id: str = "Id",
                      record_field: str = "Name", group_cols: list[str] | None = None, k: int = S.SEARCH_LIMIT,
-                     min_length: int = 2, max_salt: int = 256, rows_per_salt: int = 50000,
+                     min_length: int = 2, rows_per_salt: int = 50000,
                      trim: bool = True) -> DataFrame:
     """Returns every column of ``terms`` plus candidate_id, candidate_name and
     rank (1..k, by candidate id).  Terms are trimmed (the dialog sends the
     trimmed text) and shorter than ``min_length`` get no candidates.
 
     Each blocking gram is split into ceil(records holding it / rows_per_salt)
-    salts (at most ``max_salt``): a cold gram stays one task, a gram held by a
-    third of all records is spread over many."""
+    salts: a cold gram stays one task, a gram held by a third of all records is
+    spread over as many as its size asks for."""
     g = list(group_cols or [])
     t_ok = terms.where(term_ok_col(F.col(term_col), min_length))
     texts = t_ok.select(*g, _term_key(F.col(term_col), trim).alias("_lt")).distinct()
@@ -85,8 +85,7 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
               .groupBy(*g, "_lt").agg(F.min(F.struct("_n", "_gram")).alias("_best"))
               .select(*g, "_lt", F.col("_best._gram").alias("_gram"), F.col("_best._n").alias("_n")))
     chosen = (chosen.join(texts.select(*g, "_lt", "_wild"), [*g, "_lt"])
-              .withColumn("_salts", F.least(F.lit(max_salt), F.greatest(
-                  F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_salt)))).cast("int")))
+              .withColumn("_salts", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows_per_salt))).cast("int")))
 
     # Equi join on (group, gram, salt); the salt count follows the gram's size.
     probe = chosen.select(*g, "_lt", "_wild", "_gram",

@@ -30,12 +30,17 @@ def _ref(v):
     return F.struct(F.lit(v[0]).alias("value"), F.lit(v[1]).alias("name"))
 
 
-def attach_version(updates: DataFrame, current: DataFrame, id_col: str = "qb_item_id") -> tuple[DataFrame, DataFrame]:
-    """SyncToken of the current record for every update; no current record
-    -> reject 'Unable to fetch the existing remote item for its SyncToken.'"""
-    cur = current.select(F.col("Id").alias("_cid"), F.col("SyncToken").alias("sync_token"), F.lit(True).alias("_found"))
-    cur = cur.dropDuplicates(["_cid"])
-    j = updates.join(cur, updates[id_col].cast("string") == cur["_cid"], "left").drop("_cid")
+def attach_version(updates: DataFrame, current: DataFrame, id_col: str = "qb_item_id", by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """SyncToken of the current record of the same (by..., Id) for every update; no current record
+    -> reject 'Unable to fetch the existing remote item for its SyncToken.'
+
+    ``by`` names the tenant columns, which both sides hold: ids repeat across tenants.  Of records that repeat an id
+    the one with the highest token (as a number) counts."""
+    by = by or []
+    token = F.struct(F.expr("try_cast(SyncToken as bigint)").alias("n"), F.col("SyncToken").alias("t"))
+    cur = current.groupBy(*by, F.col("Id").cast("string").alias("_cid")).agg(F.max(token).alias("_v"), F.lit(True).alias("_found"))
+    cur = cur.select(*by, "_cid", F.col("_v.t").alias("sync_token"), "_found")
+    j = updates.withColumn("_cid", F.col(id_col).cast("string")).join(cur, [*by, "_cid"], "left").drop("_cid")
     ok = j.where(F.col("_found").isNotNull()).drop("_found")
     bad = j.where(F.col("_found").isNull()).drop("_found", "sync_token").withColumn(
         "reason", F.lit("Unable to fetch the existing remote item for its SyncToken."))
@@ -44,15 +49,19 @@ def attach_version(updates: DataFrame, current: DataFrame, id_col: str = "qb_ite
 
 def build_item_payload(items: DataFrame, current: DataFrame, as_of_date: str,
                        income_ref=S.INCOME_ACCOUNT_REF, expense_ref=S.EXPENSE_ACCOUNT_REF,
-                       asset_ref=S.ASSET_ACCOUNT_REF, tenant_cols: list[str] | None = None) -> PayloadResult:
-    keep = tenant_cols or []
+                       asset_ref=S.ASSET_ACCOUNT_REF, keep: list[str] | None = None,
+                       by: list[str] | None = None) -> PayloadResult:
+    """``by``: the tenant columns of items and current; ``keep``: further columns to carry.  A NULL, blank or 0 remote
+    id is a create."""
+    by = by or []
+    keep = [*by, *(keep or [])]
     typ = F.coalesce(F.col("type"), F.lit("Inventory"))
     inv = typ == F.lit("Inventory")
     base = items.select(*keep, "name", "sku", "description", F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"),
                         typ.alias("type"), F.coalesce(F.col("qty_on_hand").cast("double"), F.lit(0.0)).alias("qty"),
-                        "qb_item_id", inv.alias("_inv"))
+                        F.when(~F.trim(F.col("qb_item_id").cast("string")).isin("", "0"), F.col("qb_item_id")).alias("qb_item_id"), inv.alias("_inv"))
     creates = base.where(F.col("qb_item_id").isNull()).withColumn("sync_token", F.lit(None).cast("string"))
-    updates, rejects = attach_version(base.where(F.col("qb_item_id").isNotNull()), current)
+    updates, rejects = attach_version(base.where(F.col("qb_item_id").isNotNull()), current, by=by)
     rows = creates.unionByName(updates)
     body = F.struct(
         F.col("name").alias("Name"), F.col("type").alias("Type"), F.col("sku").alias("Sku"),

@@ -37,10 +37,20 @@ def sync_markers(done: DataFrame, marker: str, seq) -> DataFrame:
                        F.lit(0).alias("sub"))
 
 
+def _blank(c: str):
+    return F.coalesce(F.trim(F.col(c)), F.lit("")) == F.lit("")
+
+
+def nameless(saves: DataFrame) -> DataFrame:
+    """Saves that ``save_defaults`` refuses: the name is required."""
+    return saves.where(_blank("name")).withColumn("reason", F.lit("Name is required"))
+
+
 def save_defaults(target: DataFrame, saves: DataFrame, by: list[str] | None = None) -> DataFrame:
     """U4 on (by..., name): QB_ID and QB_Name replaced, last save wins (by seq,
-    then sub)."""
+    then sub).  A save without a name is refused (F5): see ``nameless``."""
     keys = [*(by or []), "name"]
+    saves = saves.where(~_blank("name"))
     src = saves.withColumn("_ord", F.struct("seq", "sub")).select(*keys, "qb_id", "qb_name", "_ord")
     tgt_cols = [c for c in target.columns]
     out = upsert(target.select(*tgt_cols), src.select(*keys, "qb_id", "qb_name", "_ord"), keys,

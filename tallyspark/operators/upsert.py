@@ -11,7 +11,9 @@ stored procedure.  Here the same outcome is computed set-based:
 * J1/J2 (checks): type and branch are checked for inserts only, branch first.
   Invalid rows before a group's first valid row are rejected with the source
   system's message; later rows are updates and need no check.
-* U10: new ids follow the order (batch_no, tenant_id, pos).
+* U10: new ids follow the order (batch_no, tenant_id, seq, pos).
+* Every batch row gets a unique ``row_key`` when the batch is materialised.  It alone identifies a row: sources of
+  one tenant may repeat positions, and no row is lost or counted twice for that.
 * Rule: names are unique per tenant under a case- and accent-insensitive
   collation.  ``on_error='reject'`` drops clashing changes into the rejects
   (repeated until stable: a rejected rename keeps its old name, which may
@@ -37,6 +39,8 @@ from tallyspark.operators.ids import assign_ids, next_id
 TEXT_COLS = ["name", "email", "phone", "address", "note"]
 KEYS = ["tenant_id", "qb_id"]
 BATCH_COLS = ["batch_no", "tenant_id", "pos", *TEXT_COLS, "qb_id", "type", "branch_id"]
+# Order of the rows of a batch: a later fetch (seq) comes after an earlier one, whatever the position in its page.
+ORDER = ["batch_no", "seq", "pos"]
 
 
 class UpsertError(RuntimeError):
@@ -70,6 +74,7 @@ def prepare_batch(batch: DataFrame) -> DataFrame:
         (F.col("batch_no") if "batch_no" in cols else F.lit(0)).cast("int").alias("batch_no"),
         F.col("tenant_id").cast("int").alias("tenant_id"),
         F.col("pos").cast("long").alias("pos"),
+        F.coalesce(F.col("seq") if "seq" in cols else F.lit(None), F.lit(0)).cast("long").alias("seq"),
         *[F.coalesce(F.col(c).cast("string") if c in cols else F.lit(None).cast("string"), F.lit("")).alias(c)
           for c in TEXT_COLS],
         F.nullif(F.col("qb_id").cast("string"), F.lit("")).alias("qb_id"),
@@ -87,8 +92,8 @@ def collapse_batch(batch: DataFrame) -> DataFrame:
     b = prepare_batch(batch)
     keyed = (b.where(F.col("qb_id").isNotNull())
              .groupBy(*KEYS)
-             .agg(F.max(F.struct("batch_no", "pos", *TEXT_COLS)).alias("_last"),
-                  F.min(F.struct("batch_no", "pos")).alias("_first"),
+             .agg(F.max(F.struct(*ORDER, *TEXT_COLS)).alias("_last"),
+                  F.min(F.struct(*ORDER)).alias("_first"),
                   F.count(F.lit(1)).alias("n_rows")))
     keyed = keyed.select(*KEYS, *[F.col("_last")[c].alias(c) for c in TEXT_COLS],
                          F.col("_first.batch_no").alias("batch_no"), F.col("_first.pos").alias("first_pos"),
@@ -104,12 +109,11 @@ def collapse_batch(batch: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _type_lookup(types: DataFrame, collation: str | None) -> DataFrame:
-    # entity_types holds an ENUM of seven names, so the lookup is bounded by
-    # the domain and is broadcast.  Duplicate names: lowest id (made-determin-
-    # istic form of the procedure's LIMIT 1).  Names compare under the
-    # collation (the source database's default is case-insensitive).
-    return F.broadcast(types.groupBy(_name_key(F.col("name"), collation).alias("_tk"))
-                       .agg(F.min("id").cast("int").alias("type_id")))
+    # Duplicate names: lowest id (made-deterministic form of the procedure's
+    # LIMIT 1).  Names compare under the collation (the source database's
+    # default is case-insensitive).  No hint: AQE measures the caller's frame.
+    return (types.groupBy(_name_key(F.col("name"), collation).alias("_tk"))
+            .agg(F.min("id").cast("int").alias("type_id")))
 
 
 def check_inserts(rows: DataFrame, types: DataFrame, branches: DataFrame,
@@ -143,7 +147,6 @@ def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: Dat
              collation: str | None = "UNICODE_CI_AI"):
     """rows: the prepared batch (checkpointed).  Returns (updates, inserts,
     rejects)."""
-    seq = F.struct("batch_no", "pos")
     keyed = rows.where(F.col("qb_id").isNotNull())
     nulls = rows.where(F.col("qb_id").isNull())
 
@@ -166,66 +169,64 @@ def _resolve(target: DataFrame, rows: DataFrame, types: DataFrame, branches: Dat
 
     # Updates: last row of each matched group.
     updates = (resolved.where("_m").groupBy(*KEYS)
-               .agg(F.max(F.struct("batch_no", "pos", *TEXT_COLS)).alias("_last"), F.count(F.lit(1)).alias("n_rows")))
-    updates = updates.select(*KEYS, *[F.col("_last")[c].alias(c) for c in TEXT_COLS],
-                             F.col("_last.batch_no").alias("batch_no"), F.col("_last.pos").alias("pos"), "n_rows")
+               .agg(F.max(F.struct(*ORDER, *TEXT_COLS, "row_key")).alias("_last"), F.count(F.lit(1)).alias("n_rows")))
+    updates = updates.select(*KEYS, *[F.col("_last")[c].alias(c) for c in (*TEXT_COLS, *ORDER, "row_key")], "n_rows")
 
     # Inserts: per unmatched key, the first valid row inserts and the last
     # row's text wins.
     ku = resolved.where(~F.col("_m") & F.col("qb_id").isNotNull())
     groups = (ku.groupBy(*KEYS)
-              .agg(F.min(F.when(F.col("_ok"), F.struct("batch_no", "pos", "type", "type_id", "branch_id")))
+              .agg(F.min(F.when(F.col("_ok"), F.struct(*ORDER, "type", "type_id", "branch_id", "row_key")))
                    .alias("_first"),
-                   F.max(F.struct("batch_no", "pos", *TEXT_COLS)).alias("_last"),
+                   F.max(F.struct(*ORDER, *TEXT_COLS)).alias("_last"),
                    F.count(F.lit(1)).alias("n_rows")))
     keyed_inserts = groups.where(F.col("_first").isNotNull()).select(
-        F.col("_first.batch_no").alias("batch_no"), "tenant_id", F.col("_first.pos").alias("pos"), "qb_id",
-        *[F.col("_last")[c].alias(c) for c in TEXT_COLS],
-        F.col("_first.type").alias("type"), F.col("_first.type_id").alias("type_id"),
-        F.col("_first.branch_id").alias("branch_id"))
+        "tenant_id", "qb_id", *[F.col("_last")[c].alias(c) for c in TEXT_COLS],
+        *[F.col("_first")[c].alias(c) for c in (*ORDER, "type", "type_id", "branch_id", "row_key")])
     # Invalid rows before the first valid row of their group are rejected.
     bad = ku.where(~F.col("_ok"))
-    keyed_rejects = (bad.join(groups.select(*KEYS, F.col("_first.batch_no").alias("_fb"), F.col("_first.pos").alias("_fp")),
-                              KEYS, "left")
-                     .where(F.col("_fb").isNull() | (seq < F.struct(F.col("_fb"), F.col("_fp"))))
-                     .drop("_fb", "_fp"))
+    at = F.struct(*ORDER)
+    keyed_rejects = (bad.join(groups.select(*KEYS, F.struct(*[F.col("_first")[c].alias(c) for c in ORDER]).alias("_at"),
+                                            F.col("_first").isNotNull().alias("_any")), KEYS, "left")
+                     .where(~F.col("_any") | (at < F.col("_at")))
+                     .drop("_at", "_any"))
 
     nu = resolved.where(F.col("qb_id").isNull())
-    null_inserts = nu.where("_ok").select("batch_no", "tenant_id", "pos", "qb_id", *TEXT_COLS, "type", "type_id",
-                                          "branch_id")
-    rejects = keyed_rejects.select(*BATCH_COLS, "reason").unionByName(nu.where(~F.col("_ok")).select(*BATCH_COLS, "reason"))
+    null_inserts = nu.where("_ok").select(*keyed_inserts.columns)
+    rejects = (keyed_rejects.select(*BATCH_COLS, "reason", "row_key")
+               .unionByName(nu.where(~F.col("_ok")).select(*BATCH_COLS, "reason", "row_key")))
     inserts = keyed_inserts.unionByName(null_inserts)
     return updates, inserts, rejects
 
 
 def _apply(target: DataFrame, updates: DataFrame, inserted: DataFrame) -> DataFrame:
     """New entities table: updated target rows, untouched rows, new rows,
-    with helper columns _old_name, _hit, _src_batch, _src_pos for the name
+    with helper columns _old_name, _hit, _src (order and key of the source row) for the name
     check (callers select ENTITY_COLUMNS)."""
     t_null = target.where(F.col("qb_id").isNull())
     t_keyed = target.where(F.col("qb_id").isNotNull())
     u = updates.select(*KEYS, *[F.col(c).alias("_u_" + c) for c in TEXT_COLS],
-                       F.col("batch_no").alias("_src_batch"), F.col("pos").alias("_src_pos"), F.lit(True).alias("_hit"))
+                       F.struct(*ORDER, "row_key").alias("_src"), F.lit(True).alias("_hit"))
     j = t_keyed.join(u, KEYS, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     upd = j.select(
         *[F.when(hit, F.col("_u_" + c)).otherwise(F.col(c)).alias(c) if c in TEXT_COLS else F.col(c)
           for c in S.ENTITY_COLUMNS],
-        F.col("name").alias("_old_name"), hit.alias("_hit"), "_src_batch", "_src_pos")
+        F.col("name").alias("_old_name"), hit.alias("_hit"), "_src")
     keep = t_null.select(*S.ENTITY_COLUMNS, F.col("name").alias("_old_name"), F.lit(False).alias("_hit"),
-                         F.lit(None).cast("int").alias("_src_batch"), F.lit(None).cast("long").alias("_src_pos"))
+                         F.lit(None).cast(upd.schema["_src"].dataType).alias("_src"))
     new = inserted.select(
         F.col("id").cast("long"), *[F.col(c) for c in ["name", "email", "phone", "note"]],
         F.lit(None).cast("string").alias("type"),  # the insert never fills entities.type
         "qb_id", "tenant_id", F.lit(False).alias("is_intrinsic"), F.lit(None).cast("int").alias("ntn"), "address",
         F.lit(None).cast("string").alias("_old_name"), F.lit(True).alias("_hit"),
-        F.col("batch_no").alias("_src_batch"), F.col("pos").alias("_src_pos"))
+        F.struct(*ORDER, "row_key").alias("_src"))
     return upd.unionByName(keep).unionByName(new)
 
 
 def _name_clashes(table: DataFrame, collation: str | None, others: DataFrame | None = None) -> DataFrame | None:
     """Changes that break (name, tenant_id) uniqueness -> their source keys
-    (tenant_id, qb_id, batch_no, pos) to reject; None when there is none.
+    (tenant_id, qb_id, row_key) to reject; None when there is none.
 
     Within a clash group: an unchanged holder of the name keeps it and every
     change is rejected; otherwise the earliest change wins.  Only rows whose
@@ -235,20 +236,17 @@ def _name_clashes(table: DataFrame, collation: str | None, others: DataFrame | N
     key = _name_key(F.col("name"), collation)
     changed = F.col("_hit") & (F.col("_old_name").isNull() |
                                (key != _name_key(F.col("_old_name"), collation)))
-    t = table.select("tenant_id", "qb_id", "_src_batch", "_src_pos", key.alias("_nk"), changed.alias("_chg"))
+    t = table.select("tenant_id", "qb_id", "_src", key.alias("_nk"), changed.alias("_chg"))
     if others is not None:
         # Rows of the same tenants outside ``table`` (not rewritten): unchanged holders.
-        t = t.unionByName(others.select("tenant_id", "qb_id", F.lit(None).cast("int").alias("_src_batch"),
-                                        F.lit(None).cast("long").alias("_src_pos"), key.alias("_nk"),
-                                        F.lit(False).alias("_chg")))
+        t = t.unionByName(others.select("tenant_id", "qb_id", F.lit(None).cast(t.schema["_src"].dataType).alias("_src"),
+                                        key.alias("_nk"), F.lit(False).alias("_chg")))
     touched = t.where("_chg").select("tenant_id", "_nk").distinct()
     cand = t.join(touched, ["tenant_id", "_nk"], "left_semi")
-    seq = F.struct("_src_batch", "_src_pos")
-
     def clash_groups(frame):
         return (frame.groupBy("tenant_id", "_nk")
                 .agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_chg")).alias("_n_keep"),
-                     F.min(F.when(F.col("_chg"), seq)).alias("_win"))
+                     F.min(F.when(F.col("_chg"), F.col("_src"))).alias("_win"))
                 .where(F.col("_n") > 1))
 
     # Common case first: one aggregate job finds no clash at all.
@@ -257,11 +255,11 @@ def _name_clashes(table: DataFrame, collation: str | None, others: DataFrame | N
     cand = cand.checkpoint(eager=True)
     groups = clash_groups(cand)
     c = cand.where("_chg").join(groups, ["tenant_id", "_nk"])
-    win_rows = c.where(seq == F.col("_win")).groupBy("tenant_id", "_nk").agg(F.count(F.lit(1)).alias("_n_win"))
+    # Several table rows with one external id take one source row's name: they clash among themselves.
+    win_rows = c.where(F.col("_src") == F.col("_win")).groupBy("tenant_id", "_nk").agg(F.count(F.lit(1)).alias("_n_win"))
     c = c.join(win_rows, ["tenant_id", "_nk"], "left")
-    lose = (F.col("_n_keep") > 0) | (seq != F.col("_win")) | (F.col("_n_win") > 1)
-    return c.where(lose).select("tenant_id", "qb_id", F.col("_src_batch").alias("batch_no"),
-                                F.col("_src_pos").alias("pos")).distinct()
+    lose = (F.col("_n_keep") > 0) | (F.col("_src") != F.col("_win")) | (F.col("_n_win") > 1)
+    return c.where(lose).select("tenant_id", "qb_id", F.col("_src.row_key").alias("row_key")).distinct()
 
 
 def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branches: DataFrame,
@@ -284,7 +282,7 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error must be 'reject' or 'fail'")
     # The batch feeds several joins and aggregations: materialise it once.
-    rows = prepare_batch(batch).checkpoint(eager=True)
+    rows = prepare_batch(batch).withColumn("row_key", F.monotonically_increasing_id()).checkpoint(eager=True)
     clash_rejects = None
     e_start = first_new_id if first_new_id is not None else next_id(target)
     while True:
@@ -294,21 +292,22 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
             first = rejects.select("reason").first()
             if first is not None:
                 raise UpsertError(first["reason"])
-        inserted = assign_ids(inserts, ["batch_no", "tenant_id", "pos", "qb_id"], start=e_start)
+        inserted = assign_ids(inserts, ["batch_no", "tenant_id", "seq", "pos", "qb_id", "row_key"], start=e_start)
         table = _apply(target, updates, inserted)
         clashes = _name_clashes(table, collation, name_scope)
         if clashes is None:
             break
         if on_error == "fail":
             raise UpsertError("Duplicate entry for key (name, tenant_id)")
-        new = clashes.select("tenant_id", "qb_id", "batch_no", "pos")
+        new = clashes.select("tenant_id", "qb_id", "row_key")
         clash_rejects = new if clash_rejects is None else clash_rejects.unionByName(new).distinct()
         clash_rejects = clash_rejects.checkpoint(eager=True)
 
     if clash_rejects is not None:
         dup = _rows_of_groups(rows, clash_rejects).withColumn(
             "reason", F.concat(F.lit('Duplicate entry "'), F.col("name"), F.lit('" for key (name, tenant_id)')))
-        rejects = rejects.unionByName(dup.select(*BATCH_COLS, "reason"))
+        rejects = rejects.unionByName(dup.select(*BATCH_COLS, "reason", "row_key"))
+    rejects = rejects.select(*BATCH_COLS, "reason")
 
     entities = table.select(*S.ENTITY_COLUMNS)
     # Assignment ids follow the same dense order as the new entity ids.
@@ -322,28 +321,24 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
 
 
 def _drop_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(_rows_of_groups(rows, groups).select("batch_no", "tenant_id", "pos"),
-                     ["batch_no", "tenant_id", "pos"], "left_anti")
+    return rows.join(_rows_of_groups(rows, groups).select("row_key"), "row_key", "left_anti")
 
 
 def _rows_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Batch rows belonging to the given sources: a keyed source is its whole
     (tenant_id, qb_id) group, a NULL-id source is one row."""
     keyed = rows.join(groups.where(F.col("qb_id").isNotNull()).select(*KEYS), KEYS, "left_semi")
-    nulls = rows.where(F.col("qb_id").isNull()).join(
-        groups.where(F.col("qb_id").isNull()).select("batch_no", "tenant_id", "pos"),
-        ["batch_no", "tenant_id", "pos"], "left_semi")
+    nulls = rows.where(F.col("qb_id").isNull()).join(groups.where(F.col("qb_id").isNull()).select("row_key"), "row_key", "left_semi")
     return keyed.unionByName(nulls)
 
 
 def sync_stats(rows: DataFrame, inserted: DataFrame, rejects: DataFrame) -> DataFrame:
     """A3: per (tenant_id, type) fetched / inserted / updated / rejected, in
     batch-row terms (updated = fetched - inserted - rejected)."""
-    f = rows.groupBy("tenant_id", "type").agg(F.count(F.lit(1)).alias("fetched"))
-    i = inserted.groupBy("tenant_id", "type").agg(F.count(F.lit(1)).alias("inserted"))
-    r = rejects.groupBy("tenant_id", "type").agg(F.count(F.lit(1)).alias("rejected"))
-    out = (f.join(i, ["tenant_id", "type"], "left").join(r, ["tenant_id", "type"], "left")
-           .fillna(0, ["inserted", "rejected"]))
+    told = [d.select("tenant_id", "type", *[F.lit(int(c == mine)).cast("long").alias(c) for c in ("fetched", "inserted", "rejected")])
+            for mine, d in (("fetched", rows), ("inserted", inserted), ("rejected", rejects))]
+    # One union and one group-by: a NULL type (or tenant) is a group like any other.
+    out = reduce(DataFrame.unionByName, told).groupBy("tenant_id", "type").agg(*[F.sum(c).alias(c) for c in ("fetched", "inserted", "rejected")])
     return out.select("tenant_id", "type", "fetched", "inserted",
                       (F.col("fetched") - F.col("inserted") - F.col("rejected")).alias("updated"), "rejected")
 

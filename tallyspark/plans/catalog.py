@@ -112,10 +112,9 @@ def q_fault_split(spark, sf_dir):
 @query
 def q_parse_sync_batch(spark, sf_dir):
     from tallyspark.operators.upsert import collapse_batch
-    from tallyspark.sources.batch import batch_length, parse_sync_batch
+    from tallyspark.sources.batch import parse_sync_batch
     batches = D.event_batches(spark, sf_dir)
-    rows = parse_sync_batch(batches.where(batch_length(F.col("json_data")) > 0), "json_data",
-                            keep=["tenant_id", "batch_no"])
+    rows = parse_sync_batch(batches, "json_data", keep=["tenant_id", "batch_no"])
     return collapse_batch(rows)
 
 
@@ -208,13 +207,6 @@ def q_match_candidates(spark, sf_dir):
     return match_candidates(terms, records, group_cols=["tenant_id"])
 
 
-@query
-def q_match_candidates_nested_loop(spark, sf_dir):
-    from tallyspark.operators.matching import match_candidates_nested
-    terms, records = _match_inputs(spark, sf_dir)
-    return match_candidates_nested(terms, records, group_cols=["tenant_id"])
-
-
 @query
 def q_apply_mappings(spark, sf_dir):
     from tallyspark.operators.mapping import apply_mappings
@@ -328,8 +320,17 @@ def q_auto_touch(spark, sf_dir):
 @query
 def q_item_payload(spark, sf_dir):
     from tallyspark.operators.payloads import build_item_payload
-    r = build_item_payload(D.local_items(spark, sf_dir), D.remote_items(spark, sf_dir), "2024-06-01",
-                           tenant_cols=["item_id"])
+    # Every remote id exists in all four tenants with another token, and twice in each.
+    k = F.col("Id").cast("long")
+    current = D.remote_items(spark, sf_dir).select("Id", F.explode(F.array(*map(F.lit, range(4)))).alias("tenant_id"))
+    token = (k % 4 + 10 * F.col("tenant_id")).cast("string")
+    current = current.select("tenant_id", "Id", F.explode(F.array(token, F.lit("-1"))).alias("SyncToken"))
+    # Blank and 0 ids are creates.
+    n = F.col("item_id")
+    items = D.local_items(spark, sf_dir).withColumn("tenant_id", (n % 4).cast("int"))
+    items = items.withColumn("qb_item_id", F.when(F.col("qb_item_id").isNotNull(), F.col("qb_item_id").cast("string"))
+                             .when(n % 7 == 1, F.lit("")).when(n % 7 == 3, F.lit("0")))
+    r = build_item_payload(items, current, "2024-06-01", keep=["item_id"], by=["tenant_id"])
     ok = r.payloads.select("item_id", F.lit("ok").alias("status"), "body.Name", "body.Type", "body.UnitPrice",
                            "body.QtyOnHand", "body.TrackQtyOnHand", "body.InvStartDate", "body.Id", "body.SyncToken",
                            F.col("body.IncomeAccountRef.value").alias("income_ref"),
@@ -437,7 +438,7 @@ def q_commit_table_roundtrip(spark, sf_dir):
     root = shared_path(spark, "tables", "entities")
     commit_table(D.local_entities(spark, sf_dir), root)
     from tallyspark import schemas as S
-    return read_table(spark, root).where(F.col("tenant_id") == 2).select(*S.ENTITY_COLUMNS)
+    return read_table(spark, root).select(*S.ENTITY_COLUMNS)
 
 
 # ---------------------------------------------------------------------------
@@ -446,23 +447,19 @@ def q_commit_table_roundtrip(spark, sf_dir):
 
 @query
 def q_incremental_sync(spark, sf_dir):
-    """Land one file of customer pages per tenant, stream them in (two files
-    per micro-batch) onto a copy of the local entities table partitioned by
+    """Land the customer pages of all tenants in one distributed write, stream them in onto a copy of the local entities table partitioned by
     tenant and 16 hashed-id buckets, and return the final table."""
     from tallyspark import schemas as S
     from tallyspark.session import shared_path
     from tallyspark.sources.tables import init_partitioned, read_partitions
+    from tallyspark.sources.pages import land_pages
     from tallyspark.streaming.incremental import start_sync
     root = shared_path(spark, "tables", "stream_entities")
     init_partitioned(D.local_entities(spark, sf_dir), root, buckets=16)
     landing = shared_path(spark, "landing", "customers")
-    pages = D.customer_pages(spark, sf_dir).persist()
-    tenant = F.element_at(F.split("source", "/"), 2).cast("int")
-    for (t,) in pages.select(tenant.alias("t")).distinct().orderBy("t").collect():
-        pages.where(tenant == t).coalesce(1).write.mode("append").json(landing)
-    pages.unpersist()
+    land_pages(D.customer_pages(spark, sf_dir), landing)
     q = start_sync(spark, landing, root, shared_path(spark, "stream_checkpoints"), D.entity_types(spark),
-                   D.branches(spark, sf_dir), files_per_batch=2)
+                   D.branches(spark, sf_dir))
     q.awaitTermination()
     return read_partitions(spark, root).select(*S.ENTITY_COLUMNS)
 

@@ -258,7 +258,6 @@ m AS (SELECT t.term_id, t.tenant_id, t.term, r.id AS candidate_id, r.name AS can
       FROM t JOIN r ON t.tenant_id = r.tenant_id AND r.name ILIKE '%' || trim(t.term) || '%'
       WHERE length(trim(t.term)) >= 2)
 SELECT * FROM m WHERE rank <= 50"""
-ORACLE["match_candidates_nested_loop"] = ORACLE["match_candidates"]
 
 ORACLE["apply_mappings"] = """
 WITH ent AS (
@@ -407,7 +406,7 @@ SELECT item_id, CASE WHEN qb_item_id IS NOT NULL AND qb_item_id >= 1000000000 TH
        CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN true END AS "TrackQtyOnHand",
        CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '2024-06-01' END AS "InvStartDate",
        CAST(qb_item_id AS VARCHAR) AS "Id",
-       CASE WHEN qb_item_id IS NOT NULL AND qb_item_id < 1000000000 THEN CAST(qb_item_id % 4 AS VARCHAR) END AS "SyncToken",
+       CASE WHEN qb_item_id IS NOT NULL AND qb_item_id < 1000000000 THEN CAST(qb_item_id % 4 + 10 * (qb_item_id % 4) AS VARCHAR) END AS "SyncToken",
        CASE WHEN NOT coalesce(qb_item_id >= 1000000000, false) THEN '79' END AS income_ref,
        CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '80' END AS expense_ref,
        CASE WHEN type = 'Inventory' AND NOT coalesce(qb_item_id >= 1000000000, false) THEN '81' END AS asset_ref
@@ -474,7 +473,7 @@ SELECT CAST(p_partkey % 4 AS INTEGER) AS tenant_id, CAST(p_partkey AS VARCHAR) A
        CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS "QtyOnHand"
 FROM part"""
 
-ORACLE["commit_table_roundtrip"] = SYNC_CTES + "SELECT * FROM t WHERE tenant_id = 2"
+ORACLE["commit_table_roundtrip"] = SYNC_CTES + "SELECT * FROM t"
 
 ORACLE["incremental_sync"] = f"""
 WITH rc AS ({RC}),

@@ -169,7 +169,7 @@ SYNC_ENTITY = StructType([
     StructField("note", StringType()),
     StructField("qbId", StringType()),
 ])
-SYNC_BATCH_DDL = "array<struct<name:string,email:string,phone:string,address:string,note:string,qbId:string>>"
+SYNC_ENTITY_DDL = "name string, email string, phone string, address string, note string, qbId string"
 
 # Incoming token payload.
 TOKEN_DOC = StructType([

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -46,8 +47,9 @@ def build_session(master: str | None = None, app: str = "tallyspark",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used as is.  Only when the
-    session has none (local tests) is a private folder created and set.
+    The folder named in ``spark.checkpoint.dir`` is used as is.  Only a local
+    session without one (tests) gets a private folder; on a cluster its executors
+    would each write to their own disk, so there an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -60,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return _parent_of_checkpoint(current)
         configured = configured or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if sc is not None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
         if _settable(spark):
             spark.conf.set("spark.checkpoint.dir", configured)

@@ -19,6 +19,8 @@ LANDED_PAGE = StructType([
     StructField("source", StringType()),
     StructField("requested_start", LongType()),
     StructField("body", StringType()),
+    # Order of the fetches of one source: of two landings of a page the later one holds.  Absent: 0.
+    StructField("fetch_seq", LongType()),
 ])
 
 
@@ -32,7 +34,8 @@ def read_landed_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    pages.select(*[f.name for f in LANDED_PAGE.fields]).write.mode(mode).json(path)
+    have = [F.col(f.name) if f.name in pages.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LANDED_PAGE.fields]
+    pages.select(*have).write.mode(mode).json(path)
 
 
 def parse_pages(pages: DataFrame, entity: str, record=None) -> DataFrame:
@@ -69,12 +72,13 @@ def count_records(pages: DataFrame, entity: str, by: list[str] | None = None) ->
 
 def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=None,
                  status_col: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S3: pages carrying ``Fault`` go to the error side ('reject'), or make the
-    job fail when the good side is evaluated ('fail').  With ``status_col``
+    """S3: pages carrying ``Fault``, and pages that do not parse or hold neither ``QueryResponse`` nor ``Fault``, go to
+    the error side ('reject'), or make the job fail when the good side is evaluated ('fail').  With ``status_col``
     (the HTTP status of the landed response) a status outside 2xx is a fault
     too; its fault text is then the whole body."""
     parsed = parse_pages(pages, entity, record) if "page" not in pages.columns else pages
-    fault = F.col("page.Fault")
+    unreadable = F.concat(F.lit("Unreadable page: "), F.coalesce(F.substring("body", 1, 200), F.lit("NULL")))
+    fault = F.coalesce(F.col("page.Fault"), F.when(F.col("page.QueryResponse").isNull(), unreadable))
     if status_col is not None:
         fault = F.when(~F.coalesce(status_ok(F.col(status_col)), F.lit(False)), F.coalesce(fault, F.col("body"))) \
             .otherwise(fault)

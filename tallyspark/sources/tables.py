@@ -8,6 +8,7 @@ the last applied stream batch, which makes replays harmless (streaming T1).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -37,7 +38,9 @@ def _pointer_path(root: str) -> str:
 def current_pointer(spark: SparkSession, root: str) -> tuple[int, int] | None:
     try:
         row = spark.read.schema(POINTER).json(_pointer_path(root)).orderBy(F.desc("version")).first()
-    except Exception:  # noqa: BLE001 - no pointer yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return None if row is None else (int(row["version"]), -1 if row["batch_id"] is None else int(row["batch_id"]))
 
@@ -56,25 +59,32 @@ def commit_table(df: DataFrame, root: str, partition_by: list[str] | None = None
     spark = df.sparkSession
     ptr = current_pointer(spark, root)
     version = 0 if ptr is None else ptr[0] + 1
-    w = df.sortWithinPartitions(*sort_within) if sort_within else df
-    writer = w.write.mode("errorifexists")
     parts = ["tenant_id"] if partition_by is None and "tenant_id" in df.columns else (partition_by or [])
+    w = gathered(df, parts)
+    w = w.sortWithinPartitions(*sort_within) if sort_within else w
+    writer = w.write.mode("errorifexists")
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(f"{root.rstrip('/')}/v{version}")
     last_batch = batch_id if batch_id is not None else (None if ptr is None else ptr[1])
+    # A new file per version; readers take the highest, so no moment is without a pointer.
     (spark.createDataFrame([(version, last_batch)], POINTER).coalesce(1)
-     .write.mode("overwrite").json(_pointer_path(root)))
+     .write.mode("append").json(_pointer_path(root)))
     return version
 
 
+def gathered(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Rows of one table partition brought together before the write, so it gets few files; AQE splits a large one."""
+    return df.hint("rebalance", *parts) if parts else df
+
+
 # ---------------------------------------------------------------------------
 # Partition-scoped table (for incremental upserts): rows live in <root>/data,
 # partitioned by tenant; a change rewrites only the tenants it touches.
 # ---------------------------------------------------------------------------
 
 STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType()),
-                    StructField("buckets", LongType())])
+                    StructField("buckets", LongType()), StructField("seq", LongType())])
 
 
 def _state_path(root: str) -> str:
@@ -85,21 +95,32 @@ def data_path(root: str) -> str:
     return root.rstrip("/") + "/data"
 
 
+def _state(spark: SparkSession, root: str):
+    return spark.read.schema(STATE).json(_state_path(root)).orderBy(F.desc_nulls_last("seq")).first()
+
+
 def read_state(spark: SparkSession, root: str) -> tuple[int, int]:
     """(last applied batch id, largest id in the table)."""
-    row = spark.read.schema(STATE).json(_state_path(root)).first()
+    row = _state(spark, root)
     return (-1 if row["batch_id"] is None else int(row["batch_id"]), 0 if row["max_id"] is None else int(row["max_id"]))
 
 
 def read_buckets(spark: SparkSession, root: str) -> int | None:
     """Buckets per tenant of the table (None: partitioned by tenant only)."""
-    row = spark.read.schema(STATE).json(_state_path(root)).first()
+    row = _state(spark, root)
     return None if row["buckets"] is None else int(row["buckets"])
 
 
 def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int, buckets: int | None = None) -> None:
-    (spark.createDataFrame([(batch_id, max_id, buckets)], STATE).coalesce(1)
-     .write.mode("overwrite").json(_state_path(root)))
+    """The new state is one more file with the next number; readers take the highest, so a crash midway loses nothing."""
+    try:
+        seq = (_state(spark, root)["seq"] or 0) + 1
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        seq = 0
+    (spark.createDataFrame([(batch_id, max_id, buckets, seq)], STATE).coalesce(1)
+     .write.mode("append").json(_state_path(root)))
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -120,50 +141,58 @@ def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id",
     if buckets:
         df = df.withColumn("bucket", entity_bucket(buckets))
         parts.append("bucket")
-    df.write.mode("errorifexists").partitionBy(*parts).parquet(data_path(root))
+    gathered(df, parts).write.mode("errorifexists").partitionBy(*parts).parquet(data_path(root))
     mx = df.agg(F.max(id_col)).first()[0]
     write_state(df.sparkSession, root, None, 0 if mx is None else int(mx), buckets)
 
 
 def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame | None = None,
-                    partition_by: str = "tenant_id", max_literals: int = 10000) -> DataFrame:
-    """Current rows, optionally only for some tenants.  A list (or a small
-    frame of ids) becomes an IN filter on the partition column, which Spark
-    prunes at file listing; a larger set falls back to a semi join."""
+                    partition_by: str = "tenant_id") -> DataFrame:
+    """Current rows, optionally only for some tenants.  A list (or a frame of
+    ids: the tenants of one batch) becomes an IN filter on the partition column,
+    so only their folders are read, however many they are."""
     df = spark.read.parquet(data_path(root))
     if tenants is None:
         return df
     if isinstance(tenants, DataFrame):
-        ids = [r[0] for r in tenants.select(partition_by).distinct().limit(max_literals + 1).collect()]
-        if len(ids) > max_literals:
-            return df.join(tenants.select(partition_by).distinct(), partition_by, "left_semi")
-        tenants = ids
+        tenants = [r[0] for r in tenants.select(partition_by).distinct().collect()]
     return df.where(F.col(partition_by).isin(list(tenants)))
 
 
-def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate: bool = False,
-                        max_literals: int = 10000) -> DataFrame:
+def _sql_value(v) -> str:
+    """A partition value as SQL: a number, or a string with its quotes and backslashes escaped."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+
+
+def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate: bool = False) -> DataFrame:
     """Rows of ``df`` in (or, with ``negate``, not in) the partitions listed in
-    ``parts``.  Up to ``max_literals`` partitions become a multi-column IN on
-    the partition columns, pruned at file listing; more fall back to a
-    semi / anti join."""
-    keys = [tuple(r) for r in parts.select(*cols).distinct().limit(max_literals + 1).collect()]
-    if len(keys) > max_literals:
-        return df.join(parts.select(*cols).distinct(), cols, "left_anti" if negate else "left_semi")
+    ``parts`` (those of one batch): a multi-column IN on the partition columns,
+    by which Spark leaves out the other folders."""
+    keys = [tuple(r) for r in parts.select(*cols).distinct().collect()]
     # A key with a NULL part equals nothing (as in a join); keeping it out of
     # the list also keeps the negated test two-valued.
     keys = [k for k in keys if None not in k]
     if not keys:
         return df if negate else df.limit(0)
-    lits = ", ".join("(" + ", ".join(repr(v) for v in k) + ")" for k in keys)
+    lits = ", ".join("(" + ", ".join(map(_sql_value, k)) + ")" for k in keys)
     cond = F.expr(f"({', '.join(cols)}) IN ({lits})")
     return df.where(~F.coalesce(cond, F.lit(False)) if negate else cond)
 
 
-def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id") -> None:
+def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id",
+                       read: list[tuple] | None = None) -> None:
     """Replace exactly the partitions present in ``staged`` (dynamic partition
     overwrite).  ``staged`` must not read from the table itself (write it to a
-    staging folder first): the job never overwrites what it reads."""
+    staging folder first): the job never overwrites what it reads.  ``read``
+    lists the partitions that the change has read: one that ``staged`` no longer
+    holds was emptied, and its folder goes."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (gathered(staged, parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*parts).parquet(data_path(root)))
+    if read:
+        spark = staged.sparkSession
+        left = {tuple(r) for r in staged.select(*parts).distinct().collect()}
+        for key in set(read) - left:
+            folder = "/".join(f"{c}={v}" for c, v in zip(parts, key, strict=True))
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data_path(root)}/{folder}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from tallyspark.operators.normalize import normalize_party
 from tallyspark.operators.upsert import upsert_entities
 from tallyspark.sources.pages import LANDED_PAGE, explode_pages, split_faults
-from tallyspark.sources.tables import (bucket_of, data_path, entity_bucket, read_buckets, read_partitions, read_state,
+from tallyspark.sources.tables import (bucket_of, data_path, entity_bucket, gathered, read_buckets, read_partitions, read_state,
                                        replace_partitions, restrict_partitions, write_state)
 
 
@@ -47,13 +47,22 @@ def _stage_done(spark: SparkSession, meta: str) -> bool:
 
 
 def landed_rows(pages: DataFrame, batch_id: int, entity: str = "Customer") -> tuple[DataFrame, DataFrame]:
-    """Landed pages -> (sync batch rows, fault pages)."""
-    good, faults = split_faults(pages, entity, mode="reject")
+    """Landed pages -> (sync batch rows, fault pages).
+
+    A page of another entity, or without a tenant in its source, is a fault too; an absent branch is branch 1.  A
+    page's ``fetch_seq`` orders its rows before their positions, so of two landings of a page the later one holds."""
+    if "fetch_seq" not in pages.columns:
+        pages = pages.withColumn("fetch_seq", F.lit(None).cast("long"))
     parts = F.split(F.col("source"), "/")
-    recs = explode_pages(good.withColumn("tenant_id", F.element_at(parts, 2).cast("int"))
-                         .withColumn("branch_id", F.element_at(parts, 3).cast("int")),
-                         entity, keep=["tenant_id", "branch_id"])
-    rows = (normalize_party(recs, keep=["tenant_id", "branch_id", "pos"])
+    pages = (pages.withColumn("tenant_id", F.try_element_at(parts, F.lit(2)).try_cast("int"))
+             .withColumn("branch_id", F.coalesce(F.try_element_at(parts, F.lit(3)).try_cast("int"), F.lit(1)))
+             .withColumn("seq", F.coalesce("fetch_seq", F.lit(0).cast("long"))))
+    wrong = (F.when(~(F.get(parts, F.lit(0)).eqNullSafe(F.lit(entity))), F.lit("Page of another entity"))
+             .when(F.col("tenant_id").isNull(), F.lit("Page without a tenant")))
+    good, faults = split_faults(pages.where(wrong.isNull()), entity, mode="reject")
+    faults = faults.unionByName(pages.where(wrong.isNotNull()).select("source", "requested_start", wrong.alias("fault")))
+    recs = explode_pages(good, entity, keep=["tenant_id", "branch_id", "seq"])
+    rows = (normalize_party(recs, keep=["tenant_id", "branch_id", "seq", "pos"])
             .withColumn("batch_no", F.lit(batch_id).cast("int")).withColumn("type", F.lit(entity)))
     return rows, faults
 
@@ -98,7 +107,7 @@ def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_r
                 "tenant_id", entity_bucket(nb).alias("bucket")).distinct()
             extra_parts = new_parts.join(keyed, parts, "left_anti")
             out = out.unionByName(restrict_partitions(data, extra_parts, parts).select(*out.columns))
-        out.write.mode("overwrite").partitionBy(*parts).parquet(stage)
+        gathered(out, parts).write.mode("overwrite").partitionBy(*parts).parquet(stage)
         side = f"{root}/_side"
         result.assignments.write.mode("overwrite").parquet(f"{side}/assignments/batch_id={batch_id}")
         result.branch_links.write.mode("overwrite").parquet(f"{side}/branch_links/batch_id={batch_id}")

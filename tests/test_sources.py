@@ -4,15 +4,17 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tallyspark.sources.batch import NOT_ARRAY, batch_length, parse_sync_batch
+from tallyspark.sources.batch import NOT_ARRAY, batch_length, parse_sync_batch, sync_batch_rejects
+from conftest import rows
 from tallyspark.sources.pages import (LANDED_PAGE, audit_pages, count_records, explode_pages, pack_pages,
                                       split_faults)
 from tallyspark.sources.tables import commit_table, current_pointer, read_table
 
 
 def _pages(spark, rows):
-    return spark.createDataFrame(rows, LANDED_PAGE)
+    return spark.createDataFrame(rows, StructType(LANDED_PAGE.fields[:3]))
 
 
 def _body(entity, records, start):
@@ -72,10 +74,15 @@ def test_parse_sync_batch(spark):
     assert [r[0] for r in df.select(batch_length(F.col("j"))).collect()] == [2, 0]
     for bad in ['{"name": "lone object"}', "12", None]:
         b = spark.createDataFrame([(bad,)], "j string")
-        with pytest.raises(Exception, match="expects p_json_data"):
+        with pytest.raises(Exception, match="must be a JSON array"):
             parse_sync_batch(b, "j").collect()
-        assert parse_sync_batch(b, "j", on_invalid="skip").count() == 0
-    assert NOT_ARRAY.startswith("BulkSyncEntities")
+        assert parse_sync_batch(b, "j", on_invalid="reject").count() == 0
+    mixed = spark.createDataFrame([(1, '[{"name":"a","qbId":7}, 5, "x", null, {"name":"b"}]'), (2, '{"name":"lone"}'), (3, None)], "k int, j string")
+    assert rows(parse_sync_batch(mixed, "j", keep=["k"], on_invalid="reject"), "k", "pos", "name", "qb_id") == [(1, 0, "a", "7"), (1, 4, "b", None)]
+    assert [r[:2] for r in rows(sync_batch_rejects(mixed, "j", keep=["k"]), "k", "pos")] == [(1, 1), (1, 2), (1, 3), (2, None), (3, None)]
+    with pytest.raises(Exception, match="must be a JSON object"):
+        parse_sync_batch(mixed.where("k = 1"), "j").collect()
+    assert NOT_ARRAY.endswith("JSON array.")
 
 
 def test_versioned_table(spark, tmp_path):
@@ -91,12 +98,12 @@ def test_versioned_table(spark, tmp_path):
 
 
 def test_fault_by_status_class(spark):
-    rows = [("C", 1, _body("Customer", [{"Id": "1"}], 1), 200), ("C", 1001, '{"error": "busy"}', 503),
+    landed = [("C", 1, _body("Customer", [{"Id": "1"}], 1), 200), ("C", 1001, '{"error": "busy"}', 503),
             ("C", 2001, _body("Customer", [{"Id": "3"}], 2001), 204)]
-    pages = spark.createDataFrame(rows, "source string, requested_start long, body string, status int")
+    pages = spark.createDataFrame(landed, "source string, requested_start long, body string, status int")
     good, faults = split_faults(pages, "Customer", status_col="status")
     assert sorted(r["requested_start"] for r in good.collect()) == [1, 2001]
-    assert [r["fault"] for r in faults.collect()] == ['{"error": "busy"}']
+    assert [r["fault"] for r in faults.collect()] == ['Unreadable page: {"error": "busy"}']
 
 
 def test_restrict_partitions_null_keys(spark):
@@ -105,7 +112,3 @@ def test_restrict_partitions_null_keys(spark):
     parts = spark.createDataFrame([(1,), (None,)], "tenant_id int")
     assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"]).collect()) == [1]
     assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], negate=True).collect()) == [2, 3]
-    # the join fallback (more keys than literals allowed) agrees
-    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], max_literals=0).collect()) == [1]
-    assert sorted(r["v"] for r in restrict_partitions(df, parts, ["tenant_id"], negate=True,
-                                                      max_literals=0).collect()) == [2, 3]
