@@ -68,11 +68,11 @@ def text_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return out
     starts, ends, first = row_words(data, off)
     h = hash_words(data, starts, ends, lower=True)
-    words, size = np.diff(first), np.maximum(np.diff(off), 1)
+    words = np.diff(first)
     row = np.repeat(np.arange(n), words)
     marks = [_UPPER[data], _DIGIT[data], _SYMBOL[data]]
     out[:, 0] = np.log1p(words)
-    out[:, 1] = np.minimum(np.log1p(size / np.maximum(words, 1)), 6)
+    out[:, 1] = np.minimum(np.log1p(np.diff(off) / np.maximum(words, 1)), 6)
     out[:, 2:5] = np.stack(_shares(marks, off[:-1], off[1:]), axis=1)
     out[:, 5] = np.log1p(words) - np.log1p(_distinct(h, row, n))
     # Lines: cut at line feeds and at row ends.
@@ -196,7 +196,8 @@ def _learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str) ->
     pool = x.join(known, "doc_id", "left_anti")
 
     def views(given: DataFrame) -> bytes:
-        return given.coalesce(1).mapInArrow(_fit_views, "views binary").first()[0]
+        r = given.coalesce(1).mapInArrow(_fit_views, "views binary").first()
+        return r[0] if r else next(_fit_views(iter(()))).column(0)[0].as_py()  # no task runs on an empty frame
 
     now = views(sample)
     for turn in range(ROUNDS):
