@@ -398,7 +398,7 @@ WITH li AS (
          CASE p_partkey % 4 WHEN 1 THEN 'Service' WHEN 2 THEN 'NonInventory' ELSE 'Inventory' END AS type,
          CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice ELSE 0.0 END AS price,
          CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS qty,
-         CASE WHEN p_partkey % 10 = 4 THEN p_partkey + 1000000000 WHEN p_partkey % 2 = 0 THEN p_partkey END AS qb_item_id
+         CASE WHEN p_partkey % 10 = 4 THEN p_partkey + 1000000000 WHEN p_partkey % 2 = 0 AND p_partkey <> 0 THEN p_partkey END AS qb_item_id
   FROM part)
 SELECT item_id, CASE WHEN qb_item_id IS NOT NULL AND qb_item_id >= 1000000000 THEN 'rejected' ELSE 'ok' END AS status,
        name AS "Name", type AS "Type", price AS "UnitPrice",
