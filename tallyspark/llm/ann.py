@@ -44,6 +44,14 @@ def tile(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
     return p, bound
 
 
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row, summed from the first component to the last: equal vectors give equal scores."""
+    s = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        s += a[:, d] * b[:, d]
+    return s
+
+
 def push(heap: list, k: int, items: Iterator[tuple[float, int]]) -> None:
     """The k best of (score, -id): highest score, then smallest id."""
     for it in items:
@@ -84,7 +92,7 @@ def _search(dim: int, k: int):
                 r, f = np.nonzero((p + bound >= limit[:, None]) & np.isfinite(p))
                 if not len(r):
                     continue
-                s = np.concatenate([(part.x[r[j:j + 65536]] * x.x[f[j:j + 65536]]).sum(axis=1) for j in range(0, len(r), 65536)])
+                s = np.concatenate([exact(part.x[r[j:j + 65536]], x.x[f[j:j + 65536]]) for j in range(0, len(r), 65536)])
                 best = np.lexsort((c_id[f], -s, r))
                 r, f, s = r[best], f[best], s[best]
                 start = np.searchsorted(r, np.arange(len(p) + 1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import table
+from tallyspark.llm.oracle import ORACLE  # noqa: F401 - read beside QUERIES
 
 
 def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,3 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cotrained_quality, op2_chat_prefix_tree, op3_nb_ngram_toxicity, op4_suffix_array_dedup, op5_exact_topk,
                                    op6_best_fit_packing, op7_ngram_jaccard_join, op8_block_matrix_ann, op9_byte_bpe, op10_warc_round_trip)}
-ORACLE: dict[str, str] = {}

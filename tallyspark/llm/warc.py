@@ -22,10 +22,10 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, single
+from tallyspark.llm.common import Scratch, rows_of, single
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT, BLOCK, HEAD = 16 << 20, 1 << 18, 1 << 16
+SPLIT, BLOCK, HEAD = 64 << 20, 1 << 18, 1 << 16
 LEVEL = 4
 #: Fixed by the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -218,7 +218,8 @@ def read_warc(spark: SparkSession, root: str, archives: DataFrame, *, split_byte
     """
     splits = archives.select("name", F.col("bytes").alias("size"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
-    return splits.repartition(F.col("name"), F.col("start")).mapInArrow(_read(root), RECORD_DDL)
+    # As many tasks as splits: their rows are tiny, so adaptive coalescing would put all of them into one task.
+    return splits.repartition(max(1, rows_of(splits)), F.col("name"), F.col("start")).mapInArrow(_read(root), RECORD_DDL)
 
 
 def warc_round_trip(pages: DataFrame, *, min_bytes: int = 0, split_bytes: int = SPLIT) -> DataFrame:
