@@ -2,18 +2,18 @@
 
 The text is cut by the tokenizer's pattern.  Each task numbers the distinct words it meets; the new ones pass through
 a Spark expression that folds the ranked merges over their array of byte tokens, looking up adjacent pairs in a
-literal rank map, and every occurrence then takes its word's ids.  Nothing is shuffled, and what a task remembers is
-bounded.  Decoding joins the bytes of the ids, again by a Spark expression over a literal.
+literal rank map, and every occurrence then takes its word's ids.  No text is shuffled, and what a task remembers is
+bounded.  Frequent words, which every task would meet, pass through that expression once and are broadcast.  Decoding joins the bytes of the ids, again by a Spark expression over a literal.
 
-The rank map is a literal array that is a hash table with two places for each pair (of the ids left and right), so
-a look-up is two reads at fixed places.  A pair's value is the id of the merged bytes, which is its rank.
+The rank map is a pair of literal arrays, so that a look-up is two reads at known places.  A pair's value is the id of
+the merged bytes, which is its rank.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import public_tokenizers
@@ -22,12 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import single
+from tallyspark.llm.common import Scratch, rows_of, single
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Words that a task remembers before it starts anew; documents in one bundle.
-WORDS, BUNDLE = 400_000, 500
-_K = ((40503, 30011), (10007, 52361))  # multipliers of the two places
+WORDS, BUNDLE = 250_000, 500
+#: Frequent words are folded once for all tasks: at most SLOTS words of at most LONGEST bytes (this bounds the
+#: broadcast), found in about SAMPLE documents.  They only save work: any word that is not among them is folded
+#: where it occurs.
+SLOTS, LONGEST, SAMPLE = 1 << 19, 64, 32_768
+#: Stands for "no merge" among the ranks of adjacent pairs; what is added to an id to make it larger than any rank.
+NONE, TOKEN = 1 << 20, 1 << 21
+#: Unicode White_Space, as a class of Java's patterns (fixed values).
+SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,63 +43,62 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def rank_table(path: str) -> tuple[int, list[int]]:
-    """Number of places in each half, and the table: (left * 2**16 + right) * 2**16 + merged id, or -1.
+def rank_table(path: str) -> tuple[list[int], list[int], int]:
+    """(shift, table, places): the pair with key k = left * 2**16 + right (both as tokens, that is, id + TOKEN) stands
+    as k * 2**16 + merged id at ``table[k % places + shift[k % len(shift)]]``.
 
-    Every pair stands at one of its two places (cuckoo hashing); the size grows until that works out.
+    The shifts are chosen, the fullest groups first, so that no two pairs meet: one look tells whether a pair exists.
     """
     ranks = read_ranks(path)
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("a vocabulary of at most 65,536 ids is expected")
-    pairs = [(ranks[w[:i]], ranks[w[i:]], n) for w, n in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
-    half = max(1009, len(pairs) | 1)
+    pairs = {(ranks[w[:i]] + TOKEN << 16) + ranks[w[i:]] + TOKEN: n for w, n in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+    groups, places = max(7, len(pairs) // 4 | 1), len(pairs) * 3 // 2 | 1
     while True:
-        table: list = [None] * (2 * half)
-        if all(_place(table, half, p) for p in pairs):
-            return half, [-1 if p is None else (p[0] << 32) + (p[1] << 16) + p[2] for p in table]
-        half = half * 5 // 4 | 1
-
-
-def _place(table: list, half: int, p: tuple) -> bool:
-    side = 0
-    for _ in range(500):
-        a, b = _K[side]
-        at = side * half + (p[0] * a + p[1] * b) % half
-        p, table[at] = table[at], p
-        if p is None:
-            return True
-        a, b = _K[0]
-        side = 1 if at == (p[0] * a + p[1] * b) % half else 0
-    return False
-
-
-def _look(left: str, right: str, half: int) -> str:
-    """SQL: the id of the merged pair, or null."""
-    key = f"({left} * 65536 + {right})"
-    at = [f"get(t, cast(({left} * {a} + {right} * {b}) % {half} as int) + {side * half})" for side, (a, b) in enumerate(_K)]
-    return f"case when shiftright({at[0]}, 16) = {key} then {at[0]} & 65535 when shiftright({at[1]}, 16) = {key} then {at[1]} & 65535 end"
+        by: dict[int, list[int]] = {}
+        for k in pairs:
+            by.setdefault(k % groups, []).append(k)
+        if all(len({k % places for k in g}) == len(g) for g in by.values()):
+            break
+        places += 2
+    taken, shift, out = bytearray(3 * places), [0] * groups, {}
+    for g, keys in sorted(by.items(), key=lambda x: -len(x[1])):
+        d, at = 0, [k % places for k in keys]
+        while any(taken[x + d] for x in at):
+            d += 1
+        shift[g] = d
+        for k, x in zip(keys, at, strict=True):
+            taken[x + d] = 1
+            out[x + d] = (k << 16) + pairs[k]
+    return shift, [out.get(i, -1) for i in range(places + max(shift))], places
+
+
+def _look(left: str, right: str, places: int, groups: int) -> str:
+    """SQL: the id of the merged pair, or NONE (also if there is no left or right)."""
+    value = f"get(t, cast(k % {places} as int) + get(shift, cast(k % {groups} as int)))"
+    return f"get(transform(array({left} * 65536L + {right}), k -> get(transform(array({value}), v -> if(shiftright(v, 16) = k, v & 65535L, {NONE}L)), 0)), 0)"
 
 
 def fold_merges(words: str, path: str) -> Column:
-    """Column of array<array<bigint>>: byte tokens of each word -> its ids.
+    """Column of array<array<bigint>>: the byte tokens (id + TOKEN) of each word -> its ids.
 
-    The accumulator holds the tokens and the ranks of the adjacent pairs; each step merges the leftmost pair of the
-    least rank and looks up the two pairs that it forms.  A word of n bytes takes at most n - 1 steps.
+    The accumulator alternates the ranks of adjacent pairs with tokens, between two NONE: rank, token, rank, token,
+    ..., rank.  Tokens are larger than any rank, so its minimum is the least rank and the first place of that the
+    leftmost pair.  Each step puts the merged token for the pair and looks up the two pairs that it forms.  A word of
+    n bytes takes at most n - 1 steps.
     """
-    half, table = rank_table(path)
-    first = f"transform(slice(w, 2, size(w)), (r, k) -> {_look('get(w, k)', 'r', half)})"
-    new_left = _look("get(s.a, i - 2)", "m", half)
-    new_right = _look("m", "get(s.a, i + 1)", half)
-    merged = f"""named_struct(
-        'a', concat(slice(s.a, 1, i - 1), array(m), slice(s.a, i + 2, size(s.a))),
-        'p', concat(slice(s.p, 1, greatest(i - 2, 0)), if(i > 1, array({new_left}), slice(s.p, 1, 0)),
-                    if(i < size(s.p), array({new_right}), slice(s.p, 1, 0)), slice(s.p, i + 2, size(s.p))))"""
-    step = f"""get(transform(array(array_min(s.p)), m -> if(m is null, s,
-        get(transform(array(cast(array_position(s.p, m) as int)), i -> {merged}), 0))), 0)"""
-    fold = f"aggregate(slice(w, 2, size(w)), named_struct('a', w, 'p', {first}), (s, x) -> {step}, s -> s.a)"
-    # The text of the literal is folded to an array when the plan is optimised; it stands in the plan once.
-    t = f"cast(split('{','.join(map(str, table))}', ',') as array<bigint>)"
-    return F.expr(f"get(transform(array({t}), t -> transform({words}, w -> {fold})), 0)")
+    shift, table, places = rank_table(path)
+    look = partial(_look, places=places, groups=len(shift))
+    first = f"concat(array({NONE}L), flatten(transform(w, (l, i) -> array(l, {look('l', 'get(w, i + 1)')}))))"
+    merged = f"""concat(slice(s, 1, j - 3), array({look('get(s, j - 4)', f'(m + {TOKEN}L)')}, m + {TOKEN}L, {look(f'(m + {TOKEN}L)', 'get(s, j + 2)')}),
+        slice(s, j + 3, size(s)))"""
+    step = f"""get(transform(array(array_min(s)), m -> if(m = {NONE}L, s,
+        get(transform(array(cast(array_position(s, m) as int)), j -> {merged}), 0))), 0)"""
+    ids = f"transform(filter(s, v -> v >= {TOKEN}L), v -> v - {TOKEN}L)"
+    fold = f"aggregate(slice(w, 2, size(w)), {first}, (s, x) -> {step}, s -> {ids})"
+    # The texts of the literals are folded to arrays when the plan is optimised; each stands in the plan once.
+    literal = lambda x, kind: f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)"
+    return F.expr(f"get(transform(array({literal(shift, 'int')}), shift -> get(transform(array({literal(table, 'bigint')}), t -> transform({words}, w -> {fold})), 0)), 0)")
 
 
 def decoded(ids: Column, path: str) -> Column:
@@ -109,12 +115,46 @@ def decoded(ids: Column, path: str) -> Column:
 BUNDLED = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("anew", pa.bool_()), ("fresh", pa.list_(pa.list_(pa.int64())))])
 
 
-def _number(path: str):
+def _byte_tokens(path: str) -> np.ndarray:
+    ranks = read_ranks(path)
+    return np.array([ranks[bytes([i])] + TOKEN for i in range(256)], np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = pc.value_counts(b.column(0).flatten())
+        for i in range(0, len(n), 50_000):
+            part = n.slice(i, 50_000)
+            yield pa.RecordBatch.from_arrays([part.field(0), part.field(1)], names=["word", "n"])
+
+
+def _as_tokens(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = _byte_tokens(path)
+        for b in batches:
+            tokens = [token[np.frombuffer(w.encode(), np.uint8)] for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["word", "tokens"])
+
+    return run
+
+
+def frequent_words(src: DataFrame, path: str, scratch: Scratch) -> pa.Table:
+    """(word, ids) of frequent words of src (doc_id, words): of the words that share a slot the most frequent one."""
+    some = max(1, rows_of(src.select("doc_id")) // SAMPLE)
+    sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(some)) == 0).select("words")
+    counts = sample.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n > 1 and octet_length(word) <= {LONGEST}")
+    best = counts.groupBy(F.crc32(F.col("word").cast("binary")) % SLOTS).agg(F.max(F.struct("n", "word")).alias("w")).select("w.word")
+    best = scratch.save(best, "frequent")
+    coded = best.mapInArrow(_as_tokens(path), "word string, tokens array<long>").select("word", F.get(fold_merges("array(tokens)", path), F.lit(0)).cast("array<int>").alias("ids"))
+    return scratch.save(coded, "frequent-ids").toArrow().combine_chunks()
+
+
+def _number(path: str, shared):
     """(id, words) -> bundles: ids, words per document, word numbers, and the byte tokens of words not met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(path)
-        byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        byte_token = _byte_tokens(path)
+        frequent = {w: i for i, w in enumerate(shared.value["word"].to_pylist())}
         known: dict[str, int] = {}
         for b in batches:
             for i in range(0, len(b), BUNDLE):
@@ -122,16 +162,17 @@ def _number(path: str):
                 col = part.column(1)
                 values = pc.dictionary_encode(col.flatten())
                 names = values.dictionary.to_pylist()
-                anew = not known or len(known) + len(names) > WORDS
+                fresh = [w for w in names if w not in frequent and w not in known]
+                anew = len(known) + len(fresh) > WORDS
                 if anew:
                     known = {}
-                fresh = [w for w in names if w not in known]
+                    fresh = [w for w in names if w not in frequent]
                 for w in fresh:
-                    known[w] = len(known)
-                number = np.array([known[w] for w in names], np.int32) if names else np.zeros(0, np.int32)
+                    known[w] = len(frequent) + len(known)
+                number = np.array([known[w] if (f := frequent.get(w)) is None else f for w in names], np.int32)
                 raw = [w.encode() for w in fresh]
                 off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(byte_id[np.frombuffer(b"".join(raw), np.uint8)]))
+                tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(byte_token[np.frombuffer(b"".join(raw), np.uint8)]))
                 sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), pa.array([sizes.tobytes()], pa.binary()),
@@ -141,25 +182,54 @@ def _number(path: str):
     return run
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(lists: pa.Array) -> Iterator[bytes]:
+    """Each list of ids as little-endian int32 bytes."""
+    raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+    off = (4 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])).astype(int).tolist()
+    return (raw[x:y] for x, y in zip(off, off[1:], strict=False))
+
+
+def _assemble(shared):
     """Bundles with the ids of the new words -> one row per document."""
-    table: list[bytes] = []
-    for b in batches:
-        for k in range(len(b)):
-            docs, sizes, words, anew, codes = (b.column(c)[k] for c in range(5))
-            if anew.as_py():
-                table = []
-            inner = codes.values
-            ids, off = inner.flatten().to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(pc.list_value_length(inner).to_numpy())])
-            raw, off = ids.tobytes(), (4 * off).tolist()
-            table.extend(raw[x:y] for x, y in zip(off, off[1:], strict=False))
-            out, at = [], 0
-            numbers = np.frombuffer(words.as_py(), np.int32)
-            for n in np.frombuffer(sizes.as_py(), np.int32).tolist():
-                out.append(b"".join(map(table.__getitem__, numbers[at:at + n].tolist())))
-                at += n
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([docs.values, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))], names=["doc_id", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: list[bytes] = []
+        ids = shared.value["ids"]
+        for c in ids.chunks if isinstance(ids, pa.ChunkedArray) else [ids]:
+            table.extend(_pieces(c))
+        frequent = len(table)
+        for b in batches:
+            for k in range(len(b)):
+                docs, sizes, words, anew, codes = (b.column(c)[k] for c in range(5))
+                if anew.as_py():
+                    del table[frequent:]
+                table.extend(_pieces(codes.values))
+                out, at = [], 0
+                numbers = np.frombuffer(words.as_py(), np.int32)
+                for n in np.frombuffer(sizes.as_py(), np.int32).tolist():
+                    out.append(b"".join(map(table.__getitem__, numbers[at:at + n].tolist())))
+                    at += n
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([docs.values, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))], names=["doc_id", "ids"])
+
+    return run
+
+
+def java_pattern(pattern: str) -> str:
+    """The pattern with \\s and \\S written out, which Java would take as ASCII."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i:i + 2]
+        if c in (r"\s", r"\S"):
+            out.append(SPACE if inside and c == r"\s" else f"[{'^' * (c == chr(92) + 'S')}{SPACE}]")
+        elif c[0] == "\\":
+            out.append(c)
+        else:
+            inside = c[0] == "[" or inside and c[0] != "]"
+            out.append(c[0])
+            i -= 1
+        i += 2
+    return "".join(out)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -169,12 +239,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     empty table gives no rows; other columns are not read.  The time for one match is quadratic in its length.
     """
     path = ranks or public_tokenizers.path(RANKS)
-    cut = F.lit("(?U)" + (pattern or public_tokenizers.PATTERN))  # \\s is Unicode White_Space
+    cut = F.lit(java_pattern(pattern or public_tokenizers.PATTERN))
     src = single(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"),
                                                 F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), cut, F.lit(0)).alias("words"))
-    bundles = src.mapInArrow(_number(path), "docs array<long>, sizes binary, words binary, anew boolean, fresh array<array<long>>")
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(src, path, Scratch(docs.sparkSession, "bpe")))
+    bundles = src.mapInArrow(_number(path, shared), "docs array<long>, sizes binary, words binary, anew boolean, fresh array<array<long>>")
     coded = bundles.select("docs", "sizes", "words", "anew", fold_merges("fresh", path).alias("codes"))
-    return coded.mapInArrow(_assemble, "doc_id long, ids array<int>")
+    return coded.mapInArrow(_assemble(shared), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", *, ranks: str | None = None) -> DataFrame:

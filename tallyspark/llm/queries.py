@@ -62,6 +62,8 @@ def op8_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.bpe import decode, encode
 
+    # A record here is a whole text as words: fewer of them in a batch, so that a task holds less.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     coded = decode(encode(table(spark, sf_dir, "documents")))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
