@@ -145,6 +145,12 @@ def q_search_payment_methods(spark, sf_dir):
     return N.payment_method_row(hits, keep=["tenant_id"])
 
 
+@query
+def q_search_tax_codes(spark, sf_dir):
+    hits = _search(D.remote_tax_codes(spark, sf_dir), "Name", "SUPPLIER#00000")
+    return N.tax_code_row(hits, keep=["tenant_id"])
+
+
 @query
 def q_search_service_items(spark, sf_dir):
     hits = _search(D.remote_items(spark, sf_dir), "Name", "bolt", where=F.col("Type") == "Service")
@@ -272,6 +278,19 @@ def q_token_records(spark, sf_dir):
     return require(rec, ["access_token", "refresh_token"])
 
 
+@query
+def q_token_upsert(spark, sf_dir):
+    """U4 on (tenant, realm): stored tokens (of the even customers) meet new payloads (of the odd ones)."""
+    from tallyspark.operators.credentials import to_token_record
+    from tallyspark.operators.upsert import dedupe_last, upsert
+    from tallyspark.operators.validate import require
+    cols = ["state", "created_at", "access_token"]
+    rec = to_token_record(D.token_payloads(spark, sf_dir), keep=["tenant_id", "realm_id", "seq"])
+    ok = require(rec, ["access_token", "refresh_token"]).where("accepted").select("tenant_id", "realm_id", "seq", *cols)
+    stored = dedupe_last(ok.where("seq % 2 = 0"), ["tenant_id", "realm_id"], "seq").drop("seq")
+    return upsert(stored, ok.where("seq % 2 = 1"), ["tenant_id", "realm_id"], cols, order_col="seq")
+
+
 @query
 def q_encrypt_roundtrip(spark, sf_dir):
     from tallyspark.operators.credentials import SECRET_COLUMNS, decrypt_cols, encrypt_cols

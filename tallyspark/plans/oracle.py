@@ -210,6 +210,8 @@ ORACLE["search_accounts"] = _top50(_ACCOUNTS, "name ILIKE '%urgent%'",
                                    "tenant_id, id, coalesce(name, '') AS name, coalesce(account_type, '') AS account_type")
 ORACLE["search_payment_methods"] = _top50(_PAYMENTS, "name ILIKE '%high%'",
                                           "tenant_id, id, name, coalesce(payment_type, '') AS payment_type")
+ORACLE["search_tax_codes"] = _top50(f"SELECT s_nationkey % 4 AS tenant_id, t.* FROM supplier JOIN ({_TAXES}) t ON CAST(s_suppkey AS VARCHAR) = t.id",
+                                    "name ILIKE '%SUPPLIER#00000%'", "CAST(tenant_id AS INTEGER) AS tenant_id, id, name, tax_rate_ref_id")
 ORACLE["search_service_items"] = _top50(_ITEMS, "type = 'Service' AND name ILIKE '%bolt%'",
                                         "tenant_id, id, name, type AS account_type")
 ORACLE["search_vendors"] = _top50(RV, "display_name ILIKE '%v2%'",
@@ -365,6 +367,13 @@ SELECT tenant_id, realm_id, k AS seq, 'st-' || CAST(k AS VARCHAR) AS state,
        CASE WHEN k % 97 = 5 THEN 'Missing required fields: access_token' END AS reason
 FROM p"""
 
+ORACLE["token_upsert"] = f"""
+WITH {_TOKENS},
+u AS (SELECT tenant_id, realm_id, coalesce(max(k) FILTER (k % 2 = 1), max(k)) AS k FROM p WHERE k % 97 <> 5 GROUP BY tenant_id, realm_id)
+SELECT tenant_id, realm_id, 'st-' || CAST(k AS VARCHAR) AS state, CAST({_BASE_MS} + k * 60000 AS BIGINT) AS created_at,
+       'at-' || CAST(k AS VARCHAR) AS access_token
+FROM u"""
+
 ORACLE["encrypt_roundtrip"] = f"""
 WITH {_TOKENS}
 SELECT tenant_id, realm_id, 'idt-' || CAST(k AS VARCHAR) AS id_token, 'at-' || CAST(k AS VARCHAR) AS access_token,
