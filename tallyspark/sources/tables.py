@@ -84,7 +84,8 @@ def gathered(df: DataFrame, parts: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType()),
-                    StructField("buckets", LongType()), StructField("seq", LongType())])
+                    StructField("buckets", LongType()), StructField("seq", LongType()),
+                    StructField("max_assignment", LongType())])
 
 
 def _state_path(root: str) -> str:
@@ -105,13 +106,19 @@ def read_state(spark: SparkSession, root: str) -> tuple[int, int]:
     return (-1 if row["batch_id"] is None else int(row["batch_id"]), 0 if row["max_id"] is None else int(row["max_id"]))
 
 
+def read_max_assignment(spark: SparkSession, root: str) -> int:
+    """Largest id given to an entity assignment: they are numbered on their own, apart from the entities."""
+    return _state(spark, root)["max_assignment"] or 0
+
+
 def read_buckets(spark: SparkSession, root: str) -> int | None:
     """Buckets per tenant of the table (None: partitioned by tenant only)."""
     row = _state(spark, root)
     return None if row["buckets"] is None else int(row["buckets"])
 
 
-def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int, buckets: int | None = None) -> None:
+def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int, buckets: int | None = None,
+                max_assignment: int = 0) -> None:
     """The new state is one more file with the next number; readers take the highest, so a crash midway loses nothing."""
     try:
         seq = (_state(spark, root)["seq"] or 0) + 1
@@ -119,7 +126,7 @@ def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: in
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         seq = 0
-    (spark.createDataFrame([(batch_id, max_id, buckets, seq)], STATE).coalesce(1)
+    (spark.createDataFrame([(batch_id, max_id, buckets, seq, max_assignment)], STATE).coalesce(1)
      .write.mode("append").json(_state_path(root)))
 
 
@@ -134,16 +141,17 @@ def entity_bucket(buckets: int) -> Column:
 
 
 def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id", id_col: str = "id",
-                     buckets: int | None = None) -> None:
+                     buckets: int | None = None, max_assignment: int = 0) -> None:
     """Create the table from ``df`` (one full write), partitioned by tenant and,
-    with ``buckets``, by hashed external id inside each tenant."""
+    with ``buckets``, by hashed external id inside each tenant.
+    ``max_assignment``: the largest id in an existing assignments table."""
     parts = [partition_by]
     if buckets:
         df = df.withColumn("bucket", entity_bucket(buckets))
         parts.append("bucket")
     gathered(df, parts).write.mode("errorifexists").partitionBy(*parts).parquet(data_path(root))
     mx = df.agg(F.max(id_col)).first()[0]
-    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx), buckets)
+    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx), buckets, max_assignment)
 
 
 def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame | None = None,

@@ -22,17 +22,24 @@ overwrite; the state moves last.  A landed page's ``source`` is
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from tallyspark.operators.normalize import normalize_party
+from tallyspark.operators.settings import sync_markers
 from tallyspark.operators.upsert import upsert_entities
 from tallyspark.sources.pages import LANDED_PAGE, explode_pages, split_faults
-from tallyspark.sources.tables import (bucket_of, data_path, entity_bucket, gathered, read_buckets, read_partitions, read_state,
+from tallyspark.sources.tables import (bucket_of, data_path, entity_bucket, gathered, read_buckets, read_max_assignment, read_partitions,
+                                       read_state,
                                        replace_partitions, restrict_partitions, write_state)
 
 
+MARKERS = {"Customer": "customers_synced", "Vendor": "vendors_synced"}
+
+
 def source_path(entity: str, tenant_id, branch_id):
     return F.concat_ws("/", F.lit(entity), tenant_id.cast("string"), branch_id.cast("string"))
 
@@ -77,7 +84,7 @@ def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_r
     last_batch, max_id = read_state(spark, table_root)
     if last_batch >= batch_id:
         return False
-    nb = read_buckets(spark, table_root)
+    nb, max_assignment = read_buckets(spark, table_root), read_max_assignment(spark, table_root)
     parts = ["tenant_id"] + (["bucket"] if nb else [])
     root = table_root.rstrip("/")
     stage = f"{root}/_staging/batch_id={batch_id}"
@@ -97,7 +104,7 @@ def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_r
         else:
             target = read_partitions(spark, root, tenants)
         result = upsert_entities(target, rows, types, branches, first_new_id=max_id + 1,
-                                 first_new_assignment_id=max_id + 1, **upsert_kw)
+                                 first_new_assignment_id=max_assignment + 1, **upsert_kw)
         out = result.entities
         if nb:
             out = out.withColumn("bucket", entity_bucket(nb))
@@ -114,11 +121,15 @@ def sync_into_table(spark: SparkSession, rows: DataFrame, batch_id: int, table_r
         result.rejects.write.mode("overwrite").parquet(f"{side}/rejects/batch_id={batch_id}")
         if faults is not None:
             faults.write.mode("overwrite").parquet(f"{side}/faults/batch_id={batch_id}")
-        new_max = result.inserted.agg(F.max("id")).first()[0]
-        write_state(spark, meta, batch_id, max_id if new_max is None else int(new_max))
+        result.stats.write.mode("overwrite").parquet(f"{side}/summary/batch_id={batch_id}")
+        n, new_max = result.inserted.agg(F.count(F.lit(1)), F.max("id")).first()
+        write_state(spark, meta, batch_id, max_id if new_max is None else int(new_max), nb, max_assignment + n)
     _, new_max = read_state(spark, meta)
     replace_partitions(spark.read.parquet(stage), root, parts)
-    write_state(spark, root, batch_id, new_max, nb)
+    # The markers of the tenants whose rows are now in the table (U8), to be saved as settings.
+    done = [sync_markers(rows.where(F.col("type") == typ).select("tenant_id").distinct(), marker, batch_id) for typ, marker in MARKERS.items()]
+    reduce(DataFrame.unionByName, done).write.mode("overwrite").parquet(f"{root}/_side/markers/batch_id={batch_id}")
+    write_state(spark, root, batch_id, new_max, nb, read_max_assignment(spark, meta))
     return True
 
 

@@ -142,6 +142,18 @@ def test_mapping_empties_a_bucket(spark, tmp_path):
     assert sorted((x["id"], x["qb_id"]) for x in read_partitions(spark, root).collect()) == [(1, "1"), (2, "Q2"), (3, "3"), (4, "4")]
 
 
+def test_a_run_leaves_its_summary_links_and_marker(spark, tmp_path):
+    root, types, branches = _setup(spark, tmp_path)
+    for n, recs in enumerate([[{"Id": "7", "DisplayName": "A2"}, {"Id": "8", "DisplayName": "B"}], [{"Id": "9", "DisplayName": "C"}]]):
+        pages = spark.createDataFrame([_page(recs)], StructType(LANDED_PAGE.fields[:3]))
+        assert apply_landed_batch(spark, pages, n, root, types, branches)
+    side = lambda name: spark.read.parquet(f"{root}/_side/{name}")
+    # Entity ids go on from the table's largest, assignment ids from their own.
+    assert sorted((r["id"], r["entity"]) for r in side("assignments").collect()) == [(1, 2), (2, 3)]
+    assert sorted((r["batch_id"], r["fetched"], r["inserted"], r["updated"], r["rejected"]) for r in side("summary").collect()) == [(0, 2, 1, 1, 0), (1, 1, 1, 0, 0)]
+    assert [(r["tenant_id"], r["name"], r["qb_id"]) for r in side("markers").where("batch_id = 1").collect()] == [(0, "customers_synced", "1")]
+
+
 def test_few_files_per_partition(spark, tmp_path):
     import glob
     df = spark.range(20000).selectExpr("id", "cast(id % 5 as int) tenant_id", "cast(id as string) qb_id").repartition(8)
