@@ -12,8 +12,8 @@ of the hash), and each fragment counts the overlap of its own part of every set;
    and the number of long lists that both are in reach k together.  The other classes of the long lists are
    resolved in rounds: each class outside its list's largest component is compared with a few probes, four times as
    many in each round, until every list is one component or all its pairs across components were compared.
-3. Verification.  The whole sets of the candidate classes go to the fragments, each counts its part of every
-   candidate pair, the sum is the exact intersection.
+3. Verification, an exact check: the whole sets of the candidate classes meet their pairs, in groups of pairs that
+   share classes.
 
 The result is exact up to 64-bit hash collisions.
 """
@@ -39,6 +39,8 @@ SHORT = 24
 FREQUENT, FREQUENT_FROM, LOCAL_FROM = 1 << 17, 64, 3
 #: Text bytes hashed at a time, shingles counted at a time, shingles in a fragment.
 BYTES, POOL, FRAGMENT = 1 << 21, 1 << 21, 1 << 20
+#: Pairs that are verified together.
+PAIRS = 20_000
 
 
 def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -245,60 +247,50 @@ def _candidates(top: int):
     return run
 
 
-def _cut_sets(frags: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b]).to_pydict()
-            for i in range(0, len(t["key"]), 512):
-                sets = [np.frombuffer(x, U64) for x in t["hashes"][i:i + 512]]
-                yield packed(t["key"][i:i + 512], sets, t["n"][i:i + 512], frags)
-
-    return run
-
-
-def _cut_pairs(frags: int):
-    """Every fragment gets every pair, in rows of many."""
+def _links(top: int):
+    """Rows sorted by group and kind: the sets (kind 0: a, na, hashes) and pairs (kind 1) of whole groups -> links."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def settle(sets: dict[int, np.ndarray], pairs: list[tuple]) -> pa.RecordBatch:
+        keys = np.array(sorted(sets), np.int64)
+        size = np.array([len(sets[k]) for k in keys.tolist()], np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        h = np.concatenate([sets[k] for k in keys.tolist()])
+        tagged = np.sort(mix(h + np.repeat(np.arange(len(keys)), size).astype(U64) * _MULT[40]))
+        a, b = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+        x, y = np.searchsorted(keys, a), np.searchsorted(keys, b)
+        c = np.zeros(len(a), np.int64)
+        for i, j in slices(np.concatenate([[0], np.cumsum(size[x])]), 1 << 20):
+            n = size[x[i:j]]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[x[i:j]], n)
+            want = mix(h[at] + np.repeat(y[i:j], n).astype(U64) * _MULT[40])
+            place = np.minimum(np.searchsorted(tagged, want), len(tagged) - 1)
+            hit = np.concatenate([[0], np.cumsum(tagged[place] == want)])
+            c[i:j] = hit[ends] - hit[ends - n]
+        ok = 100 * c >= top * (size[x] + size[y] - c)
+        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], schema=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for i in (0, 1))
-            na, nb = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int32).tobytes() for i in (2, 3))
-            cols = [list(range(frags)), [1] * frags, [a] * frags, [na] * frags, [nb] * frags, [c] * frags]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, PACKED, strict=True)], schema=PACKED)
+        group, held, sets, pairs = None, 0, {}, []
+        for batch in batches:
+            for r in one_by_one(batch):
+                if r["grp"] != group:
+                    if held >= FRAGMENT or len(pairs) >= PAIRS:
+                        yield settle(sets, pairs)
+                        held, sets, pairs = 0, {}, []
+                    group = r["grp"]
+                if r["kind"] == 0:
+                    sets[r["a"]] = np.frombuffer(r["hashes"], U64)
+                    held += r["na"]
+                else:
+                    pairs.append((r["a"], r["b"]))
+        if pairs:
+            yield settle(sets, pairs)
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each fragment: its part of the intersection of every pair."""
-    for _, rows in by_fragment(batches):
-        keys, _, who, h = unpacked([r for r in rows if r["kind"] == 0])
-        order = np.argsort(who, kind="stable")
-        who, h = who[order], h[order]
-        first = np.searchsorted(who, np.arange(len(keys) + 1))
-        tagged = np.sort(mix(h + who.astype(U64) * _MULT[40]))
-        for r in rows:
-            if r["kind"] != 1:
-                continue
-            a, b = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["hashes"], np.int64)
-            na, nb = np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["counts"], np.int32)
-            x, y = np.searchsorted(keys, a), np.searchsorted(keys, b)
-            both = (x < len(keys)) & (y < len(keys))
-            both[both] &= (keys[x[both]] == a[both]) & (keys[y[both]] == b[both])
-            a, b, na, nb, x, y = (v[both] for v in (a, b, na, nb, x, y))
-            size = first[x + 1] - first[x]
-            for i, j in slices(np.concatenate([[0], np.cumsum(size)]), 1 << 20):
-                n = size[i:j]
-                ends = np.cumsum(n)
-                at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[x[i:j]], n)
-                want = mix(h[at] + np.repeat(y[i:j], n).astype(U64) * _MULT[40])
-                place = np.minimum(np.searchsorted(tagged, want), len(tagged) - 1)
-                c = np.concatenate([[0], np.cumsum(tagged[place] == want)])
-                c = c[ends] - c[ends - n]
-                some = c > 0
-                yield from _counted(a[i:j][some], b[i:j][some], na[i:j][some], nb[i:j][some], c[some])
-
-
 def _whole_sets(k: int):
     """Columns doc_id, text, wanted key -> (key, n, hashes) of the rows whose set has the wanted key."""
     fields = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
@@ -359,16 +351,22 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     scratch.release()
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        mine = scratch.save(keys.join(sets.select("key", "n").distinct(), "key"), f"{tag}-keys")
-        entries = mine.agg(F.sum("n")).first()[0] or 0
-        cut = max(8, -(-entries // FRAGMENT))
-        parts = sets.join(mine.select("key"), "key", "left_semi").mapInArrow(_cut_sets(cut), PACKED_DDL)
-        asked = pairs.select("a", "b", "na", "nb").mapInArrow(_cut_pairs(cut), PACKED_DDL)
-        c = _dealt(parts.unionByName(asked), cut).mapInArrow(_overlaps, COUNTED_DDL)
-        c = c.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        ok = F.lit(100) * F.col("c") >= F.lit(threshold) * (F.col("na").cast("long") + F.col("nb") - F.col("c"))
-        links = scratch.save(c.where(ok).select("a", "b"), f"{tag}-links")
+        """The pairs that link, by whole sets.  Pairs with a common least neighbour are one group (a group of many
+        pairs is split), so a set travels about once; pairs and sets of a group meet in one task."""
+        ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+        lead = scratch.save(ends.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("lead")), f"{tag}-lead")
+        of = lambda side: lead.select(F.col("key").alias(side), F.col("lead").alias(f"l{side}"))
+        led = scratch.save(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("la", "lb").alias("lead")), f"{tag}-led")
+        parts = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS)).alias("parts"))
+        grp = F.xxhash64("lead", F.pmod(F.xxhash64("a"), F.col("parts")))
+        asked = scratch.save(led.join(scratch.save(parts, f"{tag}-parts"), "lead").select(grp.alias("grp"), "a", "b"), f"{tag}-asked")
+        need = asked.select("grp", F.col("a").alias("key")).union(asked.select("grp", "b")).distinct()
+        need = scratch.save(need.join(sets.select("key", "n").distinct(), "key"), f"{tag}-need")
+        tasks = max(8, -(-(need.agg(F.sum("n")).first()[0] or 0) // FRAGMENT))
+        shipped = need.select("grp", "key").join(sets.dropDuplicates(["key"]), "key").select("grp", F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").alias("na"), "hashes")
+        asked = asked.select("grp", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("na"), F.lit(None).cast("binary").alias("hashes"))
+        met = shipped.unionByName(asked).repartition(tasks, "grp").sortWithinPartitions("grp", "kind")
+        links = scratch.save(met.mapInArrow(_links(threshold), "a long, b long"), f"{tag}-links")
         scratch.release()
         return links
 
