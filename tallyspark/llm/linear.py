@@ -10,16 +10,27 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of (feature, value) with the two products that a fit needs."""
+    """Blocks of (row, feature) pairs, and a value per feature, with the two products that a fit needs."""
 
-    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, shape: tuple[int, int]):
-        self.row, self.col, self.val, self.shape = row, col, val, shape
+    def __init__(self, value: np.ndarray, rows: int):
+        self.value, self.shape, self.blocks = value, (rows, len(value)), []
+
+    def add(self, row: np.ndarray, col: np.ndarray, n: np.ndarray) -> None:
+        """Distinct pairs by feature: col is in n rows, which stand one after another in row."""
+        if len(row):
+            self.blocks.append((row, col, np.cumsum(n) - n, n))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.val * w[self.col], minlength=self.shape[0])
+        w, out = w * self.value, np.zeros(self.shape[0])
+        for row, col, _, n in self.blocks:
+            out += np.bincount(row, weights=np.repeat(w[col], n), minlength=len(out))
+        return out
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, weights=self.val * r[self.row], minlength=self.shape[1])
+        out = np.zeros(self.shape[1])
+        for row, col, at, _ in self.blocks:
+            out[col] += np.add.reduceat(r[row], at)
+        return out * self.value
 
 
 class Dense:
@@ -33,8 +44,12 @@ class Dense:
         return r @ self.x
 
 
-def fit_logistic(x: Sparse | Dense, y: np.ndarray, l2: float = 1.0, steps: int = 25, weight: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Weights and intercept.  With one class (or no row) the weights are 0 and the intercept is the smoothed log odds."""
+def fit_logistic(x: Sparse | Dense, y: np.ndarray, l2: float = 1.0, steps: int = 25, weight: np.ndarray | None = None,
+                 rest: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and intercept.  With one class (or no row) the weights are 0 and the intercept is the smoothed log odds.
+
+    The equations of a Newton step are solved until ``rest`` of the squared gradient is left.
+    """
     n, m = x.shape
     q = np.ones(n) if weight is None else weight
     pos, neg = float((q * y).sum()), float((q * (1 - y)).sum())
@@ -51,6 +66,8 @@ def fit_logistic(x: Sparse | Dense, y: np.ndarray, l2: float = 1.0, steps: int =
         p = sigmoid(x.dot(w) + b)
         r, h = q * (p - y), q * p * (1 - p) + 1e-6
         g = np.append(x.back(r) + l2 * w, r.sum())
+        if not g.any():
+            break
         d, res = np.zeros(m + 1), -g
         c, rs = res.copy(), float(res @ res)
         for _ in range(40):
@@ -59,7 +76,7 @@ def fit_logistic(x: Sparse | Dense, y: np.ndarray, l2: float = 1.0, steps: int =
             a = rs / max(float(c @ hc), 1e-12)
             d, res = d + a * c, res - a * hc
             new = float(res @ res)
-            if new < 1e-6 * float(g @ g):
+            if new < rest * float(g @ g):
                 break
             c, rs = res + new / rs * c, new
         size = 1.0

@@ -2,9 +2,11 @@
 
 A feature is the presence of a hashed character n-gram (n = 3, 4, 5) in the ASCII- and BMP-lower-cased text.  From
 the labelled texts each feature gets its log-count ratio r (how much more often it is present in texts with label
-1), features whose ratio could be chance are dropped, the others enter a logistic regression with the value r.
+1).  Every n-gram of at least LEAST_ROWS sample texts enters a logistic regression, with r as its value; the closer r
+is to what chance gives, the smaller its value is made, so rare n-grams count without drowning the sure ones.
 
-Labels are learned from a bounded sample (FIT_ROWS rows, FIT_BYTES of text); scores cover every whole text.
+Labels are learned from a bounded sample (FIT_ROWS rows, FIT_BYTES of text; a text that no longer fits is skipped,
+the ones after it are not); scores cover every whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ GRAMS = {3: 18, 4: 20, 5: 20}
 SIZE = sum(1 << b for b in GRAMS.values())
 #: Bounds of the sample that is learned from: the rows with the least hash of their id.
 FIT_ROWS, FIT_BYTES = 8192, 96 << 20
-#: A feature stays if its log-count ratio is so many standard errors from 0 and it is in so many sample texts.
-LEAST_Z, LEAST_ROWS = 4.0, 4
+#: A ratio so many standard errors from 0 counts half.  An n-gram of one single text says nothing of others.
+HALF_Z, LEAST_ROWS = 4.0, 2
 L2, BYTES = 1.0, 1 << 20
 
 _LOWER = np.arange(1 << 16, dtype=np.uint32)
@@ -62,36 +64,52 @@ def present(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None)
             keep = wanted[f]
             row, f = row[keep], f[keep]
         out.append(row.astype(np.int64) * SIZE + f)
-    code = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    code = _distinct(np.concatenate(out)) if out else np.zeros(0, np.int64)
     return code // SIZE, code % SIZE
 
 
+def _distinct(code: np.ndarray) -> np.ndarray:
+    code = np.sort(code)
+    return code[np.flatnonzero(np.diff(code, prepend=-1))]
+
+
+def by_feature(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same pairs by feature: rows, features, and in how many rows each feature is."""
+    bits = len(off).bit_length()
+    for row, f in gram_rows(data, off):
+        code = _distinct((f << bits) + row)
+        f = code >> bits
+        at = np.flatnonzero(np.diff(f, prepend=-1))
+        yield code & (1 << bits) - 1, f[at], np.diff(at, append=len(f))
+
+
 def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, the weights, and the intercept."""
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    parts = [(i, np.frombuffer(b"".join(texts[i:j]), np.uint8), off[i:j + 1] - off[i]) for i, j in slices(off, BYTES)]
-    with_1, with_0 = np.zeros(SIZE, np.int32), np.zeros(SIZE, np.int32)
-    for i, data, o in parts:
-        row, f = present(data, o)
-        is_1 = labels[i + row] == 1
-        with_1 += np.bincount(f[is_1], minlength=SIZE).astype(np.int32)
-        with_0 += np.bincount(f[~is_1], minlength=SIZE).astype(np.int32)
+    kind = np.uint16 if len(texts) <= 1 << 16 else np.int64
+    with_1, with_0, pairs = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), []
+    for i, j in slices(off, BYTES):
+        for row, f, n in by_feature(np.frombuffer(b"".join(texts[i:j]), np.uint8), off[i:j + 1] - off[i]):
+            if len(row):
+                ones = np.add.reduceat((labels[i + row] == 1).astype(np.int64), np.cumsum(n) - n)
+                with_1[f] += ones
+                with_0[f] += n - ones
+                pairs.append(((i + row).astype(kind), f.astype(np.int32), n.astype(np.int32)))
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
     ratio = np.log((with_1 + 1) / (n1 + 2)) - np.log((with_0 + 1) / (n0 + 2))
-    error = np.sqrt(1 / (with_1 + 1) + 1 / (with_0 + 1))
-    wanted = (np.abs(ratio) >= LEAST_Z * error) & (with_1 + with_0 >= LEAST_ROWS) if n1 and n0 else np.zeros(SIZE, bool)
+    z2 = ratio ** 2 / (1 / (with_1 + 1) + 1 / (with_0 + 1))
+    wanted = with_1 + with_0 >= LEAST_ROWS if n1 and n0 else np.zeros(SIZE, bool)
     feature = np.flatnonzero(wanted)
-    place = np.zeros(SIZE, np.int64)
+    value = (ratio * z2 / (z2 + HALF_Z ** 2))[feature]
+    place = np.zeros(SIZE, np.int32)
     place[feature] = np.arange(len(feature))
-    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, data, o in parts:
-        row, f = present(data, o, wanted)
-        rows.append(i + row)
-        cols.append(place[f])
-    col = np.concatenate(cols)
-    x = Sparse(np.concatenate(rows), col, ratio[feature][col], (len(texts), len(feature)))
-    w, b = fit_logistic(x, labels.astype(float), l2=L2)
-    return feature, w * ratio[feature], b
+    x = Sparse(value, len(texts))
+    while pairs:
+        row, f, n = pairs.pop()
+        keep = wanted[f]
+        x.add(row[np.repeat(keep, n)], place[f[keep]], n[keep])
+    w, b = fit_logistic(x, labels.astype(float), l2=L2, rest=0.1)
+    return feature, w * value, b
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +117,8 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             t = (t or "").encode()
-            size += len(t)
-            if size <= FIT_BYTES:
+            if size + len(t) <= FIT_BYTES:
+                size += len(t)
                 texts.append(t)
                 labels.append(y)
     f, w, b = fit(texts, np.array(labels, np.int64))
@@ -121,7 +139,8 @@ def _score_task(feature: np.ndarray, weight: np.ndarray, bias: float):
                 row, f = present(data[off[i]:off[j]], off[i:j + 1] - off[i], wanted)
                 z[i:j] += np.bincount(row, weights=w[f], minlength=j - i)
             p = sigmoid(z)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            toxic = (p >= 0.5) & (len(feature) > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(toxic.astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return run
 
@@ -145,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "to
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5).
+    """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5; always 0 if no
+    feature could be learned).
 
     Learned from labelled documents that are not held out.  Null and empty texts have no n-gram and get the score of
     the intercept.  With labels of one class only (or none) all scores are the smoothed share of label 1.  Rows that
@@ -159,7 +179,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents without those predicted toxic, all columns kept."""
+    """documents without those predicted toxic, all columns kept; all documents if no feature could be learned."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(src, labels, scratch)

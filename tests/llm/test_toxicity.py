@@ -2,7 +2,9 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
+from tallyspark.llm import toxicity
 from tallyspark.llm.common import table
 from tallyspark.llm.toxicity import GRAMS, fit, present, toxicity_scores, without_toxic
 SF01 = "/root/testdata/sf0.01"
@@ -45,3 +47,55 @@ def test_odd_rows(spark):
     assert got[0].score == got[1].score
     assert toxicity_scores(docs.limit(0), labels.limit(0)).collect() == []
     assert without_toxic(docs, labels).columns == docs.columns
+
+
+def _planted(n1, n0):
+    """Texts of common words; of the made-up words, each is in five toxic texts and in no clean one."""
+    common = "the river runs past old houses while people walk slowly along quiet streets under warm light".split()
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("bcdfgjkqvxz"), 9)) for _ in range(n1 // 5)]
+    texts = [list(rng.choice(common, 12)) for _ in range(n1 + n0)]
+    for i in range(n1):
+        texts[i].insert(5, words[i // 5])
+    return [" ".join(t) for t in texts], [1] * n1 + [0] * n0, words
+
+
+def _stage(spark, n1, n0):
+    """Labelled rows by ids that are not held out; unlabelled rows with one of the words each, and one with none."""
+    texts, labels, words = _planted(n1, n0)
+    ids = [i for i in range(10 * len(texts)) if zlib.crc32(str(i).encode()) % 5][:len(texts)]
+    new = [(100_000 + i, f"people walk along {w} the old river") for i, w in enumerate(["past", *words])]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), *new], "doc_id long, text string")
+    return docs, spark.createDataFrame(list(zip(ids, labels, strict=True)), "doc_id long, toxic int"), len(words)
+
+
+def test_few_labels_find_planted_words(spark):
+    for n1, n0 in ((10, 58), (50, 50)):
+        docs, known, n = _stage(spark, n1, n0)
+        new = {r.doc_id: r.predicted for r in toxicity_scores(docs, known).collect() if r.doc_id >= 100_000}
+        assert new == {100_000 + i: int(i > 0) for i in range(n + 1)}
+        assert {r.doc_id for r in without_toxic(docs, known).collect() if r.doc_id >= 100_000} == {100_000}
+
+
+def test_no_model_keeps_every_document(spark):
+    """No labels, or labels of one class: nothing was learned, nothing goes."""
+    docs, known, _ = _stage(spark, 10, 10)
+    n = docs.count()
+    for labels in (known.limit(0), known.where("toxic = 1"), known.where("toxic = 0"), known.selectExpr("doc_id", "null as toxic")):
+        assert without_toxic(docs, labels).count() == n
+        assert {r.predicted for r in toxicity_scores(docs, labels).collect()} == {0}
+
+
+def test_balanced_labels_without_a_shared_ngram(spark):
+    docs = spark.createDataFrame([(1, "aaaa"), (2, "bbbb"), (3, "cccc"), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert without_toxic(docs, labels).count() == 4 and {r.predicted for r in toxicity_scores(docs, labels).collect()} == {0}
+
+
+def test_a_text_that_does_not_fit_is_skipped_alone(monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 2500)
+    texts, labels, _ = _planted(10, 10)
+    b = pa.RecordBatch.from_arrays([pa.array(["x" * 3000, *texts]), pa.array([0, *labels])], names=["text", "y"])
+    m = next(toxicity._fit_task(iter([b]))).to_pylist()[0]
+    f, w, bias = fit([t.encode() for t in texts], np.array(labels))
+    assert len(f) and m["feature"] == f.tobytes() and m["weight"] == w.tobytes() and m["bias"] == bias
