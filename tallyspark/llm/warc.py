@@ -5,7 +5,7 @@ repeated task writes another archive, and only reported archives are read.
 
 Reading: a split is a byte range of one archive.  Its task looks for the gzip magic from the start of the range on
 and takes a candidate for a record only if a whole member decodes there (with its checksum) and starts with WARC
-headers.  From then on member follows member.  A split owns the records that start inside it, and reads past its end
+headers, however long they are.  From then on member follows member.  A split owns the records that start inside it, and reads past its end
 to finish the last one.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import Scratch, rows_of, single
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT, BLOCK, HEAD = 64 << 20, 1 << 18, 1 << 16
+SPLIT, BLOCK = 64 << 20, 1 << 18
 LEVEL = 4
 #: Fixed by the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -135,7 +135,7 @@ def _headers(raw: bytes) -> dict[str, str] | None:
 
 def member(src: _Bytes, pos: int) -> tuple[dict[str, str], bytes, int] | None:
     """Headers, block and end of the record whose gzip member starts at pos; None if none does."""
-    z, out, at, head, seen = zlib.decompressobj(31), [], pos, None, b""
+    z, out, at, head, seen = zlib.decompressobj(31), [], pos, None, bytearray()
     try:
         while not z.eof:
             chunk = src.get(at, BLOCK if head else 4096)
@@ -144,17 +144,16 @@ def member(src: _Bytes, pos: int) -> tuple[dict[str, str], bytes, int] | None:
             part = z.decompress(chunk)
             at += len(chunk) - len(z.unused_data)
             if head is None:
+                tried = max(0, len(seen) - 3)
                 seen += part
                 if not b"WARC/1.".startswith(seen[:7]) and not seen.startswith(b"WARC/1."):
                     return None
-                cut = seen.find(b"\r\n\r\n")
+                cut = seen.find(b"\r\n\r\n", tried)
                 if cut >= 0:
-                    head = _headers(seen[:cut])
+                    head = _headers(bytes(seen[:cut]))
                     if head is None:
                         return None
-                    out.append(seen[cut + 4:])
-                elif len(seen) > HEAD:
-                    return None
+                    out.append(bytes(seen[cut + 4:]))
             else:
                 out.append(part)
     except zlib.error:
@@ -222,8 +221,17 @@ def read_warc(spark: SparkSession, root: str, archives: DataFrame, *, split_byte
     return splits.repartition(max(1, rows_of(splits)), F.col("name"), F.col("start")).mapInArrow(_read(root), RECORD_DDL)
 
 
+def read_all(spark: SparkSession, root: str, archives: DataFrame, scratch: Scratch, *, split_bytes: int = SPLIT) -> DataFrame:
+    """The records of read_warc, saved and counted: fails unless they are as many as archives (name, bytes, records) say."""
+    got = scratch.save(read_warc(spark, root, archives, split_bytes=split_bytes), "records")
+    n, want = rows_of(got), archives.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    if n != want:
+        raise RuntimeError(f"{n} records were read under {root}, {want} were written")
+    return got
+
+
 def warc_round_trip(pages: DataFrame, *, min_bytes: int = 0, split_bytes: int = SPLIT) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back (see write_warc and read_warc).
+    """Writes the pages to archives in the shared folder and reads them back (see write_warc and read_all).
 
     An empty table writes no archive and gives no rows; rows that repeat an id are records of their own; columns other
     than page_id, url and html are not read.
@@ -232,4 +240,4 @@ def warc_round_trip(pages: DataFrame, *, min_bytes: int = 0, split_bytes: int =
     scratch = Scratch(spark, "warc")
     root = scratch.path("warc")
     root = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    return read_warc(spark, root, write_warc(pages, root, scratch, min_bytes=min_bytes), split_bytes=split_bytes)
+    return read_all(spark, root, write_warc(pages, root, scratch, min_bytes=min_bytes), scratch, split_bytes=split_bytes)

@@ -1,11 +1,13 @@
+import base64
 import io
+import random
 
 import pyarrow as pa
 import pytest
 
 from tallyspark.llm.common import Scratch, table
 from tallyspark.llm.queries import op10_warc_round_trip
-from tallyspark.llm.warc import _Bytes, digest, read_warc, record, records, warc_round_trip, write_warc
+from tallyspark.llm.warc import _Bytes, digest, read_all, read_warc, record, records, warc_round_trip, write_warc
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -74,3 +76,22 @@ def test_archives_are_gzip(spark):
         with gzip.open(f"{path}/{r.name}") as f:
             n += f.read().count(b"WARC/1.1\r\n")
     assert n == sum(r.records for r in made) == read_warc(spark, root, spark.createDataFrame(made), split_bytes=10_000).count()
+
+
+@pytest.mark.parametrize("split", [1000, 1 << 20])
+def test_long_urls(spark, split):
+    """Headers of 200 KB that hardly compress, alone, in a row, and with a payload."""
+    url = "data:text/html;base64," + base64.b64encode(random.Random(3).randbytes(150_000)).decode()
+    data = [(1, "http://x/1", "a"), (2, url + "2", "b" * 70_000), (3, url + "3", ""), (4, "http://x/4", "a"), (5, url + "5", "c")]
+    got = warc_round_trip(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), split_bytes=split).collect()
+    assert rows(got) == expected([(i, h) for i, _, h in data])
+    assert {r.page_id: r.target_uri for r in got} == {i: u for i, u, _ in data}
+
+
+def test_missing_records_fail(spark):
+    scratch = Scratch(spark, "warc-test")
+    root = "file://" + scratch.path("w").removeprefix("file://").removeprefix("file:")
+    made = write_warc(spark.createDataFrame([(1, "u", "abc"), (2, "u", "d")], "page_id long, url string, html string"), root, scratch)
+    assert read_all(spark, root, made, scratch).count() == 2
+    with pytest.raises(RuntimeError, match="written"):
+        read_all(spark, root, made.selectExpr("name", "bytes", "records + 1 as records"), scratch)
