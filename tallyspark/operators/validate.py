@@ -62,6 +62,14 @@ def audit_unique(df: DataFrame, keys: list[str], table: str = "", collation: str
                     _key_str(keys).alias("key"), "n")
 
 
+def audit_table_unique(df: DataFrame, name: str, collation: str | None = "UNICODE_CI_AI") -> DataFrame:
+    """Q1: every declared unique key of a known table; names compare under ``collation``."""
+    parts = [audit_unique(df, list(k), name, collation) for k in RULES[name].unique]
+    if not parts:
+        raise ValueError(f"{name} has no unique key besides its primary key")
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def audit_not_null(df: DataFrame, cols: list[str], key_cols: list[str], table: str = "") -> DataFrame:
     """Q3: one row per (violating row, column), all columns in one pass."""
     tags = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols]))

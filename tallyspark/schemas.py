@@ -290,14 +290,14 @@ RULES = {
         references=((("entity",), "entities", ("id",)), (("type",), "entity_types", ("id",)))),
     "menu_categories": TableRules(
         "menu_categories", primary_key=("id", "tenant_id"), not_null=("id", "tenant_id"),
-        lengths={"name": 500}, defaults={"is_deal": False}),
+        lengths={"name": 500}, defaults={"tenant_id": 1, "is_deal": False}),
     "menu_items": TableRules(
         "menu_items", primary_key=("id", "tenant_id"), not_null=("id", "tenant_id"),
-        lengths={"name": 500, "qb_id": 100},
+        lengths={"name": 500, "qb_id": 100}, defaults={"tenant_id": 1},
         references=((("category", "tenant_id"), "menu_categories", ("id", "tenant_id")),)),
     "skus": TableRules(
         "skus", primary_key=("id", "tenant_id"), unique=(("sku", "tenant_id"),),
-        not_null=("id", "tenant_id", "sku"), lengths={"qb_id": 100, "sku": 50},
+        not_null=("id", "tenant_id", "sku", "ratio", "alert_threshold"), lengths={"qb_id": 100, "sku": 50},
         defaults={"ratio": 1.0, "alert_threshold": 5.0},
         references=((("menu_item_id", "tenant_id"), "menu_items", ("id", "tenant_id")),)),
 }

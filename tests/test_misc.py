@@ -11,7 +11,7 @@ from tallyspark.operators.ids import assign_ids
 from tallyspark.operators.mapping import apply_mappings
 from tallyspark.operators.payloads import build_item_payload
 from tallyspark.operators.settings import defaults_coverage, fan_out_tax_rate
-from tallyspark.operators.validate import audit_unique, default_fill, require
+from tallyspark.operators.validate import audit_table, audit_table_unique, audit_unique, default_fill, require
 
 
 def test_assign_ids_dense_any_partitioning(spark):
@@ -102,6 +102,20 @@ def test_audits(spark):
     assert [x["reason"] for x in req.collect()] == ["Missing required fields: i", "Missing required fields: s"]
 
 
+def test_declared_rules(spark):
+    """NOT NULL, DEFAULT and UNIQUE as sql/quickbook.sql declares them."""
+    skus = spark.createDataFrame([(1, 1, "a", None, 5.0), (2, 1, "A", 1.0, None), (3, 2, "a", 1.0, 5.0)],
+                                 "id long, tenant_id int, sku string, ratio double, alert_threshold double")
+    assert sorted((r["key"], r["column_name"]) for r in audit_table(skus, "skus").collect()) == [("1|1", "ratio"), ("2|1", "alert_threshold")]
+    assert [(r["table_name"], r["n"]) for r in audit_table_unique(skus, "skus").collect()] == [("skus", 2)]
+    for name, schema in (("menu_categories", S.MENU_CATEGORIES), ("menu_items", S.MENU_ITEMS)):
+        filled = default_fill(spark.createDataFrame([(1,)], "id long"), S.RULES[name], schema)
+        assert filled.first()["tenant_id"] == 1 and filled.schema["tenant_id"].dataType == schema["tenant_id"].dataType
+    for name, key in (("entities", "name"), ("qb_defaults", "name")):
+        df = spark.createDataFrame([("Café", 1), ("cafe", 1), ("x", 1), (None, 1), (None, 1)], f"{key} string, tenant_id int")
+        assert [r["n"] for r in audit_table_unique(df, name).collect()] == [2]
+
+
 def test_driver_contract(spark):
     import __spark_entry__ as E
     q, o = E.queries(), E.oracle_sql()
