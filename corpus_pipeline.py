@@ -1,8 +1,8 @@
 """The corpus pipeline: documents -> packed training sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written as Parquet and read
-again.  Documents predicted toxic go, then those of low quality; of each group of near copies one stays (the least
-id); of every repeated passage one copy stays; what is left is packed.
+again.  Documents predicted toxic go, then those of low quality; of each group of near copies one stays (of the
+least id); of every repeated passage one copy stays; what is left is packed.
 """
 
 from __future__ import annotations
@@ -27,13 +27,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id, and rows without words, link with nothing and stay; of rows that repeat an id one stays."""
-    found = ngram_jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_n"))
-    mine = docs.join(kept, "doc_id")
-    worded = mine.where("_n > 0").dropDuplicates(["doc_id"])
-    rest = mine.where("_n = 0")
-    return worded.unionByName(rest).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Rows with a null id, and rows without words, link with nothing and stay.
+
+    Where ids repeat, rows are what links: each gets a key in the order of the ids, so of a group of near copies one
+    row of the least id stays, and a row that links with nothing stays beside others of its id.
+    """
+    known, key = docs.where("doc_id is not null"), "doc_id"
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        key = next(c for c in ("_row", *(f"_row{i}" for i in range(len(docs.columns)))) if c not in docs.columns)
+        # Saved, so that every later read sees the same keys.
+        known = Scratch(spark, "near-copies").save(known.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "rows")
+    found = ngram_jaccard_components(known.select(key, "text"), key)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key))
+    return known.join(kept, key, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_near_copies_with_odd_rows(spark):
     assert got == [(0, "e"), (2, "b"), (5, "c"), (5, "c"), (6, "d")]
     empty = P.cut_repeated_passages(spark, P.drop_near_copies(spark, docs.limit(0), ""), "")
     assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_near_copies_with_repeated_ids(spark):
+    """Rows of one id with unlinked texts both stay; only texts that link are dropped."""
+    a, b = "one two three four five six seven", "red green blue black white brown pink"
+    docs = spark.createDataFrame([(1, a, "x"), (2, a.upper(), "y"), (2, b, "z"), (3, b, "u"), (4, "lone words stand here by themselves", "v"), (4, "other words that link with none of those", "w")],
+                                 "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.lang) for r in P.drop_near_copies(spark, docs, "").collect())
+    assert got == [(1, "x"), (2, "z"), (4, "v"), (4, "w")]
+    assert P.drop_near_copies(spark, docs, "").columns == docs.columns
