@@ -103,7 +103,7 @@ def test_audits(spark):
 
 
 def test_declared_rules(spark):
-    """NOT NULL, DEFAULT and UNIQUE as sql/quickbook.sql declares them."""
+    """NOT NULL, DEFAULT and UNIQUE as the source tables declare them."""
     skus = spark.createDataFrame([(1, 1, "a", None, 5.0), (2, 1, "A", 1.0, None), (3, 2, "a", 1.0, 5.0)],
                                  "id long, tenant_id int, sku string, ratio double, alert_threshold double")
     assert sorted((r["key"], r["column_name"]) for r in audit_table(skus, "skus").collect()) == [("1|1", "ratio"), ("2|1", "alert_threshold")]

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from core_helpers import rows
 from tallyspark.operators.credentials import overflowing_tokens, to_token_record
 from tallyspark.operators.payloads import build_item_payload
 from tallyspark.operators.settings import nameless, save_defaults

@@ -68,7 +68,7 @@ def test_match_routed(spark):
 
 def test_stored_table_search_pushes_down(spark):
     import __spark_entry__ as E
-    from conftest import SF001
+    from core_helpers import SF001
     df = E.queries()["search_items_tenant_table"](spark, SF001)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tallyspark.sources.batch import NOT_ARRAY, batch_length, parse_sync_batch, sync_batch_rejects
-from conftest import rows
+from core_helpers import rows
 from tallyspark.sources.pages import (LANDED_PAGE, audit_pages, count_records, explode_pages, pack_pages,
                                       split_faults)
 from tallyspark.sources.tables import commit_table, current_pointer, read_table
