@@ -17,9 +17,15 @@ def test_logistic_regression():
     w, b = fit_logistic(Dense(x), y, l2=0.1)
     r = sigmoid(x @ w + b) - y
     assert np.abs(x.T @ r + 0.1 * w).max() < 0.05 and abs(r.sum()) < 0.05  # the gradient vanishes
-    row, col = np.nonzero(np.ones_like(x))
-    w2, b2 = fit_logistic(Sparse(row, col, x.ravel(), x.shape), y, l2=0.1)
-    assert np.allclose(w, w2) and np.isclose(b, b2)
+    # Presence features with a value each, dense and by blocks of (row, feature) pairs.
+    on, value = rng.random((400, 6)) < 0.4, np.array([1.0, -2.0, 0.5, 3.0, 1.5, -0.7])
+    sparse = Sparse(value, 400)
+    for cols in (range(0, 3), range(3, 6)):
+        at = [np.flatnonzero(on[:, c]) for c in cols]
+        sparse.add(np.concatenate(at), np.array(cols), np.array([len(a) for a in at]))
+    w1, b1 = fit_logistic(Dense(on * value), y, l2=0.1)
+    w2, b2 = fit_logistic(sparse, y, l2=0.1)
+    assert np.allclose(w1, w2) and np.isclose(b1, b2)
 
 
 def test_text_features_of_a_row_do_not_depend_on_others():
