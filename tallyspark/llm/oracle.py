@@ -49,4 +49,24 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payl
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p"""
 
-ORACLE = {"op2_chat_prefix_tree": OP2, "op5_exact_topk": OP5, "op7_ngram_jaccard_join": OP7, "op8_block_matrix_ann": OP8, "op10_warc_round_trip": OP10}
+# crc32 of a decimal number, by its bits.
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda s, x: "
+        "list_reduce(list_prepend(xor(s, x), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)")
+
+OP13 = f"""
+WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, conv_id - conv_id % 5 AS base, CAST({_CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS BIGINT) AS h FROM o),
+r AS (SELECT h.conv_id, coalesce(b.w[1:h.h], []) || h.w[h.h + 1:] AS w FROM h LEFT JOIN o b ON b.conv_id = h.base),
+p AS (SELECT conv_id, len(w) AS n, unnest(range(0, len(w) + 1)) AS d, w FROM r),
+q AS (SELECT conv_id AS c, d, n = d AS last, w[1:d] AS k FROM p),
+g AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ids FROM q GROUP BY k, d),
+t AS (SELECT a.k, count(*) FILTER (b.d = a.d + 1) AS n_children, sum((b.n_convs - 1) * CASE WHEN b.d = 0 THEN 0 ELSE strlen(b.k[b.d].t) END) AS saved
+      FROM g a JOIN g b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY a.k),
+f AS (SELECT g.*, t.n_children, t.saved FROM g JOIN t ON t.k = g.k),
+l AS (SELECT a.k, count(*) AS n_leaves FROM f a JOIN f b ON b.n_children = 0 AND b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY a.k)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, l.n_leaves, CAST(f.saved AS BIGINT) AS saved_tokens, sha256(f.ids) AS ends_sha256
+FROM f JOIN l ON l.k = f.k LEFT JOIN g u ON f.d > 0 AND u.d = f.d - 1 AND u.k = f.k[1:f.d - 1]"""
+
+ORACLE = {"op2_chat_prefix_tree": OP2, "op5_exact_topk": OP5, "op7_ngram_jaccard_join": OP7, "op8_block_matrix_ann": OP8, "op10_warc_round_trip": OP10,
+          "op13_conversation_trie": OP13}
