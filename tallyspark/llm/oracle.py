@@ -49,6 +49,26 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payl
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM p"""
 
+_P = "CAST(1 + (1000000000::HUGEINT * ({0} + 5)) // ({1} + 5 * {2}) AS BIGINT)"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS w FROM d),
+c AS (SELECT lang, source, w, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT lang, w, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT d.lang, d.source, coalesce(any_value(l.v), 0) AS v, any_value(l.n) AS ln, coalesce(any_value(s.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN l ON l.lang = d.lang
+      LEFT JOIN (SELECT c.lang, c.source, sum(c.n) AS n FROM c JOIN k ON k.lang = c.lang AND k.w = c.w GROUP BY ALL) s ON s.lang = d.lang AND s.source = d.source GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.w, c.n AS c, {_P.format("coalesce(c.n, 0)", "g.n", "g.v")} AS p, {_P.format("k.n", "g.ln", "g.v")} AS q
+      FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.w = k.w),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.w = a.w AND b.source <> a.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', w, p - q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x
+QUALIFY part = 'pair' OR rank <= 50"""
+
 # crc32 of a decimal number, by its bits.
 _CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda s, x: "
         "list_reduce(list_prepend(xor(s, x), range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)")
@@ -69,4 +89,4 @@ SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_chil
 FROM f JOIN l ON l.k = f.k LEFT JOIN g u ON f.d > 0 AND u.d = f.d - 1 AND u.k = f.k[1:f.d - 1]"""
 
 ORACLE = {"op2_chat_prefix_tree": OP2, "op5_exact_topk": OP5, "op7_ngram_jaccard_join": OP7, "op8_block_matrix_ann": OP8, "op10_warc_round_trip": OP10,
-          "op13_conversation_trie": OP13}
+          "op11_source_divergence": OP11, "op13_conversation_trie": OP13}

@@ -75,6 +75,12 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.conversation_trie import ordered_turns, prefix_trie, rebuilt
 
@@ -83,4 +89,4 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cotrained_quality, op2_chat_prefix_tree, op3_nb_ngram_toxicity, op4_suffix_array_dedup, op5_exact_topk,
                                    op6_best_fit_packing, op7_ngram_jaccard_join, op8_block_matrix_ann, op9_byte_bpe, op10_warc_round_trip,
-                                   op13_conversation_trie)}
+                                   op11_source_divergence, op13_conversation_trie)}
