@@ -81,6 +81,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyspark.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyspark.llm.conversation_trie import ordered_turns, prefix_trie, rebuilt
 
@@ -89,4 +95,4 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_cotrained_quality, op2_chat_prefix_tree, op3_nb_ngram_toxicity, op4_suffix_array_dedup, op5_exact_topk,
                                    op6_best_fit_packing, op7_ngram_jaccard_join, op8_block_matrix_ann, op9_byte_bpe, op10_warc_round_trip,
-                                   op11_source_divergence, op13_conversation_trie)}
+                                   op11_source_divergence, op12_personal_data, op13_conversation_trie)}
