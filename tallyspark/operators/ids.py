@@ -9,6 +9,8 @@ the running offset of the partition to the row's position inside it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,14 @@ from tallyspark.session import ensure_checkpoint_dir
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def assign_ids(df: DataFrame, order_cols: list, start: int | Column = 1, id_col: str = "id",
+def assign_ids(df: DataFrame, order_cols: list, start: int | Column | Callable[[int], int] = 1, id_col: str = "id",
                num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order_cols``.
 
-    ``start`` may be a Python int or a one-value Column expression that is
-    constant over the frame (e.g. a literal).  Order columns must give a total
-    order for the ids to be reproducible.
+    ``start`` may be a Python int, a one-value Column expression that is
+    constant over the frame (e.g. a literal), or a function that is told the
+    number of rows and gives the first id (it reserves them).  Order columns
+    must give a total order for the ids to be reproducible.
     """
     ensure_checkpoint_dir(df.sparkSession)
     # Without an explicit count AQE may merge neighbouring ranges (order is
@@ -40,6 +43,8 @@ def assign_ids(df: DataFrame, order_cols: list, start: int | Column = 1, id_col:
         acc += counts.get(p, 0)
     # One entry per partition: bounded by the partition count, not the data.
     offset_arr = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array().cast("array<long>")
+    if callable(start) and not isinstance(start, Column):
+        start = start(acc)
     base = start if isinstance(start, Column) else F.lit(start)
     new_id = base.cast("long") + F.element_at(offset_arr, F.col("_pid") + 1) + F.col("_row")
     return tagged.withColumn(id_col, new_id).drop("_pid", "_row")

@@ -94,44 +94,90 @@ def apply_mappings(entities: DataFrame, skus: DataFrame, mappings: DataFrame, *,
     return MappingResult(entities_out, skus_out, ent_applied.unionByName(sku_applied), rejects, stats)
 
 
-def apply_mappings_into_table(spark, mappings: DataFrame, table_root: str, skus: DataFrame, **kw) -> MappingResult:
-    """U7 against the tenant-partitioned entities table (sources.tables):
-    only the partitions holding a mapped entity -- and, on a bucketed table,
-    the buckets its new external id moves it to -- are read and rewritten.
-    Returns the reports materialised and ``entities`` as the new table.
-
-    An entity's bucket follows its external id, which the instruction does
-    not carry, so the (tenant, bucket, id) columns of the touched tenants are
-    scanned to find it (column-pruned, no other column is read)."""
-    from tallyspark.sources.tables import (data_path, entity_bucket, gathered, read_buckets, replace_partitions,
-                                           restrict_partitions)
-    nb = read_buckets(spark, table_root)
-    parts = ["tenant_id"] + (["bucket"] if nb else [])
-    data = spark.read.parquet(data_path(table_root))
-    ids = mappings.select(F.col("internal_id").cast("long").alias("id"), "tenant_id").distinct()
-    tenants = mappings.select("tenant_id").distinct()
-    if nb:
-        located = (restrict_partitions(data, tenants, ["tenant_id"]).select("tenant_id", "bucket", "id")
-                   .join(ids, ["id", "tenant_id"], "left_semi"))
-        src_parts = located.select(*parts).distinct().checkpoint(eager=True)
-    else:
-        src_parts = tenants
-    current = restrict_partitions(data, src_parts, parts)
-    result = apply_mappings(current.drop("bucket"), skus, mappings, **kw)
-    out = result.entities
-    if nb:
-        out = out.withColumn("bucket", entity_bucket(nb))
+def _located(spark, root: str, state, stage: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(current rows, their partition keys) of the partitions that hold the given (id, tenant_id).
+
+    A row's bucket follows its external id, which an instruction does not carry, so the (tenant, bucket, id) columns of
+    the touched tenants are scanned to find it (column-pruned, no other column is read)."""
+    from tallyspark.sources.tables import read_data, restrict_partitions, save_keys
+    data = read_data(spark, root)
+    keys = save_keys(ids, f"{stage}/tenants", ["tenant_id"])
+    parts = ["tenant_id"]
+    if state.buckets:
+        parts = ["tenant_id", "bucket"]
+        found = restrict_partitions(data, keys, ["tenant_id"]).select("tenant_id", "bucket", "id").join(ids, ["id", "tenant_id"], "left_semi")
+        keys = save_keys(found, f"{stage}/keys", parts)
+    return restrict_partitions(data, keys, parts), keys
+
+
+def _stage_remapped(spark, root: str, state, stage: str, out: DataFrame, keys: DataFrame) -> None:
+    """The rewritten partitions, and the list of those that have lost their last row."""
+    from tallyspark.sources.tables import entity_bucket, gathered, read_data, restrict_partitions, save_keys
+    parts = ["tenant_id"]
+    if state.buckets:
+        parts = ["tenant_id", "bucket"]
+        out = out.withColumn("bucket", entity_bucket(state.buckets))
         # Rows moving to a bucket not read yet bring that bucket's rows along.
-        dest = out.select(*parts).distinct().join(src_parts, parts, "left_anti")
-        out = out.unionByName(restrict_partitions(data, dest, parts).select(*out.columns))
-    stage = table_root.rstrip("/") + "/_staging/mapping"
-    gathered(out, parts).write.mode("overwrite").partitionBy(*parts).parquet(stage)
-    # Reports are materialised before the swap: afterwards the old files are gone.
-    applied = result.applied.checkpoint(eager=True)
-    rejects = result.rejects.checkpoint(eager=True)
-    stats = result.stats.checkpoint(eager=True)
-    skus_out = result.skus.checkpoint(eager=True)
-    # A bucket whose rows have all moved is in the stage no more: its old files go with the swap.
-    read = [tuple(r) for r in src_parts.select(*parts).distinct().collect()] if nb else None
-    replace_partitions(spark.read.schema(out.schema).parquet(stage), table_root, parts, read)
-    return MappingResult(spark.read.parquet(data_path(table_root)), skus_out, applied, rejects, stats)
+        new = save_keys(restrict_partitions(out.select(*parts), keys, parts, negate=True), f"{stage}/extra", parts)
+        out = out.unionByName(restrict_partitions(read_data(spark, root), new, parts).select(*out.columns))
+    gathered(out, parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{stage}/rows")
+    left = spark.read.schema(out.schema).parquet(f"{stage}/rows").select(*parts).distinct()
+    restrict_partitions(keys, left, parts, negate=True).write.mode("overwrite").parquet(f"{stage}/emptied")
+
+
+def apply_mappings_into_table(spark, mappings: DataFrame, table_root: str, skus: DataFrame | None = None, *, skus_root: str | None = None,
+                              stream: str = "mapping", batch_id: int | None = None, lease: float | None = None, **kw) -> MappingResult:
+    """U7 against partitioned tables (sources.tables): the entities at ``table_root`` and, with ``skus_root``, the skus there
+    (both by ``init_partitioned``).  Only the partitions holding a mapped row -- and, on a bucketed table, the buckets its
+    new external id moves it to -- are read and rewritten.
+
+    Each table's change is staged, declared and closed as in the sync (sources.commits), so a stop between any two steps
+    leaves neither two copies nor none of a row: the next writer closes it.  ``batch_id`` makes a replay harmless; without
+    one each call is a batch of its own.  Returns the reports (kept beside the entities table) and the new tables; skus
+    that are only handed over as a frame are mapped in the returned frame and written nowhere."""
+    from tallyspark.sources import commits as C
+    from tallyspark.sources.tables import read_data
+    lease = C.LEASE if lease is None else lease
+    root, also = table_root.rstrip("/"), skus_root.rstrip("/") if skus_root else None
+    if also is None and skus is None:
+        raise ValueError("skus (a frame) or skus_root (a table) is needed")
+    if batch_id is None:
+        batch_id = C.load(spark, root).last(stream) + 1
+    side = f"{root}/_side/{{}}/stream={C.folder_name(stream)}/batch_id={batch_id}"
+    ids = mappings.select(F.col("internal_id").try_cast("long").alias("id"), "tenant_id").distinct()
+
+    def attempt(table: str, frames) -> None:
+        """Stage and commit one table; again from the start if another writer was first."""
+        while True:
+            C.settle_pending(spark, table, stream, lease)
+            state = C.load(spark, table)
+            if state.last(stream) >= batch_id:
+                return
+            stage = C.stage_path(table, stream, batch_id, state.version)
+            if not C.is_staged(spark, stage):
+                current, keys = _located(spark, table, state, stage, ids)
+                _stage_remapped(spark, table, state, stage, frames(current.drop("bucket") if state.buckets else current), keys)
+                C.mark_staged(spark, stage)
+            try:
+                return C.commit_stage(spark, table, stream, batch_id, state.version, stage, ["tenant_id"] + (["bucket"] if state.buckets else []))
+            except C.Conflict:
+                C.drop_stage(spark, stage)
+
+    def sku_rows() -> DataFrame:
+        return skus if also is None else read_data(spark, also).drop("bucket")
+
+    def entities_of(current: DataFrame) -> DataFrame:
+        found = apply_mappings(current, sku_rows(), mappings, **kw)
+        # Reports are written before the change: they tell the external ids from before.
+        for name, df in (("mapping_applied", found.applied), ("mapping_rejects", found.rejects), ("mapping_stats", found.stats)):
+            df.write.mode("overwrite").parquet(side.format(name))
+        return found.entities
+
+    with C.one_at_a_time(root):
+        attempt(root, entities_of)
+    if also is not None:
+        with C.one_at_a_time(also):
+            attempt(also, lambda current: apply_mappings(read_data(spark, root).drop("bucket").limit(0), current, mappings, **kw).skus)
+    new_skus = read_data(spark, also) if also is not None else apply_mappings(read_data(spark, root).drop("bucket").limit(0), skus, mappings, **kw).skus
+    reports = [spark.read.parquet(side.format(n)) for n in ("mapping_applied", "mapping_rejects", "mapping_stats")]
+    return MappingResult(read_data(spark, root), new_skus, *reports)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import schemas as S
+from tallyspark.operators.ids import assign_ids, next_id
 from tallyspark.operators.upsert import upsert
 
 
@@ -46,16 +47,23 @@ def nameless(saves: DataFrame) -> DataFrame:
     return saves.where(_blank("name")).withColumn("reason", F.lit("Name is required"))
 
 
-def save_defaults(target: DataFrame, saves: DataFrame, by: list[str] | None = None) -> DataFrame:
+def save_defaults(target: DataFrame, saves: DataFrame, by: list[str] | None = None, reserve=None) -> DataFrame:
     """U4 on (by..., name): QB_ID and QB_Name replaced, last save wins (by seq,
-    then sub).  A save without a name is refused (F5): see ``nameless``."""
+    then sub).  A save without a name is refused (F5): see ``nameless``.
+
+    A target with an ``id`` column numbers its new rows (auto-increment): on from the largest id, in the order of their
+    keys, or from what ``reserve`` (told how many) gives.  An updated row keeps its id."""
     keys = [*(by or []), "name"]
     saves = saves.where(~_blank("name"))
     src = saves.withColumn("_ord", F.struct("seq", "sub")).select(*keys, "qb_id", "qb_name", "_ord")
     tgt_cols = [c for c in target.columns]
     out = upsert(target.select(*tgt_cols), src.select(*keys, "qb_id", "qb_name", "_ord"), keys,
                  ["qb_id", "qb_name"], order_col="_ord")
-    return out
+    if "id" not in target.columns:
+        return out
+    # A saved row always has an id, so those without one are new.
+    fresh = assign_ids(out.where(F.col("id").isNull()).drop("id"), keys, start=reserve or (lambda n: next_id(target)))
+    return out.where(F.col("id").isNotNull()).unionByName(fresh.withColumn("id", F.col("id").cast(target.schema["id"].dataType)))
 
 
 def defaults_coverage(scopes: DataFrame, saved: DataFrame, by: list[str] | None = None) -> DataFrame:

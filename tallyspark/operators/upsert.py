@@ -16,8 +16,8 @@ stored procedure.  Here the same outcome is computed set-based:
   one tenant may repeat positions, and no row is lost or counted twice for that.
 * Rule: names are unique per tenant under a case- and accent-insensitive
   collation.  ``on_error='reject'`` drops clashing changes into the rejects
-  (repeated until stable: a rejected rename keeps its old name, which may
-  clash in turn; rejects only grow, so this ends); ``'fail'`` raises.
+  (a rejected rename keeps its old name, which may clash in turn: see
+  ``_name_clashes``); ``'fail'`` raises.
 
 Every aggregation is partial (map-side) and keyed on (tenant, external id);
 NULL ids never enter a keyed shuffle.  Chosen divergences from the source
@@ -27,6 +27,7 @@ instead of aborting halfway; a type error inserts nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -228,45 +229,74 @@ def _name_clashes(table: DataFrame, collation: str | None, others: DataFrame | N
     """Changes that break (name, tenant_id) uniqueness -> their source keys
     (tenant_id, qb_id, row_key) to reject; None when there is none.
 
-    Within a clash group: an unchanged holder of the name keeps it and every
-    change is rejected; otherwise the earliest change wins.  Only rows whose
-    (tenant, name) a change touches are looked at; they are materialised once
-    and grouped with a partial aggregation (a hot blank name never lands in
-    one task)."""
-    key = _name_key(F.col("name"), collation)
-    changed = F.col("_hit") & (F.col("_old_name").isNull() |
-                               (key != _name_key(F.col("_old_name"), collation)))
-    t = table.select("tenant_id", "qb_id", "_src", key.alias("_nk"), changed.alias("_chg"))
+    Of the changes to one name only the earliest can hold.  It is rejected if the name stays taken: by a row that
+    keeps it, or by a row whose own change is rejected, which keeps its old name in turn.  So rejections travel
+    backwards along chains of renames; ``_reaching`` follows whole chains by pointer jumping.  Swapped names hold.
+    Only rows whose (tenant, name) a change touches are looked at; they are materialised once and grouped with a
+    partial aggregation (a hot blank name never lands in one task)."""
+    key, old = _name_key(F.col("name"), collation), _name_key(F.col("_old_name"), collation)
+    changed = F.col("_hit") & (F.col("_old_name").isNull() | (key != old))
+    t = table.select("tenant_id", "qb_id", "_src", key.alias("_nk"), old.alias("_ok"), changed.alias("_chg"))
     if others is not None:
         # Rows of the same tenants outside ``table`` (not rewritten): unchanged holders.
         t = t.unionByName(others.select("tenant_id", "qb_id", F.lit(None).cast(t.schema["_src"].dataType).alias("_src"),
-                                        key.alias("_nk"), F.lit(False).alias("_chg")))
+                                        key.alias("_nk"), key.alias("_ok"), F.lit(False).alias("_chg")))
     touched = t.where("_chg").select("tenant_id", "_nk").distinct()
     cand = t.join(touched, ["tenant_id", "_nk"], "left_semi")
-    def clash_groups(frame):
-        return (frame.groupBy("tenant_id", "_nk")
-                .agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_chg")).alias("_n_keep"),
-                     F.min(F.when(F.col("_chg"), F.col("_src"))).alias("_win"))
-                .where(F.col("_n") > 1))
-
+    by_name = (cand.groupBy("tenant_id", "_nk")
+               .agg(F.count(F.lit(1)).alias("_n"), F.count_if(~F.col("_chg")).alias("_n_keep"),
+                    F.min(F.when(F.col("_chg"), F.col("_src"))).alias("_win")))
     # Common case first: one aggregate job finds no clash at all.
-    if clash_groups(cand).select(F.count(F.lit(1))).first()[0] == 0:
+    if by_name.where("_n > 1").isEmpty():
         return None
-    cand = cand.checkpoint(eager=True)
-    groups = clash_groups(cand)
-    c = cand.where("_chg").join(groups, ["tenant_id", "_nk"])
+    names = by_name.withColumn("node", F.monotonically_increasing_id()).checkpoint(eager=True)
+    c = t.where("_chg").join(names.select("tenant_id", "_nk", "node", "_n_keep", "_win"), ["tenant_id", "_nk"])
+    held = names.select("tenant_id", F.col("_nk").alias("_ok"), F.col("node").alias("frees"))
+    c = c.join(held, ["tenant_id", "_ok"], "left").select("tenant_id", "qb_id", F.col("_src.row_key").alias("row_key"), "node", "frees", "_n_keep",
+                                                          (F.col("_src") != F.col("_win")).alias("late")).checkpoint(eager=True)
     # Several table rows with one external id take one source row's name: they clash among themselves.
-    win_rows = c.where(F.col("_src") == F.col("_win")).groupBy("tenant_id", "_nk").agg(F.count(F.lit(1)).alias("_n_win"))
-    c = c.join(win_rows, ["tenant_id", "_nk"], "left")
-    lose = (F.col("_n_keep") > 0) | (F.col("_src") != F.col("_win")) | (F.col("_n_win") > 1)
-    return c.where(lose).select("tenant_id", "qb_id", F.col("_src.row_key").alias("row_key")).distinct()
+    twice = c.where("not late").groupBy("node").count().where("count > 1").select("node")
+    taken = names.where("_n_keep > 0").select("node").unionByName(twice).unionByName(c.where("late and frees is not null").select(F.col("frees").alias("node"))).distinct()
+    moves = c.where("not late and frees is not null").select(F.col("frees").alias("node"), F.col("node").alias("to"))
+    lost = _reaching(moves, taken)
+    out = c.where("late").unionByName(c.where("not late").join(lost, "node", "left_semi").select(*c.columns))
+    return out.select("tenant_id", "qb_id", "row_key").distinct()
+
+
+def _reaching(edges: DataFrame, goal: DataFrame) -> DataFrame:
+    """The nodes from which an edge path (node, to) leads to a node of ``goal``, with ``goal`` itself.
+
+    Nodes with one edge point to the end of their chain after a number of joins that is logarithmic in its length
+    (each join doubles what a pointer spans; cycles lead nowhere).  Nodes with several edges end chains; they are
+    taken up one after the other, which only names held by several rows need."""
+    goal, edges = goal.checkpoint(eager=True), edges.distinct().checkpoint(eager=True)
+    free = edges.join(goal, "node", "left_anti")
+    several = free.groupBy("node").count().where("count > 1").select("node")
+    ends = free.join(several, "node", "left_anti").checkpoint(eager=True)
+    before = None
+    while True:
+        far = ends.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        ends = ends.join(far, "to", "left").select("node", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")).checkpoint(eager=True)
+        moved = ends.where("moved").count()
+        if moved in (0, before):  # what still moves is a cycle, or leads into one
+            break
+        ends, before = ends.select("node", "to"), moved
+    ends = ends.select("node", "to")
+    split = free.join(several, "node", "left_semi")
+    split = split.join(ends.select(F.col("node").alias("to"), F.col("to").alias("end")), "to", "left").select("node", F.coalesce("end", "to").alias("to")).checkpoint(eager=True)
+    while True:
+        new = split.join(goal.select(F.col("node").alias("to")), "to", "left_semi").select("node").distinct().join(goal, "node", "left_anti")
+        if new.isEmpty():
+            break
+        goal = goal.unionByName(new).checkpoint(eager=True)
+    return goal.unionByName(ends.join(goal.select(F.col("node").alias("to")), "to", "left_semi").select("node")).distinct()
 
 
 def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branches: DataFrame,
                     assignments: DataFrame | None = None, on_error: str = "reject",
                     collation: str | None = "UNICODE_CI_AI", first_new_id: int | None = None,
                     first_new_assignment_id: int | None = None,
-                    name_scope: DataFrame | None = None) -> UpsertResult:
+                    name_scope: DataFrame | None = None, reserve: Callable[[int], tuple[int, int]] | None = None) -> UpsertResult:
     """U1 over a whole (possibly multi-tenant, multi-type) batch.
 
     batch: batch_no, tenant_id, pos, name, email, phone, address, note, qb_id,
@@ -277,42 +307,44 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
     uniqueness are per tenant); then pass ``first_new_id`` (the table-wide
     max id + 1) so new ids stay unique.  ``name_scope`` (tenant_id, qb_id,
     name) adds rows of the batch's tenants that are not in ``target`` (other
-    buckets), so name uniqueness still covers the whole tenant.
+    buckets), so name uniqueness still covers the whole tenant.  ``reserve`` is
+    told the number of inserts and gives their first entity and assignment id.
     """
     if on_error not in ("reject", "fail"):
         raise ValueError("on_error must be 'reject' or 'fail'")
     # The batch feeds several joins and aggregations: materialise it once.
     rows = prepare_batch(batch).withColumn("row_key", F.monotonically_increasing_id()).checkpoint(eager=True)
-    clash_rejects = None
-    e_start = first_new_id if first_new_id is not None else next_id(target)
-    while True:
-        live = rows if clash_rejects is None else _drop_groups(rows, clash_rejects).checkpoint(eager=True)
-        updates, inserts, rejects = _resolve(target, live, types, branches, collation)
-        if on_error == "fail":
-            first = rejects.select("reason").first()
-            if first is not None:
-                raise UpsertError(first["reason"])
-        inserted = assign_ids(inserts, ["batch_no", "tenant_id", "seq", "pos", "qb_id", "row_key"], start=e_start)
-        table = _apply(target, updates, inserted)
-        clashes = _name_clashes(table, collation, name_scope)
-        if clashes is None:
-            break
+    updates, inserts, rejects = _resolve(target, rows, types, branches, collation)
+    if on_error == "fail":
+        first = rejects.select("reason").first()
+        if first is not None:
+            raise UpsertError(first["reason"])
+    clashes = _name_clashes(_apply(target, updates, inserts.withColumn("id", F.lit(None).cast("long"))), collation, name_scope)
+    if clashes is not None:
         if on_error == "fail":
             raise UpsertError("Duplicate entry for key (name, tenant_id)")
-        new = clashes.select("tenant_id", "qb_id", "row_key")
-        clash_rejects = new if clash_rejects is None else clash_rejects.unionByName(new).distinct()
-        clash_rejects = clash_rejects.checkpoint(eager=True)
-
-    if clash_rejects is not None:
-        dup = _rows_of_groups(rows, clash_rejects).withColumn(
+        clashes = clashes.checkpoint(eager=True)
+        dup = _rows_of_groups(rows, clashes).withColumn(
             "reason", F.concat(F.lit('Duplicate entry "'), F.col("name"), F.lit('" for key (name, tenant_id)')))
+        updates, inserts, rejects = (_drop_groups(df, clashes) for df in (updates, inserts, rejects))
         rejects = rejects.unionByName(dup.select(*BATCH_COLS, "reason", "row_key"))
     rejects = rejects.select(*BATCH_COLS, "reason")
 
+    # Ids once, when it is known which rows insert.  Assignment ids follow the same dense order as the entity ids.
+    starts: list[int] = []
+
+    def first_ids(n: int) -> int:
+        if reserve is not None:
+            starts.extend(reserve(n))
+        else:
+            starts.append(first_new_id if first_new_id is not None else next_id(target))
+            starts.append(first_new_assignment_id if first_new_assignment_id is not None else next_id(assignments) if assignments is not None else 1)
+        return starts[0]
+
+    inserted = assign_ids(inserts, ["batch_no", "tenant_id", "seq", "pos", "qb_id", "row_key"], start=first_ids)
+    e_start, a_start = starts
+    table = _apply(target, updates, inserted)
     entities = table.select(*S.ENTITY_COLUMNS)
-    # Assignment ids follow the same dense order as the new entity ids.
-    a_start = (first_new_assignment_id if first_new_assignment_id is not None
-               else next_id(assignments) if assignments is not None else 1)
     assignments_out = inserted.select((F.col("id") - F.lit(e_start) + F.lit(a_start)).alias("id"),
                                       F.col("id").alias("entity"), F.col("type_id").alias("type"), "tenant_id")
     branch_links = inserted.select(F.col("id").alias("entity_id"), "branch_id")
@@ -321,7 +353,10 @@ def upsert_entities(target: DataFrame, batch: DataFrame, types: DataFrame, branc
 
 
 def _drop_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    return rows.join(_rows_of_groups(rows, groups).select("row_key"), "row_key", "left_anti")
+    """Without the rows of the given sources."""
+    keyed = rows.where(F.col("qb_id").isNotNull()).join(groups.where(F.col("qb_id").isNotNull()).select(*KEYS), KEYS, "left_anti").select(*rows.columns)
+    nulls = rows.where(F.col("qb_id").isNull()).join(groups.where(F.col("qb_id").isNull()).select("row_key"), "row_key", "left_anti").select(*rows.columns)
+    return keyed.unionByName(nulls)
 
 
 def _rows_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ operators over them, whole tables in, whole results out.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +25,12 @@ def query(fn):
 
 @query
 def q_normalize_customers(spark, sf_dir):
-    return N.normalize_party(D.remote_customers(spark, sf_dir), keep=["tenant_id", "pos"])
+    return N.normalize_party(D.all_customers(spark, sf_dir), keep=["tenant_id", "pos"])
 
 
 @query
 def q_normalize_vendors(spark, sf_dir):
-    return N.normalize_party(D.remote_vendors(spark, sf_dir), keep=["tenant_id", "pos"])
+    return N.normalize_party(D.all_vendors(spark, sf_dir), keep=["tenant_id", "pos"])
 
 
 # ---------------------------------------------------------------------------
@@ -129,7 +130,7 @@ def _search(df, field, term, **kw):
 
 @query
 def q_search_customers(spark, sf_dir):
-    hits = _search(D.remote_customers(spark, sf_dir), "DisplayName", "er#00000")
+    hits = _search(D.all_customers(spark, sf_dir), "DisplayName", "er#00000")
     return N.customer_search_row(hits, keep=["tenant_id"])
 
 
@@ -159,7 +160,7 @@ def q_search_service_items(spark, sf_dir):
 
 @query
 def q_search_vendors(spark, sf_dir):
-    hits = _search(D.remote_vendors(spark, sf_dir), "DisplayName", "v2", trim=False)
+    hits = _search(D.all_vendors(spark, sf_dir), "DisplayName", "v2", trim=False)
     return N.mapping_row(hits).select("tenant_id", "Id", "DisplayName", "map_id", "map_display_name",
                                       "map_company_name")
 
@@ -178,16 +179,21 @@ def q_tax_codes_first_rate(spark, sf_dir):
 
 @query
 def q_result_labels(spark, sf_dir):
+    """P12, P13 over every kind of search result."""
+    def kind(label, rows, /, **cols):
+        parts = {c: F.lit(None).cast("string") for c in ("display_name", "name", "company_name", "account_type", "tax_rate_ref_id", "payment_type")}
+        parts |= {c: F.col(v) for c, v in cols.items()}
+        return rows.select(F.lit(label).alias("kind"), F.col("id"), *[v.alias(c) for c, v in parts.items()])
+
+    vendors = N.mapping_row(D.all_vendors(spark, sf_dir)).select(F.col("map_id").alias("id"), "map_display_name", "map_company_name")
     items = N.service_item_row(D.remote_items(spark, sf_dir).where(F.col("Type") == "Service"))
-    items = items.select(F.lit("service_item").alias("kind"), "id", F.lit(None).cast("string").alias("display_name"),
-                         "name", F.lit(None).cast("string").alias("company_name"), "account_type",
-                         F.lit(None).cast("string").alias("tax_rate_ref_id"),
-                         F.lit(None).cast("string").alias("payment_type"))
-    taxes = N.tax_code_row(D.remote_tax_codes(spark, sf_dir)).select(
-        F.lit("tax_code").alias("kind"), "id", F.lit(None).cast("string").alias("display_name"), "name",
-        F.lit(None).cast("string").alias("company_name"), F.lit(None).cast("string").alias("account_type"),
-        "tax_rate_ref_id", F.lit(None).cast("string").alias("payment_type"))
-    rows = items.unionByName(taxes)
+    rows = [kind("customer", N.customer_search_row(D.all_customers(spark, sf_dir)), display_name="display_name", company_name="company_name"),
+            kind("vendor", vendors, display_name="map_display_name", company_name="map_company_name"),
+            kind("account", N.account_row(D.remote_accounts(spark, sf_dir)), name="name", account_type="account_type"),
+            kind("payment_method", N.payment_method_row(D.remote_payment_methods(spark, sf_dir)), name="name", payment_type="payment_type"),
+            kind("service_item", items, name="name", account_type="account_type"),
+            kind("tax_code", N.tax_code_row(D.remote_tax_codes(spark, sf_dir)), name="name", tax_rate_ref_id="tax_rate_ref_id")]
+    rows = reduce(DataFrame.unionByName, rows)
     return rows.select("kind", "id", N.result_label(F.col("display_name"), F.col("name")).alias("label"),
                        N.result_meta(F.col("company_name"), F.col("account_type"), F.col("tax_rate_ref_id"),
                                      F.col("payment_type")).alias("meta"))
@@ -464,23 +470,42 @@ def q_commit_table_roundtrip(spark, sf_dir):
 # Streaming
 # ---------------------------------------------------------------------------
 
-@query
-def q_incremental_sync(spark, sf_dir):
-    """Land the customer pages of all tenants in one distributed write, stream them in onto a copy of the local entities table partitioned by
-    tenant and 16 hashed-id buckets, and return the final table."""
+def _streamed(spark, sf_dir):
+    """Root of a table that two streams have filled from nothing: the local entities come by a batch job, then the
+    customers and the vendors of all tenants by one stream each, with two customer runs that must not be applied."""
     from tallyspark import schemas as S
     from tallyspark.session import shared_path
-    from tallyspark.sources.tables import init_partitioned, read_partitions
     from tallyspark.sources.pages import land_pages
+    from tallyspark.sources.tables import init_partitioned
     from tallyspark.streaming.incremental import start_sync
     root = shared_path(spark, "tables", "stream_entities")
     init_partitioned(D.local_entities(spark, sf_dir), root, buckets=16)
-    landing = shared_path(spark, "landing", "customers")
-    land_pages(D.customer_pages(spark, sf_dir), landing)
-    q = start_sync(spark, landing, root, shared_path(spark, "stream_checkpoints"), D.entity_types(spark),
-                   D.branches(spark, sf_dir))
-    q.awaitTermination()
-    return read_partitions(spark, root).select(*S.ENTITY_COLUMNS)
+    checkpoints = shared_path(spark, "stream_checkpoints")
+    for entity, pages in (("Customer", [D.customer_pages(spark, sf_dir), D.faulted_customer_pages(spark, sf_dir)]), ("Vendor", [D.vendor_pages(spark, sf_dir)])):
+        landing = shared_path(spark, "landing", entity)
+        for p in pages:
+            land_pages(p, landing, mode="append")
+        start_sync(spark, landing, root, f"{checkpoints}/{entity}", D.entity_types(spark), D.branches(spark, sf_dir), entity).awaitTermination()
+    return root
+
+
+@query
+def q_incremental_sync(spark, sf_dir):
+    """The table after both streams (T1), tenant by tenant and in 16 hashed-id buckets each."""
+    from tallyspark import schemas as S
+    from tallyspark.sources.tables import read_partitions
+    return read_partitions(spark, _streamed(spark, sf_dir)).select(*S.ENTITY_COLUMNS)
+
+
+@query
+def q_sync_markers(spark, sf_dir):
+    """U8: the markers and summaries that the two streams leave: every tenant's runs were applied, the faulted ones not."""
+    from tallyspark.streaming.incremental import read_settings
+    root = _streamed(spark, sf_dir)
+    told = spark.read.parquet(f"{root}/_side/summary").groupBy("tenant_id", "type").agg(*[F.sum(c).alias(c) for c in ("fetched", "inserted", "updated", "rejected")])
+    marker = F.when(F.col("name") == "customers_synced", F.lit("Customer")).otherwise(F.lit("Vendor"))
+    marks = read_settings(spark, root).select("tenant_id", marker.alias("type"), "name", "qb_id", "qb_name")
+    return marks.join(told, ["tenant_id", "type"]).select("tenant_id", "name", "qb_id", "qb_name", "fetched", "inserted", "updated", "rejected")
 
 
 @query

@@ -63,20 +63,31 @@ def _with_geo(df: DataFrame, nation_col: str, spark: SparkSession, sf_dir: str)
     return df.join(F.broadcast(geo), df[nation_col] == geo.n_nationkey)
 
 
-def remote_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer documents of the whole table."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    c = c.filter(F.col("c_custkey") % 10 != 9).withColumn("tenant_id", F.col("c_nationkey") % 4)
+    c = c.withColumn("tenant_id", F.col("c_nationkey") % 4)
     return _party_docs(_with_geo(c, "c_nationkey", spark, sf_dir), "c_custkey", "c_name", "",
                        F.col("c_mktsegment"))
 
 
-def remote_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def all_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor documents of the whole table."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    s = s.filter(F.col("s_suppkey") % 10 != 9).withColumn("tenant_id", F.col("s_nationkey") % 4)
+    s = s.withColumn("tenant_id", F.col("s_nationkey") % 4)
     return _party_docs(_with_geo(s, "s_nationkey", spark, sf_dir), "s_suppkey", "s_name", "S",
                        F.lit("Supplier"))
 
 
+def remote_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the remote system holds in the sync: keys that end in 9 exist only locally (those that end in 0 only here)."""
+    return all_customers(spark, sf_dir).where(F.col("pos") % 10 != 9)
+
+
+def remote_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_vendors(spark, sf_dir).where(F.col("pos") % 10 != 9)
+
+
 def customer_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sync batch rows for the customer job: normalised customers with their
     job attributes (type, branch) and position."""
@@ -517,12 +528,33 @@ def part_menu_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 4).cast("int").alias("tenant_id"))
 
 
-def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer documents as landed pages, one source per tenant
-    ('Customer/<tenant>/<branch>', branch = tenant + 1), 1000 per page by
-    position."""
+def _party_pages(docs: DataFrame, entity: str) -> DataFrame:
+    """Documents as landed pages, one source per tenant ('<Entity>/<tenant>/<branch>', branch = tenant + 1): a whole
+    run, 1000 a page by their place within the tenant, as a paged fetch gives them."""
+    from tallyspark.operators.ids import assign_ids
     from tallyspark.sources.pages import pack_pages
     from tallyspark.streaming.incremental import source_path
-    docs = remote_customers(spark, sf_dir)
-    docs = docs.withColumn("_source", source_path("Customer", F.col("tenant_id"), F.col("tenant_id") + 1))
-    return pack_pages(docs.drop("tenant_id"), "Customer", order_col="pos", source=F.col("_source"))
+    placed = assign_ids(docs, ["tenant_id", "pos"], id_col="_place")
+    first = placed.groupBy("tenant_id").agg(F.min("_place").alias("_first"))
+    placed = placed.join(first, "tenant_id").withColumn("pos", F.col("_place") - F.col("_first")).drop("_place", "_first")
+    placed = placed.withColumn("_source", source_path(entity, F.col("tenant_id"), F.col("tenant_id") + 1))
+    return pack_pages(placed.drop("tenant_id"), entity, order_col="pos", source=F.col("_source"))
+
+
+def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _party_pages(remote_customers(spark, sf_dir), "Customer")
+
+
+def vendor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _party_pages(remote_vendors(spark, sf_dir), "Vendor")
+
+
+def faulted_customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two later fetches that must change nothing: of tenant 0 one whose first page is a fault, of tenant 1 one whose
+    first page never came.  Every record would be renamed."""
+    from tallyspark.sources.pages import fault_body
+    docs = remote_customers(spark, sf_dir).where("tenant_id < 2").withColumn("DisplayName", F.concat(F.lit("lost "), F.col("DisplayName")))
+    pages = _party_pages(docs, "Customer").withColumn("fetch_seq", F.lit(9).cast("long"))
+    fault = pages.where("source like 'Customer/0/%'").withColumn("body", F.when(F.col("requested_start") == 1, fault_body("Service unavailable")).otherwise(F.col("body")))
+    gap = pages.where("source like 'Customer/1/%'").withColumn("requested_start", F.col("requested_start") + 1000)
+    return fault.unionByName(gap)

@@ -14,14 +14,16 @@ _PARTY = """
          {key} % 20 <> 3 AS has_addr,
          'No ' || CAST({key} AS VARCHAR) AS line1, n_name AS city,
          CASE WHEN {key} % 5 = 0 THEN '' ELSE r_name END AS region_code
-  FROM {table} JOIN nation ON {nation} = n_nationkey JOIN region ON n_regionkey = r_regionkey
-  WHERE {key} % 10 <> 9"""
+  FROM {table} JOIN nation ON {nation} = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
-RC = _PARTY.format(tenant="c_nationkey % 4", key="c_custkey", prefix="", name="c_name",
+ALL_C = _PARTY.format(tenant="c_nationkey % 4", key="c_custkey", prefix="", name="c_name",
                    label="c_mktsegment", table="customer", nation="c_nationkey")
-RV = _PARTY.format(tenant="s_nationkey % 4", key="s_suppkey", prefix="S", name="s_name",
+ALL_V = _PARTY.format(tenant="s_nationkey % 4", key="s_suppkey", prefix="S", name="s_name",
                    label="'Supplier'", table="supplier", nation="s_nationkey")
 
+# In the sync the keys that end in 9 exist only locally.
+RC, RV = (f"SELECT * FROM ({x}) WHERE pos % 10 <> 9" for x in (ALL_C, ALL_V))
+
 _NORMALIZE = """
 WITH r AS ({src})
 SELECT tenant_id, pos, display_name AS name, coalesce(email, '') AS email, coalesce(phone, '') AS phone,
@@ -31,8 +33,8 @@ SELECT tenant_id, pos, display_name AS name, coalesce(email, '') AS email, coale
 FROM r"""
 
 ORACLE: dict[str, str] = {
-    "normalize_customers": _NORMALIZE.format(src=RC),
-    "normalize_vendors": _NORMALIZE.format(src=RV),
+    "normalize_customers": _NORMALIZE.format(src=ALL_C),
+    "normalize_vendors": _NORMALIZE.format(src=ALL_V),
 }
 
 # Entity sync: batch = customers (batch 0) + vendors (batch 1); target = local
@@ -203,7 +205,7 @@ _TAXES = """SELECT CAST(s_suppkey AS VARCHAR) AS id, 'Tax ' || s_name AS name,
   CASE WHEN s_suppkey % 7 = 6 OR s_suppkey % 4 = 0 OR s_suppkey % 5 = 3 THEN NULL
        ELSE 'TR' || CAST(s_suppkey AS VARCHAR) END AS tax_rate_ref_id FROM supplier"""
 
-ORACLE["search_customers"] = _top50(RC, "display_name ILIKE '%er#00000%'",
+ORACLE["search_customers"] = _top50(ALL_C, "display_name ILIKE '%er#00000%'",
                                     "tenant_id, id, coalesce(display_name, given_name, '') AS display_name, "
                                     "coalesce(company_name, '') AS company_name")
 ORACLE["search_accounts"] = _top50(_ACCOUNTS, "name ILIKE '%urgent%'",
@@ -214,7 +216,7 @@ ORACLE["search_tax_codes"] = _top50(f"SELECT s_nationkey % 4 AS tenant_id, t.* F
                                     "name ILIKE '%SUPPLIER#00000%'", "CAST(tenant_id AS INTEGER) AS tenant_id, id, name, tax_rate_ref_id")
 ORACLE["search_service_items"] = _top50(_ITEMS, "type = 'Service' AND name ILIKE '%bolt%'",
                                         "tenant_id, id, name, type AS account_type")
-ORACLE["search_vendors"] = _top50(RV, "display_name ILIKE '%v2%'",
+ORACLE["search_vendors"] = _top50(ALL_V, "display_name ILIKE '%v2%'",
                                   'tenant_id, id AS "Id", display_name AS "DisplayName", id AS map_id, '
                                   "display_name AS map_display_name, "
                                   "coalesce(nullif(company_name, ''), NULL) AS map_company_name")
@@ -224,7 +226,15 @@ ORACLE["search_items"] = _top50(_ITEMS, "name ILIKE '%RING%'",
 ORACLE["tax_codes_first_rate"] = _TAXES
 ORACLE["result_labels"] = f"""
 WITH i AS ({_ITEMS}), t AS ({_TAXES})
-SELECT 'service_item' AS kind, id, name AS label, type AS meta FROM i WHERE type = 'Service'
+SELECT 'customer' AS kind, id, coalesce(display_name, given_name, '') AS label, coalesce(company_name, '') AS meta FROM ({ALL_C})
+UNION ALL
+SELECT 'vendor', id, display_name, coalesce(company_name, '') FROM ({ALL_V})
+UNION ALL
+SELECT 'account', id, coalesce(name, ''), coalesce(account_type, '') FROM ({_ACCOUNTS})
+UNION ALL
+SELECT 'payment_method', id, coalesce(name, ''), coalesce(payment_type, '') FROM ({_PAYMENTS})
+UNION ALL
+SELECT 'service_item', id, name, type FROM i WHERE type = 'Service'
 UNION ALL
 SELECT 'tax_code', id, name, coalesce('Tax Rate Ref: ' || nullif(tax_rate_ref_id, ''), '') FROM t"""
 ORACLE["company_profile"] = """
@@ -484,8 +494,8 @@ FROM part"""
 
 ORACLE["commit_table_roundtrip"] = SYNC_CTES + "SELECT * FROM t"
 
-ORACLE["incremental_sync"] = f"""
-WITH rc AS ({RC}),
+_STREAMED = f"""
+WITH rc AS ({RC}), rv AS ({RV}),
 t AS (
   SELECT c_custkey * 2 + 1 AS id, c_name AS name, '' AS email, '' AS phone, 'keep' AS note,
          CASE WHEN c_custkey % 2 = 0 THEN 'Customer' END AS type,
@@ -497,11 +507,12 @@ t AS (
          CASE WHEN s_suppkey % 10 <> 9 THEN 'S' || CAST(s_suppkey AS VARCHAR) END,
          s_nationkey % 4, false, CAST(NULL AS INTEGER), ''
   FROM supplier WHERE s_suppkey % 10 <> 0),
-b AS (SELECT {_NORM_ROW} FROM rc),
+b AS (SELECT 0 AS stream, {_NORM_ROW} FROM rc UNION ALL SELECT 1, {_NORM_ROW} FROM rv),
 m AS (SELECT DISTINCT tenant_id, qb_id FROM t WHERE qb_id IS NOT NULL),
 upd AS (SELECT b.* FROM b JOIN m ON b.tenant_id = m.tenant_id AND b.qb_id = m.qb_id),
 ins AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.tenant_id = b.tenant_id AND m.qb_id = b.qb_id)),
-insid AS (SELECT *, (SELECT max(id) FROM t) + row_number() OVER (ORDER BY tenant_id, pos) AS id FROM ins)
+insid AS (SELECT *, (SELECT max(id) FROM t) + row_number() OVER (ORDER BY stream, tenant_id, pos) AS id FROM ins)"""
+ORACLE["incremental_sync"] = _STREAMED + """
 SELECT t.id,
        CASE WHEN u.qb_id IS NOT NULL THEN u.name ELSE t.name END AS name,
        CASE WHEN u.qb_id IS NOT NULL THEN u.email ELSE t.email END AS email,
@@ -511,8 +522,11 @@ SELECT t.id,
        CASE WHEN u.qb_id IS NOT NULL THEN u.address ELSE t.address END AS address
 FROM t LEFT JOIN upd u ON t.tenant_id = u.tenant_id AND t.qb_id = u.qb_id
 UNION ALL
-SELECT id, name, email, phone, note, CAST(NULL AS VARCHAR), qb_id, tenant_id, false, CAST(NULL AS INTEGER), address
-FROM insid"""
+SELECT id, name, email, phone, note, NULL, qb_id, tenant_id, false, NULL, address FROM insid"""
+ORACLE["sync_markers"] = _STREAMED + """
+SELECT CAST(b.tenant_id AS INTEGER) AS tenant_id, CASE b.stream WHEN 0 THEN 'customers_synced' ELSE 'vendors_synced' END AS name, '1' AS qb_id, 'Synced' AS qb_name,
+       count(*) AS fetched, count(*) - count(u.pos) AS inserted, count(u.pos) AS updated, CAST(0 AS BIGINT) AS rejected
+FROM b LEFT JOIN upd u ON u.stream = b.stream AND u.tenant_id = b.tenant_id AND u.pos = b.pos GROUP BY b.tenant_id, b.stream"""
 
 ORACLE["search_items_tenant_table"] = f"""
 WITH i AS ({_ITEMS})

@@ -70,6 +70,12 @@ def count_records(pages: DataFrame, entity: str, by: list[str] | None = None) ->
         F.sum(array_size(_records(entity))).cast("long").alias("n_records"))
 
 
+def page_fault(entity: str) -> Column:
+    """Fault text of a parsed page (column ``page``): its ``Fault``, or that it is unreadable; NULL for a good page."""
+    unreadable = F.concat(F.lit("Unreadable page: "), F.coalesce(F.substring("body", 1, 200), F.lit("NULL")))
+    return F.coalesce(F.col("page.Fault"), F.when(F.col("page.QueryResponse").isNull(), unreadable))
+
+
 def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=None,
                  status_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """S3: pages carrying ``Fault``, and pages that do not parse or hold neither ``QueryResponse`` nor ``Fault``, go to
@@ -77,8 +83,7 @@ def split_faults(pages: DataFrame, entity: str, mode: str = "reject", record=Non
     (the HTTP status of the landed response) a status outside 2xx is a fault
     too; its fault text is then the whole body."""
     parsed = parse_pages(pages, entity, record) if "page" not in pages.columns else pages
-    unreadable = F.concat(F.lit("Unreadable page: "), F.coalesce(F.substring("body", 1, 200), F.lit("NULL")))
-    fault = F.coalesce(F.col("page.Fault"), F.when(F.col("page.QueryResponse").isNull(), unreadable))
+    fault = page_fault(entity)
     if status_col is not None:
         fault = F.when(~F.coalesce(status_ok(F.col(status_col)), F.lit(False)), F.coalesce(fault, F.col("body"))) \
             .otherwise(fault)

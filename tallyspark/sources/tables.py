@@ -2,8 +2,8 @@
 
 Plain parquet supports neither MERGE nor UPDATE, so a table change is a new
 version directory plus a pointer; a reader never sees a half-written version
-and a job never overwrites the path it reads.  The pointer row also records
-the last applied stream batch, which makes replays harmless (streaming T1).
+and a job never overwrites the path it reads.  Tables that many batches change
+in place of a full rewrite are committed through ``sources.commits``.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tallyspark.sources.commits import TableState, data_path, load, table_schema, write_next
+
 POINTER = StructType([StructField("version", LongType()), StructField("batch_id", LongType())])
 
 
@@ -80,54 +82,24 @@ def gathered(df: DataFrame, parts: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # Partition-scoped table (for incremental upserts): rows live in <root>/data,
-# partitioned by tenant; a change rewrites only the tenants it touches.
+# partitioned by tenant; a change rewrites only the partitions it touches and
+# is committed through the table's state (sources.commits).
 # ---------------------------------------------------------------------------
 
-STATE = StructType([StructField("batch_id", LongType()), StructField("max_id", LongType()),
-                    StructField("buckets", LongType()), StructField("seq", LongType()),
-                    StructField("max_assignment", LongType())])
-
-
-def _state_path(root: str) -> str:
-    return root.rstrip("/") + "/_state"
-
-
-def data_path(root: str) -> str:
-    return root.rstrip("/") + "/data"
-
-
-def _state(spark: SparkSession, root: str):
-    return spark.read.schema(STATE).json(_state_path(root)).orderBy(F.desc_nulls_last("seq")).first()
-
-
-def read_state(spark: SparkSession, root: str) -> tuple[int, int]:
-    """(last applied batch id, largest id in the table)."""
-    row = _state(spark, root)
-    return (-1 if row["batch_id"] is None else int(row["batch_id"]), 0 if row["max_id"] is None else int(row["max_id"]))
+def read_state(spark: SparkSession, root: str, stream: str | None = None) -> tuple[int, int]:
+    """(last applied batch id of a stream, or of any; largest id given so far)."""
+    s = load(spark, root)
+    return (s.last(stream) if stream is not None else max(s.applied.values(), default=-1)), s.max_id
 
 
 def read_max_assignment(spark: SparkSession, root: str) -> int:
     """Largest id given to an entity assignment: they are numbered on their own, apart from the entities."""
-    return _state(spark, root)["max_assignment"] or 0
+    return load(spark, root).max_assignment
 
 
 def read_buckets(spark: SparkSession, root: str) -> int | None:
     """Buckets per tenant of the table (None: partitioned by tenant only)."""
-    row = _state(spark, root)
-    return None if row["buckets"] is None else int(row["buckets"])
-
-
-def write_state(spark: SparkSession, root: str, batch_id: int | None, max_id: int, buckets: int | None = None,
-                max_assignment: int = 0) -> None:
-    """The new state is one more file with the next number; readers take the highest, so a crash midway loses nothing."""
-    try:
-        seq = (_state(spark, root)["seq"] or 0) + 1
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        seq = 0
-    (spark.createDataFrame([(batch_id, max_id, buckets, seq, max_assignment)], STATE).coalesce(1)
-     .write.mode("append").json(_state_path(root)))
+    return load(spark, root).buckets
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -143,7 +115,8 @@ def entity_bucket(buckets: int) -> Column:
 def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id", id_col: str = "id",
                      buckets: int | None = None, max_assignment: int = 0) -> None:
     """Create the table from ``df`` (one full write), partitioned by tenant and,
-    with ``buckets``, by hashed external id inside each tenant.
+    with ``buckets``, by hashed external id inside each tenant.  An empty frame
+    gives an empty table: its schema is kept in the state.
     ``max_assignment``: the largest id in an existing assignments table."""
     parts = [partition_by]
     if buckets:
@@ -151,56 +124,69 @@ def init_partitioned(df: DataFrame, root: str, partition_by: str = "tenant_id",
         parts.append("bucket")
     gathered(df, parts).write.mode("errorifexists").partitionBy(*parts).parquet(data_path(root))
     mx = df.agg(F.max(id_col)).first()[0]
-    write_state(df.sparkSession, root, None, 0 if mx is None else int(mx), buckets, max_assignment)
+    schema = StructType([f for f in df.schema if f.name not in parts] + [df.schema[p] for p in parts])
+    state = TableState(max_id=0 if mx is None else int(mx), max_assignment=max_assignment, buckets=buckets, schema=schema.json())
+    if not write_next(df.sparkSession, root, -1, state):
+        raise FileExistsError(f"{root} already has a state")
+
+
+def read_data(spark: SparkSession, root: str) -> DataFrame:
+    """The table's rows, read with its kept schema (an empty folder is an empty table)."""
+    return spark.read.schema(table_schema(spark, root)).parquet(data_path(root))
 
 
 def read_partitions(spark: SparkSession, root: str, tenants: list | DataFrame | None = None,
                     partition_by: str = "tenant_id") -> DataFrame:
-    """Current rows, optionally only for some tenants.  A list (or a frame of
-    ids: the tenants of one batch) becomes an IN filter on the partition column,
-    so only their folders are read, however many they are."""
-    df = spark.read.parquet(data_path(root))
+    """Current rows, optionally only for some tenants: a list becomes an IN
+    filter, a frame of ids a semi join; either leaves out the other folders."""
+    df = read_data(spark, root)
     if tenants is None:
         return df
     if isinstance(tenants, DataFrame):
-        tenants = [r[0] for r in tenants.select(partition_by).distinct().collect()]
+        return restrict_partitions(df, tenants, [partition_by])
     return df.where(F.col(partition_by).isin(list(tenants)))
 
 
-def _sql_value(v) -> str:
-    """A partition value as SQL: a number, or a string with its quotes and backslashes escaped."""
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+def save_keys(df: DataFrame, path: str, cols: list[str]) -> DataFrame:
+    """The distinct partition keys of a change, written once and read back.  As a written table Spark knows their size:
+    it broadcasts them while they are small enough, and then a join with them prunes the partitions it scans."""
+    df.select(*cols).distinct().write.mode("overwrite").parquet(path)
+    keys = df.sparkSession.read.schema(df.select(*cols).schema).parquet(path)
+    # A bound that all keys meet marks the keys as a filter worth pruning by.
+    return keys.where(F.col(cols[-1]) >= F.lit(-2 ** 31)) if dict(keys.dtypes)[cols[-1]] in ("int", "bigint") else keys
 
 
 def restrict_partitions(df: DataFrame, parts: DataFrame, cols: list[str], negate: bool = False) -> DataFrame:
     """Rows of ``df`` in (or, with ``negate``, not in) the partitions listed in
-    ``parts`` (those of one batch): a multi-column IN on the partition columns,
-    by which Spark leaves out the other folders."""
-    keys = [tuple(r) for r in parts.select(*cols).distinct().collect()]
-    # A key with a NULL part equals nothing (as in a join); keeping it out of
-    # the list also keeps the negated test two-valued.
-    keys = [k for k in keys if None not in k]
-    if not keys:
-        return df if negate else df.limit(0)
-    lits = ", ".join("(" + ", ".join(map(_sql_value, k)) + ")" for k in keys)
-    cond = F.expr(f"({', '.join(cols)}) IN ({lits})")
-    return df.where(~F.coalesce(cond, F.lit(False)) if negate else cond)
-
-
-def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id",
-                       read: list[tuple] | None = None) -> None:
+    ``parts``: a semi (anti) join on the partition columns.  With keys from
+    ``save_keys`` the join prunes the scan (dynamic partition pruning); the keys
+    never pass through the driver as values.  A key with a NULL part equals
+    nothing."""
+    return df.join(parts.select(*cols).distinct(), cols, "left_anti" if negate else "left_semi").select(*df.columns)
+
+
+def replace_partitions(staged: DataFrame, root: str, partition_by: str | list[str] = "tenant_id") -> None:
     """Replace exactly the partitions present in ``staged`` (dynamic partition
     overwrite).  ``staged`` must not read from the table itself (write it to a
-    staging folder first): the job never overwrites what it reads.  ``read``
-    lists the partitions that the change has read: one that ``staged`` no longer
-    holds was emptied, and its folder goes."""
+    staging folder first): the job never overwrites what it reads."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
     (gathered(staged, parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*parts).parquet(data_path(root)))
-    if read:
-        spark = staged.sparkSession
-        left = {tuple(r) for r in staged.select(*parts).distinct().collect()}
-        for key in set(read) - left:
-            folder = "/".join(f"{c}={v}" for c, v in zip(parts, key, strict=True))
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data_path(root)}/{folder}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delete_partitions(keys: DataFrame, root: str, parts: list[str]) -> None:
+    """Delete the partitions listed in ``keys`` (tasks do it; a folder that is gone already is no fault)."""
+    base = data_path(root)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        store, path = fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base.removeprefix("file:"))
+        for b in batches:
+            for row in b.to_pylist():
+                folder = path + "/" + "/".join(f"{c}={row[c]}" for c in parts)
+                if store.get_file_info(folder).type != fs.FileType.NotFound:
+                    store.delete_dir(folder)
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)], pa.int64())], names=["n"])
+
+    keys.select(*parts).mapInArrow(run, "n long").agg(F.sum("n")).collect()
