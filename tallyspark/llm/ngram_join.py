@@ -1,19 +1,25 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
 A document is its set of word shingles; documents with equal sets are one class from the start.  The shingles have
-one global order: rare ones by hash, then the frequent ones by frequency.  That order is cut into fragments (ranges
-of the hash), and each fragment counts the overlap of its own part of every set; the parts are summed per pair.
-
-1. Candidates.  Two sets whose Jaccard similarity reaches the threshold share at least k shingles among the first
-   ``n - ceil(t * n) + k`` of each, in the global order.  Only those prefixes travel.  A fragment counts common
-   prefix shingles per pair for short lists (at most ``SHORT`` classes that hold one shingle).
-2. Long lists (one shingle in many prefixes, that is, many near copies) never give all their pairs.  A class that is
-   in fewer of them than k cannot reach k there alone; its pairs are candidates if their count in the short lists
-   and the number of long lists that both are in reach k together.  The other classes of the long lists are
-   resolved in rounds: each class outside its list's largest component is compared with a few probes, four times as
-   many in each round, until every list is one component or all its pairs across components were compared.
-3. Verification, an exact check: the whole sets of the candidate classes meet their pairs, in groups of pairs that
-   share classes.
+one global order, that of their hashes, and this order is cut into fragments.  Each fragment counts the overlap of
+its own part of the sets, without seeing the rest of them; Spark sums the parts.  Sets a and b link when they share
+``need(a, b) = ceil(t * (|a| + |b|) / (1 + t))`` shingles, and so at least ``ceil(t * |a|)``.
+
+1. Who can link at all.  Each fragment counts, per class, the shingles that some other class has too.  The sums bound
+   what a class can share with any one other: classes below ``ceil(t * n)`` link with nothing and go no further.
+   What a task finds shared within its own pool of sets it counts itself and marks once; only the rest travels (four
+   bytes each), so a shingle that very many documents hold never gathers in one fragment.
+2. Pairs.  Over the classes left, each fragment counts the common shingles of every pair in lists of at most ``SHORT``
+   classes, and passes longer lists on as (shingle, class) rows; a shingle that a task sees to be in a long list goes
+   there straight away.  The sums per pair, with the number of long-list shingles of both as an upper bound, settle
+   most pairs: ``sums >= need`` is a link, ``sums + bound < need`` is none.
+3. Long lists (many near copies of one text) would give all their pairs.  Instead every long-list shingle belongs to
+   one class, its pivot: the one that consists most of such shingles.  i(x, p), the shingles of x that belong to p, are
+   counts per class and pivot.  A class is compared with the pivot that it shares most with, and most of a group is one
+   component after that.  Two classes of different components that share no short list can then link only if
+   ``min(i(x, p), i(y, p))`` and the rest of their long-list shingles reach ``need`` for a pivot p of x; those pairs
+   are few, and they are all compared.
+4. Pairs that sums leave open are counted over the whole sets, pair by pair.
 
 The result is exact up to 64-bit hash collisions.
 """
@@ -27,20 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import _MULT, U64, Scratch, hash_grams, hash_words, mix, one_by_one, row_words, single, slices, text_buffers
+from tallyspark.llm.common import _MULT, U64, Scratch, hash_grams, hash_words, mix, one_by_one, row_words, rows_of, single, slices, text_buffers
 from tallyspark.llm.components import merge
 
 WORDS = 5
-#: k of step 1 as a share of the smaller set: a pair that shares less of its prefixes is no candidate.
-SHARED = 10
-#: Longest list whose pairs are counted directly.
+#: Longest list whose pairs are counted in its fragment.
 SHORT = 24
-#: Shingles that stand last in the global order: the most frequent ones, at most so many (bounds the broadcast).
-FREQUENT, FREQUENT_FROM, LOCAL_FROM = 1 << 17, 64, 3
-#: Text bytes hashed at a time, shingles counted at a time, shingles in a fragment.
-BYTES, POOL, FRAGMENT = 1 << 21, 1 << 21, 1 << 20
-#: Pairs that are verified together.
-PAIRS = 20_000
+#: Text bytes hashed at a time; shingles in a task's pool; shingles in a fragment; classes in a bucket of sums.
+BYTES, POOL, FRAGMENT, BUCKET = 1 << 21, 1 << 21, 1 << 20, 1 << 19
+#: So many wanted classes are sent to the tasks that read the texts (8 bytes each); more are joined instead.
+SENT = 1 << 21
+#: Classes of one pivot that are compared in one task.
+SPLIT = 4096
 
 
 def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
@@ -55,7 +59,8 @@ def shingle_set(words: np.ndarray, k: int = WORDS) -> np.ndarray:
 
 def set_key(h: np.ndarray) -> int:
     """A 64-bit name of a set of shingles."""
-    return int(mix(np.array([mix(h ^ _MULT[31]).sum(dtype=U64) + U64(len(h)) * _MULT[32]], U64)).view(np.int64)[0])
+    total = mix(h ^ _MULT[31]).sum(dtype=U64, keepdims=True)
+    return int(mix(total + np.array([len(h)], U64) * _MULT[32]).view(np.int64)[0])
 
 
 def row_sets(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -69,132 +74,140 @@ def row_sets(b: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, list[np.ndar
 
 
 def _describe(k: int):
-    """Per row: id, set size, set key; and shingles that are frequent within the task, counted once per set."""
-    fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("hot", pa.int64()), ("cnt", pa.int64())])
+    """Per row: id, set size, set key (null without shingles)."""
+    fields = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: list[np.ndarray] = []
-        seen: set[int] = set()
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(pool), return_counts=True)
-            h, c = h[c >= LOCAL_FROM], c[c >= LOCAL_FROM]
-            no = pa.nulls(len(h), pa.int64())
-            return pa.RecordBatch.from_arrays([no, no, no, pa.array(h.view(np.int64)), pa.array(c)], schema=fields)
-
         for b in batches:
             for i, j, sets in row_sets(b, k):
-                keys = [set_key(s) if len(s) else None for s in sets]
-                no = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()),
-                                                  pa.array(keys, pa.int64()), no, no], schema=fields)
-                for key, s in zip(keys, sets, strict=True):
-                    if key is not None and key not in seen:
-                        seen.add(key)
-                        pool.append(s)
-                        held += len(s)
-                if held >= POOL:
-                    yield flush()
-                    pool, held, seen = [], 0, set()
-        if pool:
-            yield flush()
+                                                  pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], schema=fields)
 
     return run
 
 
-def needed(n, top: int):
-    """Least possible intersection of a set of n with any set as similar as top percent."""
-    return -((-top * n) // 100)
+# ------------------------------------------------------------------ cutting sets into fragments
 
-
-def shared(n: int, top: int) -> int:
-    return max(1, min(n // SHARED, needed(n, top)))
-
-
-def shared_sql(n, top: int):
-    return F.greatest(F.lit(1), F.least(F.floor(n / F.lit(SHARED)), F.ceil(n * top / F.lit(100))))
-
-
-PACKED = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()),
-                    ("counts", pa.binary()), ("hashes", pa.binary())])
+PACKED = pa.schema([("frag", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
 PACKED_DDL = "frag int, kind int, keys binary, sizes binary, counts binary, hashes binary"
+SETS, LOCAL, LONG, MARK = range(4)
 
 
 def fragment_of(h: np.ndarray, frags: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(frags) >> U64(32)).astype(np.int64)
 
 
-def packed(keys: list[int], sets: list[np.ndarray], sizes: list[int], frags: int) -> pa.RecordBatch:
-    """The sets cut into fragments: a row for each fragment with what all these sets hold there."""
-    count = np.array([len(s) for s in sets], np.int64)
-    h = np.concatenate(sets) if sets else np.zeros(0, U64)
-    who = np.repeat(np.arange(len(sets)), count)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(PACKED)], schema=PACKED)
+
+
+def _packed(keys: np.ndarray, sizes: np.ndarray, who: np.ndarray, h: np.ndarray, frags: int, kind: int, half: bool) -> Iterator[tuple]:
+    """A row for each fragment with what these sets hold there; ``half``: only the low 32 bits of a hash (the high ones
+    choose the fragment)."""
     frag = fragment_of(h, frags)
-    order = np.lexsort((h, who, frag))
+    order = np.lexsort((who, frag))
     h, who, frag = h[order], who[order], frag[order]
-    keys_, sizes_ = np.array(keys, np.int64), np.array(sizes, np.int32)
     cuts = np.flatnonzero(np.diff(frag)) + 1
-    out: list[list] = [[] for _ in PACKED]
-    for i, j in zip([0, *cuts], [*cuts, len(h)], strict=True):
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
         if j > i:
             w, c = np.unique(who[i:j], return_counts=True)
-            for col, v in zip(out, (int(frag[i]), 0, keys_[w].tobytes(), sizes_[w].tobytes(), c.astype(np.int32).tobytes(), h[i:j].tobytes()), strict=True):
-                col.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PACKED, strict=True)], schema=PACKED)
+            yield (int(frag[i]), kind, keys[w].tobytes(), sizes[w].tobytes(), c.astype(np.int32).tobytes(), (h[i:j].astype(np.uint32) if half else h[i:j]).tobytes())
 
 
-def _prefixes(k: int, top: int, frags: int, hot: np.ndarray, rank: np.ndarray):
-    """hot: sorted frequent shingles; rank: their places in the order, after all others."""
+def _pools(k: int, wanted, settle):
+    """Distinct sets of a task, in pools of about POOL shingles: settle(keys, sizes, who, hashes) gives packed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        want = None if wanted is None else wanted.value
         seen: set[int] = set()
+        pool: dict[int, np.ndarray] = {}
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            size = np.array([len(s) for s in pool.values()], np.int32)
+            return _rows(list(settle(np.array(list(pool), np.int64), size, np.repeat(np.arange(len(pool)), size), np.concatenate(list(pool.values())))))
+
         for b in batches:
             for _, _, sets in row_sets(b, k):
-                keys, parts, sizes = [], [], []
                 for s in sets:
-                    key = set_key(s) if len(s) else None
-                    if key is None or key in seen:
+                    if not len(s) or (key := set_key(s)) in seen:
+                        continue
+                    if want is not None and (len(want) == 0 or want[min(np.searchsorted(want, key), len(want) - 1)] != key):
                         continue
                     if len(seen) > 200_000:
-                        seen.clear()
+                        seen = set(pool)
                     seen.add(key)
-                    n = len(s)
-                    if len(hot):
-                        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        is_hot = hot[at] == s
-                        if is_hot.any():
-                            late = s[is_hot]
-                            s = np.concatenate([s[~is_hot], late[np.argsort(rank[at[is_hot]])]])
-                    keys.append(key)
-                    sizes.append(n)
-                    parts.append(s[:n - needed(n, top) + shared(n, top)])
-                if keys:
-                    yield packed(keys, parts, sizes, frags)
+                    pool[key] = s
+                    held += len(s)
+                if held >= POOL:
+                    yield flush()
+                    pool, held = {}, 0
+        if pool:
+            yield flush()
 
     return run
 
 
-def by_fragment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows sorted by frag, one fragment at a time."""
+def _own_shared(frags: int):
+    """Pass 1: shingles that two sets of the pool hold are counted here and marked in their fragments, where the others go."""
+
+    def settle(keys, sizes, who, h):
+        u, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        shared = n[back] > 1
+        marks = u[n > 1]
+        where = fragment_of(marks, frags)  # sorted, as u is
+        for i, j in zip(*(np.searchsorted(where, np.unique(where), side).tolist() for side in ("left", "right")), strict=True):
+            yield (int(where[i]), MARK, b"", b"", b"", marks[i:j].astype(np.uint32).tobytes())
+        c = np.bincount(who[shared], minlength=len(keys)).astype(np.int32)
+        yield (int(keys[0] % frags), LOCAL, keys.tobytes(), b"", c.tobytes(), b"")
+        yield from _packed(keys, sizes, who[~shared], h[~shared], frags, SETS, True)
+
+    return settle
+
+
+def _own_lists(frags: int):
+    """Pass 2: shingles in more than SHORT sets of the pool are long-list rows at once, and marked in their fragment."""
+
+    def settle(keys, sizes, who, h):
+        u, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        long = n[back] > SHORT
+        if long.any():
+            # Dealt by class, not by shingle.
+            part = (keys[who[long]].view(U64) % U64(frags)).astype(np.int64)
+            w, g = who[long], h[long]
+            for f in np.unique(part):
+                at = part == f
+                yield (int(f), LONG, keys[w[at]].tobytes(), sizes[w[at]].tobytes(), b"", g[at].tobytes())
+            marks = u[n > SHORT]
+            where = fragment_of(marks, frags)
+            for f in np.unique(where):
+                yield (int(f), MARK, b"", b"", b"", marks[where == f].tobytes())
+        yield from _packed(keys, sizes, who[~long], h[~long], frags, SETS, False)
+
+    return settle
+
+
+def by_group(batches: Iterator[pa.RecordBatch], col: str) -> Iterator[list[dict]]:
+    """Rows sorted by a column, one group at a time."""
     at, rows = None, []
     for b in batches:
         for r in one_by_one(b):
-            if rows and r["frag"] != at:
-                yield at, rows
+            if rows and r[col] != at:
+                yield rows
                 rows = []
-            at = r["frag"]
+            at = r[col]
             rows.append(r)
     if rows:
-        yield at, rows
+        yield rows
+
+
+def _joined(rows: list[dict], col: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(r[col] for r in rows), kind)
 
 
-def unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(rows: list[dict], kind) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys and sizes of the fragment's sets; set number and hash of each entry, each entry once, sorted by hash and set."""
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), np.int64)
-    sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), np.int32)
-    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int32)
-    h = np.frombuffer(b"".join(r["hashes"] for r in rows), U64)
+    keys, sizes, counts, h = (_joined(rows, c, t) for c, t in (("keys", np.int64), ("sizes", np.int32), ("counts", np.int32), ("hashes", kind)))
     keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
     who = np.repeat(back, counts)
     order = np.lexsort((who, h))
@@ -204,6 +217,62 @@ def unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return keys, sizes[first], who[new], h[new]
 
 
+def _lists(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal hashes."""
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return start, np.diff(np.append(start, len(h)))
+
+
+# ------------------------------------------------------------------ pass 1: who can link
+
+SUMS_DDL = "bucket int, kind int, keys binary, counts binary"
+
+
+def _shared(buckets: int):
+    """A fragment's part: per class, how many of its shingles here some other class has (packed by buckets of classes)."""
+
+    def told(kind: int, keys: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = c > 0
+        keys, c = keys[some], c[some].astype(np.int32)
+        bucket = (keys.view(U64) % U64(buckets)).astype(np.int64)
+        out = [(int(x), kind, keys[bucket == x].tobytes(), c[bucket == x].tobytes()) for x in np.unique(bucket)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                                             names=["bucket", "kind", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_group(batches, "frag"):
+            for r in rows:
+                if r["kind"] == LOCAL:
+                    yield from told(LOCAL, np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int32))
+            sets = [r for r in rows if r["kind"] == SETS]
+            if sets:
+                keys, _, who, h = unpacked(sets, np.uint32)
+                start, m = _lists(h)
+                marks = np.unique(_joined([r for r in rows if r["kind"] == MARK], "hashes", np.uint32))
+                shared = m > 1
+                if len(marks):
+                    shared |= marks[np.minimum(np.searchsorted(marks, h[start]), len(marks) - 1)] == h[start]
+                yield from told(SETS, keys, np.bincount(who[np.repeat(shared, m)], minlength=len(keys)))
+
+    return run
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per class: the sum of the fragments' parts, and the most that a task has counted itself (of a class that several
+    tasks have met, each has sent to the fragments what it did not count, so the most is enough)."""
+    for rows in by_group(batches, "bucket"):
+        keys, c, own = (np.concatenate(x) for x in zip(*[(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["counts"], np.int32), np.full(len(r["keys"]) // 8, r["kind"] == LOCAL)) for r in rows], strict=True))
+        keys, back = np.unique(keys, return_inverse=True)
+        most = np.zeros(len(keys), np.int64)
+        np.maximum.at(most, back[own], c[own])
+        total = most + np.bincount(back[~own], weights=c[~own], minlength=len(keys)).astype(np.int64)
+        for i in range(0, len(keys), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 50_000]), pa.array(total[i:i + 50_000])], names=["key", "c"])
+
+
+# ------------------------------------------------------------------ pass 2: pairs
+
 COUNTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int64())])
 COUNTED_DDL = "a long, b long, na int, nb int, c long"
 
@@ -214,17 +283,31 @@ def _counted(a, b, na, nb, c) -> Iterator[pa.RecordBatch]:
         yield t.slice(i, 50_000)
 
 
-def _candidates(top: int):
-    """Rows (a, b, sizes, common prefix shingles here); c = -1: a long list's shingle a holds class b."""
+def _overlaps(top: int):
+    """Rows (a, b, sizes, common shingles here); c = -1: shingle a, in a long list, of class b."""
+
+    def long_rows(h, keys, sizes) -> Iterator[pa.RecordBatch]:
+        yield from _counted(h.view(np.int64), keys, sizes, sizes, np.full(len(h), -1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_fragment(batches):
-            keys, sizes, who, h = unpacked(rows)
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            m = np.diff(np.append(start, len(h)))
+        for rows in by_group(batches, "frag"):
+            for r in rows:
+                if r["kind"] == LONG:
+                    yield from long_rows(np.frombuffer(r["hashes"], U64), np.frombuffer(r["keys"], np.int64), np.frombuffer(r["sizes"], np.int32))
+            marks = np.unique(_joined([r for r in rows if r["kind"] == MARK], "hashes", U64))
+            sets = [r for r in rows if r["kind"] == SETS]
+            if not sets:
+                continue
+            keys, sizes, who, h = unpacked(sets, U64)
+            start, m = _lists(h)
+            long = m > SHORT
+            if len(marks):
+                long |= marks[np.minimum(np.searchsorted(marks, h[start]), len(marks) - 1)] == h[start]
+            each = np.repeat(long, m)
+            yield from long_rows(h[each], keys[who[each]], sizes[who[each]])
             found = []
             for size in range(2, SHORT + 1):
-                s = start[m == size]
+                s = start[(m == size) & ~long]
                 if not len(s):
                     continue
                 left, right = np.triu_indices(size, 1)
@@ -233,79 +316,48 @@ def _candidates(top: int):
                     x, y = group[:, left].ravel(), group[:, right].ravel()
                     big, small = np.maximum(sizes[x], sizes[y]).astype(np.int64), np.minimum(sizes[x], sizes[y]).astype(np.int64)
                     ok = 100 * small >= top * big
-                    code, c = np.unique(x[ok].astype(np.int64) * len(keys) + y[ok], return_counts=True)
-                    found.append((code, c))
+                    found.append(np.unique(x[ok].astype(np.int64) * len(keys) + y[ok], return_counts=True))
             if found:
                 code, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                c = np.bincount(back, weights=np.concatenate([f[1] for f in found])).astype(np.int64)
+                c = np.bincount(back, weights=np.concatenate([f[1] for f in found]), minlength=len(code)).astype(np.int64)
                 x, y = code // len(keys), code % len(keys)
                 yield from _counted(keys[x], keys[y], sizes[x], sizes[y], c)
-            for s, n in zip(start[m > SHORT], m[m > SHORT], strict=True):
-                w = who[s:s + n]
-                yield from _counted(np.full(n, h[s:s + 1].view(np.int64)[0]), keys[w], sizes[w], sizes[w], np.full(n, -1))
 
     return run
 
 
-def _links(top: int):
-    """Rows sorted by group and kind: the sets (kind 0: a, na, hashes) and pairs (kind 1) of whole groups -> links."""
-    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def settle(sets: dict[int, np.ndarray], pairs: list[tuple]) -> pa.RecordBatch:
-        keys = np.array(sorted(sets), np.int64)
-        size = np.array([len(sets[k]) for k in keys.tolist()], np.int64)
-        first = np.concatenate([[0], np.cumsum(size)])
-        h = np.concatenate([sets[k] for k in keys.tolist()])
-        tagged = np.sort(mix(h + np.repeat(np.arange(len(keys)), size).astype(U64) * _MULT[40]))
-        a, b = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
-        x, y = np.searchsorted(keys, a), np.searchsorted(keys, b)
-        c = np.zeros(len(a), np.int64)
-        for i, j in slices(np.concatenate([[0], np.cumsum(size[x])]), 1 << 20):
-            n = size[x[i:j]]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(first[x[i:j]], n)
-            want = mix(h[at] + np.repeat(y[i:j], n).astype(U64) * _MULT[40])
-            place = np.minimum(np.searchsorted(tagged, want), len(tagged) - 1)
-            hit = np.concatenate([[0], np.cumsum(tagged[place] == want)])
-            c[i:j] = hit[ends] - hit[ends - n]
-        ok = 100 * c >= top * (size[x] + size[y] - c)
-        return pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], schema=fields)
+def _whole_sets(k: int, wanted):
+    """(doc_id, text) -> (key, hashes) of the wanted classes, a class once in a task."""
+    fields = pa.schema([("key", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, sets, pairs = None, 0, {}, []
-        for batch in batches:
-            for r in one_by_one(batch):
-                if r["grp"] != group:
-                    if held >= FRAGMENT or len(pairs) >= PAIRS:
-                        yield settle(sets, pairs)
-                        held, sets, pairs = 0, {}, []
-                    group = r["grp"]
-                if r["kind"] == 0:
-                    sets[r["a"]] = np.frombuffer(r["hashes"], U64)
-                    held += r["na"]
-                else:
-                    pairs.append((r["a"], r["b"]))
-        if pairs:
-            yield settle(sets, pairs)
-
-    return run
+        want, seen = None if wanted is None else wanted.value, set()
+        keys, held = [], []
 
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], schema=fields)
 
-def _whole_sets(k: int):
-    """Columns doc_id, text, wanted key -> (key, n, hashes) of the rows whose set has the wanted key."""
-    fields = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("hashes", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, sets in row_sets(b, k):
-                rows = [(w, len(s), s.tobytes()) for w, s in zip(b.column(2).slice(i, j - i).to_pylist(), sets, strict=True) if len(s) and set_key(s) == w]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, fields, strict=True)], schema=fields)
+            for _, _, sets in row_sets(b, k):
+                for s in sets:
+                    if not len(s) or (key := set_key(s)) in seen or (want is not None and (len(want) == 0 or want[min(np.searchsorted(want, key), len(want) - 1)] != key)):
+                        continue
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(key)
+                    keys.append(key)
+                    held.append(s)
+                if sum(map(len, held)) > POOL // 8:
+                    yield told()
+                    keys, held = [], []
+        if keys:
+            yield told()
 
     return run
 
 
-def _dealt(df: DataFrame, frags: int) -> DataFrame:
-    return df.repartition(frags, F.col("frag")).sortWithinPartitions("frag", "kind")
+def _dealt(df: DataFrame, parts: int, col: str) -> DataFrame:
+    return df.repartition(parts, F.col(col)).sortWithinPartitions(col)
 
 
 def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = WORDS,
@@ -320,79 +372,80 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     src = single(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    told = scratch.save(src.mapInArrow(_describe(k), "doc_id long, n long, key long, hot long, cnt long"), "told")
-    rows = told.where("n is not null").select("doc_id", "n", "key")
-    classes = scratch.save(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    top = (told.where("hot is not null").groupBy("hot").agg(F.sum("cnt").alias("cnt")).where(F.col("cnt") >= FREQUENT_FROM)
-           .orderBy(F.desc("cnt"), "hot").limit(FREQUENT).toPandas())
-    hot = top["hot"].to_numpy(np.int64).view(U64)
-    order = np.argsort(hot)
-    hot, rank = hot[order], -order  # the least frequent first
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    frags = max(8, -(-int(total * (1 - threshold / 100 + 1 / SHARED)) // FRAGMENT))
-    prefixes = src.where("doc_id is not null").mapInArrow(_prefixes(k, threshold, frags, hot, rank), PACKED_DDL)
-    found = scratch.save(_dealt(prefixes, frags).mapInArrow(_candidates(threshold), COUNTED_DDL), "found")
-    scratch.release()
-    long = found.where("c < 0").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").alias("n"))
-    in_long = scratch.save(long.groupBy("key", "n").agg(F.count(F.lit(1)).alias("m")), "in-long")
+    rows = scratch.save(src.mapInArrow(_describe(k), "doc_id long, n long, key long"), "told")
+    classes = scratch.save(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    known = src.where("doc_id is not null")
+    count, total = classes.agg(F.count(F.lit(1)), F.sum("n")).first()
+    frags = max(8, -(-(total or 0) // FRAGMENT))
+    need = lambda n, m: F.ceil((F.col(n) + F.col(m)) * threshold / F.lit(100 + threshold))
+    alone = lambda n: F.ceil(F.col(n) * threshold / F.lit(100))
+    alike = lambda n, m: 100 * F.least(n, m) >= threshold * F.greatest(n, m)
+
+    def texts_of(keys: DataFrame, tag: str):
+        """(texts that hold the wanted classes, the keys for the tasks): a bounded broadcast, else a join."""
+        keys = scratch.save(keys.distinct(), tag)
+        if rows_of(keys) <= SENT:
+            return known, spark.sparkContext.broadcast(np.sort(keys.toPandas()["key"].to_numpy(np.int64)))
+        return known.join(classes.join(keys, "key").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), None
+
+    # Pass 1.
+    buckets = max(8, -(-count // BUCKET))
+    cut = _dealt(known.mapInArrow(_pools(k, None, _own_shared(frags)), PACKED_DDL), frags, "frag").mapInArrow(_shared(buckets), SUMS_DDL)
+    shared = _dealt(cut, buckets, "bucket").mapInArrow(_sums, "key long, c long")
+    alive = scratch.save(classes.join(shared, "key").where(F.col("c") >= alone("n")).select("key", "n"), "alive")
+    # Pass 2.
+    left, sent = texts_of(alive.select("key"), "alive-keys")
+    frags = max(8, -(-(alive.agg(F.sum("n")).first()[0] or 0) // FRAGMENT))
+    found = scratch.save(_dealt(left.mapInArrow(_pools(k, sent, _own_lists(frags)), PACKED_DDL), frags, "frag").mapInArrow(_overlaps(threshold), COUNTED_DDL), "found")
+    long = scratch.save(found.where("c < 0").select(F.col("a").alias("token"), F.col("b").alias("key"), F.col("na").cast("long").alias("n")).distinct(), "long")
+    in_long = scratch.save(long.groupBy("key").agg(F.count(F.lit(1)).alias("l")), "in-long")
     counted = found.where("c > 0").groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
-        counted = counted.join(in_long.select(F.col("key").alias(side), F.col("m").alias(f"m{side}")), side, "left")
-    most = F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0)))
-    pairs = scratch.save(counted.where(most >= shared_sql(F.least("na", "nb"), threshold)).select("a", "b", "na", "nb"), "pairs")
-    # The smallest set that a class can link to is ceil(threshold * n / 100) large.
-    able = in_long.where(F.col("m") >= shared_sql(F.ceil(F.col("n") * threshold / F.lit(100)), threshold)).select("key")
-    lists = scratch.save(long.join(able, "key", "left_semi"), "lists")
-    names = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(lists.select("key")).distinct()
-    wanted = scratch.save(names.join(classes, "key").select(F.col("rep").alias("doc_id"), F.col("key").alias("want")), "wanted")
-    sets = scratch.save(src.join(wanted, "doc_id").select("doc_id", "text", "want")
-                        .mapInArrow(_whole_sets(k), "key long, n int, hashes binary"), "sets")
-    scratch.drop("found")
-    scratch.release()
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs that link, by whole sets.  Pairs with a common least neighbour are one group (a group of many
-        pairs is split), so a set travels about once; pairs and sets of a group meet in one task."""
-        ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-        lead = scratch.save(ends.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("lead")), f"{tag}-lead")
-        of = lambda side: lead.select(F.col("key").alias(side), F.col("lead").alias(f"l{side}"))
-        led = scratch.save(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", F.least("la", "lb").alias("lead")), f"{tag}-led")
-        parts = led.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(PAIRS)).alias("parts"))
-        grp = F.xxhash64("lead", F.pmod(F.xxhash64("a"), F.col("parts")))
-        asked = scratch.save(led.join(scratch.save(parts, f"{tag}-parts"), "lead").select(grp.alias("grp"), "a", "b"), f"{tag}-asked")
-        need = asked.select("grp", F.col("a").alias("key")).union(asked.select("grp", "b")).distinct()
-        need = scratch.save(need.join(sets.select("key", "n").distinct(), "key"), f"{tag}-need")
-        tasks = max(8, -(-(need.agg(F.sum("n")).first()[0] or 0) // FRAGMENT))
-        shipped = need.select("grp", "key").join(sets.dropDuplicates(["key"]), "key").select("grp", F.lit(0).alias("kind"), F.col("key").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").alias("na"), "hashes")
-        asked = asked.select("grp", F.lit(1).alias("kind"), "a", "b", F.lit(0).alias("na"), F.lit(None).cast("binary").alias("hashes"))
-        met = shipped.unionByName(asked).repartition(tasks, "grp").sortWithinPartitions("grp", "kind")
-        links = scratch.save(met.mapInArrow(_links(threshold), "a long, b long"), f"{tag}-links")
-        scratch.release()
-        return links
-
-    labels = scratch.save(wanted.select(F.col("want").alias("key"), F.col("want").alias("label")), "labels")
-    if not pairs.isEmpty():
-        labels = merge(labels, verified(pairs, "short"), scratch, "short")
-    probes, longest, turn = 1, lists.groupBy("token").count().agg(F.max("count")).first()[0] or 0, 0
-    while longest and probes // 4 < longest:
-        now = lists.join(labels, "key")
-        mixed = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-        now = scratch.save(now.join(mixed, "token"), f"turn{turn}-open")
-        if now.isEmpty():
-            break
-        most = now.groupBy("token", "label").count().groupBy("token").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = now.join(most, "token").where("label <> main").select("token", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-        by = Window.partitionBy("token").orderBy(F.xxhash64("key", F.lit(turn)), "key")
-        probe = now.withColumn("at", F.row_number().over(by)).where(F.col("at") <= probes).select("token", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-        met = outside.join(probe, "token").where((F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")))
-        swap = F.col("x") < F.col("y")
-        met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(swap, F.col("nx")).otherwise(F.col("ny")).alias("na"),
-                         F.when(swap, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-        met = scratch.save(met, f"turn{turn}-pairs")
-        if not met.isEmpty():
-            labels = merge(labels, verified(met, f"turn{turn}"), scratch, f"turn{turn}")
-        probes, turn = probes * 4, turn + 1
-    scratch.drop("sets")
+        counted = counted.join(in_long.select(F.col("key").alias(side), F.col("l").alias(f"l{side}")), side, "left")
+    counted = counted.withColumn("most", F.col("c") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))).where(F.col("most") >= need("na", "nb"))
+    counted = scratch.save(counted.select("a", "b", (F.col("c") >= need("na", "nb")).alias("sure")), "counted")
+
+    # Pass 3: pivots of the long lists, for the classes that can link by these alone.
+    able = in_long.join(alive, "key").where(F.col("l") >= alone("n"))
+    lists = scratch.save(long.select("token", "key").join(able, "key"), "lists")
+    best = lists.groupBy("token").agg(F.max(F.struct((F.col("l") / F.col("n")).alias("share"), (-F.col("n")).alias("n"), "key")).alias("p"))
+    held = lists.join(best.select("token", F.col("p.key").alias("p")), "token").groupBy("key", "n", "l", "p").agg(F.count(F.lit(1)).alias("i"))
+    held = scratch.save(held, "held")
+    nearest = held.groupBy("key", "n").agg(F.max(F.struct("i", "p")).alias("m")).select("key", "n", F.col("m.p").alias("p"))
+    nearest = nearest.where("key <> p").join(alive.select(F.col("key").alias("p"), F.col("n").alias("m")), "p").where(alike("n", "m"))
+    nearest = nearest.select(F.least("key", "p").alias("a"), F.greatest("key", "p").alias("b"))
+    open_ = scratch.save(counted.where("not sure").select("a", "b").unionByName(nearest).distinct(), "open")
+    named = open_.select(F.col("a").alias("key")).union(open_.select("b")).union(lists.select("key").distinct())
+    texts, sent = texts_of(named, "named")
+    sets = scratch.save(texts.mapInArrow(_whole_sets(k, sent), "key long, hashes array<long>").dropDuplicates(["key"]), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets."""
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+        both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("both"))
+        return both.where(100 * F.col("c") >= threshold * (F.col("both") - F.col("c"))).select("a", "b")
+
+    links = scratch.save(counted.where("sure").select("a", "b").unionByName(verified(open_)), "links")
+    labels = scratch.save(alive.select("key", F.col("key").alias("label")), "labels")
+    labels = merge(labels, links, scratch, "first")
+    # The rest: pairs in different components, by the numbers of their long-list shingles.  Of a class only the pivots
+    # that a partner must share one of are looked at: without them, too few of its shingles are left.
+    before = F.sum("i").over(Window.partitionBy("key").orderBy(F.desc("i"), "p")) - F.col("i")
+    now = held.join(labels, "key")
+    size = now.groupBy("p").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    now = scratch.save(now.join(size.select("p", "members", "least"), "p").withColumn("parts", F.ceil(F.col("members") / SPLIT)), "now")
+    main = now.groupBy("p", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("p").agg(F.max(F.struct("size", "label")).alias("m")).select("p", F.col("m.label").alias("main"))
+    x = now.withColumn("before", before).where(F.col("l") - F.col("before") >= alone("n")).join(main, "p").where("label <> main")
+    smallest = F.greatest(F.col("least"), alone("n"))
+    x = x.where(F.col("l") >= F.ceil((F.col("n") + smallest) * threshold / F.lit(100 + threshold)))
+    x = x.select("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("key").alias("x"), F.col("n").alias("nx"), F.col("l").alias("lx"), F.col("i").alias("ix"),
+                 F.col("label").alias("labelx"))
+    y = now.select("p", F.pmod(F.xxhash64("key"), "parts").alias("part"), F.col("key").alias("y"), F.col("n").alias("ny"), F.col("l").alias("ly"), F.col("i").alias("iy"), F.col("label").alias("labely"))
+    bound = F.least("ix", "iy") + F.least(F.col("lx") - F.col("ix"), F.col("ly") - F.col("iy"))
+    rest = x.join(y, ["p", "part"]).where((F.col("labelx") != F.col("labely")) & alike("nx", "ny") & (bound >= need("nx", "ny")))
+    rest = scratch.save(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(open_, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        labels = merge(labels, scratch.save(verified(rest), "rest-links"), scratch, "rest")
     linked = labels.join(classes, "key")
     least_id = linked.groupBy("label").agg(F.min("rep").alias("component_id"))
     comp = classes.join(linked.select("key", "label").join(least_id, "label").select("key", "component_id"), "key", "left")
@@ -400,4 +453,6 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     size = F.col("n").alias("n_shingles")
     some = rows.where("key is not null").join(comp, "key", "left")
     some = some.select("doc_id", size, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return some.unionByName(rows.where("key is null").select("doc_id", size, F.col("doc_id").alias("component_id")))
+    out = some.unionByName(rows.where("key is null").select("doc_id", size, F.col("doc_id").alias("component_id")))
+    scratch.drop("found", "long", "sets", "lists", "held", "now")
+    return out

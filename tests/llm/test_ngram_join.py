@@ -56,8 +56,18 @@ def test_long_lists(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     rows += [(2000 + i, " ".join(f"z{i}{j}" if rng.random() < 0.03 else w for j, w in enumerate(base))) for i in range(60)]
+    # A long text that holds the base and much else is nobody's copy, but shares most with all of them.
+    rows += [(3000, " ".join(base + [f"q{i}" for i in range(40)])), (3001, " ".join(base + [f"q{i}" for i in range(40)] + ["end"]))]
     monkeypatch.setattr(N, "SHORT", 3)
-    monkeypatch.setattr(N, "FREQUENT_FROM", 4)
+    monkeypatch.setattr(N, "SPLIT", 16)
+    monkeypatch.setattr(N, "POOL", 400)
+    monkeypatch.setattr(N, "FRAGMENT", 500)
+    assert got(spark, rows) == brute(rows)
+
+
+def test_more_classes_than_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(N, "SENT", 3)
+    rows = corpus(2)
     assert got(spark, rows) == brute(rows)
 
 
