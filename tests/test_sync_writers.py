@@ -1,5 +1,6 @@
 """Several writers on one table, the completeness gate, attempts and quarantine, stops in a commit, clash chains."""
 
+import importlib
 import json
 import re
 import threading
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from core_helpers import rows
 from tallyspark import schemas as S
-from tallyspark.operators import upsert as U
 from tallyspark.operators.mapping import apply_mappings_into_table
 from tallyspark.operators.settings import save_defaults
 from tallyspark.sources import commits as C
@@ -19,6 +19,7 @@ from tallyspark.sources.tables import init_partitioned, read_data, read_partitio
 from tallyspark.streaming import incremental as I
 from tallyspark.streaming.gate import whole_runs
 
+U = importlib.import_module("tallyspark.operators.upsert")
 ENTITY = "id long, name string, email string, phone string, note string, type string, qb_id string, tenant_id int, is_intrinsic boolean, ntn int, address string"
 
 
