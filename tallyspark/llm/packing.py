@@ -8,6 +8,7 @@ hold a bounded number of pieces, so nothing grows with the corpus but the number
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -88,22 +89,47 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return where, at
 
 
+#: The normaliser and the splitter for which the short way below is right (fixed values of the vocabulary file).
+SPLITS = ({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+          {"type": "Sequence", "pretokenizers": [
+              {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+              {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+letters_only = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+
+
+def _whole_texts(tok):
+    """Rows of text -> ids, each text by the whole tokenizer."""
+    def encode(data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+        texts = [data[i:j].tobytes().decode() for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        ids = [np.array(e.ids, "<u4") for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return b"".join(i.tobytes() for i in ids), np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int64)
+
+    return encode
+
+
 def _encoder(path: str):
     """Rows of text -> ids as little-endian uint32 bytes.
 
     No token crosses white space, so equal chunks between ASCII white space are tokenised once.  A chunk of Latin letters,
     with or without full stops and commas at its end, is one or two words to the tokenizer and goes straight to its
-    merges; any other chunk goes through the whole tokenizer.
+    merges; any other chunk goes through the whole tokenizer, special tokens in the text included.
+
+    That way is taken only for a file that normalises and splits as SPLITS says; with any other, each whole text goes
+    through its tokenizer.
     """
+    import json
     import os
-    import re
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+    told = json.loads(tok.to_str())
+    known_way = (told["normalizer"], told["pre_tokenizer"]) == SPLITS and told["model"]["type"] == "BPE" and not told["model"]["ignore_merges"] and not any(
+        t["lstrip"] or t["rstrip"] or t["normalized"] or set(t["content"]) & set(ASCII_WHITE) or letters_only(t["content"]) for t in told["added_tokens"])
+    if not known_way:
+        return _whole_texts(tok)
+    letters = letters_only
     merges, known, words = tok.model.tokenize, {}, {}
     # The byte-level alphabet: the characters that stand for the bytes of a Latin letter.
     as_chars = {chr(c): "".join(tok.pre_tokenizer.pre_tokenize_str(chr(c))[0][0]) for c in (*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100))}

@@ -38,7 +38,6 @@ def test_segment_tree_is_best_fit():
 
 def test_encoder_is_the_tokenizer():
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     encode = _encoder(public_tokenizers.path("word_bpe_49k.json"))
     rng = np.random.default_rng(0)
     alphabet = list("abcdeABCÀÉéßñøÿ÷×þÞ .,.,'st!3ªµºſKİς\u0301\u00a0\u2003\x1c\n<|>中😀")
@@ -51,9 +50,22 @@ def test_encoder_is_the_tokenizer():
         assert ids == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
+def test_special_tokens_and_other_files():
+    """Special strings are what the library's plain call makes of them; a file that splits otherwise takes the whole tokenizer."""
+    encode = _encoder(public_tokenizers.path("word_bpe_49k.json"))
+    data, off = text_buffers(pa.array(["a <|endoftext|> b", "x<|startoftext|>y <|ENDOFTEXT|>"]))
+    ids, at = encode(data, off)
+    assert np.frombuffer(ids, "<u4")[:at[1]].tolist() == [320, 49407, 321]
+    texts = ["Hello World  two", "", " it's 42\n\nÉté <|endoftext|> end", "x" * 300]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        tok, encode = Tokenizer.from_file(public_tokenizers.path(name)), _encoder(public_tokenizers.path(name))
+        data, off = text_buffers(pa.array(texts))
+        ids, at = encode(data, off)
+        assert [np.frombuffer(ids, "<u4")[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack_documents(spark):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     texts = [(1, "Hello  world's Été é <|endoftext|> 42"), (2, None), (3, ""), (4, "the of " * 3000), (5, "x" * 5000),
              (6, "a b c"), (6, "a b c"), (None, "no id here\x1cx"), (7, "​ΣΑΣ İstanbul ﬁ")]
     df = spark.createDataFrame([(a, b, "clash") for a, b in texts], "doc_id long, text string, TEXT_ string").withColumn("start", F.lit("x"))
