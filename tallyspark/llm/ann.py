@@ -26,30 +26,39 @@ FOUND_DDL = "rid long, query_id long, vec_id long, score double"
 
 
 class Quantised:
-    """Rows as scale * int8 + error, with the norms that bound the error of a product."""
+    """Rows as largest * (int8 / 127 + error), with the norms, of the row over its largest component, that bound the
+    error of a product; so no norm overflows."""
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.scale = np.maximum(np.abs(x).max(axis=1, initial=0), np.finfo(float).tiny) / 127
-        self.q = np.rint(x / self.scale[:, None]).astype(np.int8)
-        near = self.q * self.scale[:, None]
-        self.norm, self.near, self.error = (np.sqrt((v * v).sum(axis=1)) for v in (x, near, x - near))
+        self.largest = np.maximum(np.abs(x).max(axis=1, initial=0), np.finfo(float).tiny)
+        unit = x / self.largest[:, None]
+        self.q = np.rint(unit * 127).astype(np.int8)
+        near = self.q / 127
+        self.norm, self.near, self.error = (np.sqrt((v * v).sum(axis=1)) for v in (unit, near, unit - near))
 
 
 def tile(a: Quantised, b: Quantised) -> tuple[np.ndarray, np.ndarray]:
-    """Approximate products and the bound on their error."""
+    """Approximate products and the bound on their error; a bound of infinity where they are beyond double precision."""
     kind = np.float32 if a.x.shape[1] <= 1000 else np.float64  # sums of int8 products are exact in it
-    p = (a.q.astype(kind) @ b.q.astype(kind).T) * a.scale[:, None] * b.scale[None, :]
+    p = (a.q.astype(kind) @ b.q.astype(kind).T).astype(float) / 127**2
     bound = np.outer(a.error, b.norm) + np.outer(a.near, b.error) + 1e-9 * np.outer(a.norm, b.norm)
-    return p, bound
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.outer(a.largest, b.largest)
+        # The last term covers products that underflow.
+        p, bound = p * size, bound * size + a.x.shape[1] * np.finfo(float).tiny
+        known = np.isfinite(size) & (size * a.x.shape[1] < np.finfo(float).max)
+    return np.where(known, p, 0.0), np.where(known, bound, np.inf)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products row by row, summed from the first component to the last: equal vectors give equal scores."""
+    """Inner products row by row, summed from the first component to the last: equal vectors give equal scores.  Where
+    infinities of both signs meet, the sum counts as the least of all."""
     s = np.zeros(len(a))
-    for d in range(a.shape[1]):
-        s += a[:, d] * b[:, d]
-    return s
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(a.shape[1]):
+            s += a[:, d] * b[:, d]
+    return np.where(np.isnan(s), -np.inf, s)
 
 
 def push(heap: list, k: int, items: Iterator[tuple[float, int]]) -> None:
@@ -82,14 +91,15 @@ def _search(dim: int, k: int):
             for i, part in blocks:
                 p, bound = tile(part, x)
                 here = (mine >= i) & (mine < i + CHUNK)
-                p[mine[here] - i, theirs[here]] = -np.inf
-                least = p - bound
+                other = np.ones(p.shape, bool)
+                other[mine[here] - i, theirs[here]] = False
+                least = np.where(other, p - bound, -np.inf)
                 if p.shape[1] > k:
                     least = np.partition(least, p.shape[1] - k, axis=1)[:, p.shape[1] - k]
                     limit = np.maximum(floor[i:i + len(p)], least)
                 else:
                     limit = floor[i:i + len(p)]
-                r, f = np.nonzero((p + bound >= limit[:, None]) & np.isfinite(p))
+                r, f = np.nonzero((p + bound >= limit[:, None]) & other)
                 if not len(r):
                     continue
                 s = np.concatenate([exact(part.x[r[j:j + 65536]], x.x[f[j:j + 65536]]) for j in range(0, len(r), 65536)])
@@ -128,7 +138,8 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """query_id, rank, vec_id, score: the k largest inner products (double precision, original vectors) per query.
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows but the query's own; ties go to the
-    smaller id.  With fewer candidates than k all are returned.  Vectors that are null, zero, or hold a null or a
+    smaller id.  With fewer candidates than k all are returned.  A product beyond double precision
+    is an infinity.  Vectors that are null, zero, or hold a null or a
     non-finite component, and rows with a null id take no part; a shorter vector counts as filled up with zeros.
     Rows that repeat an id are rows of their own.  Other columns are not read; an empty table gives no rows.
     """

@@ -55,6 +55,26 @@ def test_error_bound():
         assert (np.abs(p - a @ b.T) <= bound).all()
 
 
+def test_large_and_small_components(spark):
+    """Norms beyond double precision, products that overflow or underflow: every finite vector takes part."""
+    def of(data):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df).collect())
+
+    assert of([(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [1.0, 0.0])]) == [(0, 1, 1, math.inf), (0, 2, 2, 1e200)]
+    rng = np.random.default_rng(4)
+    scale = 10.0 ** rng.integers(-170, 150, 400)
+    data = [(i, (rng.normal(size=5) * s).tolist()) for i, s in enumerate(scale)]
+    got = of(data)
+    x = np.array([v for _, v in data])
+    for q in range(0, 400, 20):
+        s = np.zeros(400)
+        for d in range(5):
+            s = s + x[q, d] * x[:, d]
+        want = sorted((-v, j) for j, v in enumerate(s) if j != q)[:20]
+        assert [(r[2], r[3]) for r in got if r[0] == q] == [(j, -v) for v, j in want]
+
+
 @pytest.mark.parametrize("search", [exact_topk, nearest])
 def test_few_rows(spark, search):
     assert search(frame(spark, [])).collect() == []
