@@ -3,10 +3,10 @@
 The text view sees statistics of the content alone (per document, and the mean and the extreme over its lines); the
 metadata view sees lang, source and the declared length alone.  Both start from the labelled documents.  In each
 round every document without a label is scored by both views, and each view hands its most confident documents of
-either class to the other as pseudo-labels.  After the last round each view's log odds are calibrated on labelled
+either class to the other as pseudo-labels; what a view was given has left its pool, so each round brings others.  After the last round each view's log odds are calibrated on labelled
 documents kept aside, the calibrated views are added up, and all documents are scored.
 
-A fit uses a bounded sample (FIT_ROWS labelled rows, GIVEN pseudo-labels per round, view and class); features,
+A fit uses a bounded sample (FIT_ROWS labelled rows, at most FIT_ROWS / 8 pseudo-labels per round, view and class); features,
 scores and the choice of the most confident documents cover all documents.
 """
 
@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, hash_words, row_words, single, slices, text_buffers
+from tallyspark.llm.common import Scratch, hash_words, row_words, rows_of, single, slices, text_buffers
 from tallyspark.llm.linear import Dense, fit_logistic, platt, sigmoid
 
-ROUNDS, FIT_ROWS, GIVEN = 3, 16_384, 512
+ROUNDS, FIT_ROWS = 3, 16_384
+#: Pseudo-labels per round, view and class: this share of the unlabelled documents, but not fewer than GIVEN_LEAST, and
+#: (as a fit is bounded) not more than FIT_ROWS / 8.
+GIVEN, GIVEN_LEAST = 0.01, 64
 #: A pseudo-label counts less than a label, and must be at least so sure (calibrated).
 PSEUDO_WEIGHT, SURE = 0.25, 0.95
 L2, BYTES = 1.0, 1 << 20
@@ -200,19 +203,27 @@ def _learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str) ->
         return r[0] if r else next(_fit_views(iter(()))).column(0)[0].as_py()  # no task runs on an empty frame
 
     now = views(sample)
+    size = rows_of(pool)
+    most = min(max(GIVEN_LEAST, int(size * GIVEN)), FIT_ROWS // 8)
+    told = []  # what each round has handed over
     for turn in range(ROUNDS):
         scored = pool.mapInArrow(_score(now), "doc_id long, text_score double, meta_score double, score double")
         scored = scratch.save(scored, f"scored{turn}")
         picks = []
         for view, other in (("text", "meta"), ("meta", "text")):
+            # A document is handed to a view once: it has left that view's pool.
+            fresh = scored
+            for c in told:
+                fresh = fresh.join(F.broadcast(c.where(F.col("kind") == other).select("doc_id")), "doc_id", "left_anti")
             for y, s in ((1, F.col(f"{view}_score")), (0, 1 - F.col(f"{view}_score"))):
-                best = scored.where((s >= SURE) & F.col("doc_id").isNotNull()).orderBy(F.desc(s), *order).limit(GIVEN)
+                best = fresh.where((s >= SURE) & F.col("doc_id").isNotNull()).orderBy(F.desc(s), *order).limit(most)
                 picks.append(best.select("doc_id", F.lit(y).alias("y"), F.lit(other).alias("kind")))
         chosen = picks[0]
         for p in picks[1:]:
             chosen = chosen.unionByName(p)
         chosen = scratch.save(chosen, f"chosen{turn}")
-        # At most 4 * GIVEN ids, so the broadcast is bounded; a repeated id brings one of its rows.
+        told.append(chosen)
+        # At most FIT_ROWS / 2 ids, so the broadcast is bounded; a repeated id brings one of its rows.
         extra = x.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind", "y").agg(F.min(F.struct("text_x", "meta_x")).alias("v"))
         sample = scratch.save(sample.unionByName(extra.select("v.text_x", "v.meta_x", "y", "kind")), f"sample{turn}")
         now = views(sample.orderBy("kind", "text_x", "meta_x", "y"))

@@ -3,6 +3,7 @@ import zlib
 import duckdb
 import numpy as np
 
+from tallyspark.llm import cotraining as C
 from tallyspark.llm.common import table
 from tallyspark.llm.cotraining import META, TEXT, meta_features, quality_scores, text_features, without_low_quality
 from tallyspark.llm.linear import Dense, Sparse, fit_logistic, sigmoid
@@ -57,3 +58,39 @@ def test_odd_rows(spark):
     assert len(got) == 4 and len({round(r.score, 9) for r in got}) == 1  # one class only: the smoothed share
     assert without_low_quality(docs, labels).columns == docs.columns and without_low_quality(docs, labels).count() == 4
     assert quality_scores(docs.limit(0), labels.limit(0)).collect() == []
+
+
+def test_rounds_pick_different_documents(spark, monkeypatch):
+    """What a view was given has left its pool; the views' picks follow the size of the pool."""
+    picked: list = []
+    real = C.Scratch.save
+
+    def save(self, df, name):
+        out = real(self, df, name)
+        if name.startswith("chosen"):
+            picked.append({(r.doc_id, r.kind) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(C.Scratch, "save", save)
+    monkeypatch.setattr(C, "GIVEN_LEAST", 20)
+    quality_scores(table(spark, SF01, "documents"), table(spark, SF01, "labels"))
+    assert len(picked) == C.ROUNDS and picked[0] and not picked[0] & picked[1] and not (picked[0] | picked[1]) & picked[2]
+    assert all(0 < len(p) <= 4 * 20 for p in picked)
+
+
+def test_two_views_teach_each_other(spark):
+    """Two independent informative views: what both say together is better than either view trained alone."""
+    rng = np.random.default_rng(11)
+    n, good = 1500, "the plain words of a quiet and useful page about rivers and old towns "
+    rows, labels = [], []
+    for i in range(n):
+        y = int(rng.random() < 0.5)
+        text = good * int(rng.integers(1, 4)) if (rng.random() < 0.85) == bool(y) else "BUY!! NOW!! " * int(rng.integers(2, 9))
+        rows.append((i, text, "en", f"s{int(rng.integers(4)) + 4 * ((rng.random() < 0.85) == bool(y))}", len(text)))
+        if i < 60:
+            labels.append((i, y))
+        rows[-1] = (*rows[-1], y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, truth int")
+    got = quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    right = lambda col: np.mean([(r[col] >= 0.5) == bool(rows[r.doc_id][5]) for r in got if r.doc_id >= 60])
+    assert right("score") >= 0.8 and right("score") >= max(right("text_score"), right("meta_score")) - 0.01
