@@ -33,6 +33,25 @@ def single(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{df.columns[i]}`").alias(c) for i, c in zip(out, cols, strict=True)])
 
 
+def unclashed(df: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """The frame with the named columns under exactly these names and no two names that clash by case; and its own
+    names, which ``out.toDF(*names)`` gives back to a frame of the same columns."""
+    at = {}
+    for c in cols:
+        found = [i for i, n in enumerate(df.columns) if n == c] or [i for i, n in enumerate(df.columns) if n.lower() == c.lower()]
+        if not found:
+            raise ValueError(f"column {c!r} is missing; the frame has {df.columns}")
+        at[found[0]] = c
+    taken, names = {c.lower() for c in cols}, []
+    for i, n in enumerate(df.columns):
+        name = at.get(i, n)
+        while i not in at and name.lower() in taken:
+            name = f"_{i}_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return df.toDF(*names), df.columns
+
+
 class Scratch:
     """Tables of one run in the shared folder (``spark.checkpoint.dir``).
 

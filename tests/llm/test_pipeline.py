@@ -75,3 +75,19 @@ def test_near_copies_with_repeated_ids(spark):
     got = sorted((r.doc_id, r.lang) for r in P.drop_near_copies(spark, docs, "").collect())
     assert got == [(1, "x"), (2, "z"), (4, "v"), (4, "w")]
     assert P.drop_near_copies(spark, docs, "").columns == docs.columns
+
+
+def test_stages_with_clashing_columns(spark):
+    """All five stages on a frame with TEXT, DOC_ID and the like beside the real columns: same rows, all columns back."""
+    docs = table(spark, SF001, "documents").limit(60).cache()
+    extra = ["TEXT", "DOC_ID", "Lang", "N_CHARS"]
+    more = docs.selectExpr("*", *[f"concat('x', doc_id) as {c}" for c in extra])
+    for name, stage in P.STAGES:
+        plain, got = stage(spark, docs, SF001), stage(spark, more, SF001)
+        if name == "packing":
+            assert sorted(map(tuple, got.select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, plain.select("doc_id", "start", "ids_crc32").collect()))
+            continue
+        assert got.columns == [*docs.columns, *extra]
+        at = got.columns.index("text")
+        assert sorted((r[0], r[at]) for r in got.collect()) == sorted((r[0], r[at]) for r in plain.collect())
+        assert all(r[got.columns.index("DOC_ID")] == f"x{r[0]}" for r in got.collect())
