@@ -7,10 +7,12 @@ least id); of every repeated passage one copy stays; what is left is packed.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, table
+from tallyspark.llm.common import Scratch, table, unclashed
 from tallyspark.llm.cotraining import without_low_quality
 from tallyspark.llm.ngram_join import ngram_jaccard_components
 from tallyspark.llm.packing import pack_documents
@@ -18,14 +20,32 @@ from tallyspark.llm.suffix_dedup import cut_repeats, repeated_passages
 from tallyspark.llm.toxicity import without_toxic
 
 
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _filter(stage):
+    """A stage over frames whose other columns may clash with those it reads, by case: it sees unambiguous names."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        have = {c.lower() for c in docs.columns}
+        plain, names = unclashed(docs, *[c for c in READ if c in have])
+        return stage(spark, plain, sf_dir).toDF(*names)
+
+    return run
+
+
+@_filter
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_filter
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
+@_filter
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id, and rows without words, link with nothing and stay.
 
@@ -42,12 +62,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return known.join(kept, key, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
+@_filter
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut_repeats(docs, repeated_passages(docs.select("doc_id", "text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs.select("doc_id", "text"))
+    return pack_documents(docs)
 
 
 STAGES = [
