@@ -2,9 +2,9 @@
 
 The source system lets MySQL enforce keys, NOT NULL, VARCHAR lengths, the
 ENUM domain and defaults at write time; parquet tables need them as jobs.
-Every audit returns violating rows tagged with a rule name, computed with one
-scan (not-null, length and domain rules run together) or one partial
-aggregation (unique keys).
+Every audit returns violating rows tagged with a rule name.  All declared keys
+of all tables take one scan of each table and one partial aggregation
+(``audit_keys``); not-null, length and domain rules are one scan each.
 """
 
 from __future__ import annotations
@@ -77,12 +77,62 @@ def audit_not_null(df: DataFrame, cols: list[str], key_cols: list[str], table: s
             .select(F.lit(table).alias("table_name"), F.lit("not_null").alias("rule"), "key", "column_name"))
 
 
+def _key_rows(df: DataFrame, table: str, primary: list[str], unique: list[list[str]], collation: str | None) -> DataFrame:
+    """(table_name, rule, hash, key, folded): a row for each declared key of each row, in one scan.
+
+    A primary key compares exactly (by its hash and its text), a unique key with strings by its text under the
+    collation.  A row with a NULL in a primary key gives a 'not_null' row instead; a NULL in a unique key exempts it."""
+    name = collation or "UTF8_BINARY"
+
+    def entry(rule: str, cols: list[str], fold: bool) -> Column:
+        text = _key_str(cols)
+        return F.struct(F.lit(rule).alias("rule"), (F.lit(0).cast("long") if fold else F.xxhash64(*cols)).alias("hash"), F.when(F.lit(not fold), text).alias("key"),
+                        F.collate(F.when(F.lit(fold), text), name).alias("folded"))
+
+    rows = []
+    if primary:
+        null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in primary])
+        rows.append(F.when(null, entry("not_null", primary, False)).otherwise(entry("primary_key", primary, False)))
+    for cols in unique:
+        full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        fold = collation is not None and any(isinstance(df.schema[c].dataType, StringType) for c in cols)
+        rows.append(F.when(full, entry("unique", list(cols), fold)))
+    return df.select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*rows))).alias("_k")).select("table_name", "_k.*")
+
+
+def _key_faults(rows: DataFrame) -> DataFrame:
+    out = rows.groupBy("table_name", "rule", "hash", "key", "folded").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("rule") == "not_null"))
+    return out.select("table_name", "rule", F.coalesce("key", F.collate("folded", "UTF8_BINARY")).alias("key"), "n")
+
+
+def audit_keys(tables: dict[str, DataFrame], collation: str | None = "UNICODE_CI_AI") -> DataFrame:
+    """Q1, Q2: every declared primary and unique key of the given tables: table_name, rule ('primary_key', 'unique',
+    'not_null' for NULLs in a primary key), key, n.  Each table is scanned once and all keys share one aggregation.  A
+    key is audited if the frame has its columns."""
+    parts = []
+    for name, df in tables.items():
+        r, have = RULES[name], set(df.columns)
+        primary = list(r.primary_key) if set(r.primary_key) <= have else []
+        unique = [list(k) for k in r.unique if set(k) <= have]
+        if primary or unique:
+            parts.append(_key_rows(df, name, primary, unique, collation))
+    return _key_faults(reduce(DataFrame.unionByName, parts))
+
+
+def audit_references(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q6: every declared reference between the given tables, as anti joins: table_name, rule, key, parent, ref."""
+    parts = []
+    for name, df in tables.items():
+        for cols, parent, parent_cols in RULES[name].references:
+            if parent in tables and set(cols) <= set(df.columns):
+                key = [c for c in RULES[name].primary_key if c in df.columns]
+                parts.append(audit_reference(df, list(cols), tables[parent], list(parent_cols), key, name, parent))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def audit_primary_key(df: DataFrame, keys: list[str], table: str = "") -> DataFrame:
-    """Q2: duplicate keys (rule 'primary_key') and NULL key parts ('not_null')."""
-    dup = audit_unique(df, keys, table, rule="primary_key")
-    nulls = audit_not_null(df, keys, keys, table).groupBy("table_name", "rule", "key").agg(
-        F.count(F.lit(1)).alias("n"))
-    return dup.unionByName(nulls)
+    """Q2: duplicate keys (rule 'primary_key') and NULL key parts ('not_null'), in one scan and one aggregation."""
+    return _key_faults(_key_rows(df, table, keys, [], None))
 
 
 def audit_length(df: DataFrame, lengths: dict, key_cols: list[str], table: str = "") -> DataFrame:

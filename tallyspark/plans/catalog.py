@@ -400,6 +400,29 @@ def q_audit_primary_key(spark, sf_dir):
     return audit_primary_key(D.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
 
 
+def _audited(spark, sf_dir):
+    """Frames shaped like the declared tables, with repeated and NULL keys and references without a parent."""
+    skus = D.local_skus(spark, sf_dir).withColumn("sku", F.concat(F.when(F.col("id") % 2 == 0, F.lit("sku-")).otherwise(F.lit("SKU-")), F.floor(F.col("id") / 8).cast("string")))
+    links = D.local_assignments(spark, sf_dir).withColumn("type", F.when(F.col("id") % 14 == 0, F.lit(9)).otherwise(F.col("type")))
+    return {"entities": D.order_entities(spark, sf_dir).select("id", "name", "tenant_id"), "skus": skus, "menu_items": D.part_menu_items(spark, sf_dir).where("id % 3 <> 0"),
+            "qb_defaults": D.default_saves(spark, sf_dir).select(F.col("seq").alias("id"), "name", "qb_id", "qb_name"), "entity_assignments": links,
+            "entity_types": D.entity_types(spark), "branches": D.branches(spark, sf_dir)}
+
+
+@query
+def q_audit_keys(spark, sf_dir):
+    """Q1, Q2 over all declared keys of seven tables in one aggregation."""
+    from tallyspark.operators.validate import audit_keys
+    return audit_keys(_audited(spark, sf_dir)).withColumn("key", F.lower("key"))
+
+
+@query
+def q_audit_references(spark, sf_dir):
+    """Q6 over the declared references between these tables."""
+    from tallyspark.operators.validate import audit_references
+    return audit_references({k: v for k, v in _audited(spark, sf_dir).items() if k != "entities"})
+
+
 @query
 def q_audit_not_null(spark, sf_dir):
     from tallyspark.operators.validate import audit_not_null

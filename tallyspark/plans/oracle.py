@@ -458,6 +458,29 @@ SELECT 'lineitem', 'not_null', coalesce(CAST(l_orderkey AS VARCHAR), 'NULL') ||
        coalesce(CAST(l_linenumber AS VARCHAR), 'NULL'), count(*)
 FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL GROUP BY 3"""
 
+_SKU_KEY = "lower('sku-' || CAST(p_partkey // 8 AS VARCHAR)) || '|' || CAST(p_partkey % 4 AS VARCHAR)"
+ORACLE["audit_keys"] = f"""
+SELECT 'entities' AS table_name, 'not_null' AS rule, CAST(o_orderkey AS VARCHAR) || '|null' AS key, count(*) AS n FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 3
+UNION ALL
+SELECT 'entities', 'primary_key', CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey % 4 AS VARCHAR), count(*) FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 3 HAVING count(*) > 1
+UNION ALL
+SELECT 'entities', 'unique', lower('Order ' || o_orderpriority) || '|' || CAST(o_custkey % 4 AS VARCHAR), count(*) FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 3 HAVING count(*) > 1
+UNION ALL
+SELECT 'skus', 'unique', {_SKU_KEY}, count(*) FROM part GROUP BY 3 HAVING count(*) > 1
+UNION ALL
+SELECT 'qb_defaults', 'primary_key', CAST(o_orderkey AS VARCHAR), count(*) FROM orders GROUP BY 3 HAVING count(*) > 1
+UNION ALL
+SELECT 'qb_defaults', 'unique', k[o_orderkey % 9 + 1], count(*) FROM orders, (SELECT {_KEYS} AS k) GROUP BY 3 HAVING count(*) > 1"""
+
+ORACLE["audit_references"] = """
+SELECT 'skus' AS table_name, 'reference' AS rule, CAST(p_partkey AS VARCHAR) || '|' || CAST(p_partkey % 4 AS VARCHAR) AS key, 'menu_items' AS parent,
+       CAST(p_partkey // 2 AS VARCHAR) || '|' || CAST(p_partkey % 4 AS VARCHAR) AS ref
+FROM part s WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 3 <> 0 AND p.p_partkey = s.p_partkey // 2 AND p.p_partkey % 4 = s.p_partkey % 4)
+UNION ALL
+SELECT 'entity_assignments', 'reference', CAST(c_custkey * 2 + 1 AS VARCHAR) || '|' || CAST(c_nationkey % 4 AS VARCHAR), 'entity_types', '9' FROM customer WHERE c_custkey % 10 <> 0 AND (c_custkey * 2 + 1) % 14 = 0
+UNION ALL
+SELECT 'entity_assignments', 'reference', CAST(s_suppkey * 2 + 2 AS VARCHAR) || '|' || CAST(s_nationkey % 4 AS VARCHAR), 'entity_types', '9' FROM supplier WHERE s_suppkey % 10 <> 0 AND (s_suppkey * 2 + 2) % 14 = 0"""
+
 ORACLE["audit_not_null"] = """
 SELECT 'entities' AS table_name, 'not_null' AS rule, CAST(o_orderkey AS VARCHAR) AS key, 'tenant_id' AS column_name
 FROM orders WHERE o_orderkey % 11 = 0"""
