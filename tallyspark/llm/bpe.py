@@ -12,6 +12,7 @@ the merged bytes, which is its rank.
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -31,6 +32,9 @@ WORDS, BUNDLE = 250_000, 500
 #: broadcast), found in about SAMPLE documents.  They only save work: any word that is not among them is folded
 #: where it occurs.
 SLOTS, LONGEST, SAMPLE = 1 << 19, 64, 32_768
+#: Longest match, in bytes, whose merges are folded by the Spark expression, whose time is quadratic in it; a longer one
+#: is merged by a heap in the task that meets it.
+FOLDED = 256
 #: Stands for "no merge" among the ranks of adjacent pairs; what is added to an id to make it larger than any rank.
 NONE, TOKEN = 1 << 20, 1 << 21
 #: Unicode White_Space, as a class of Java's patterns (fixed values).
@@ -85,7 +89,7 @@ def fold_merges(words: str, path: str) -> Column:
     The accumulator alternates the ranks of adjacent pairs with tokens, between two NONE: rank, token, rank, token,
     ..., rank.  Tokens are larger than any rank, so its minimum is the least rank and the first place of that the
     leftmost pair.  Each step puts the merged token for the pair and looks up the two pairs that it forms.  A word of
-    n bytes takes at most n - 1 steps.
+    n bytes takes at most n - 1 steps.  A word that starts with a negative number is merged already (``merge_long``).
     """
     shift, table, places = rank_table(path)
     look = partial(_look, places=places, groups=len(shift))
@@ -95,12 +99,35 @@ def fold_merges(words: str, path: str) -> Column:
     step = f"""get(transform(array(array_min(s)), m -> if(m = {NONE}L, s,
         get(transform(array(cast(array_position(s, m) as int)), j -> {merged}), 0))), 0)"""
     ids = f"transform(filter(s, v -> v >= {TOKEN}L), v -> v - {TOKEN}L)"
-    fold = f"aggregate(slice(w, 2, size(w)), {first}, (s, x) -> {step}, s -> {ids})"
+    fold = f"if(get(w, 0) < 0L, transform(slice(w, 2, size(w)), v -> v - {TOKEN}L), aggregate(slice(w, 2, size(w)), {first}, (s, x) -> {step}, s -> {ids}))"
     # The texts of the literals are folded to arrays when the plan is optimised; each stands in the plan once.
     literal = lambda x, kind: f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)"
     return F.expr(f"get(transform(array({literal(shift, 'int')}), shift -> get(transform(array({literal(table, 'bigint')}), t -> transform({words}, w -> {fold})), 0)), 0)")
 
 
+def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one long match by a heap of its pairs, where each merge touches its two neighbours only: least rank
+    first, of equal ranks the leftmost."""
+    n = len(raw)
+    piece = [raw[i:i + 1] for i in range(n)]
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(raw[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i] if piece[i] is not None else -1
+        if j < 0 or ranks.get(piece[i] + piece[j]) != rank:
+            continue  # one of the two has changed since
+        piece[i], piece[j] = piece[i] + piece[j], None
+        after[i] = k = after[j]
+        if k >= 0:
+            before[k] = i
+        for a, b in ((before[i], i), (i, k)):
+            if a >= 0 and b >= 0 and (r := ranks.get(piece[a] + piece[b])) is not None:
+                heapq.heappush(heap, (r, a))
+    return [ranks[p] for p in piece if p is not None]
+
+
 def decoded(ids: Column, path: str) -> Column:
     """Binary column: the bytes of the ids, joined (null for a null list or an unknown id)."""
     by_id = sorted((n, w.hex()) for w, n in read_ranks(path).items())
@@ -153,7 +180,7 @@ def _number(path: str, shared):
     """(id, words) -> bundles: ids, words per document, word numbers, and the byte tokens of words not met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_token = _byte_tokens(path)
+        byte_token, ranks = _byte_tokens(path), read_ranks(path)
         frequent = {w: i for i, w in enumerate(shared.value["word"].to_pylist())}
         known: dict[str, int] = {}
         for b in batches:
@@ -171,8 +198,9 @@ def _number(path: str, shared):
                     known[w] = len(frequent) + len(known)
                 number = np.array([known[w] if (f := frequent.get(w)) is None else f for w in names], np.int32)
                 raw = [w.encode() for w in fresh]
-                off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(byte_token[np.frombuffer(b"".join(raw), np.uint8)]))
+                given = [byte_token[np.frombuffer(r, np.uint8)] if len(r) <= FOLDED else np.array([-1, *(i + TOKEN for i in merge_long(r, ranks))], np.int64) for r in raw]
+                off = np.concatenate([[0], np.cumsum([len(g) for g in given])]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*given, np.zeros(0, np.int64)])))
                 sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), pa.array([sizes.tobytes()], pa.binary()),
@@ -236,7 +264,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     """doc_id, ids (array<int>): every text encoded by the ranks, each match of the pattern by itself.
 
     Null and empty texts have no ids.  Rows that repeat an id, and rows with a null id, are encoded one by one; an
-    empty table gives no rows; other columns are not read.  The time for one match is quadratic in its length.
+    empty table gives no rows; other columns are not read.  A match of up to FOLDED bytes is folded in time quadratic in
+    its length, a longer one merged in time n log n.
     """
     path = ranks or public_tokenizers.path(RANKS)
     cut = F.lit(java_pattern(pattern or public_tokenizers.PATTERN))

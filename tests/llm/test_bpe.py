@@ -1,10 +1,11 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers as P
 import tiktoken
 
-from tallyspark.llm.bpe import decode, encode, read_ranks
+from tallyspark.llm.bpe import decode, encode, merge_long, read_ranks
 from tallyspark.llm.common import table
 from tallyspark.llm.queries import op9_byte_bpe
 
@@ -42,3 +43,17 @@ def test_query(spark):
 def test_unknown_ids(spark):
     df = spark.createDataFrame([(1, [0, 99999]), (2, None), (3, [])], "i int, ids array<int>")
     assert [None if r.decoded is None else bytes(r.decoded) for r in decode(df).orderBy("i").collect()] == [None, None, b""]
+
+
+def test_long_matches(spark):
+    """Unbroken runs take time in proportion to their length (times its logarithm), with the library's ids."""
+    enc, ranks, rng = reference(), read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), np.random.default_rng(8)
+    for n in (2, 3, 50, 257, 900):
+        t = "".join(rng.choice(list("abcdeéßth"), n))
+        assert merge_long(t.encode(), ranks) == enc.encode_ordinary(t)
+    texts = ["".join(rng.choice(list("etaoinshrdlu"), n)) for n in (255, 256, 257, 5000, 1_000_000)] + ["x" * 100_000, "=" * 50_000]
+    begin = time.monotonic()
+    got = decode(encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2))).collect()
+    assert time.monotonic() - begin < 90
+    for r in got:
+        assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
