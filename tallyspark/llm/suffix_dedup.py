@@ -162,18 +162,40 @@ def runs(doc: np.ndarray, at: np.ndarray, flag: np.ndarray) -> Iterator[pa.Recor
         yield b.slice(k, 50_000)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments sorted by frag -> what repeats in them."""
-    for h, doc, at, flag in _by_fragment(batches):
-        order, flag, _ = settle(h, doc, at, flag)
-        some = flag > FIRST
-        yield from runs(doc[order][some], at[order][some], flag[some])
+PLACES = pa.schema([("doc_id", pa.int64()), ("ats", pa.list_(pa.int32()))])
+PLACES_DDL = "doc_id long, ats array<int>"
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for r in one_by_one(b):
-            yield from runs(*unpacked(r)[1:])
+def places(doc: np.ndarray, at: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Repeated places, one row for each document."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    i = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(i, len(doc)).astype(np.int32)), pa.array(at.astype(np.int32)))
+    b = pa.RecordBatch.from_arrays([pa.array(doc[i], pa.int64()), lists], schema=PLACES)
+    for k in range(0, len(b), 50_000):
+        yield b.slice(k, 50_000)
+
+
+def _compare(told):
+    """Fragments sorted by frag -> what repeats in them (as ``runs`` or as ``places``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, doc, at, flag in _by_fragment(batches):
+            order, flag, _ = settle(h, doc, at, flag)
+            some = flag > FIRST
+            yield from told(doc[order][some], at[order][some], flag[some])
+
+    return run
+
+
+def _settled(told):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in one_by_one(b):
+                yield from told(*unpacked(r)[1:])
+
+    return run
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -240,19 +262,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = single(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    def dealt(packed: DataFrame, frags: int) -> DataFrame:
-        own = packed.where("frag >= 0").repartition(frags, F.col("frag")).sortWithinPartitions("frag").mapInArrow(_compare, RUN_DDL)
-        return own.unionByName(packed.where("frag < 0").mapInArrow(_settled, RUN_DDL))
+    def dealt(packed: DataFrame, frags: int, told, ddl: str) -> DataFrame:
+        own = packed.where("frag >= 0").repartition(frags, F.col("frag")).sortWithinPartitions("frag").mapInArrow(_compare(told), ddl)
+        return own.unionByName(packed.where("frag < 0").mapInArrow(_settled(told), ddl))
 
     frags = max(8, -(-int(size / 5 * 2 / (min_words - gram + 2)) // FRAGMENT))
     kept = scratch.save(src.mapInArrow(_suffixes(frags, min_words, gram), ENTRY_DDL), "suffixes")
-    matched = scratch.save(dealt(kept, frags), "matched")
+    matched = scratch.save(dealt(kept, frags, places, PLACES_DDL), "matched")
     scratch.drop("suffixes")
-    places = matched.select("doc_id", F.explode(F.sequence("first", "last")).alias("at")).groupBy("doc_id").agg(F.collect_set("at").alias("ats"))
-    n = matched.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0
+    found_at = matched.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
+    n = matched.agg(F.sum(F.size("ats"))).first()[0] or 0
     frags = max(8, -(-int(n * (min_words - gram + 2) / 2) // FRAGMENT))
-    windows = scratch.save(src.join(places, "doc_id").select("doc_id", "text", "ats").mapInArrow(_windows(frags, min_words, gram), ENTRY_DDL), "windows")
-    found = scratch.save(dealt(windows, frags), "runs")
+    windows = scratch.save(src.join(found_at, "doc_id").select("doc_id", "text", "ats").mapInArrow(_windows(frags, min_words, gram), ENTRY_DDL), "windows")
+    found = scratch.save(dealt(windows, frags, runs, RUN_DDL), "runs")
     scratch.drop("windows", "matched")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "later")).alias("found")).mapInArrow(_spans(min_words), SPANS_DDL)
 
