@@ -23,11 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Scratch, rows_of, single
+from tallyspark.llm.common import Scratch, hash_words, rows_of, single, slices, text_buffers
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Words that a task remembers before it starts anew; documents in one bundle.
-WORDS, BUNDLE = 250_000, 500
+#: Words that a task remembers before it starts anew; words in one bundle of documents (a longer document stands alone).
+WORDS, BUNDLE = 1 << 16, 1 << 18
 #: Frequent words are folded once for all tasks: at most SLOTS words of at most LONGEST bytes (this bounds the
 #: broadcast), found in about SAMPLE documents.  They only save work: any word that is not among them is folded
 #: where it occurs.
@@ -131,12 +131,14 @@ def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
 def decoded(ids: Column, path: str) -> Column:
     """Binary column: the bytes of the ids, joined (null for a null list or an unknown id)."""
     by_id = sorted((n, w.hex()) for w, n in read_ranks(path).items())
-    pieces = [""] * (by_id[-1][0] + 1)
+    # No hex digits, so that ``unhex`` of a text that holds them is null.
+    unknown = "??"
+    pieces = [unknown] * (by_id[-1][0] + 1)
     for n, h in by_id:
         pieces[n] = h
     t = F.split(F.lit(",".join(pieces)), ",")
     hexes = F.get(F.transform(F.array(t), lambda p: F.transform(ids, lambda i: F.get(p, i.cast("int")))), F.lit(0))
-    return F.when(~F.exists(hexes, lambda h: h.isNull() | (h == "")), F.unhex(F.array_join(hexes, "")))
+    return F.unhex(F.array_join(hexes, "", unknown))
 
 
 BUNDLED = pa.schema([("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("anew", pa.bool_()), ("fresh", pa.list_(pa.list_(pa.int64())))])
@@ -176,69 +178,107 @@ def frequent_words(src: DataFrame, path: str, scratch: Scratch) -> pa.Table:
     return scratch.save(coded, "frequent-ids").toArrow().combine_chunks()
 
 
+def _places(words: pa.Array):
+    """A look-up of words (distinct): names -> the place of each among words, -1 for those not found.
+
+    Words are found by their hash and then compared, so no word is a Python object.  Of words with the same hash one is
+    found; the others count as not found.
+    """
+
+    def hashes(a: pa.Array) -> np.ndarray:
+        data, off = text_buffers(a)
+        return hash_words(data, off[:-1], off[1:])
+
+    h = hashes(words)
+    order = np.argsort(h).astype(np.int32)
+    h = h[order]
+
+    def run(names: pa.Array) -> np.ndarray:
+        if not len(h):
+            return np.full(len(names), -1, np.int32)
+        at = order[np.minimum(np.searchsorted(h, hashes(names)), len(h) - 1)]
+        return np.where(pc.equal(words.take(pa.array(at)), names).to_numpy(zero_copy_only=False), at, -1)
+
+    return run
+
+
+def _tokens(names: pa.Array, byte_token: np.ndarray, ranks: dict[bytes, int]) -> pa.ListArray:
+    """The byte tokens of each name; of one of over FOLDED bytes -1 and the tokens that are left when it is merged."""
+    data, off = text_buffers(names)
+    tokens, n = byte_token[data], np.diff(off)
+    if (n > FOLDED).any():
+        parts, last = [], 0
+        for i in np.flatnonzero(n > FOLDED).tolist():
+            ids = merge_long(data[off[i]:off[i + 1]].tobytes(), ranks)
+            parts += [tokens[last:off[i]], np.array([-1, *(x + TOKEN for x in ids)], np.int64)]
+            last, n[i] = off[i + 1], len(ids) + 1
+        tokens = np.concatenate([*parts, tokens[last:]])
+        off = np.concatenate([[0], np.cumsum(n)])
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens))
+
+
 def _number(path: str, shared):
     """(id, words) -> bundles: ids, words per document, word numbers, and the byte tokens of words not met before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        byte_token, ranks = _byte_tokens(path), read_ranks(path)
-        frequent = {w: i for i, w in enumerate(shared.value["word"].to_pylist())}
+        byte_token, ranks, words = _byte_tokens(path), read_ranks(path), _plain(shared.value["word"])
+        frequent, find = len(words), _places(words)
         known: dict[str, int] = {}
         for b in batches:
-            for i in range(0, len(b), BUNDLE):
-                part = b.slice(i, BUNDLE)
-                col = part.column(1)
-                values = pc.dictionary_encode(col.flatten())
-                names = values.dictionary.to_pylist()
-                fresh = [w for w in names if w not in frequent and w not in known]
+            sizes = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            for i, j in slices(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), BUNDLE):
+                part = b.slice(i, j - i)
+                values = pc.dictionary_encode(part.column(1).flatten())
+                number = find(values.dictionary)
+                rest = np.flatnonzero(number < 0)
+                rare = values.dictionary.take(pa.array(rest))
+                names = rare.to_pylist()
+                fresh = [k for k, w in enumerate(names) if w not in known]
                 anew = len(known) + len(fresh) > WORDS
                 if anew:
-                    known = {}
-                    fresh = [w for w in names if w not in frequent]
-                for w in fresh:
-                    known[w] = len(frequent) + len(known)
-                number = np.array([known[w] if (f := frequent.get(w)) is None else f for w in names], np.int32)
-                raw = [w.encode() for w in fresh]
-                given = [byte_token[np.frombuffer(r, np.uint8)] if len(r) <= FOLDED else np.array([-1, *(i + TOKEN for i in merge_long(r, ranks))], np.int64) for r in raw]
-                off = np.concatenate([[0], np.cumsum([len(g) for g in given])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*given, np.zeros(0, np.int64)])))
-                sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+                    known, fresh = {}, range(len(names))
+                for k in fresh:
+                    known[names[k]] = frequent + len(known)
+                number[rest] = [known[w] for w in names]
+                tokens = _tokens(rare.take(pa.array(fresh, pa.int32())), byte_token, ranks)
                 yield pa.RecordBatch.from_arrays([
-                    pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), pa.array([sizes.tobytes()], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), pa.array([sizes[i:j].tobytes()], pa.binary()),
                     pa.array([number[values.indices.to_numpy()].tobytes()], pa.binary()), pa.array([anew]),
-                    pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), tokens)], schema=BUNDLED)
+                    pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens)], schema=BUNDLED)
 
     return run
 
 
-def _pieces(lists: pa.Array) -> Iterator[bytes]:
-    """Each list of ids as little-endian int32 bytes."""
-    raw = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-    off = (4 * np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])).astype(int).tolist()
-    return (raw[x:y] for x, y in zip(off, off[1:], strict=False))
+def _plain(col: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(col.chunks) if isinstance(col, pa.ChunkedArray) and col.num_chunks else pa.array([], col.type) if isinstance(col, pa.ChunkedArray) else col
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the lists, one after another, and how many each list has."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
 def _assemble(shared):
     """Bundles with the ids of the new words -> one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: list[bytes] = []
-        ids = shared.value["ids"]
-        for c in ids.chunks if isinstance(ids, pa.ChunkedArray) else [ids]:
-            table.extend(_pieces(c))
-        frequent = len(table)
+        ids, n = _flat(_plain(shared.value["ids"]))
+        frequent, off = len(n), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         for b in batches:
             for k in range(len(b)):
                 docs, sizes, words, anew, codes = (b.column(c)[k] for c in range(5))
                 if anew.as_py():
-                    del table[frequent:]
-                table.extend(_pieces(codes.values))
-                out, at = [], 0
+                    ids, off = ids[:off[frequent]], off[:frequent + 1]
+                new, n = _flat(codes.values)
+                ids, off = np.concatenate([ids, new]), np.concatenate([off, off[-1] + np.cumsum(n, dtype=np.int64)])
                 numbers = np.frombuffer(words.as_py(), np.int32)
-                for n in np.frombuffer(sizes.as_py(), np.int32).tolist():
-                    out.append(b"".join(map(table.__getitem__, numbers[at:at + n].tolist())))
-                    at += n
-                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([docs.values, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), np.int32)))], names=["doc_id", "ids"])
+                first = off[numbers]
+                n = off[numbers + 1] - first
+                end = np.concatenate([[0], np.cumsum(n)])
+                at = np.repeat(first - end[:-1], n)
+                at += np.arange(len(at))
+                ends = end[np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_py(), np.int32), dtype=np.int64)])]
+                yield pa.RecordBatch.from_arrays([docs.values, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids[at]))], names=["doc_id", "ids"])
 
     return run
 

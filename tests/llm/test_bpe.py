@@ -1,10 +1,14 @@
 import hashlib
 import time
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
+from tallyspark.llm import bpe
 from tallyspark.llm.bpe import decode, encode, merge_long, read_ranks
 from tallyspark.llm.common import table
 from tallyspark.llm.queries import op9_byte_bpe
@@ -57,3 +61,39 @@ def test_long_matches(spark):
     assert time.monotonic() - begin < 90
     for r in got:
         assert list(r.ids) == enc.encode_ordinary(texts[r.doc_id]) and bytes(r.decoded).decode() == texts[r.doc_id]
+
+
+def test_tasks_hold_no_word_as_an_object():
+    """Frequent words and the ids of all words are held packed; forgetting rare words, or words of one hash, changes nothing."""
+    words = [f"w{i} é" for i in range(60_000)]
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = read_ranks(path)
+    shared = SimpleNamespace(value=pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([[i, i + 1] for i in range(len(words))], pa.list_(pa.int32()))}))
+    docs = [[words[5], "rare one", "x" * 300, words[59_999]], [], ["rare one", "other"], ["other", "", words[0]]]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs, pa.list_(pa.string()))], names=["doc_id", "words"])
+
+    def held(task):
+        """Bytes that Python objects take while the task is between two batches."""
+        tracemalloc.start()
+        run = task(iter([b] * 3))
+        next(run)
+        size = tracemalloc.get_traced_memory()[0]
+        tracemalloc.stop()
+        return size
+
+    number, folded = bpe._number(path, shared), []
+    base = held(lambda x: (m for m in [(bpe._byte_tokens(path), read_ranks(path))] for _ in x))
+    assert held(number) - base < 1 << 20 < len(words) * 50
+    for m in number(iter([b, b])):
+        lists = [[int(x) - bpe.TOKEN for x in t[1:]] if t[:1] == [-1] else [-int(x) for x in t] for t in m.column(4)[0].as_py()]
+        folded.append(pa.RecordBatch.from_arrays([*m.columns[:4], pa.array([lists], pa.list_(pa.list_(pa.int32())))], names=["docs", "sizes", "words", "anew", "codes"]))
+    assert [m.column(4)[0].as_py() for m in folded[1:]] == [[]]  # the second time no word is new
+    assert held(lambda _: bpe._assemble(shared)(iter(folded))) < 4 << 20
+    token = bpe._byte_tokens(path)
+    ids = {w: [i, i + 1] for i, w in enumerate(words)} | {"x" * 300: merge_long(b"x" * 300, ranks)}
+    for w in ("rare one", "other", ""):
+        ids[w] = [-int(token[c]) for c in w.encode()]
+    got = [r for o in bpe._assemble(shared)(iter(folded)) for r in o.to_pylist()]
+    assert got == 2 * [{"doc_id": i, "ids": [x for w in d for x in ids[w]]} for i, d in enumerate(docs)]
+    find = bpe._places(pa.array(["a", "b", "ab", ""]))
+    assert find(pa.array(["b", "c", "", "abc", "a"])).tolist() == [1, -1, 3, -1, 0]
