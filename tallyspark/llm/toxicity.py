@@ -29,6 +29,8 @@ FIT_ROWS, FIT_BYTES = 8192, 96 << 20
 #: A ratio so many standard errors from 0 counts half.  An n-gram of one single text says nothing of others.
 HALF_Z, LEAST_ROWS = 4.0, 2
 L2, BYTES = 1.0, 1 << 20
+#: Text whose n-grams are held at once in scoring, where several tasks share an executor.
+SCORE_BYTES = 1 << 17
 
 _LOWER = np.arange(1 << 16, dtype=np.uint32)
 _LOWER[:] = [ord(s) if len(s := chr(c).lower()) == 1 else c for c in range(1 << 16)]
@@ -87,20 +89,22 @@ def fit(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Features with a weight, the weights, and the intercept."""
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     kind = np.uint16 if len(texts) <= 1 << 16 else np.int64
-    with_1, with_0, pairs = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64), []
+    with_1, with_0, pairs = np.zeros(SIZE, np.int32), np.zeros(SIZE, np.int32), []
     for i, j in slices(off, BYTES):
         for row, f, n in by_feature(np.frombuffer(b"".join(texts[i:j]), np.uint8), off[i:j + 1] - off[i]):
             if len(row):
-                ones = np.add.reduceat((labels[i + row] == 1).astype(np.int64), np.cumsum(n) - n)
+                ones = np.add.reduceat((labels[i + row] == 1).astype(np.int32), np.cumsum(n) - n)
                 with_1[f] += ones
                 with_0[f] += n - ones
                 pairs.append(((i + row).astype(kind), f.astype(np.int32), n.astype(np.int32)))
     n1, n0 = int((labels == 1).sum()), int((labels == 0).sum())
-    ratio = np.log((with_1 + 1) / (n1 + 2)) - np.log((with_0 + 1) / (n0 + 2))
-    z2 = ratio ** 2 / (1 / (with_1 + 1) + 1 / (with_0 + 1))
     wanted = with_1 + with_0 >= LEAST_ROWS if n1 and n0 else np.zeros(SIZE, bool)
     feature = np.flatnonzero(wanted)
-    value = (ratio * z2 / (z2 + HALF_Z ** 2))[feature]
+    in_1, in_0 = with_1[feature], with_0[feature]
+    del with_1, with_0
+    ratio = np.log((in_1 + 1) / (n1 + 2)) - np.log((in_0 + 1) / (n0 + 2))
+    z2 = ratio ** 2 / (1 / (in_1 + 1) + 1 / (in_0 + 1))
+    value = ratio * z2 / (z2 + HALF_Z ** 2)
     place = np.zeros(SIZE, np.int32)
     place[feature] = np.arange(len(feature))
     x = Sparse(value, len(texts))
@@ -135,7 +139,7 @@ def _score_task(feature: np.ndarray, weight: np.ndarray, bias: float):
         for b in batches:
             data, off = text_buffers(b.column(1))
             z = np.full(len(b), bias)
-            for i, j in slices(off, BYTES):
+            for i, j in slices(off, SCORE_BYTES):
                 row, f = present(data[off[i]:off[j]], off[i:j + 1] - off[i], wanted)
                 z[i:j] += np.bincount(row, weights=w[f], minlength=j - i)
             p = sigmoid(z)

@@ -1,8 +1,10 @@
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tallyspark.llm import toxicity
 from tallyspark.llm.common import table
@@ -99,3 +101,26 @@ def test_a_text_that_does_not_fit_is_skipped_alone(monkeypatch):
     m = next(toxicity._fit_task(iter([b]))).to_pylist()[0]
     f, w, bias = fit([t.encode() for t in texts], np.array(labels))
     assert len(f) and m["feature"] == f.tobytes() and m["weight"] == w.tobytes() and m["bias"] == bias
+
+
+def test_memory_of_a_task():
+    """Scoring holds the n-grams of little text at once; learning holds ratios of the kept features only."""
+    rng = np.random.default_rng(1)
+    texts = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(2000)]
+
+    def peak(run):
+        tracemalloc.start()
+        out = run()
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, size
+
+    few = [t.encode() for t in texts[:40]]
+    model, size = peak(lambda: toxicity.fit(few, np.arange(40) % 2))
+    assert size < 100 << 20
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    (got,), size = peak(lambda: list(toxicity._score_task(*model)(iter([b]))))
+    assert size < 60 << 20
+    # As if each text were scored by itself.
+    alone = [next(toxicity._score_task(*model)(iter([b.slice(i, 1)]))).column(1)[0].as_py() for i in (0, 1, 700, 1999)]
+    assert [got.column(1)[i].as_py() for i in (0, 1, 700, 1999)] == pytest.approx(alone, abs=1e-12)
