@@ -7,11 +7,12 @@ O(terms x records).  The exact replacement used here:
 
 1. Terms are deduplicated per (group, lower(term)): the answer depends only on
    the text, so each distinct text is matched once and joined back.
-2. Each term is blocked on its rarest literal bigram (a gram with no '%'/'_'),
-   or its rarest literal character when it has no literal bigram.  A name that
+2. Each term is blocked on its rarest literal trigram (a gram with no '%'/'_'),
+   or, when it has none, its rarest literal bigram or character.  A name that
    contains the term contains every literal gram of it, so no candidate is
-   lost.  Gram frequencies come from a partial aggregation restricted to
-   grams that some term uses.
+   lost.  Records give only grams of the lengths that terms of their group are
+   blocked on; gram frequencies come from a partial aggregation.  Records and
+   terms are spread over the tasks first, as a few files may hold many.
 3. The equi join on (group, gram) is salted by gram size (known from step 2):
    a gram held by a third of all records is spread over many tasks, a rare
    gram stays in one.
@@ -33,16 +34,32 @@ from tallyspark import schemas as S
 from tallyspark.operators.search import term_ok_col
 
 _LIT = "g NOT RLIKE '[%_]'"
+#: Lengths of the grams that a term may be blocked on, the one to take first (longer: held by fewer records).
+SIZES = (3, 2, 1)
 
 
-def _bigrams(s: str) -> Column:
-    return F.expr(f"CASE WHEN char_length({s}) >= 2 THEN filter(transform(sequence(1, char_length({s}) - 1), "
-                  f"i -> substring({s}, i, 2)), g -> {_LIT}) ELSE array() END")
+def _grams(s: str, n: int, where: str | None = None) -> Column:
+    every = f"transform(sequence(1, char_length({s}) - {n - 1}), i -> substring({s}, i, {n}))"
+    return F.expr(f"CASE WHEN char_length({s}) >= {n} THEN {f'filter({every}, g -> {where})' if where else every} ELSE array() END")
 
 
-def _unigrams(s: str) -> Column:
-    return F.expr(f"CASE WHEN char_length({s}) >= 1 THEN filter(transform(sequence(1, char_length({s})), "
-                  f"i -> substring({s}, i, 1)), g -> {_LIT}) ELSE array() END")
+def _spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as shuffles have, however few files they are in: each becomes many rows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _holding(recs: DataFrame, texts: DataFrame, g: list[str]) -> DataFrame:
+    """(group, _id, _name, _gram): the grams of the records of the sizes that some text of the group is blocked on.
+
+    Nothing is left out here for holding '%' or '_': no text has such a gram.
+    """
+    out = None
+    for n in SIZES:
+        used = texts.where(F.col("_size") == n)
+        some = recs.join(used.select(*g).distinct(), g, "left_semi") if g else recs.join(F.broadcast(used.limit(1).select("_size")), how="cross").drop("_size")
+        part = some.select(*g, "_id", "_name", F.explode(F.array_distinct(_grams("_ln", n))).alias("_gram"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _pattern(term: Column) -> Column:
@@ -67,19 +84,20 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
     g = list(group_cols or [])
     t_ok = terms.where(term_ok_col(F.col(term_col), min_length))
     texts = t_ok.select(*g, _term_key(F.col(term_col), trim).alias("_lt")).distinct()
-    texts = texts.select(*g, "_lt", F.col("_lt").rlike("[%_]").alias("_wild"), _bigrams("_lt").alias("_bi"),
-                         _unigrams("_lt").alias("_uni"))
-    texts = texts.select(*g, "_lt", "_wild", F.when(F.size("_bi") > 0, F.col("_bi")).otherwise(F.col("_uni")).alias("_grams"))
+    texts = texts.select(*g, "_lt", F.col("_lt").rlike("[%_]").alias("_wild"), *[_grams("_lt", n, _LIT).alias(f"_{n}") for n in SIZES])
+    size = F.coalesce(*[F.when(F.size(f"_{n}") > 0, F.lit(n)) for n in SIZES], F.lit(0))
+    texts = texts.select(*g, "_lt", "_wild", size.alias("_size"),
+                         F.coalesce(*[F.when(F.size(f"_{n}") > 0, F.col(f"_{n}")) for n in SIZES], F.col(f"_{SIZES[-1]}")).alias("_grams"))
 
     recs = records.select(*g, F.col(record_id).alias("_id"), F.col(record_field).alias("_name"))
-    recs = recs.where(F.col("_name").isNotNull()).withColumn("_ln", F.lower("_name"))
+    recs = _spread(recs.where(F.col("_name").isNotNull())).withColumn("_ln", F.lower("_name"))
 
     # Term grams and their frequency among records (only grams terms use).
     term_grams = texts.select(*g, "_lt", F.explode(F.array_distinct("_grams")).alias("_gram"))
     wanted = term_grams.select(*g, "_gram").distinct()
-    rec_grams = recs.select(*g, "_id", "_name", F.explode(F.array_distinct(
-        F.concat(_bigrams("_ln"), _unigrams("_ln")))).alias("_gram"))
-    freq = rec_grams.join(wanted, [*g, "_gram"], "left_semi").groupBy(*g, "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    rec_grams = _holding(recs, texts, g)
+    # Counted before the join: a task ships each gram once, not each record once for every gram.
+    freq = rec_grams.groupBy(*g, "_gram").agg(F.count(F.lit(1)).alias("_n")).join(wanted, [*g, "_gram"], "left_semi")
     chosen = (term_grams.join(freq, [*g, "_gram"], "left")
               .withColumn("_n", F.coalesce("_n", F.lit(0)))
               .groupBy(*g, "_lt").agg(F.min(F.struct("_n", "_gram")).alias("_best"))
@@ -117,7 +135,7 @@ def match_candidates(terms: DataFrame, records: DataFrame, *, term_col: str = "t
     allhits = hits.unionByName(w_hits)
     w = Window.partitionBy(*g, "_lt").orderBy("_id")
     top = allhits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    keyed_terms = t_ok.withColumn("_lt", _term_key(F.col(term_col), trim))
+    keyed_terms = _spread(t_ok).withColumn("_lt", _term_key(F.col(term_col), trim))
     out = keyed_terms.join(top, [*g, "_lt"])
     return out.select(*terms.columns, F.col("_id").alias("candidate_id"), F.col("_name").alias("candidate_name"),
                       F.col("rank").cast("long").alias("rank"))

@@ -75,3 +75,20 @@ def test_stored_table_search_pushes_down(spark):
     assert "StringContains(Name,ring)" in plan
     assert "PartitionFilters: [isnotnull(tenant_id" in plan and "(tenant_id" in plan
     assert "TakeOrderedAndProject" in plan
+
+
+def test_match_gram_lengths_and_spread(spark, capsys):
+    """Terms blocked on three characters, two, one, or none; records and terms in one file each keep several tasks busy."""
+    names = ["large ring 1", "Large%ring 2", "old_gear", "ab", "a", "", "xay", "İstanbul straße", "中文字 ring", None, "%_", "a\\b ring"]
+    recs = spark.createDataFrame([(t, f"{i:03d}", f"{n} {j}" if n and j else n) for t in (1, 2) for i, (n, j) in enumerate((n, j) for n in names for j in range(5))], "t int, Id string, Name string").coalesce(1)
+    terms = ["large ring", "rin%lar", "l_r", "ar%in", "r%g", "g_", "__", "%", "%%", "a\\b", "中文", "STRASSE", "straße", "r_n%2", "zzz"]
+    terms = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate((t, x) for x in terms for t in (1, 2, 3) if (t != 2 or len(x) > 3))], "i int, t int, term string").coalesce(1)
+    for some in (terms, terms.where("i < 5"), terms.where("term = '__'")):
+        for g in (["t"], None):
+            r = recs if g else recs.where("t = 1").select("Id", "Name")
+            t = some if g else some.select("i", "term")
+            got = match_candidates(t, r, group_cols=g, k=7, rows_per_salt=4)
+            want = match_candidates_nested(t, r, group_cols=g, k=7)
+            assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+    match_candidates(terms, recs, group_cols=["t"]).explain()
+    assert capsys.readouterr().out.count("RoundRobinPartitioning") >= 2
