@@ -1,12 +1,13 @@
-"""Byte-level BPE with Spark higher-order functions.
+"""Byte-level BPE of distinct words.
 
-The text is cut by the tokenizer's pattern.  Each task numbers the distinct words it meets; the new ones pass through
-a Spark expression that folds the ranked merges over their array of byte tokens, looking up adjacent pairs in a
-literal rank map, and every occurrence then takes its word's ids.  No text is shuffled, and what a task remembers is
-bounded.  Frequent words, which every task would meet, pass through that expression once and are broadcast.  Decoding joins the bytes of the ids, again by a Spark expression over a literal.
+A Spark expression cuts the text by the tokenizer's pattern.  Each task numbers the distinct words it meets; the new
+ones of a bundle of documents are merged together, one ranked merge in each word a step, over one array of tokens, and
+every occurrence then takes its word's ids.  No text is shuffled, and what a task remembers is bounded.  Frequent words,
+which every task would meet, are counted and merged once and broadcast.  Decoding joins the bytes of the ids by a Spark
+expression over a literal.
 
-The rank map is a pair of literal arrays, so that a look-up is two reads at known places.  A pair's value is the id of
-the merged bytes, which is its rank.
+The rank map is a pair of broadcast arrays, so that a look-up is two reads at known places.  A pair's value is the id
+of the merged bytes, which is its rank.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -32,9 +33,9 @@ WORDS, BUNDLE = 1 << 16, 1 << 18
 #: broadcast), found in about SAMPLE documents.  They only save work: any word that is not among them is folded
 #: where it occurs.
 SLOTS, LONGEST, SAMPLE = 1 << 19, 64, 32_768
-#: Longest match, in bytes, whose merges are folded by the Spark expression, whose time is quadratic in it; a longer one
-#: is merged by a heap in the task that meets it.
-FOLDED = 256
+#: Longest match, in bytes, that is merged together with others, in time quadratic in it; a longer one is merged by a
+#: heap.  Tokens that are merged together (this bounds the arrays).
+FOLDED, TOKENS = 256, 1 << 17
 #: Stands for "no merge" among the ranks of adjacent pairs; what is added to an id to make it larger than any rank.
 NONE, TOKEN = 1 << 20, 1 << 21
 #: Unicode White_Space, as a class of Java's patterns (fixed values).
@@ -47,16 +48,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def rank_table(path: str) -> tuple[list[int], list[int], int]:
-    """(shift, table, places): the pair with key k = left * 2**16 + right (both as tokens, that is, id + TOKEN) stands
-    as k * 2**16 + merged id at ``table[k % places + shift[k % len(shift)]]``.
+def rank_table(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(shift, table, places): the pair of ids with key k = left * 2**16 + right stands as k * 2**16 + merged id at
+    ``table[k % places + shift[k % len(shift)]]``.
 
     The shifts are chosen, the fullest groups first, so that no two pairs meet: one look tells whether a pair exists.
     """
     ranks = read_ranks(path)
     if max(ranks.values()) >= 1 << 16:
         raise ValueError("a vocabulary of at most 65,536 ids is expected")
-    pairs = {(ranks[w[:i]] + TOKEN << 16) + ranks[w[i:]] + TOKEN: n for w, n in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+    pairs = {(ranks[w[:i]] << 16) + ranks[w[i:]]: n for w, n in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
     groups, places = max(7, len(pairs) // 4 | 1), len(pairs) * 3 // 2 | 1
     while True:
         by: dict[int, list[int]] = {}
@@ -74,35 +75,69 @@ def rank_table(path: str) -> tuple[list[int], list[int], int]:
         for k, x in zip(keys, at, strict=True):
             taken[x + d] = 1
             out[x + d] = (k << 16) + pairs[k]
-    return shift, [out.get(i, -1) for i in range(places + max(shift))], places
+    return np.array(shift, np.int64), np.array([out.get(i, -1) for i in range(places + max(shift))], np.int64), places
 
 
-def _look(left: str, right: str, places: int, groups: int) -> str:
-    """SQL: the id of the merged pair, or NONE (also if there is no left or right)."""
-    value = f"get(t, cast(k % {places} as int) + get(shift, cast(k % {groups} as int)))"
-    return f"get(transform(array({left} * 65536L + {right}), k -> get(transform(array({value}), v -> if(shiftright(v, 16) = k, v & 65535L, {NONE}L)), 0)), 0)"
+def _look(left: np.ndarray, right: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """The ids of the merged pairs, NONE where there is no such merge."""
+    shift, table, places = pairs
+    k = (left << 16) + right
+    v = table[k % places + shift[k % len(shift)]]
+    return np.where(v >> 16 == k, v & 65535, NONE)
 
 
-def fold_merges(words: str, path: str) -> Column:
-    """Column of array<array<bigint>>: the byte tokens (id + TOKEN) of each word -> its ids.
+def merge_words(ids: np.ndarray, sizes: np.ndarray, merged: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ids of words, one word after another, and how many each has -> their ids when all merges are done.
 
-    The accumulator alternates the ranks of adjacent pairs with tokens, between two NONE: rank, token, rank, token,
-    ..., rank.  Tokens are larger than any rank, so its minimum is the least rank and the first place of that the
-    leftmost pair.  Each step puts the merged token for the pair and looks up the two pairs that it forms.  A word of
-    n bytes takes at most n - 1 steps.  A word that starts with a negative number is merged already (``merge_long``).
+    Each step makes one merge in every word that has any left: of its adjacent pairs that of least rank, of equal ones
+    the leftmost.  Then it looks up the two pairs which the merged token forms.  A word of n bytes takes at most n - 1
+    steps; words that are finished, and those told as ``merged``, go out.
     """
-    shift, table, places = rank_table(path)
-    look = partial(_look, places=places, groups=len(shift))
-    first = f"concat(array({NONE}L), flatten(transform(w, (l, i) -> array(l, {look('l', 'get(w, i + 1)')}))))"
-    merged = f"""concat(slice(s, 1, j - 3), array({look('get(s, j - 4)', f'(m + {TOKEN}L)')}, m + {TOKEN}L, {look(f'(m + {TOKEN}L)', 'get(s, j + 2)')}),
-        slice(s, j + 3, size(s)))"""
-    step = f"""get(transform(array(array_min(s)), m -> if(m = {NONE}L, s,
-        get(transform(array(cast(array_position(s, m) as int)), j -> {merged}), 0))), 0)"""
-    ids = f"transform(filter(s, v -> v >= {TOKEN}L), v -> v - {TOKEN}L)"
-    fold = f"if(get(w, 0) < 0L, transform(slice(w, 2, size(w)), v -> v - {TOKEN}L), aggregate(slice(w, 2, size(w)), {first}, (s, x) -> {step}, s -> {ids}))"
-    # The texts of the literals are folded to arrays when the plan is optimised; each stands in the plan once.
-    literal = lambda x, kind: f"cast(split('{','.join(map(str, x))}', ',') as array<{kind}>)"
-    return F.expr(f"get(transform(array({literal(shift, 'int')}), shift -> get(transform(array({literal(table, 'bigint')}), t -> transform({words}, w -> {fold})), 0)), 0)")
+    who, total = np.flatnonzero(sizes), len(sizes)
+    size, out, words = sizes[who].astype(np.int64), [ids[:0]], [who[:0]]
+    rank = np.full(len(ids), NONE, np.int64)
+    rank[:-1] = _look(ids[:-1], ids[1:], pairs)
+    rank[np.cumsum(size) - 1] = NONE
+    rank[np.repeat(merged[who], size)] = NONE
+    while len(who):
+        start = np.cumsum(size) - size
+        least = np.minimum.reduceat(rank, start)
+        live = least < NONE
+        if not live.all():
+            keep = np.repeat(live, size)
+            out.append(ids[~keep])
+            words.append(np.repeat(who[~live], size[~live]))
+            ids, rank, who, size, least = ids[keep], rank[keep], who[live], size[live], least[live]
+            start = np.cumsum(size) - size
+        # One place in each word, so the k-th word lies k places further left when the merged pairs are one token.
+        at = np.flatnonzero(rank == np.repeat(least, size))
+        at, back = at[np.searchsorted(at, start)], np.arange(len(who))
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        ids[at], rank[at] = least, NONE
+        ids, rank = ids[keep], rank[keep]
+        at, start, size = at - back, start - back, size - 1
+        left, right = at[at > start], at[at + 1 < start + size]
+        rank[left - 1] = _look(ids[left - 1], ids[left], pairs)
+        rank[right] = _look(ids[right], ids[right + 1], pairs)
+    word = np.concatenate(words)
+    return np.concatenate(out)[np.argsort(word, kind="stable")], np.bincount(word, minlength=total)
+
+
+def fold_merges(tokens: pa.ListArray, pairs: tuple[np.ndarray, np.ndarray, int]) -> pa.ListArray:
+    """The byte tokens (id + TOKEN) of each word -> its ids.  A word that starts with a negative number is merged already
+    (``merge_long``)."""
+    flat, n = tokens.flatten().to_numpy(), pc.list_value_length(tokens).to_numpy().astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    ids, sizes = [flat[:0]], [n[:0]]
+    for i, j in slices(off, TOKENS):
+        part, size = flat[off[i]:off[j]], n[i:j]
+        merged = np.zeros(j - i, bool)
+        merged[np.searchsorted(off[i:j + 1], off[i] + np.flatnonzero(part < 0), "right") - 1] = True
+        for out, x in zip((ids, sizes), merge_words(part[part >= 0] - TOKEN, size - merged, merged, pairs), strict=True):
+            out.append(x)
+    off = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
 
 
 def merge_long(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -157,25 +192,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.field(0), part.field(1)], names=["word", "n"])
 
 
-def _as_tokens(path: str):
+def _coded(path: str, pairs):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _byte_tokens(path)
+        byte_token, ranks = _byte_tokens(path), read_ranks(path)
         for b in batches:
-            tokens = [token[np.frombuffer(w.encode(), np.uint8)] for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.list_(pa.int64()))], names=["word", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), fold_merges(_tokens(b.column(0), byte_token, ranks), pairs.value)], names=["word", "ids"])
 
     return run
 
 
-def frequent_words(src: DataFrame, path: str, scratch: Scratch) -> pa.Table:
+def frequent_words(src: DataFrame, path: str, scratch: Scratch, pairs) -> pa.Table:
     """(word, ids) of frequent words of src (doc_id, words): of the words that share a slot the most frequent one."""
     some = max(1, rows_of(src.select("doc_id")) // SAMPLE)
     sample = src.where(F.pmod(F.xxhash64("doc_id"), F.lit(some)) == 0).select("words")
     counts = sample.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(f"n > 1 and octet_length(word) <= {LONGEST}")
     best = counts.groupBy(F.crc32(F.col("word").cast("binary")) % SLOTS).agg(F.max(F.struct("n", "word")).alias("w")).select("w.word")
     best = scratch.save(best, "frequent")
-    coded = best.mapInArrow(_as_tokens(path), "word string, tokens array<long>").select("word", F.get(fold_merges("array(tokens)", path), F.lit(0)).cast("array<int>").alias("ids"))
-    return scratch.save(coded, "frequent-ids").toArrow().combine_chunks()
+    return scratch.save(best.mapInArrow(_coded(path, pairs), "word string, ids array<int>"), "frequent-ids").toArrow().combine_chunks()
 
 
 def _places(words: pa.Array):
@@ -258,6 +291,18 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
 
+def _fold(pairs):
+    """Bundles with the byte tokens of the new words -> with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fresh = b.column(4)
+            codes = pa.ListArray.from_arrays(fresh.offsets, fold_merges(fresh.values, pairs.value))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], codes], names=["docs", "sizes", "words", "anew", "codes"])
+
+    return run
+
+
 def _assemble(shared):
     """Bundles with the ids of the new words -> one row per document."""
 
@@ -304,17 +349,18 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, r
     """doc_id, ids (array<int>): every text encoded by the ranks, each match of the pattern by itself.
 
     Null and empty texts have no ids.  Rows that repeat an id, and rows with a null id, are encoded one by one; an
-    empty table gives no rows; other columns are not read.  A match of up to FOLDED bytes is folded in time quadratic in
-    its length, a longer one merged in time n log n.
+    empty table gives no rows; other columns are not read.  A match of up to FOLDED bytes is merged in time quadratic in
+    its length, a longer one in time n log n.
     """
     path = ranks or public_tokenizers.path(RANKS)
     cut = F.lit(java_pattern(pattern or public_tokenizers.PATTERN))
     src = single(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"),
                                                 F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), cut, F.lit(0)).alias("words"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_words(src, path, Scratch(docs.sparkSession, "bpe")))
-    bundles = src.mapInArrow(_number(path, shared), "docs array<long>, sizes binary, words binary, anew boolean, fresh array<array<long>>")
-    coded = bundles.select("docs", "sizes", "words", "anew", fold_merges("fresh", path).alias("codes"))
-    return coded.mapInArrow(_assemble(shared), "doc_id long, ids array<int>")
+    sc = docs.sparkSession.sparkContext
+    pairs = sc.broadcast(rank_table(path))
+    shared = sc.broadcast(frequent_words(src, path, Scratch(docs.sparkSession, "bpe"), pairs))
+    number, fold, assemble = _number(path, shared), _fold(pairs), _assemble(shared)
+    return src.mapInArrow(lambda batches: assemble(fold(number(batches))), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", *, ranks: str | None = None) -> DataFrame:

@@ -97,3 +97,19 @@ def test_tasks_hold_no_word_as_an_object():
     assert got == 2 * [{"doc_id": i, "ids": [x for w in d for x in ids[w]]} for i, d in enumerate(docs)]
     find = bpe._places(pa.array(["a", "b", "ab", ""]))
     assert find(pa.array(["b", "c", "", "abc", "a"])).tolist() == [1, -1, 3, -1, 0]
+
+
+def test_words_are_merged_together():
+    """Distinct words take a few microseconds each, not a Spark expression's step for each byte, with the library's ids."""
+    path, rng = P.path("byte_bpe_multi_50k.tiktoken"), np.random.default_rng(4)
+    ranks, pairs = read_ranks(path), bpe.rank_table(path)
+    parts = ["the", "tion", "er", "ou", "Th", " a", "é", "ß", "中", "aa", "=", "\n", "x", "12"]
+    words = ["".join(parts[i] for i in rng.integers(0, len(parts), rng.integers(1, 9))) for _ in range(200_000)]
+    words += ["", "a", "", "ab" * 128, "ab" * 129, "x" * 256, "y" * 3000, ""]
+    tokens = bpe._tokens(pa.array(words), bpe._byte_tokens(path), ranks)
+    begin = time.process_time()
+    got = bpe.fold_merges(tokens, pairs)
+    assert time.process_time() - begin < 4
+    enc = tiktoken.Encoding("whole", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    assert got.to_pylist() == enc.encode_ordinary_batch(words)
+    assert bpe.fold_merges(tokens.slice(0, 0), pairs).to_pylist() == []
