@@ -21,6 +21,13 @@ from tallyspark.llm.toxicity import without_toxic
 
 
 READ = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a batch that a stage hands to a task, so that the tasks of one executor together hold little text.
+BATCH = 1 << 22
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """From now on, as the caller runs what a stage returns."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 def _filter(stage):
@@ -28,6 +35,7 @@ def _filter(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _small_batches(spark)
         have = {c.lower() for c in docs.columns}
         plain, names = unclashed(docs, *[c for c in READ if c in have])
         return stage(spark, plain, sf_dir).toDF(*names)
@@ -68,6 +76,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return pack_documents(docs)
 
 

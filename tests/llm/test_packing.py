@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tallyspark.llm import packing
 from tallyspark.llm.common import text_buffers
 from tallyspark.llm.packing import _encoder, best_fit_decreasing, pack_documents
 
@@ -94,3 +96,36 @@ def test_pack_documents(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_chunks_are_held_packed(monkeypatch):
+    """Chunks and their ids take few bytes; forgetting them, or chunks of one hash, changes nothing."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), np.random.default_rng(6)
+    parts = ["the", "tion", "er", "Ou", "é", "st", ".", ",", "4", "中"]
+    texts = [" ".join("".join(parts[i] for i in rng.integers(0, len(parts), 8)) for _ in range(4000)) for _ in range(50)]
+    data, off = text_buffers(pa.array(texts))
+    encode = _encoder(path)
+    encode(data[:off[1]], off[:2])
+    tracemalloc.start()
+    arrow = pa.total_allocated_bytes()
+    for k in range(len(texts)):
+        encode(data[off[k]:off[k + 1]], off[k:k + 2] - off[k])
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 100 * 200_000  # some 200 bytes each as Python objects
+
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[:6]]
+
+    def same(encode):
+        for _ in range(2):
+            for k, w in enumerate(want):
+                assert encode(data[off[k]:off[k + 1]], off[k:k + 2] - off[k])[0] == w
+            ids, at = encode(data[:off[6]], off[:7])
+            assert [ids[4 * i:4 * j] for i, j in zip(at, at[1:], strict=False)] == want
+
+    same(encode)
+    for name, value in (("CACHE", 5000), ("CACHE_BYTES", 100_000), ("hash_words", lambda _, starts, ends: (ends - starts).astype(np.uint64))):
+        with monkeypatch.context() as m:
+            m.setattr(packing, name, value)
+            same(_encoder(path))
